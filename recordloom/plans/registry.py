@@ -3,31 +3,752 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from recordloom.functions import chunk, dates, intent, text
+from recordloom.operators import acl, context, filters, hybrid, lexical, store, vector
 from recordloom.operators.packed import split_packed
+from recordloom.plans import monitor
+from recordloom.plans import search as pipeline
 from recordloom.session import table
+from recordloom.sources import scans
+from recordloom.streaming import windows
 
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+AS_OF = datetime(2024, 1, 20, 12, 0, 0)
+QUESTION = "cost of timber"
+TERMS = ["cost", "of", "timber"]
 
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def register(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
+
+
+# ---- packed values -----------------------------------------------------------------------------------------
+
+
+@query()
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Values of the fields that hold two or more."""
-    acl = split_packed(table(spark, sf_dir, "record_acl"), "id", "raw_acl_string", least=2)
-    chunks = split_packed(table(spark, sf_dir, "record_chunks"), "id", "acl", least=2)
-    return acl.select(F.lit("record_acl").alias("src"), "row_id", "pos", "val").union(chunks.select(F.lit("record_chunks").alias("src"), "row_id", "pos", "val"))
+    a = split_packed(table(spark, sf_dir, "record_acl"), "id", "raw_acl_string", least=2)
+    c = split_packed(table(spark, sf_dir, "record_chunks"), "id", "acl", least=2)
+    return a.select(F.lit("record_acl").alias("src"), "row_id", "pos", "val").union(c.select(F.lit("record_chunks").alias("src"), "row_id", "pos", "val"))
 
 
+@query()
 def p5_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Values of all fields, single ones too."""
-    acl = split_packed(table(spark, sf_dir, "record_acl"), "id", "raw_acl_string")
-    chunks = split_packed(table(spark, sf_dir, "record_chunks"), "id", "acl")
-    return acl.select(F.lit("record_acl").alias("src"), "row_id", "pos", "val").union(chunks.select(F.lit("record_chunks").alias("src"), "row_id", "pos", "val"))
+    a = split_packed(table(spark, sf_dir, "record_acl"), "id", "raw_acl_string")
+    c = split_packed(table(spark, sf_dir, "record_chunks"), "id", "acl")
+    return a.select(F.lit("record_acl").alias("src"), "row_id", "pos", "val").union(c.select(F.lit("record_chunks").alias("src"), "row_id", "pos", "val"))
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p5_found, p5_values)}
+# ---- vector search -----------------------------------------------------------------------------------------
 
+_Q = "(SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = 7)"
+_COS = "list_cosine_similarity(embedding::DOUBLE[], q)"
 
-def oracle_sql() -> dict[str, str]:
-    return {}
+
+def _query_vector(spark: SparkSession, sf_dir: str) -> list[float]:
+    return list(table(spark, sf_dir, "embeddings").where("vec_id = 7").first()["embedding"])
+
+
+@query(f"SELECT vec_id AS id, round({_COS}, 6) AS score FROM embeddings, {_Q} ORDER BY {_COS} DESC, vec_id LIMIT 20")
+def knn_cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = vector.top_k(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", _query_vector(spark, sf_dir), 20, -2.0)
+    return hits.select("id", F.round("score", 6).alias("score"))
+
+
+@query(f"SELECT * FROM (SELECT vec_id AS id, round({_COS}, 6) AS score FROM embeddings, {_Q} ORDER BY {_COS} DESC, vec_id LIMIT 50) WHERE score >= 0.25")
+def knn_threshold_after_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = vector.top_k(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", _query_vector(spark, sf_dir), 50, 0.25)
+    return hits.select("id", F.round("score", 6).alias("score"))
+
+
+@query(f"SELECT vec_id AS id, round({_COS}, 6) AS score FROM embeddings, {_Q} WHERE {_COS} >= 0.1 ORDER BY {_COS} DESC, vec_id LIMIT 50")
+def knn_threshold_before_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = vector.top_k(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", _query_vector(spark, sf_dir), 50, 0.1, before_limit=True)
+    return hits.select("id", F.round("score", 6).alias("score"))
+
+
+@query(f"SELECT vec_id AS id, round({_COS}, 6) AS score FROM embeddings, {_Q} WHERE label = 3 ORDER BY {_COS} DESC, vec_id LIMIT 5")
+def knn_record_scoped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scoped = filters.record_filter(table(spark, sf_dir, "embeddings"), [3], "label")
+    return vector.top_k(scoped, "vec_id", "embedding", _query_vector(spark, sf_dir), 5, -2.0).select("id", F.round("score", 6).alias("score"))
+
+
+@query(
+    """SELECT query_id, id, round(s, 5) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS rank FROM (
+SELECT a.vec_id AS query_id, b.vec_id AS id, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS s FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id)) WHERE rank <= 5"""
+)
+def knn_batch_topk_per_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings")
+    asked = [(r["vec_id"], r["embedding"]) for r in e.where("vec_id % 50 = 0").collect()]  # the stated query set
+    hits = vector.batch_top_k(e, "vec_id", "embedding", asked, 5, exclude_same=True)
+    return hits.select("query_id", "id", F.round("score", 5).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+@query(f"SELECT label, id, round(s, 6) AS score FROM (SELECT label, vec_id AS id, {_COS} AS s, row_number() OVER (PARTITION BY label ORDER BY {_COS} DESC, vec_id) AS r FROM embeddings, {_Q}) WHERE r = 1")
+def dedup_best_per_record(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings")
+    scored = e.select(F.col("vec_id").alias("id"), "label", vector.cosine_to(F.col("embedding"), _query_vector(spark, sf_dir)).alias("score"))
+    return hybrid.best_per_record(scored, "label").select("label", "id", F.round("score", 6).alias("score"))
+
+
+@query()
+def ivf_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Top 20 of the ten nearest cells."""
+    e = table(spark, sf_dir, "embeddings")
+    cells = vector.fit_cells(e, "embedding", 20)
+    q = _query_vector(spark, sf_dir)
+    near = vector.assign_cells(e, "embedding", cells).where(F.col("cell").isin(vector.probe_cells(cells, q, 10)))
+    return vector.top_k(near, "vec_id", "embedding", q, 20, -2.0)
+
+
+@query("SELECT n, CASE WHEN n < 1000000 THEN 100 WHEN n < 5000000 THEN 1000 WHEN n < 10000000 THEN 1500 WHEN n < 25000000 THEN 2000 WHEN n < 50000000 THEN 2500 WHEN n < 100000000 THEN 3000 ELSE 5000 END AS cells FROM (SELECT o_orderkey * 1000 AS n FROM orders)")
+def cell_count_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = table(spark, sf_dir, "orders").select((F.col("o_orderkey") * 1000).alias("n"))
+    return n.select("n", vector.cell_count(F.col("n")).alias("cells"))
+
+
+@query(f"SELECT id, round(raw, 6) AS raw, round((raw - min(raw) OVER ()) / (max(raw) OVER () - min(raw) OVER ()), 6) AS rerank_score FROM (SELECT vec_id AS id, {_COS} AS score, {_COS} * 2 - 1 AS raw FROM embeddings, {_Q} ORDER BY score DESC, vec_id LIMIT 50) ORDER BY raw DESC, id LIMIT 10")
+def rerank_minmax(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings")
+    scored = e.select(F.col("vec_id").alias("id"), vector.cosine_to(F.col("embedding"), _query_vector(spark, sf_dir)).alias("score")).withColumn("raw", F.col("score") * 2 - 1)
+    return hybrid.rerank(scored, "raw", 10).select("id", F.round("raw", 6).alias("raw"), F.round("rerank_score", 6).alias("rerank_score"))
+
+
+# ---- lexical and hybrid search -----------------------------------------------------------------------------
+
+_POSTINGS = r"""(SELECT term, id, field, count(*)::INTEGER AS tf FROM (
+SELECT doc_id AS id, 'A' AS field, unnest(regexp_extract_all(lower(coalesce(title, '')), '[\p{L}\p{N}]+')) AS term FROM documents
+UNION ALL SELECT doc_id, 'B', unnest(regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+')) FROM documents
+UNION ALL SELECT doc_id, 'C', unnest(regexp_extract_all(lower(coalesce(category, '')), '[\p{L}\p{N}]+')) FROM documents
+UNION ALL SELECT doc_id, 'D', unnest(regexp_extract_all(lower(coalesce(container, '')), '[\p{L}\p{N}]+')) FROM documents) GROUP BY ALL)"""
+_SCORED = f"""(SELECT id, sum(CASE field WHEN 'A' THEN 1.0 WHEN 'B' THEN 0.4 WHEN 'C' THEN 0.2 ELSE 0.1 END::DOUBLE * tf / (tf + 1)) AS score, count(DISTINCT term) AS matched
+FROM {_POSTINGS} WHERE term IN ('cost', 'of', 'timber') GROUP BY id)"""
+
+
+def _index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.postings(table(spark, sf_dir, "documents"), "doc_id", {"title": "A", "text": "B", "category": "C", "container": "D"})
+
+
+@query(f"SELECT term, id, field, tf FROM {_POSTINGS}")
+def postings_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _index(spark, sf_dir)
+
+
+@query(f"SELECT id, round(score, 6) AS score FROM {_SCORED} WHERE matched = 3 ORDER BY score DESC, id LIMIT 20")
+def lexical_and_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(lexical.search(_index(spark, sf_dir), QUESTION, "all", None))
+
+
+@query(f"SELECT id, round(score, 6) AS score FROM {_SCORED} ORDER BY round(score, 6) DESC, id LIMIT 20")
+def lexical_or_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(lexical.search(_index(spark, sf_dir), QUESTION, "any", None))
+
+
+_SQL["lexical_and_topk"] = _SQL["lexical_and_topk"].replace("ORDER BY score", "ORDER BY round(score, 6)")
+
+
+def _rounded(hits: DataFrame) -> DataFrame:
+    return hits.select("id", F.round("score", 6).alias("score")).orderBy(F.desc("score"), "id").limit(20)
+
+
+@query(
+    f"""WITH p AS (SELECT term, id, sum(tf) AS tf FROM {_POSTINGS} WHERE term IN ('cost', 'timber') GROUP BY 1, 2), l AS (SELECT id, sum(tf) AS n_terms FROM {_POSTINGS} GROUP BY 1), s AS (SELECT count(*) AS n, avg(n_terms) AS mean FROM l), d AS (SELECT term, count(*) AS df FROM p GROUP BY 1)
+SELECT id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n_terms / mean))), 4) AS score FROM p JOIN d USING (term) JOIN l USING (id), s GROUP BY id"""
+)
+def lexical_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = _index(spark, sf_dir)
+    lengths = index.groupBy("id").agg(F.sum("tf").alias("n_terms"))
+    return lexical.bm25(index, lengths, "cost timber").select("id", F.round("score", 4).alias("score"))
+
+
+@query()
+def stemmed_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stems = " ".join(lexical.stem(w) for w in ["costs", "timber"])
+    return lexical.search(lexical.stem_postings(_index(spark, sf_dir)), stems)
+
+
+@query("SELECT doc_id FROM documents WHERE regexp_matches(text, '(?i)\\bcost[^\\p{L}\\p{N}]+of[^\\p{L}\\p{N}]+timber\\b') AND NOT regexp_matches(text, '(?i)\\bgranite\\b') OR regexp_matches(text, '(?i)\\bkilowatts\\b')")
+def web_search_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").where(lexical.web_query(F.col("text"), '"cost of timber" -granite or kilowatts')).select("doc_id")
+
+
+@query("SELECT doc_id AS id, 0.8::DOUBLE AS score FROM documents WHERE contains(lower(text), 'timber') OR contains(lower(text), 'wexoley') ORDER BY doc_id LIMIT 100")
+def ilike_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.like_fallback(table(spark, sf_dir, "documents"), "doc_id", "text", ["timber", "Wexoley"])
+
+
+@query("SELECT doc_id AS id, first_token FROM (SELECT doc_id, CASE WHEN contains(lower(text), 'kilowatts') THEN 0 WHEN contains(lower(text), 'granite') THEN 1 WHEN contains(lower(text), 'easel') THEN 2 END AS first_token FROM documents) WHERE first_token IS NOT NULL ORDER BY first_token, id LIMIT 25")
+def ilike_token_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.like_in_token_order(table(spark, sf_dir, "documents"), "doc_id", "text", ["kilowatts", "granite", "easel"], 25)
+
+
+_SEM = f"(SELECT vec_id AS id, {_COS} AS s FROM embeddings, {_Q} ORDER BY s DESC, id LIMIT 100)"
+
+
+def _semantic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector.top_k(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", _query_vector(spark, sf_dir), 100, -2.0)
+
+
+@query(
+    f"""WITH a AS (SELECT * FROM {_SEM}), b AS (SELECT id, score AS f FROM {_SCORED} WHERE matched = 3 ORDER BY round(score, 6) DESC, id LIMIT 100)
+SELECT id, round(score, 6) AS score FROM (SELECT coalesce(a.id, b.id) AS id, 0.7 * coalesce(s, 0) + 0.3 * coalesce(f / (SELECT max(f) FROM b), 0) AS score FROM a FULL JOIN b ON a.id = b.id ORDER BY score DESC, 1 LIMIT 20) WHERE score >= 0.1"""
+)
+def hybrid_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lex = lexical.search(_index(spark, sf_dir), QUESTION, "all", None).orderBy(F.desc(F.round("score", 6)), "id").limit(100)
+    return hybrid.fuse(_semantic(spark, sf_dir), lex, 20, 0.1).select("id", F.round("score", 6).alias("score"))
+
+
+@query(
+    f"""WITH a AS (SELECT * FROM {_SEM}), b AS (SELECT doc_id AS id, 0.8 AS f FROM documents WHERE contains(lower(text), 'kilowatts') ORDER BY id LIMIT 100)
+SELECT id, round(score, 6) AS score FROM (SELECT coalesce(a.id, b.id) AS id, 0.1 * coalesce(s, 0) + 0.9 * coalesce(f / 0.8, 0) AS score FROM a FULL JOIN b ON a.id = b.id ORDER BY round(score, 9) DESC, 1 LIMIT 20)"""
+)
+def hybrid_like_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    like = lexical.like_fallback(table(spark, sf_dir, "documents"), "doc_id", "text", ["kilowatts"])
+    return hybrid.fuse_like(_semantic(spark, sf_dir), like, 20).select("id", F.round("score", 6).alias("score"))
+
+
+_KS = "(CASE WHEN contains(lower(coalesce({c}, '')), 'timber') THEN 1.0 WHEN contains(lower(coalesce({c}, '')), 'timbe') THEN 0.3 ELSE 0 END + CASE WHEN contains(lower(coalesce({c}, '')), 'warehouses') THEN 1.0 WHEN contains(lower(coalesce({c}, '')), 'wareh') THEN 0.3 ELSE 0 END) / 2"
+
+
+@query(f"SELECT doc_id, round(({_KS.format(c='text')})::DOUBLE, 6) AS score FROM documents")
+def keyword_match_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.round(lexical.keyword_score(F.col("text"), ["Timber", "warehouses"]), 6).alias("score"))
+
+
+@query(f"SELECT doc_id, round(((0.35 * {_KS.format(c='text')} + 0.2 * {_KS.format(c='title')} + CASE WHEN trim(coalesce(container, '')) <> '' THEN 0.05 * {_KS.format(c='container')} ELSE 0 END) / (0.55 + CASE WHEN trim(coalesce(container, '')) <> '' THEN 0.05 ELSE 0 END))::DOUBLE, 6) AS score FROM documents")
+def keyword_match_multifield(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cols = {"chunk_content": F.col("text"), "record_title": F.col("title"), "container": F.col("container")}
+    return table(spark, sf_dir, "documents").select("doc_id", F.round(lexical.keyword_score_fields(cols, ["Timber", "warehouses"]), 6).alias("score"))
+
+
+# ---- filters, order, paging --------------------------------------------------------------------------------
+
+
+@query("SELECT id FROM record_chunks WHERE date_created::DATE >= DATE '2022-01-01' AND date_created <= TIMESTAMP '2023-06-30 12:00:00'")
+def date_range_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filters.date_filter(table(spark, sf_dir, "record_chunks"), "date_created", datetime(2022, 1, 1), datetime(2023, 6, 30, 12)).select("id")
+
+
+@query("SELECT id FROM record_chunks")
+def date_filter_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filters.date_filter(table(spark, sf_dir, "record_chunks"), "date_created", datetime(1950, 1, 1), datetime(1950, 2, 1), fallback=True).select("id")
+
+
+@query(
+    """SELECT id FROM record_chunks WHERE lower(coalesce(record_type, '')) <> 'container' AND (lower(coalesce(file_extension, '')) = '.docx' OR lower(coalesce(file_type, '')) = 'docx' OR contains(lower(coalesce(document_category, '')), 'docx')
+OR lower(coalesce(record_title, '')) LIKE '%.docx' OR contains(lower(coalesce(chunk_content, '')), 'docx') OR contains(lower(coalesce(record_title, '')), 'word') OR contains(lower(coalesce(chunk_content, '')), 'microsoft word') OR contains(lower(coalesce(document_category, '')), 'word'))"""
+)
+def filetype_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filters.file_type_filter(table(spark, sf_dir, "record_chunks"), ["docx"]).select("id")
+
+
+@query("SELECT id FROM record_chunks WHERE lower(record_type) = 'document' AND lower(file_type) = 'pdf'")
+def metadata_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filters.metadata_filter(table(spark, sf_dir, "record_chunks"), {"record_type": "DOCUMENT", "file_type": "PDF"}).select("id")
+
+
+@query("SELECT o_orderkey, o_orderdate FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 25")
+def date_sort_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scans.page(table(spark, sf_dir, "orders", "o_orderkey", "o_orderdate"), [F.desc("o_orderdate"), "o_orderkey"], 0, 25)
+
+
+@query("SELECT o_orderkey, o_orderdate FROM orders WHERE o_orderdate >= DATE '1998-01-01' ORDER BY o_orderdate, o_orderkey LIMIT 100 OFFSET 300")
+def page_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scans.page(table(spark, sf_dir, "orders", "o_orderkey", "o_orderdate").where("o_orderdate >= '1998-01-01'"), ["o_orderdate", "o_orderkey"], 3, 100)
+
+
+@query("SELECT id, 1.0::DOUBLE AS score FROM record_chunks WHERE contains(lower(record_title), 'valve') ORDER BY id LIMIT 20")
+def advanced_filter_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scans.advanced_filter(table(spark, sf_dir, "record_chunks"), title="Valve", content="not used").select("id", "score")
+
+
+@query("SELECT id FROM record_chunks WHERE contains(lower(chunk_content), 'cost of timber') OR contains(lower(chunk_content), 'kilowatts')")
+def search_dsl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "record_chunks").where(scans.search_predicate(phrases=["cost of timber", "kilowatts", "of"], extensions=["pdf"])).select("id")
+
+
+@query("SELECT 'content:lease and (createdOn:01/30/2024 or createdOn:01/31/2024 or createdOn:02/01/2024) and (extension:pdf or extension:docx)' AS s")
+def search_string_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = scans.search_string("lease", datetime(2024, 1, 30), datetime(2024, 2, 1), ["pdf", "docx"])
+    return spark.range(1).select(F.lit(s).alias("s"))
+
+
+_DATE = "coalesce(" + ", ".join(f"try_strptime(trim({{c}}), '{f}')" for f in ["%m/%d/%Y %H:%M:%S", "%Y-%m-%d %H:%M:%S", "%d/%m/%Y %H:%M:%S", "%m/%d/%Y", "%Y-%m-%d", "%d/%m/%Y", "%d-%m-%Y", "%Y/%m/%d", "%d %B %Y", "%B %d, %Y", "%b %d, %Y", "%d %b %Y"]) + ")"
+
+
+@query(f"SELECT record_uri, {_DATE.format(c='date_created')} AS created, {_DATE.format(c='date_modified')} AS modified FROM records")
+def parse_record_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scans.scan_records(table(spark, sf_dir, "records")).select("record_uri", "created", "modified")
+
+
+@query(f"SELECT record_uri, title FROM records WHERE {_DATE.format(c='date_modified')}::DATE >= DATE '2025-01-01'")
+def incremental_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scans.changed_since(table(spark, sf_dir, "records"), datetime(2025, 1, 1)).select("record_uri", "title")
+
+
+@query("SELECT id, chunk_sequence FROM record_chunks WHERE record_uri = (SELECT min(record_uri) FROM record_chunks WHERE chunk_sequence = 4) AND chunk_sequence BETWEEN 1 AND 3")
+def sequence_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "record_chunks", "id", "record_uri", "chunk_sequence")
+    uri = c.where("chunk_sequence = 4").agg(F.min("record_uri")).first()[0]
+    return scans.sequence_range(c, uri, 1, 3).select("id", "chunk_sequence")
+
+
+# ---- text projections --------------------------------------------------------------------------------------
+
+
+@query(
+    r"""SELECT doc_id, coalesce(list_sum([CASE WHEN length(w) > 10 THEN ceil(length(w) / 4.0)::INTEGER ELSE 1 END + length(regexp_replace(w, '[\p{L}\p{N}\p{M}_]', '', 'g'))::INTEGER FOR w IN string_split_regex(trim(regexp_replace(text, '\s+', ' ', 'g')), ' ') IF w <> '']), 0)::INTEGER AS n
+FROM documents"""
+)
+def token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", text.token_estimate("text").alias("n"))
+
+
+@query(r"SELECT doc_id, len([w FOR w IN string_split(trim(regexp_replace(text, '\s+', ' ', 'g')), ' ') IF w <> ''])::INTEGER AS words, regexp_matches(text, '(?i)\[(heading\]|table|row|sheet|slide|comments\]|footnotes\])') AS structured FROM documents")
+def word_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", text.word_count("text").alias("words"), text.has_structure("text").alias("structured"))
+
+
+_COMMON = ", ".join(f"'{w}'" for w in text.COMMON_WORDS)
+
+
+@query(
+    rf"""SELECT doc_id, greatest(0, coalesce(list_sum([1 + CASE WHEN regexp_full_match(w, '\p{{Lu}}\p{{Ll}}+') THEN 2 ELSE 0 END + CASE WHEN lower(w) IN ({_COMMON}) THEN 3 ELSE 0 END
+- CASE WHEN length(regexp_replace(w, '[\p{{L}}\p{{Nd}}.\-]', '', 'g')) > length(w) // 2 THEN 5 ELSE 0 END FOR w IN string_split(text, ' ') IF w <> '']), 0))::INTEGER AS q FROM documents"""
+)
+def text_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", text.quality("text").alias("q"))
+
+
+@query(
+    r"""SELECT doc_id, length(text) >= 100 AND len(ws) >= 10 AND len([w FOR w IN ws[1:50] IF length(w) > 2 AND (regexp_matches(w, '[0-9][a-zA-Z]|[a-zA-Z][0-9]|rn') OR length(regexp_replace(w, '[^\p{Nd}]', '', 'g')) > length(w) // 3)]) > 0.4 * len(ws[1:50]) AS bad
+FROM (SELECT doc_id, text, [w FOR w IN string_split(text, ' ') IF w <> ''] AS ws FROM documents)"""
+)
+def ocr_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", text.severely_corrupted("text").alias("bad"))
+
+
+@query("SELECT id, CASE WHEN length(chunk_content) > 100 THEN left(chunk_content, 100) || '...' ELSE chunk_content END AS p FROM record_chunks")
+def preview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "record_chunks").select("id", text.preview("chunk_content").alias("p"))
+
+
+@query(r"SELECT record_uri, coalesce(nullif(regexp_replace(regexp_replace(lower(title), '[^\p{L}\p{Nd}]+', '_', 'g'), '^_+|_+$', '', 'g'), ''), 'unknown') AS k FROM records")
+def safe_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "records").select("record_uri", text.safe_key("title").alias("k"))
+
+
+_CASES = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in text.CATEGORIES.items())
+
+
+@query(rf"SELECT record_uri, e AS ext, CASE e {_CASES} ELSE 'Other Document' END AS category FROM (SELECT record_uri, regexp_extract(lower(title), '(\.[^./\\]+)$', 1) AS e FROM records)")
+def category_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = text.extension("title")
+    return table(spark, sf_dir, "records").select("record_uri", e.alias("ext"), text.category(e).alias("category"))
+
+
+@query("SELECT event_id, concat_ws(', ', strftime(ts, '%d/%m/%Y'), strftime(ts, '%Y-%m-%d'), strftime(ts, '%B %d, %Y'), strftime(ts, '%b %d, %Y'), strftime(ts, '%d %B %Y')) AS a FROM events")
+def alt_date_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select("event_id", dates.alternative_dates("ts").alias("a"))
+
+
+_TOD = """array_to_string(list_filter([CASE WHEN h = 12 AND m <= 15 THEN 'noon' END, CASE WHEN h = 12 AND m <= 15 THEN 'midday' END, CASE WHEN h = 0 AND m <= 15 THEN 'midnight' END, CASE WHEN h = 23 AND m >= 45 THEN 'near midnight' END,
+CASE WHEN h BETWEEN 5 AND 11 THEN 'morning' END, CASE WHEN h BETWEEN 5 AND 7 THEN 'early morning' END, CASE WHEN h BETWEEN 10 AND 11 THEN 'late morning' END, CASE WHEN h BETWEEN 12 AND 16 THEN 'afternoon' END,
+CASE WHEN h BETWEEN 12 AND 13 THEN 'early afternoon' END, CASE WHEN h BETWEEN 15 AND 16 THEN 'late afternoon' END, CASE WHEN h BETWEEN 17 AND 20 THEN 'evening' END, CASE WHEN h BETWEEN 17 AND 18 THEN 'early evening' END,
+CASE WHEN h >= 21 OR h < 5 THEN 'night' END, CASE WHEN h >= 21 THEN 'late night' END, CASE WHEN h < 5 THEN 'early night' END], x -> x IS NOT NULL), ', ')"""
+_HM = "(SELECT *, hour(ts) AS h, minute(ts) AS m FROM events)"
+
+
+@query(f"SELECT event_id, {_TOD} AS t FROM {_HM}")
+def time_of_day_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select("event_id", dates.time_of_day("ts").alias("t"))
+
+
+@query(
+    f"""SELECT event_id, 'Time of Day: ' || {_TOD} || chr(10) || 'Month: ' || strftime(ts, '%B %Y') || chr(10) || 'Quarter: Q' || quarter(ts) || ' ' || year(ts) || chr(10) || 'Day of Week: ' || dayname(ts) || chr(10) || 'Year: ' || year(ts)
+|| chr(10) || 'Week of Year: Week ' || ((dayofyear(ts) - 1 + dayofweek(date_trunc('year', ts))) // 7 + 1) || ' of ' || year(ts) AS c FROM {_HM}"""
+)
+def temporal_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select("event_id", dates.temporal_context("ts").alias("c"))
+
+
+@query("SELECT doc_id, (i)::INTEGER AS seq, (i * 900)::INTEGER AS start_pos, substr(text, (i * 900 + 1)::BIGINT, 1000) AS content FROM (SELECT doc_id, text, unnest(range(0, greatest(1, ceil((length(text) - 100) / 900.0)::BIGINT))) AS i FROM documents)")
+def fixed_stride_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.explode(chunk.fixed_stride(F.col("text"), 1000, 100)).alias("c"))
+    return rows.select("doc_id", "c.seq", "c.start_pos", "c.content")
+
+
+@query()
+def chunk_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunk.chunk_documents(table(spark, sf_dir, "documents"), "doc_id", "text", 1500, 150)
+
+
+@query()
+def clean_text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "record_chunks").select("id", text.clean_lines("chunk_content").alias("t"))
+
+
+@query()
+def ocr_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "record_chunks").select("id", text.clean_ocr("chunk_content").alias("t"))
+
+
+@query()
+def universal_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "record_chunks").select("id", text.universal_clean("chunk_content").alias("t"))
+
+
+@query(
+    r"""SELECT doc_id, coalesce(list_sum([length(w) FOR w IN string_split(text, ' ') IF CASE WHEN length(w) = 0 THEN false WHEN length(w) = 1 THEN regexp_full_match(w, '[\p{L}\p{Nd}]') WHEN d(w) = length(w) THEN length(w) <= 10 WHEN d(w) > 0 THEN NOT (length(w) > 15 AND d(w) > l(w) * 3) ELSE l(w) > 0 AND length(w) <= 50 END]), 0)::INTEGER AS s FROM documents""".replace(
+        "d(w)", r"length(regexp_replace(w, '[^\p{Nd}]', '', 'g'))"
+    ).replace("l(w)", r"length(regexp_replace(w, '[^\p{L}]', '', 'g'))")
+)
+def meaningful_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", text.meaningful_score("text").alias("s"))
+
+
+@query(
+    """SELECT id, concat_ws(chr(10), 'Title: ' || nullif(record_title, ''), 'Created: ' || strftime(date_created, '%m/%d/%Y %H:%M:%S'), 'Type: ' || nullif(record_type, ''), 'Container: ' || nullif(container, ''), 'Assignee: ' || nullif(assignee, '')) AS p FROM record_chunks"""
+)
+def content_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "record_chunks")
+    return c.select("id", text.content_preview(F.col("record_title"), F.date_format("date_created", "MM/dd/yyyy HH:mm:ss"), F.col("record_type"), F.col("container"), F.col("assignee")).alias("p"))
+
+
+@query(
+    """SELECT id, concat_ws(chr(10), '[Record: ' || record_title || ' | URI: ' || record_uri || ']', '[Created: ' || strftime(date_created, '%m/%d/%Y %H:%M:%S') || ']') AS h FROM record_chunks"""
+)
+def chunk_header(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "record_chunks")
+    return c.select("id", text.chunk_header(F.col("record_title"), F.col("record_uri"), F.date_format("date_created", "MM/dd/yyyy HH:mm:ss"), F.lit(None).cast("string")).alias("h"))
+
+
+@query("SELECT doc_id, regexp_replace(title, '(?i)(valve|lift)', '<span>\\1</span>', 'g') AS t FROM documents")
+def highlight(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", text.highlight("title", ["valve", "lift"]).alias("t"))
+
+
+# ---- queries as rows ---------------------------------------------------------------------------------------
+
+_STOP = ", ".join(f"'{w}'" for w in intent.QUERY_STOP_WORDS)
+_FUNC = ", ".join(f"'{w}'" for w in sorted(set(intent.FUNCTION_WORDS)))
+
+
+@query(f"SELECT item_id, array_to_string([w FOR w IN string_split(lower(text), ' ') IF w <> '' AND w NOT IN ({_STOP})], ' ') AS q FROM eval_items")
+def query_stopword_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "eval_items").select("item_id", intent.strip_query_words_col(F.col("text")).alias("q"))
+
+
+@query(
+    f"""SELECT item_id, CASE WHEN length(o) > 2 THEN o ELSE text END AS q FROM (SELECT item_id, text, array_to_string([w FOR w IN string_split(trim(text), ' ') IF w <> '' AND (length(regexp_replace(w, '[^a-zA-Z]', '', 'g')) < 0.5 * length(w) OR lower(regexp_replace(w, '[^a-zA-Z]', '', 'g')) NOT IN ({_FUNC}))], ' ') AS o FROM eval_items)"""
+)
+def function_word_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "eval_items").select("item_id", intent.strip_function_words_col(F.col("text")).alias("q"))
+
+
+@query(r"""SELECT item_id, replace(replace(trim(regexp_replace(text, '\s+', ' ', 'g')), ' & ', ' and '), ' + ', ' and ') AS q, regexp_matches(lower(text), 'earliest|oldest|first created') AS earliest, regexp_matches(lower(text), 'latest|newest|most recent|recently created') AS latest FROM eval_items""")
+def query_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e, la = intent.sort_intent_col(F.col("text"))
+    return table(spark, sf_dir, "eval_items").select("item_id", intent.clean_query_col(F.col("text")).alias("q"), e.alias("earliest"), la.alias("latest"))
+
+
+@query("SELECT event_id, user_id, CASE WHEN user_id IS NOT NULL THEN '[\"' || event_type || '\",\"u' || user_id || '\"]' END AS raw, array_to_string([event_type, 'u' || user_id], '/') AS k FROM events")
+def keyword_json_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = F.concat(F.lit('["'), "event_type", F.lit('","u'), F.col("user_id").cast("string"), F.lit('"]'))
+    return table(spark, sf_dir, "events").select("event_id", "user_id", raw.alias("raw"), F.array_join(intent.keyword_reply_col(raw), "/").alias("k"))
+
+
+@query("SELECT o_orderkey, least(k * (greatest(CASE WHEN s THEN 20 ELSE 5 END, CASE WHEN d THEN 10 ELSE 5 END) + CASE WHEN s THEN 5 ELSE 0 END), 1000)::INTEGER AS n FROM (SELECT o_orderkey, (o_orderkey % 60)::INTEGER AS k, o_orderstatus = 'F' AS s, o_orderkey % 2 = 0 AS d FROM orders)")
+def dynamic_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders")
+    s = F.col("o_orderstatus") == "F"
+    return o.select("o_orderkey", intent.dynamic_limit_col((F.col("o_orderkey") % 60).cast("int"), s, F.col("o_orderkey") % 2 == 0, s.cast("int"), F.lit(0)).alias("n"))
+
+
+@query()
+def date_intent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranges of the dates that titles of records name, each distinct title once."""
+    now = datetime(2026, 1, 28)
+
+    @F.pandas_udf("start timestamp, end timestamp")
+    def ranges(q):  # type: ignore[no-untyped-def]
+        import pandas as pd
+
+        got = [intent.date_range(x or "", now) for x in q]
+        cap = lambda d: pd.Timestamp(min(d, datetime(2262, 1, 1))) if d else None
+        return pd.DataFrame({"start": [cap(a) for a, _ in got], "end": [cap(b) for _, b in got]})
+
+    t = table(spark, sf_dir, "records", "title").distinct().withColumn("r", ranges("title"))
+    return t.select("title", "r.start", "r.end").where("start is not null")
+
+
+@query()
+def smart_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
+    @F.pandas_udf("array<string>")
+    def words(q):  # type: ignore[no-untyped-def]
+        return q.map(lambda x: intent.smart_keywords(x or ""))
+
+    return table(spark, sf_dir, "eval_items").select("item_id", words("text").alias("keywords"))
+
+
+# ---- store -------------------------------------------------------------------------------------------------
+
+_SRC = f"(SELECT record_uri, max({_DATE.format(c='date_modified')}) AS src FROM records GROUP BY 1)"
+
+
+@query(f"SELECT record_uri, CASE WHEN there IS NULL THEN 'new' WHEN src IS NULL OR old IS NULL OR src > old THEN 'updated' ELSE 'unchanged' END AS status FROM {_SRC} LEFT JOIN (SELECT record_uri, max(source_date_modified) AS old, true AS there FROM record_chunks GROUP BY 1) USING (record_uri)")
+def change_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store.detect_changes(table(spark, sf_dir, "records"), table(spark, sf_dir, "record_chunks", "record_uri", "source_date_modified"))
+
+
+@query(
+    """WITH o AS (SELECT id, embedding_id, token_count, created_at FROM record_chunks WHERE indexed_at < TIMESTAMP '2023-01-01'), n AS (SELECT id, embedding_id, token_count, created_at, row_number() OVER (PARTITION BY embedding_id ORDER BY created_at DESC, id DESC) AS r FROM record_chunks WHERE indexed_at >= TIMESTAMP '2023-01-01')
+SELECT id, embedding_id, token_count, created_at FROM o WHERE embedding_id NOT IN (SELECT embedding_id FROM n) UNION ALL SELECT coalesce(o.id, n.id), n.embedding_id, n.token_count, coalesce(o.created_at, n.created_at) FROM n LEFT JOIN o USING (embedding_id) WHERE r = 1"""
+)
+def upsert_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "record_chunks", "id", "embedding_id", "token_count", "created_at", "indexed_at")
+    old, new = c.where("indexed_at < '2023-01-01'").drop("indexed_at"), c.where("indexed_at >= '2023-01-01'").drop("indexed_at")
+    return store.upsert(old, new)
+
+
+@query("SELECT id FROM record_chunks WHERE record_uri NOT IN (SELECT record_uri FROM record_acl WHERE acl_group = 7 AND record_uri IS NOT NULL)")
+def delete_by_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store.delete_records(table(spark, sf_dir, "record_chunks", "id", "record_uri"), table(spark, sf_dir, "record_acl").where("acl_group = 7 and record_uri is not null")).select("id")
+
+
+@query("SELECT record_uri, coalesce(n, 0) AS deleted, CASE WHEN coalesce(n, 0) > 0 THEN 'deleted' ELSE 'not_found' END AS status FROM (SELECT DISTINCT record_uri FROM records) LEFT JOIN (SELECT record_uri, count(*) AS n FROM record_chunks WHERE page_number > 0 GROUP BY 1) USING (record_uri)")
+def delete_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store.delete_report(table(spark, sf_dir, "record_chunks", "record_uri", "page_number").where("page_number > 0"), table(spark, sf_dir, "records"))
+
+
+@query("SELECT status, count(*) AS records, sum(n)::BIGINT AS chunks FROM (SELECT record_uri, coalesce(n, 0) AS n, CASE WHEN coalesce(n, 0) > 0 THEN 'deleted' ELSE 'not_found' END AS status FROM (SELECT DISTINCT record_uri FROM records) LEFT JOIN (SELECT record_uri, count(*) AS n FROM record_chunks WHERE page_number > 0 GROUP BY 1) USING (record_uri)) GROUP BY 1")
+def delete_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store.delete_totals(delete_report(spark, sf_dir))
+
+
+@query(f"SELECT id, coalesce(source_date_modified, src) AS source_date_modified FROM record_chunks LEFT JOIN {_SRC} USING (record_uri)")
+def backfill_null_ts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store.backfill_modified(table(spark, sf_dir, "record_chunks", "id", "record_uri", "source_date_modified"), table(spark, sf_dir, "records")).select("id", "source_date_modified")
+
+
+@query("SELECT id, created_at < TIMESTAMP '2022-01-20 00:00:00' AS cold FROM record_chunks")
+def archive_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hot, cold = store.split_archive(table(spark, sf_dir, "record_chunks", "id", "created_at"), datetime(2024, 1, 20))
+    return hot.select("id", F.lit(False).alias("cold")).union(cold.select("id", F.lit(True).alias("cold")))
+
+
+@query("SELECT record_uri, max(source_date_modified) AS latest, count(*) AS chunks FROM record_chunks GROUP BY 1")
+def latest_per_record(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "record_chunks").groupBy("record_uri").agg(F.max("source_date_modified").alias("latest"), F.count("*").alias("chunks"))
+
+
+# ---- access ------------------------------------------------------------------------------------------------
+
+_USER = "(SELECT min(user_id) FROM user_groups)"
+
+
+@query(
+    f"""SELECT DISTINCT record_uri FROM record_acl a WHERE permission_type = 'ViewDocument' AND record_uri IS NOT NULL AND (acl_group IS NULL OR acl_group IN (SELECT acl_group FROM acl_group_members WHERE location_id = {_USER} OR location_id IN (SELECT group_id FROM user_groups WHERE user_id = {_USER})))"""
+)
+def acl_visible_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = table(spark, sf_dir, "user_groups")
+    user = groups.agg(F.min("user_id")).first()[0]
+    return acl.visible_records(table(spark, sf_dir, "record_acl"), table(spark, sf_dir, "acl_group_members"), groups, user)
+
+
+@query(
+    """WITH reach AS (SELECT DISTINCT user_id, acl_group FROM (SELECT user_id, group_id AS location_id FROM user_groups UNION SELECT user_id, user_id FROM user_groups) JOIN acl_group_members USING (location_id))
+SELECT user_id, count(DISTINCT record_uri) AS records FROM reach JOIN record_acl USING (acl_group) WHERE permission_type = 'ViewDocument' GROUP BY 1"""
+)
+def acl_records_per_user(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return acl.visible_to_each(table(spark, sf_dir, "record_acl"), table(spark, sf_dir, "acl_group_members"), table(spark, sf_dir, "user_groups"))
+
+
+@query()
+def acl_permission_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return acl.parse_permissions(table(spark, sf_dir, "record_acl"), "id", "raw_acl_string")
+
+
+@query()
+def acl_permission_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return acl.permission_frequencies(table(spark, sf_dir, "record_acl"))
+
+
+@query("SELECT count(*) AS acl_rows, count(DISTINCT record_uri) AS records, count(DISTINCT CASE WHEN acl_group IS NOT NULL THEN record_uri END) AS restricted_records, count(DISTINCT acl_group) AS groups, count(*) FILTER (WHERE raw_acl_string IS NULL) AS null_strings, count(*) FILTER (WHERE trim(raw_acl_string) = '') AS blank_strings FROM record_acl")
+def acl_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return acl.acl_statistics(table(spark, sf_dir, "record_acl"))
+
+
+@query("SELECT id, acl IS NULL OR trim(acl) = '' OR contains(acl, '<Unrestricted>') AS open FROM record_chunks")
+def acl_unrestricted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "record_chunks").select("id", acl.is_unrestricted(F.col("acl")).alias("open"))
+
+
+# ---- context -----------------------------------------------------------------------------------------------
+
+_ANCHORS = "(SELECT DISTINCT record_uri, chunk_sequence AS a FROM record_chunks WHERE contains(lower(chunk_content), 'kilowatts'))"
+_NEAR = f"(SELECT c.*, is_anchor FROM record_chunks c JOIN (SELECT record_uri, s, bool_or(s = a) AS is_anchor FROM (SELECT record_uri, a, unnest(range(a - 2, a + 3)) AS s FROM {_ANCHORS}) GROUP BY 1, 2) w ON c.record_uri = w.record_uri AND c.chunk_sequence = w.s)"
+
+
+def _anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "record_chunks").where("contains(lower(chunk_content), 'kilowatts')").select("record_uri", "chunk_sequence")
+
+
+@query(f"SELECT id, chunk_sequence, is_anchor FROM {_NEAR}")
+def qa_context_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context.neighbours(_anchors(spark, sf_dir), table(spark, sf_dir, "record_chunks"), "record_uri", "chunk_sequence").select("id", "chunk_sequence", "is_anchor")
+
+
+@query("SELECT id, running_chars FROM (SELECT id, sum(length(chunk_content)) OVER (PARTITION BY record_uri ORDER BY chunk_sequence, id ROWS UNBOUNDED PRECEDING)::BIGINT AS running_chars FROM record_chunks) WHERE running_chars <= 5000")
+def qa_budget_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context.budget_prefix(table(spark, sf_dir, "record_chunks"), ["record_uri"], ["chunk_sequence", "id"], "chunk_content", 5000).select("id", "running_chars")
+
+
+@query(
+    f"""WITH t AS (SELECT id, record_uri, chunk_sequence, '[Sequence ' || chunk_sequence || ', Page ' || page_number || ', Index ' || chunk_index || ']' || CASE WHEN is_anchor THEN ' RELEVANT' ELSE '' END || chr(10) || chunk_content AS t, sum(length(chunk_content)) OVER (PARTITION BY record_uri ORDER BY chunk_sequence, id ROWS UNBOUNDED PRECEDING) AS r FROM {_NEAR})
+SELECT record_uri, string_agg(t, chr(10) || chr(10) ORDER BY chunk_sequence, id) AS context FROM t WHERE r <= 120272 GROUP BY 1"""
+)
+def qa_prompt_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context.qa_context(_anchors(spark, sf_dir), table(spark, sf_dir, "record_chunks"))
+
+
+@query(
+    """WITH a AS (SELECT doc_id AS id, row_number() OVER (ORDER BY doc_id) AS rank FROM documents WHERE contains(lower(text), 'easel') ORDER BY doc_id LIMIT 3), b AS (SELECT doc_id AS id, row_number() OVER (ORDER BY doc_id) AS rank FROM documents WHERE contains(lower(text), 'the') ORDER BY doc_id LIMIT 5)
+SELECT id, source, rank, row_number() OVER (ORDER BY source, rank, id) AS place FROM (SELECT id, rank, 1 AS source FROM a UNION ALL SELECT id, rank, 2 FROM b WHERE id NOT IN (SELECT id FROM a)) ORDER BY source, rank, id LIMIT 5"""
+)
+def anchor_priority_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents")
+
+    def first(word: str, n: int) -> DataFrame:
+        hits = d.where(F.contains(F.lower("text"), F.lit(word))).select(F.col("doc_id").alias("id")).orderBy("id").limit(n)
+        from pyspark.sql import Window
+
+        return hits.withColumn("rank", F.row_number().over(Window.partitionBy().orderBy("id")).cast("long"))
+
+    out = context.priority_union(first("easel", 3), first("the", 5), "id", "rank", 5)
+    return out.select("id", "source", "rank", F.col("place").cast("long").alias("place"))
+
+
+@query("SELECT 'Records:' || chr(10) || string_agg('[' || n || '] ' || coalesce(title, '') || chr(10) || left(text, 24326), chr(10) || chr(10) ORDER BY n) || chr(10) || chr(10) || 'Question: What does timber cost?' AS prompt FROM (SELECT *, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS n FROM documents ORDER BY n_chars DESC, doc_id LIMIT 5)")
+def synthesis_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "title", "text", F.col("n_chars").alias("score"))
+    return context.synthesis_prompt(d, "What does timber cost?", "title", "text")
+
+
+@query("SELECT record_uri, left(string_agg(chunk_content, chr(10) || chr(10) ORDER BY n), 50000) AS context FROM (SELECT record_uri, chunk_content, row_number() OVER (PARTITION BY record_uri ORDER BY chunk_sequence, id) AS n FROM record_chunks) WHERE n <= 50 GROUP BY 1")
+def record_summary_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context.record_summary_context(table(spark, sf_dir, "record_chunks"), "record_uri", "chunk_sequence", "chunk_content")
+
+
+# ---- reports -----------------------------------------------------------------------------------------------
+
+_T = "TIMESTAMP '2024-01-20 12:00:00'"
+
+
+@query(
+    f"""SELECT total, last_24h, last_1h, last_7d, round(last_24h / 24.0::DOUBLE, 4) AS per_hour, round((86300000.0::DOUBLE - total) / nullif(last_24h, 0), 4) AS days_to_target, round((86300000.0::DOUBLE - total) * 7 / nullif(last_7d, 0), 4) AS days_to_target_week FROM (
+SELECT count(*) AS total, count(*) FILTER (WHERE ts > {_T} - INTERVAL 24 HOURS AND ts <= {_T}) AS last_24h, count(*) FILTER (WHERE ts > {_T} - INTERVAL 1 HOUR AND ts <= {_T}) AS last_1h, count(*) FILTER (WHERE ts > {_T} - INTERVAL 168 HOURS AND ts <= {_T}) AS last_7d FROM events)"""
+)
+def monitor_growth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return monitor.growth(table(spark, sf_dir, "events"), "ts", AS_OF)
+
+
+@query("SELECT date_trunc('hour', ts) AS hour, count(*) AS n, (count(*) // 12)::BIGINT AS per_5min, CASE WHEN count(*) // 12 > 12 THEN 'High load' WHEN count(*) // 12 < 1 THEN 'Below target' ELSE 'On track' END AS status FROM events GROUP BY 1 ORDER BY 1 DESC LIMIT 24")
+def monitor_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return monitor.hourly(table(spark, sf_dir, "events"), "ts", 1, 12)
+
+
+@query("SELECT container, sum(length(chunk_content))::BIGINT AS size, round(100.0::DOUBLE * sum(length(chunk_content)) / sum(sum(length(chunk_content))) OVER (), 4) AS pct FROM record_chunks GROUP BY 1")
+def monitor_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return monitor.share(table(spark, sf_dir, "record_chunks"), "container", F.length("chunk_content"))
+
+
+@query("SELECT record_type, count(*) AS chunks, count(DISTINCT record_uri) AS records, round(count(*)::DOUBLE / nullif(count(DISTINCT record_uri), 0), 4) AS chunks_per_record FROM record_chunks GROUP BY 1")
+def chunk_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return monitor.chunk_statistics(table(spark, sf_dir, "record_chunks"))
+
+
+@query("SELECT unnest(['Total Chunks', 'Total Records', 'Largest Record', 'Without Vector']) AS metric, unnest([count(*)::VARCHAR, count(DISTINCT record_uri)::VARCHAR, max(total_chunks)::VARCHAR, count(*) FILTER (WHERE vector IS NULL)::VARCHAR]) AS value FROM record_chunks")
+def monitor_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return monitor.summary(table(spark, sf_dir, "record_chunks"))
+
+
+@query("SELECT n, CASE WHEN n < 100000 THEN 'Small' WHEN n < 1000000 THEN 'Medium' WHEN n < 10000000 THEN 'Large' WHEN n < 100000000 THEN 'Very Large' ELSE 'Massive' END AS scale FROM (SELECT o_orderkey * 5000 AS n FROM orders)")
+def scale_class(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = table(spark, sf_dir, "orders").select((F.col("o_orderkey") * 5000).alias("n"))
+    return n.select("n", monitor.scale_name(F.col("n")).alias("scale"))
+
+
+@query("SELECT l_returnflag, l_linestatus, count(*) AS n, sum(l_quantity) AS qty FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)")
+def rollup_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").rollup("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), F.sum("l_quantity").alias("qty"))
+
+
+@query("SELECT date_trunc('hour', ts) AS window_start, date_trunc('hour', ts) + INTERVAL 1 HOUR AS window_end, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+def tumbling_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return windows.tumbling(table(spark, sf_dir, "events")).withColumn("total", F.round("total", 4))
+
+
+@query("SELECT w AS window_start, w + INTERVAL 1 HOUR AS window_end, event_type, count(*) AS n FROM (SELECT event_type, unnest([time_bucket(INTERVAL 30 MINUTES, ts), time_bucket(INTERVAL 30 MINUTES, ts) - INTERVAL 30 MINUTES]) AS w FROM events) GROUP BY ALL")
+def sliding_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return windows.sliding(table(spark, sf_dir, "events"))
+
+
+@query(
+    """SELECT min(ts) AS session_start, max(ts) + INTERVAL 30 MINUTES AS session_end, user_id, count(*) AS n FROM (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM (
+SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 30 MINUTES THEN 0 ELSE 1 END AS fresh FROM events)) GROUP BY user_id, s"""
+)
+def session_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return windows.sessions(table(spark, sf_dir, "events"))
+
+
+@query("SELECT k AS property, count(*) AS rows FROM (SELECT unnest(json_keys(props)) AS k FROM events) GROUP BY 1")
+def discover_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scans.discover_properties(table(spark, sf_dir, "events"), "props")
+
+
+# ---- pipelines ---------------------------------------------------------------------------------------------
+
+
+@query()
+def search_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A whole search: a query about a month, both legs, filters, one hit per record, access of one user."""
+    chunks = table(spark, sf_dir, "record_chunks")
+    index = lexical.postings(chunks, "embedding_id", {"record_title": "A", "chunk_content": "B", "document_category": "C", "container": "D"})
+    groups = table(spark, sf_dir, "user_groups")
+    s = pipeline.Store(chunks, index, table(spark, sf_dir, "record_acl"), table(spark, sf_dir, "acl_group_members"), groups)
+    q = list(chunks.where("size(vector) = 64").orderBy("id").select("vector").first()[0])
+    hits = pipeline.search(s, "pdf about the cost of timber", lambda _: q, datetime(2026, 1, 28), 20, 0.1, user=groups.agg(F.min("user_id")).first()[0])
+    return hits.select("record_uri", "embedding_id", "score", "record_title", "date_created")
+
+
+@query()
+def sync_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts, chunks and vectors of all records that changed since they were stored."""
+    from recordloom.streaming.sync import sync_once
+
+    state, _ = sync_once(table(spark, sf_dir, "record_chunks"), table(spark, sf_dir, "records"), None, datetime(2026, 1, 28))
+    return state.select("embedding_id", "record_uri", "chunk_sequence", "token_count", "page_number", "chunk_content")
