@@ -345,9 +345,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, dim: int = 64,
     # many queries for one shard are cut into blocks, each of which meets all of the shard
     blocks = asked.groupBy("shard").agg(F.ceil(F.count("*") / F.lit(QUERY_BLOCK)).cast("int").alias("blocks"))
     blocks = bounded_broadcast(blocks, 100_000)
-    asked = asked.join(blocks, "shard").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    rows = rows.join(blocks, "shard").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    hits = rows.groupBy("shard", "block").cogroup(asked.groupBy("shard", "block")).applyInArrow(lambda a, b: _search(a, b, dim, k), schema)
+    left = rows.join(blocks, "shard").select("id", "v", "list", F.col("shard").alias("ls"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("lb"))
+    right = asked.join(blocks, "shard").select("id", "v", "lists", F.col("shard").alias("rs"), F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("rb"))
+    hits = left.groupBy("ls", "lb").cogroup(right.groupBy("rs", "rb")).applyInArrow(lambda a, b: _search(a, b, dim, k), schema)
     best = hits.where("query <> id").groupBy("query", "id").agg(F.max("sim").alias("sim"))
     order = Window.partitionBy("query").orderBy(F.desc("sim"), "id")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
