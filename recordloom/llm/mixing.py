@@ -81,7 +81,8 @@ def rates(counts: DataFrame, targets: DataFrame, total_tokens: int | None = None
 def mix(docs: DataFrame, targets: DataFrame, total_tokens: int | None = None, seed: int = 1, vocabulary: str = VOCABULARY) -> DataFrame:
     """``(recipe, source, doc_id, copy, n_tokens)``: the documents of each mix, one row per copy."""
     named = targets.select("source").where("source is not null").distinct()
-    counts = token_counts(docs.join(bounded_broadcast(named, MAX_TARGETS), "source", "left_semi"), vocabulary)
+    # staged, since range partitioning looks at its input twice
+    counts = stage(token_counts(docs.join(bounded_broadcast(named, MAX_TARGETS), "source", "left_semi"), vocabulary), "tokens")
     order = stage(ranked(counts), "ranked")
     plan = rates(order, targets, total_tokens).select("recipe", "source", "rate")
     # one random offset per recipe and source, from the seed
