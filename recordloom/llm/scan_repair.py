@@ -517,8 +517,10 @@ def repair_scans(chunks: DataFrame, scanned: Column | None = None) -> DataFrame:
     kept = stage(counts.where(F.col("n") >= max(3.0, LEXICON_SHARE * total)), "lexicon")
     table = kept.toArrow()  # at most 1 / LEXICON_SHARE words
     lexicon = dict(zip(table.column("word").to_pylist(), table.column("n").to_pylist()))
-    other = rows.where("coalesce(page_number, 0) = 0").orderBy(F.xxhash64("id"), "id")
-    picked = other.limit(2 * TRAIN_ROWS).select("chunk_content", "record_title").collect()
+    # a sample by the hash of the id, so that no task sends more than its share of it
+    share = max(1, rows.count() // (2 * TRAIN_ROWS))
+    other = rows.where("coalesce(page_number, 0) = 0").where(F.pmod(F.xxhash64("id"), F.lit(share)) == 0)
+    picked = other.limit(4 * TRAIN_ROWS).orderBy("id").select("chunk_content", "record_title").collect()
     laid = [(r[0], r[1]) for r in picked if has_layout(r[0])][:TRAIN_ROWS]
     clean = [(r[0].rpartition("--- Document Content ---\n")[2], r[1]) for r in picked if not has_layout(r[0])][:TRAIN_ROWS]
     furniture, hyphen = train_layout(clean, laid, lexicon)
