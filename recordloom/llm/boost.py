@@ -26,8 +26,8 @@ class Boosted:
 
     def margin(self, x: np.ndarray) -> np.ndarray:
         """Log-odds of each row."""
-        if not len(x):
-            return np.zeros(0)
+        if not len(x) or not len(self.feature):
+            return np.full(len(x), self.base)
         b = self._bins(np.asarray(x, np.float64))
         out = np.full(len(b), self.base)
         rows = np.arange(len(b))
@@ -52,7 +52,9 @@ def _edges(values: np.ndarray, bins: int) -> np.ndarray:
 
 
 def fit_boosted(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, trees: int = 60, depth: int = 4, rate: float = 0.2, bins: int = 32, reg: float = 2.0) -> Boosted:
-    """Fit boosted trees to labels 0 and 1."""
+    """Fit boosted trees to labels 0 and 1; without rows the result says 0 to everything."""
+    if not len(x):
+        return Boosted([], np.zeros((0, 0), int), np.zeros((0, 0), int), np.zeros((0, 0)), -7.0, depth)
     x = np.nan_to_num(np.asarray(x, np.float64), nan=-1e30)
     y = np.asarray(y, np.float64)
     w = np.ones(len(y)) if weight is None else np.asarray(weight, np.float64)
