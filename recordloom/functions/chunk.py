@@ -90,7 +90,8 @@ def chunk_documents(df: DataFrame, id_col: str, text_col: str, size: int = 1000,
             arrays = [pa.array(list(c), t) for c, t in zip(cols, (pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.int32()))]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner, pa.int64())), *arrays], names=["id", "chunk_sequence", "content", "start_pos", "end_pos", "page_number"])
 
-    schema = T.StructType([T.StructField("id", kind)]).add("chunk_sequence", "int").add("content", "string").add("start_pos", "int").add("end_pos", "int").add("page_number", "int")
+    number = T.IntegerType()
+    schema = T.StructType([T.StructField("id", kind), T.StructField("chunk_sequence", number), T.StructField("content", T.StringType()), T.StructField("start_pos", number), T.StructField("end_pos", number), T.StructField("page_number", number)])
     return df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t")).mapInArrow(cut, schema)
 
 

@@ -31,7 +31,11 @@ def query_terms(q: str) -> list[str]:
 
 def postings(df: DataFrame, id_col: str, fields: dict[str, str]) -> DataFrame:
     """``(term, id, field, tf)`` for the columns named in ``fields`` (column -> field class A to D)."""
-    one = [F.transform(terms(F.col(c)), lambda t, k=k: F.struct(t.alias("term"), F.lit(k).alias("field"))) for c, k in fields.items()]
+
+    def of(column: str, kind: str) -> Column:
+        return F.transform(terms(F.col(column)), lambda t: F.struct(t.alias("term"), F.lit(kind).alias("field")))
+
+    one = [of(c, k) for c, k in fields.items()]
     rows = df.select(F.col(id_col).alias("id"), F.explode(F.concat(*one)).alias("p"))
     return rows.groupBy(F.col("p.term").alias("term"), "id", F.col("p.field").alias("field")).agg(F.count("*").cast("int").alias("tf"))
 

@@ -80,7 +80,7 @@ def batch_top_k(df: DataFrame, id_col: str, vector_col: str, queries: list[tuple
         hits = part.mapInArrow(lambda it, s=shared: _batch_scores(it, s, k, exclude_same), schema)
         out = hits if out is None else out.union(hits)
     if out is None:
-        return df.sparkSession.createDataFrame([], schema.add("rank", "int"))
+        return df.sparkSession.createDataFrame([], schema.add(T.StructField("rank", T.IntegerType())))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 

@@ -375,10 +375,10 @@ def alt_date_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", dates.alternative_dates("ts").alias("a"))
 
 
-_TOD = """array_to_string(list_filter([CASE WHEN h = 12 AND m <= 15 THEN 'noon' END, CASE WHEN h = 12 AND m <= 15 THEN 'midday' END, CASE WHEN h = 0 AND m <= 15 THEN 'midnight' END, CASE WHEN h = 23 AND m >= 45 THEN 'near midnight' END,
+_TOD = """array_to_string([x FOR x IN [CASE WHEN h = 12 AND m <= 15 THEN 'noon' END, CASE WHEN h = 12 AND m <= 15 THEN 'midday' END, CASE WHEN h = 0 AND m <= 15 THEN 'midnight' END, CASE WHEN h = 23 AND m >= 45 THEN 'near midnight' END,
 CASE WHEN h BETWEEN 5 AND 11 THEN 'morning' END, CASE WHEN h BETWEEN 5 AND 7 THEN 'early morning' END, CASE WHEN h BETWEEN 10 AND 11 THEN 'late morning' END, CASE WHEN h BETWEEN 12 AND 16 THEN 'afternoon' END,
 CASE WHEN h BETWEEN 12 AND 13 THEN 'early afternoon' END, CASE WHEN h BETWEEN 15 AND 16 THEN 'late afternoon' END, CASE WHEN h BETWEEN 17 AND 20 THEN 'evening' END, CASE WHEN h BETWEEN 17 AND 18 THEN 'early evening' END,
-CASE WHEN h >= 21 OR h < 5 THEN 'night' END, CASE WHEN h >= 21 THEN 'late night' END, CASE WHEN h < 5 THEN 'early night' END], x -> x IS NOT NULL), ', ')"""
+CASE WHEN h >= 21 OR h < 5 THEN 'night' END, CASE WHEN h >= 21 THEN 'late night' END, CASE WHEN h < 5 THEN 'early night' END] IF x IS NOT NULL], ', ')"""
 _HM = "(SELECT *, hour(ts) AS h, minute(ts) AS m FROM events)"
 
 
