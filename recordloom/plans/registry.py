@@ -421,6 +421,12 @@ def universal_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "record_chunks").select("id", text.universal_clean("chunk_content").alias("t"))
 
 
+@query()
+def packed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts cut into pieces of whole lines."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(text.pack_lines("text", 2000)).alias("piece", "t"))
+
+
 @query(
     r"""SELECT doc_id, coalesce(list_sum([length(w) FOR w IN string_split(text, ' ') IF CASE WHEN length(w) = 0 THEN false WHEN length(w) = 1 THEN regexp_full_match(w, '[\p{L}\p{Nd}]') WHEN d(w) = length(w) THEN length(w) <= 10 WHEN d(w) > 0 THEN NOT (length(w) > 15 AND d(w) > l(w) * 3) ELSE l(w) > 0 AND length(w) <= 50 END]), 0)::INTEGER AS s FROM documents""".replace(
         "d(w)", r"length(regexp_replace(w, '[^\p{Nd}]', '', 'g'))"

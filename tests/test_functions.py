@@ -67,6 +67,11 @@ def test_text(spark):
     assert one(spark, text.preview("x"), "a" * 101) == "a" * 100 + "..." and one(spark, text.preview("x"), None) is None
     assert one(spark, text.token_estimate("x"), "an extraordinary case.") == 7 and one(spark, text.token_estimate("x"), "") == 0 and one(spark, text.token_estimate("x"), None) == 0
     assert one(spark, text.clean_lines("x"), "[PAGE 1]\nab\n%%%%#####\nGood line , here") == "[PAGE 1]\nGood line, here"
+    assert one(spark, text.correct_characters("x"), "fi1l 0ften 5erver rnodel modern 6reen") == "fill Often Server model modern Green"
+    assert one(spark, text.normalize_names("x"), "the CE O of open text, Q 3, ofa kind") == "the CEO of OpenText, Q3, of a kind"
+    assert one(spark, text.rebuild_paragraphs("x"), "one\ntwo\n- item\nHEAD 1\nthree") == "one two\n\n- item\n\nHEAD 1 three"
+    assert one(spark, text.pack_lines("x", 5), "ab\ncd\nefghijk\nl") == ["ab\ncd", "efghijk", "l"]
+    assert "exam\nple" not in one(spark, text.universal_clean("x"), "an exam-\nple of the servicePart")
     assert one(spark, text.column_letters("x"), 28, "int") == "AB"
     r, c = text.cell_reference("x")
     assert one(spark, F.struct(r, c), "BC12") == (12, 55)
