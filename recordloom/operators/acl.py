@@ -35,7 +35,7 @@ def visible_records(record_acl: DataFrame, members: DataFrame, user_groups: Data
     groups replaces a disjunction of subqueries.
     """
     rows = record_acl.where((F.col("permission_type") == permission) & F.col("record_uri").isNotNull())
-    granted = members.join(F.broadcast(principals(user_groups, user)), "location_id", "left_semi").select("acl_group").distinct()
+    granted = members.join(principals(user_groups, user), "location_id", "left_semi").select("acl_group").distinct()
     free = rows.where(F.col("acl_group").isNull()).select("record_uri")
     return free.union(rows.join(granted, "acl_group", "left_semi").select("record_uri")).distinct()
 

@@ -21,8 +21,8 @@ def fuse(semantic: DataFrame, lexical: DataFrame, limit: int = 10, threshold: fl
     """
     a = semantic.select("id", F.col("score").alias("semantic"))
     b = lexical.select("id", F.col("score").alias("lexical"))
-    top = b.agg(F.max("lexical").alias("top"))  # one row
-    both = a.join(b, "id", "full_outer").join(F.broadcast(top))
+    # both legs are cut already, so one partition holds 2 * MOST_HITS rows at most and no leg is computed twice
+    both = a.join(b, "id", "full_outer").withColumn("top", F.max("lexical").over(Window.partitionBy()))
     both = both.select("id", F.coalesce("semantic", F.lit(0.0)).alias("semantic"), F.coalesce(F.when(F.col("top") > 0, F.col("lexical") / F.col("top")), F.lit(0.0)).alias("lexical"))
     scored = both.withColumn("score", (1 - keyword_weight) * F.col("semantic") + keyword_weight * F.col("lexical"))
     return scored.orderBy(F.desc("score"), "id").limit(limit).where(F.col("score") >= threshold)

@@ -52,7 +52,14 @@ def search(index: DataFrame, q: str, match: str = "all", limit: int | None = 20)
     """
     wanted = query_terms(q)
     hits = index.where(F.col("term").isin(wanted) if wanted else F.lit(False))
-    got = hits.groupBy("id").agg(F.sum(weight_of(F.col("field")) * F.col("tf") / (F.col("tf") + 1)).alias("score"), F.count_distinct("term").alias("matched"))
+    if len(wanted) <= 62:  # one bit per term keeps the count of distinct terms in the same partial aggregate
+        bit = F.lit(0).cast("long")
+        for i, t in enumerate(wanted):
+            bit = F.when(F.col("term") == t, F.lit(1 << i).cast("long")).otherwise(bit)
+        matched = F.bit_count(F.bit_or(bit)).cast("long")
+    else:
+        matched = F.count_distinct("term")
+    got = hits.groupBy("id").agg(F.sum(weight_of(F.col("field")) * F.col("tf") / (F.col("tf") + 1)).alias("score"), matched.alias("matched"))
     if match == "all":
         got = got.where(F.col("matched") == len(wanted))
     return got.orderBy(F.desc("score"), "id").limit(limit) if limit else got

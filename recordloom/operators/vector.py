@@ -49,10 +49,11 @@ def top_k(df: DataFrame, id_col: str, vector_col: str, query: Sequence[float], k
     The threshold is applied after the limit, or before it with ``before_limit``. Only id and vector are ranked;
     columns named in ``keep`` must be narrow, wide ones are better joined afterwards.
     """
-    scored = df.select(F.col(id_col).alias("id"), *keep, cosine_to(F.col(vector_col), query).alias("score")).where(F.col("score").isNotNull())
+    scored = df.where(F.size(vector_col) == len(query)).select(F.col(id_col).alias("id"), *keep, cosine_to(F.col(vector_col), query).alias("score"))
     if before_limit:
-        return scored.where(F.col("score") >= threshold).orderBy(F.desc("score"), "id").limit(k)
-    return scored.orderBy(F.desc("score"), "id").limit(k).where(F.col("score") >= threshold)
+        scored = scored.where(F.col("score") >= threshold)
+    # unusable vectors sort last and go after the cut, so the score is computed once per row
+    return scored.orderBy(F.desc_nulls_last("score"), "id").limit(k).where(F.col("score") >= threshold)
 
 
 def zero_or_cosine(vector: Column, query: Sequence[float]) -> Column:

@@ -37,7 +37,8 @@ def search(store: Store, query: str, embed: Callable[[str], Sequence[float]], no
     if filter_first:
         chunks = _allowed(_filtered(chunks, intent, metadata, False), store, user)
     fetch = hybrid.expanded_limit(intent.limit)
-    semantic = vector.top_k(chunks, "embedding_id", "vector", embed(intent.query), fetch)
+    # one matrix product per Arrow batch; each task gives at most ``fetch`` rows
+    semantic = vector.batch_top_k(chunks, "embedding_id", "vector", [(0, embed(intent.query))], fetch).select("id", "score").where("score >= 0")
     found = lexical.search(store.index, intent.query, limit=None if filter_first else fetch)
     if filter_first:
         found = found.join(chunks.select(F.col("embedding_id").alias("id")), "id", "left_semi").orderBy(F.desc("score"), "id").limit(fetch)
