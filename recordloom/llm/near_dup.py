@@ -38,10 +38,17 @@ _FLUSH = 2_000_000
 
 
 def _content(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """Shingle sets per record, united over a stretch of rows, so repeated rows of one record leave a task once."""
+
+    def give(of: dict[int, list[np.ndarray]]) -> pa.RecordBatch:
+        sets = [np.unique(np.concatenate(p)) if p else np.zeros(0, np.uint64) for p in of.values()]
+        return pa.RecordBatch.from_arrays([pa.array(list(of), pa.int64()), list_array(sets, pa.int64())], names=["uri", "toks"])
+
+    of: dict[int, list[np.ndarray]] = {}
+    size = 0
     for batch in batches:
         uri = batch.column(0).to_numpy(zero_copy_only=False)
         titles: dict[str, np.ndarray] = {}
-        of: dict[int, list[np.ndarray]] = {}
         for u, title, text in zip(uri, batch.column(1).to_pylist(), batch.column(2).to_pylist()):
             parts = of.setdefault(u, [])
             if title and title not in titles:
@@ -50,8 +57,12 @@ def _content(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBat
                 parts.append(titles[title])
             if text:
                 parts.append(shingles(word_hashes(words(text)), k))
-        sets = [np.unique(np.concatenate(p)) if p else np.zeros(0, np.uint64) for p in of.values()]
-        yield pa.RecordBatch.from_arrays([pa.array(list(of), pa.int64()), list_array(sets, pa.int64())], names=["uri", "toks"])
+                size += len(parts[-1])
+            if size > _FLUSH:
+                yield give(of)
+                of, size = {}, 0
+    if of:
+        yield give(of)
 
 
 def record_sets(chunks: DataFrame, k: int = 3) -> DataFrame:
