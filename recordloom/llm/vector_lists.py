@@ -310,7 +310,7 @@ def _search(left: pa.Table, right: pa.Table, dim: int, k: int) -> pa.Table:
     return pa.table({"query": qid.take(pa.array(a[use])), "id": own.take(pa.array(b[use])), "sim": pa.array(s[use], pa.float32())})
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, dim: int = 64, probes: int = 160, ratio: float = 1.35) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, dim: int = 64, probes: int = 192, ratio: float = 1.5) -> DataFrame:
     """``(query, id, sim, rank)``: the k most similar other ids of each query.
 
     ``vectors(id, v)`` is the collection, ``queries(id, v)`` what to search for, both as of
