@@ -50,7 +50,6 @@ def _scan_exact(s: str) -> list[str]:
     while i <= n:
         buf: list[str] = []
         at_start = True  # only blanks or a prefix's colon so far
-        kept_blank = 0
         while i < n and t[i] not in delims:
             c = t[i]
             if c in "\"'" and at_start:
@@ -75,7 +74,6 @@ def _scan_exact(s: str) -> list[str]:
                     j += 1
                 if closed:
                     buf.extend(piece)
-                    kept_blank = len(buf)
                     i = j + 1
                     at_start = False
                     continue
@@ -85,8 +83,7 @@ def _scan_exact(s: str) -> list[str]:
             elif c not in blanks:
                 at_start = False
             i += 1
-        v = "".join(buf)
-        v = v.lstrip(blanks).rstrip(blanks) if kept_blank == 0 else v.lstrip(blanks).rstrip(blanks)
+        v = "".join(buf).strip(blanks)
         if v:
             out.append(v)
         i += 1
@@ -161,8 +158,6 @@ def split_buffers(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, pa
         quoting[(stops - 1)[one_close]] = True
         quoting[starts[whole]] = True
         quoting[(stops - 1)[whole]] = True
-        lone = op & cl & (runs > 2)  # """x: opener, doubled signs
-        del lone
         inner_from = starts + one_open
         inner_to = stops - one_close
         pairs = np.maximum(inner_to - inner_from, 0) // 2

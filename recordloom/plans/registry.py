@@ -736,6 +736,88 @@ def discover_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scans.discover_properties(table(spark, sf_dir, "events"), "props")
 
 
+# ---- lookups, sets and further projections -----------------------------------------------------------------
+
+
+@query("SELECT id, embedding_id FROM record_chunks ORDER BY id LIMIT 100")
+def first_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scans.first_rows(table(spark, sf_dir, "record_chunks", "id", "embedding_id"))
+
+
+@query("SELECT id, chunk_index FROM record_chunks WHERE embedding_id = (SELECT min(embedding_id) FROM record_chunks)")
+def point_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "record_chunks", "id", "embedding_id", "chunk_index")
+    return scans.lookup(c, "embedding_id", c.agg(F.min("embedding_id")).first()[0]).select("id", "chunk_index")
+
+
+@query("SELECT embedding_id FROM record_chunks WHERE record_uri = (SELECT min(record_uri) FROM record_chunks)")
+def ids_of_record(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "record_chunks", "embedding_id", "record_uri")
+    return scans.lookup(c, "record_uri", c.agg(F.min("record_uri")).first()[0]).select("embedding_id")
+
+
+@query("SELECT record_uri, title FROM records WHERE record_uri::VARCHAR = (SELECT max(record_uri)::VARCHAR FROM records) ORDER BY date_modified NULLS FIRST LIMIT 1")
+def record_by_any_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = table(spark, sf_dir, "records")
+    return scans.record_by_any_key(r, str(r.agg(F.max("record_uri")).first()[0])).select("record_uri", "title")
+
+
+@query("SELECT record_uri FROM record_acl WHERE record_uri IS NOT NULL INTERSECT SELECT record_uri FROM documents WHERE record_uri IS NOT NULL")
+def records_with_acl_and_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = table(spark, sf_dir, "record_acl").where("record_uri is not null").select("record_uri")
+    return a.intersect(table(spark, sf_dir, "documents").where("record_uri is not null").select("record_uri"))
+
+
+@query("SELECT DISTINCT record_uri FROM records EXCEPT SELECT record_uri FROM documents")
+def records_without_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = table(spark, sf_dir, "records").select("record_uri").distinct()
+    return r.join(table(spark, sf_dir, "documents").select("record_uri"), "record_uri", "left_anti")
+
+
+@query(
+    """SELECT id, concat_ws(chr(10), 'Record Title: ' || nullif(record_title, ''), 'Record URI: ' || record_uri, 'Date Created: ' || strftime(date_created, '%m/%d/%Y %H:%M:%S'), 'Record Type: ' || nullif(record_type, ''), 'Container: ' || nullif(container, ''),
+'Assignee: ' || nullif(assignee, ''), 'All Parts: ' || nullif(all_parts, ''), 'Access Control: ' || nullif(regexp_replace(acl, '\\.\\s+', '.', 'g'), '')) || chr(10) || chr(10) || '--- Document Content ---' || chr(10) || chunk_content AS t FROM record_chunks"""
+)
+def record_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    none = F.lit(None).cast("string")
+    made = text.record_text(
+        F.col("record_title"), F.col("record_uri"), F.date_format("date_created", "MM/dd/yyyy HH:mm:ss"), none, none, F.col("record_type"), F.col("container"), F.col("assignee"), F.col("all_parts"), F.col("acl"), F.col("chunk_content")
+    )
+    return table(spark, sf_dir, "record_chunks").select("id", made.alias("t"))
+
+
+@query(r"""SELECT doc_id, array_to_string([w FOR w IN string_split_regex(text, '[^\p{L}\p{Nd}.,!?;:()"''\-]+') IF CASE WHEN length(w) = 0 THEN false WHEN length(w) = 1 THEN regexp_full_match(w, '[\p{L}\p{Nd}]') WHEN d(w) = length(w) THEN length(w) <= 10 WHEN d(w) > 0 THEN NOT (length(w) > 15 AND d(w) > l(w) * 3) ELSE l(w) > 0 AND length(w) <= 50 END], ' ') AS t FROM documents""".replace("d(w)", r"length(regexp_replace(w, '[^\p{Nd}]', '', 'g'))").replace("l(w)", r"length(regexp_replace(w, '[^\p{L}]', '', 'g'))"))
+def readable_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", text.readable("text").alias("t"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 100 >= 60 THEN 3 WHEN o_orderkey % 100 >= 20 THEN 2 ELSE 0 END AS page FROM orders")
+def page_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marks = F.array(F.struct(F.lit(20).alias("pos"), F.lit(2).alias("page")), F.struct(F.lit(60).alias("pos"), F.lit(3).alias("page")))
+    return table(spark, sf_dir, "orders").select("o_orderkey", chunk.page_of(marks, F.col("o_orderkey") % 100).alias("page"))
+
+
+@query("SELECT event_type AS job_name, max(ts) AS updated_at, min(ts) AS created_at, arg_max(event_id, ts)::INTEGER AS last_page FROM (SELECT *, row_number() OVER (PARTITION BY event_type, ts ORDER BY event_id DESC) AS r FROM events) WHERE r = 1 GROUP BY 1")
+def checkpoint_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The latest state of each job, from its changes."""
+    e = table(spark, sf_dir, "events").groupBy("event_type", "ts").agg(F.max("event_id").alias("event_id"))
+    changes = e.select(F.col("event_type").alias("job_name"), F.col("event_id").cast("int").alias("last_page"), F.col("ts").alias("created_at"), F.col("ts").alias("updated_at"))
+    return store.update_checkpoint(changes.limit(0), changes).select("job_name", "updated_at", "created_at", "last_page")
+
+
+@query("SELECT name, letters, col::INTEGER AS col FROM (SELECT s_name AS name, chr(65 + (s_suppkey % 26)::INTEGER) || chr(65 + (s_suppkey % 7)::INTEGER) AS letters, (1 + s_suppkey % 26) * 26 + 1 + s_suppkey % 7 AS col FROM supplier)")
+def cell_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = table(spark, sf_dir, "supplier")
+    letters = F.concat(F.char((65 + F.col("s_suppkey") % 26).cast("int")), F.char((65 + F.col("s_suppkey") % 7).cast("int")))
+    s = s.select(F.col("s_name").alias("name"), letters.alias("letters"))
+    return s.select("name", "letters", text.cell_reference(F.concat("letters", F.lit("7")))[1].alias("col"))
+
+
+@query("SELECT i AS id, 'cm_record_' || (i + 1000) || '_chunk_0' AS embedding_id, i + 1000 AS record_uri FROM range(500) t(i)")
+def dummy_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scans.dummy_embeddings(spark, 500).select("id", "embedding_id", "record_uri")
+
+
 # ---- pipelines ---------------------------------------------------------------------------------------------
 
 
