@@ -21,7 +21,6 @@ line layout are left as they are and carry no damage; repeated rows count under
 from __future__ import annotations
 
 import re
-import textwrap
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -124,10 +123,22 @@ def _fold_line(x: str) -> str:
     return re.sub(r"\d+|\b[ivxlc]+$", "9", x.strip())
 
 
-def _hyphen_features(first: str, second: str, lexicon: dict[str, int]) -> list[float]:
+def fold_lexicon(lexicon: dict[str, int]) -> dict[str, int]:
+    """Counts of the lexicon by folded word, the largest where several words fold alike."""
+    out: dict[str, int] = {}
+    for w, n in lexicon.items():
+        f = fold(w)
+        if n > out.get(f, 0):
+            out[f] = n
+    return out
+
+
+def _hyphen_features(first: str, second: str, lexicon: dict[str, int], folded: dict[str, int]) -> list[float]:
+    """Whether the parts make a word together, misread or not, and whether each is one by itself."""
     a, b = first.lower(), second.lower()
     c = lambda w: float(np.log1p(lexicon.get(w, 0)))
-    return [c(a + b), c(a), c(b), float(len(a)), float(len(b)), float(second[:1].islower()), float(first.isalpha()), float(second.isalpha()), float(a + b in lexicon), float(a in lexicon and b in lexicon)]
+    joined = lexicon.get(a + b) or folded.get(fold(a + b), 0)
+    return [float(np.log1p(joined)), c(a), c(b), float(len(a)), float(len(b)), float(second[:1].islower()), float(first.isalpha()), float(joined > 0), float(a in lexicon and b in lexicon)]
 
 
 def _parts(line: str, after: str) -> tuple[str, str] | None:
@@ -141,7 +152,7 @@ def _parts(line: str, after: str) -> tuple[str, str] | None:
     return (first.rsplit("-", 1)[-1], second) if second else None
 
 
-def layout(page: Page, furniture: Boosted, hyphen: Boosted, lexicon: dict[str, int]) -> tuple[str, set[str]]:
+def layout(page: Page, furniture: Boosted, hyphen: Boosted, lexicon: dict[str, int], folded: dict[str, int]) -> tuple[str, set[str]]:
     """Paragraphs of the page without furniture and broken words, and the kinds of damage met."""
     kinds: set[str] = set()
     rows = [i for i, x in enumerate(page.lines) if x.strip()]
@@ -177,7 +188,7 @@ def layout(page: Page, furniture: Boosted, hyphen: Boosted, lexicon: dict[str, i
         else:
             two = _parts(cur, s)
             # signs other than the plain hyphen stand at a line end for nothing else
-            if two and (cur.rstrip()[-1] != "-" or hyphen.probability(np.array([_hyphen_features(*two, lexicon)]))[0] > 0.5):
+            if two and (cur.rstrip()[-1] != "-" or hyphen.probability(np.array([_hyphen_features(*two, lexicon, folded)]))[0] > 0.5):
                 kinds.add("hyphen")
                 cur = cur.rstrip()[:-1] + s
             elif two:
@@ -277,6 +288,7 @@ def train_layout(rows: list[tuple[str, str]], plain: list[tuple[str, str]], lexi
     rng = np.random.default_rng(seed)
     names = [w.capitalize() for w in lexicon if len(w) > 4][:: max(1, len(lexicon) // 400)] or ["Name"]
     x, y, hx, hy = [], [], [], []
+    folded = fold_lexicon(lexicon)
     for text, title in rows:
         page_text, flags, ends = synthetic_page(text, title or "Untitled", names, rng)
         page = Page.of(page_text, title)
@@ -284,7 +296,7 @@ def train_layout(rows: list[tuple[str, str]], plain: list[tuple[str, str]], lexi
             if line.strip():
                 x.append(page.features(i)), y.append(flags[i])
         for a, b, z in ends:
-            hx.append(_hyphen_features(a, b, lexicon)), hy.append(z)
+            hx.append(_hyphen_features(a, b, lexicon, folded)), hy.append(z)
     for text, title in plain:
         page = Page.of(text, title)
         for i, line in enumerate(page.lines):
@@ -295,7 +307,7 @@ def train_layout(rows: list[tuple[str, str]], plain: list[tuple[str, str]], lexi
     for _ in range(max(200, len(hy) // 3)):  # two whole words joined by a hyphen of their own
         a, b = (frequent[int(rng.integers(len(frequent)))] for _ in range(2)) if frequent and rng.random() < 0.9 else compounds[int(rng.integers(len(compounds)))]
         if a + b not in lexicon:
-            hx.append(_hyphen_features(a, b, lexicon)), hy.append(0)
+            hx.append(_hyphen_features(a, b, lexicon, folded)), hy.append(0)
     return fit_boosted(np.array(x), np.array(y), trees=80, depth=5), fit_boosted(np.array(hx), np.array(hy), trees=30, depth=3)
 
 
@@ -430,6 +442,7 @@ class Models:
     furniture: Boosted
     hyphen: Boosted
     lexicon: dict[str, int]
+    folded: dict[str, int]
     rare: float
 
 
@@ -442,7 +455,7 @@ def _lay_out(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBat
             if not has_layout(text):
                 continue
             head, mark, body = text.rpartition("--- Document Content ---\n")
-            fixed, kinds = layout(Page.of(body, title), m.furniture, m.hyphen, m.lexicon)
+            fixed, kinds = layout(Page.of(body, title), m.furniture, m.hyphen, m.lexicon, m.folded)
             odd = sorted({c for t in fixed.split() if get(t.lower(), 0) < m.rare and (c := core_word(t)) and is_word(c) and get(c.lower(), 0) < m.rare})
             for c, v in zip(out, (row, head + mark + fixed, sorted(kinds), odd)):
                 c.append(v)
@@ -524,7 +537,7 @@ def repair_scans(chunks: DataFrame, scanned: Column | None = None) -> DataFrame:
     laid = [(r[0], r[1]) for r in picked if has_layout(r[0])][:TRAIN_ROWS]
     clean = [(r[0].rpartition("--- Document Content ---\n")[2], r[1]) for r in picked if not has_layout(r[0])][:TRAIN_ROWS]
     furniture, hyphen = train_layout(clean, laid, lexicon)
-    shared = spark.sparkContext.broadcast(Models(furniture, hyphen, lexicon, RARE_SHARE * total))
+    shared = spark.sparkContext.broadcast(Models(furniture, hyphen, lexicon, fold_lexicon(lexicon), RARE_SHARE * total))
     ranking = spark.sparkContext.broadcast(train_ranking(lexicon, total))
     laid_out = scan.select("id", "chunk_content", "record_title").mapInArrow(lambda it: _lay_out(it, shared), "id long, text string, kinds array<string>, odd array<string>")
     laid_out = stage(laid_out, "laid-out")

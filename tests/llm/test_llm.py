@@ -308,7 +308,7 @@ def test_held_out_layout():
             right += q and flags[i]
             wrong += q and not flags[i]
             missed += flags[i] and not q
-        fixed, kinds = scan_repair.layout(page, furniture, hyphen, lexicon)
+        fixed, kinds = scan_repair.layout(page, furniture, hyphen, lexicon, scan_repair.fold_lexicon(lexicon))
         assert ("hyphen" in kinds) == any(e[2] for e in ends) or not ends
     assert right >= 0.95 * (right + missed) and wrong <= 0.05 * right
 
