@@ -367,3 +367,25 @@ def test_tokens_match_the_vocabulary():
     assert enc.decode(enc.encode_ordinary(t)) == t
     b = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array(["a", None]), pa.array([t, None])], names=["doc_id", "source", "text"])
     assert next(mixing._count(iter([b]), mixing.VOCABULARY)).column(2).to_pylist() == [len(enc.encode_ordinary(t)), 0]
+
+
+def test_cut_near_copies_are_aligned(spark):
+    """Copies that stop inside a sentence are found by alignment; copies that stop after one are whole."""
+    rng = random.Random(21)
+    docs, cut, whole = [], set(), set()
+    for i in range(30):
+        sentences = [sentence(rng) for _ in range(16)]
+        docs.append((i, "a", " ".join(sentences)))
+        if i % 3 == 0:
+            docs.append((100 + i, "b", " ".join(sentences[:15]) + " " + " ".join(sentences[15].split()[:5])))
+            cut.add(100 + i)
+        elif i % 3 == 1:
+            docs.append((100 + i, "b", " ".join(sentences[:15])))
+            whole.add(100 + i)
+        else:
+            docs += [(100 + i + k, "b", " ".join(sentences)[:-20]) for k in (0, 100)]  # equal copies, cut inside a word
+            cut |= {100 + i, 200 + i}
+    got = {r.doc_id: r for r in truncation.truncated(spark.createDataFrame(docs, "doc_id long, source string, text string")).collect()}
+    assert all(got[i].how == "aligned" and got[i].cut for i in cut)
+    assert all(got[i].how == "aligned" and not got[i].cut for i in whole)
+    assert all(got[i].how == "closing" for i in range(30))
