@@ -1,7 +1,7 @@
 """Find documents whose text was cut off, and how often each source cuts.
 
 Near-copies: texts are signed with min-hashes of their word shingles, bands of the signature meet in buckets,
-each text is compared with the longest text of each of its buckets, and pairs with a similarity of at least
+each text is compared with every longer text of its buckets, and pairs with a similarity of at least
 ``SIMILARITY`` are aligned from the end of the shorter. Where the longer copy goes on in the middle of a word
 or sentence, the shorter one was cut; where it goes on after a sentence, the shorter one is whole.
 
@@ -11,8 +11,11 @@ line of that shape and a closing phrase before dots ends a text. Boosted trees t
 they are trained on at most ``TRAIN_DOCS`` documents and artificial cuts of the same documents. A text of exactly
 a length at which its source piles up needs less evidence.
 
-Scale: one document per distinct text is signed and counted. A bucket is reduced to its longest text before
-anything is joined, so copies of one text never meet all pairs; statistics are summed per task before the shuffle.
+Scale: one document per distinct text is signed and counted, so copies of one text never meet all pairs. Buckets
+of one text are dropped before anything is joined; a bucket of more than ``BUCKET`` texts is cut into blocks that
+meet pairwise. Pairs whose numbers of shingles alone rule out ``SIMILARITY`` are never built; the others grow with
+the square of a group of near-copies, and each carries its two texts. Statistics are summed per task before the
+shuffle.
 
 Defined results: null, empty and blank texts are whole; repeated texts get the same verdict; a null source is
 reported as a source of its own.
@@ -23,6 +26,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +40,8 @@ from recordloom.session import bounded_broadcast, stage
 K, SIMILARITY = 5, 0.8
 BANDS, ROWS = 16, 4
 TRAIN_DOCS = 4000
-MAX_HUBS = 200_000
+MAX_BUCKETS = 200_000
+BUCKET = 1000
 THRESHOLD = 0.35  # below one half, since the documents taken as whole in training hold unknown cut ones
 LIMIT_ODDS = 3.0  # log-odds that a pile of texts of exactly this length adds
 _DIGITS = re.compile(r"\d+")
@@ -227,7 +232,9 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             low = np.minimum.reduceat(flat * _A[j] + _B[j], start)
             bands[:, j // ROWS] = (bands[:, j // ROWS] ^ low) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(j)
         bands ^= np.arange(BANDS, dtype=np.uint64) << np.uint64(56)
-        yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep)), pa.array(size, pa.int32()), list_array(list(bands), pa.int64())], names=["doc_id", "size", "bands"])
+        distinct = pa.array([len(np.unique(p)) for p in parts], pa.int32())
+        chars = pa.array([len(t) for t, k in zip(batch.column(1).to_pylist(), keep) if k], pa.int32())
+        yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep)), chars, distinct, list_array(list(bands), pa.int64())], names=["doc_id", "chars", "size", "bands"])
 
 
 def aligned_end(short: str, long: str) -> int:
@@ -253,11 +260,16 @@ def aligned_end(short: str, long: str) -> int:
     return -1
 
 
+@lru_cache(maxsize=256)
+def _shingle_set(text: str) -> np.ndarray:
+    return np.unique(shingles(word_hashes(words(text)), K))
+
+
 def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids, verdict = [], []
         for doc, a, b in zip(*(c.to_pylist() for c in batch.columns)):
-            x, y = np.unique(shingles(word_hashes(words(a)), K)), np.unique(shingles(word_hashes(words(b)), K))
+            x, y = _shingle_set(a), _shingle_set(b)
             common = len(np.intersect1d(x, y, assume_unique=True))
             if common >= SIMILARITY * (len(x) + len(y) - common) and len(b) > len(a):
                 v = aligned_end(a, b)
@@ -268,14 +280,19 @@ def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _aligned(texts: DataFrame) -> DataFrame:
     """``(doc_id, cut)`` of the distinct texts that a longer near-copy decides; cut wins where copies disagree."""
-    signed = stage(texts.select("doc_id", "text").mapInArrow(_sign, "doc_id long, size int, bands array<long>"), "signatures")
-    rows = signed.select("doc_id", "size", F.explode("bands").alias("band"))
-    hubs = rows.groupBy("band").agg(F.max(F.struct("size", "doc_id")).alias("hub"), F.count("*").alias("m")).where("m > 1").select("band", F.col("hub.doc_id").alias("hub"), F.col("hub.size").alias("hub_size"))
+    signed = stage(texts.select("doc_id", "text").mapInArrow(_sign, "doc_id long, chars int, size int, bands array<long>"), "signatures")
+    rows = signed.select("doc_id", "chars", "size", F.explode("bands").alias("band"))
+    buckets = rows.groupBy("band").agg(F.count("*").alias("m")).where("m > 1").select("band", F.ceil(F.col("m") / BUCKET).cast("int").alias("blocks"))
     # buckets of one text are gone by now; as a rule the others fit into a broadcast of counted size
-    hubs = bounded_broadcast(stage(hubs, "hubs"), MAX_HUBS)
-    pairs = rows.join(hubs, "band").where("doc_id <> hub and size <= hub_size").select("doc_id", "hub").distinct()
+    rows = stage(rows.join(bounded_broadcast(stage(buckets, "buckets"), MAX_BUCKETS), "band"), "bucket-rows")
+    own, other = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    short = rows.select("band", own.alias("i"), other.alias("j"), "doc_id", "chars", "size")
+    long = rows.select("band", other.alias("i"), own.alias("j"), F.col("doc_id").alias("longer"), F.col("chars").alias("chars_b"), F.col("size").alias("size_b"))
+    # shared shingles are at most the fewer, all shingles at least the more, so this drops no pair that is similar enough
+    near = (F.col("chars") < F.col("chars_b")) & (F.least("size", "size_b") >= F.lit(SIMILARITY) * F.greatest("size", "size_b"))
+    pairs = short.join(long, ["band", "i", "j"]).where(near).select("doc_id", "longer").distinct()
     text = texts.select("doc_id", "text")
-    both = pairs.join(text.select("doc_id", F.col("text").alias("a")), "doc_id").join(text.select(F.col("doc_id").alias("hub"), F.col("text").alias("b")), "hub")
+    both = pairs.join(text.select("doc_id", F.col("text").alias("a")), "doc_id").join(text.select(F.col("doc_id").alias("longer"), F.col("text").alias("b")), "longer")
     return both.select("doc_id", "a", "b").mapInArrow(_align, "doc_id long, cut byte").groupBy("doc_id").agg(F.max("cut").alias("cut"))
 
 

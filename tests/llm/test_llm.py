@@ -389,3 +389,16 @@ def test_cut_near_copies_are_aligned(spark):
     assert all(got[i].how == "aligned" and got[i].cut for i in cut)
     assert all(got[i].how == "aligned" and not got[i].cut for i in whole)
     assert all(got[i].how == "closing" for i in range(30))
+
+
+def test_cut_copies_are_aligned_beside_longer_texts(spark, monkeypatch):
+    rng = random.Random(31)
+    whole = document(rng, 40)
+    short = whole[: int(len(whole) * 0.9)].rsplit(" ", 2)[0]
+    # longer versions of the text fill its buckets and are too different from the short copy
+    docs = [(1, short), (2, whole)] + [(10 + i, whole + " " + document(rng, 14)) for i in range(80)]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    assert short[-1] != "."
+    for bucket in (1000, 3):
+        monkeypatch.setattr(truncation, "BUCKET", bucket, raising=False)
+        assert [(r.doc_id, r.cut) for r in truncation._aligned(d).collect()] == [(1, 1)]
