@@ -2,15 +2,15 @@
 
 A task collects documents until it holds ``SHARD_WORDS`` words, numbers the words that evaluation items use
 (every other word is a separator of its own), and indexes the sequence. All phrases of ``SEED`` words of the
-items are searched backwards at once; a phrase that occurs more than ``COMMON`` times in the shard is extended
-word by word up to ``LONGEST`` words, so boilerplate does not flood the search, and is then taken whatever its
-count. Occurrences are located by sampled suffix positions and chained: hits of one item in one document on
+items are searched backwards at once. Every occurrence is located, however frequent the phrase, by sampled suffix
+positions, and chained: hits of one item in one document on
 nearly the same diagonal, with gaps of a few changed words, form a passage. A passage counts when it holds at
 least ``least`` words of the item outside its shared lines, of which no more than one in ``1 / CHANGED`` are
 changed. A line that stands in more than ``SHARED`` items is an instruction and counts nothing.
 
 Scale: documents are scanned once and never shuffled; items are the stated query set and are searched in
-blocks of ``BLOCK`` items, so what each task holds is bounded by block and shard.
+blocks of ``BLOCK`` items, and occurrences are located for as many items at a time as have ``HITS`` together, so
+what each task holds is bounded by block and shard.
 
 Defined results: null and empty texts and items have no passages; repeated documents and repeated items are
 reported each on its own; a document may hold several items.
@@ -30,7 +30,8 @@ from recordloom.llm.fm_index import FMIndex
 from recordloom.llm.words import WORD, words
 
 SHARD_WORDS = 1_000_000
-SEED, LONGEST, COMMON = 5, 12, 48
+SEED = 5
+HITS = 1_000_000
 BLOCK = 4000
 SHARED = 2
 CHANGED = 0.2
@@ -60,42 +61,33 @@ class Items:
         self.owner = np.repeat(np.arange(len(rows)), np.diff(self.offsets))
 
 
-def _seeds(index: FMIndex, items: Items) -> tuple[np.ndarray, np.ndarray]:
-    """Text positions and item word positions of all selected phrases, by the last word of the phrase."""
+def _seeds(index: FMIndex, items: Items) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Text positions and item word positions of all phrases found, whole items at a time, of ``HITS`` together."""
     begin = items.offsets[:-1][items.owner]
     last = np.flatnonzero(np.arange(len(items.text)) - begin >= SEED - 1)
     low = np.zeros(len(last), np.int64)
     high = np.full(len(last), index.n, np.int64)
-    out_pos, out_item = [], []
-    for length in range(1, LONGEST + 1):
-        at = last - length + 1
-        inside = at >= begin[last]
-        if length > SEED and not inside.all():  # cannot be extended beyond the item's start: take it as it is
-            done = ~inside
-            _take(index, low[done], high[done], at[done] + 1, out_pos, out_item)
-            last, low, high, at = last[inside], low[inside], high[inside], at[inside]
+    for length in range(1, SEED + 1):
         if not len(last):
-            break
-        low, high = index.extend(low, high, items.text[at])
+            return
+        low, high = index.extend(low, high, items.text[last - length + 1])
         live = high > low
-        if length >= SEED:
-            done = live & ((high - low <= COMMON) | (length == LONGEST))
-            _take(index, low[done], high[done], at[done], out_pos, out_item)
-            live &= ~done
         last, low, high = last[live], low[live], high[live]
-    if not out_pos:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate(out_pos), np.concatenate(out_item)
+    at, count = last - SEED + 1, high - low
+    owner = items.owner[at]
+    cuts = np.flatnonzero(owner[1:] != owner[:-1]) + 1
+    start, total = 0, np.r_[0, np.cumsum(count)]
+    for stop, after in zip(cuts, np.r_[cuts[1:], len(at)]):
+        if total[after] - total[start] > HITS:
+            yield _located(index, low[start:stop], count[start:stop], at[start:stop])
+            start = stop
+    if start < len(at):
+        yield _located(index, low[start:], count[start:], at[start:])
 
 
-def _take(index, low, high, at, out_pos, out_item) -> None:
-    count = high - low
-    if not len(count) or not count.sum():
-        return
+def _located(index: FMIndex, low: np.ndarray, count: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     rep = np.repeat(np.arange(len(count)), count)
-    rows = low[rep] + np.arange(len(rep)) - np.repeat(np.cumsum(count) - count, count)
-    out_pos.append(index.locate(rows))
-    out_item.append(at[rep])
+    return index.locate(low[rep] + np.arange(len(rep)) - np.repeat(np.cumsum(count) - count, count)), at[rep]
 
 
 def _passages(text: np.ndarray, doc_off: np.ndarray, pos: np.ndarray, item_at: np.ndarray, items: Items, least: int) -> list[tuple[int, int, int, int, int]]:
@@ -108,17 +100,17 @@ def _passages(text: np.ndarray, doc_off: np.ndarray, pos: np.ndarray, item_at: n
     new_pair = np.r_[True, (doc[1:] != doc[:-1]) | (item[1:] != item[:-1])]
     starts = np.flatnonzero(new_pair)
     stops = np.r_[starts[1:], len(pos)]
-    # a passage of `least` words with the allowed changes shows phrases at several places: skip thin pairs early
-    spread = np.maximum.reduceat(item_at, starts) - np.minimum.reduceat(item_at, starts) + SEED if len(starts) else np.zeros(0, np.int64)
+    room = _room(text, doc_off, np.cumsum(new_pair) - 1, doc[starts], item[starts], diag, items) >= least - 1e-6
+    some = np.logical_or.reduceat(room, starts) if len(starts) else np.zeros(0, bool)
     out = []
-    for s, e in zip(starts[spread >= SEED + 1], stops[spread >= SEED + 1]):
+    for s, e in zip(starts[some], stops[some]):
         d, it = int(doc[s]), int(item[s])
         dlo, dhi = int(doc_off[d]), int(doc_off[d + 1])
         ilo, ihi = int(items.offsets[it]), int(items.offsets[it + 1])
         # each diagonal near which hits gather is aligned once
         used: set[int] = set()
         found: list[tuple[int, int, int]] = []
-        for g, _ in Counter(diag[s:e].tolist()).most_common():
+        for g, _ in Counter(diag[s:e][room[s:e]].tolist()).most_common():
             if any(abs(g - u) <= DRIFT for u in used):
                 continue
             used.add(g)
@@ -129,6 +121,40 @@ def _passages(text: np.ndarray, doc_off: np.ndarray, pos: np.ndarray, item_at: n
     return out
 
 
+def _room(text: np.ndarray, doc_off: np.ndarray, pair: np.ndarray, doc: np.ndarray, item: np.ndarray, diag: np.ndarray, items: Items) -> np.ndarray:
+    """For each hit the most words that a passage near its diagonal can hold.
+
+    A hit is extended along its diagonal only, so the words that match are among those equal on the diagonals of
+    the pair's hits; a passage has no more changed words beside them than ``CHANGED`` allows. No passage is lost.
+    """
+    order = np.lexsort((diag, pair))
+    pair, diag = pair[order], diag[order]
+    first = np.r_[True, (pair[1:] != pair[:-1]) | (diag[1:] != diag[:-1])][: len(pair)]
+    line = np.cumsum(first) - 1
+    pair, diag = pair[first], diag[first]
+    begin, stop = items.offsets[item[pair]], items.offsets[item[pair] + 1]
+    # item words that stand beside words of the document on this diagonal
+    begin, stop = np.maximum(begin, doc_off[doc[pair]] - diag), np.minimum(stop, doc_off[doc[pair] + 1] - diag)
+    size = stop - begin
+    most = np.zeros(len(pair))
+    ends = np.cumsum(size)
+    at = 0
+    while at < len(pair):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + (1 << 21), "right")))
+        n = size[at:to]
+        rep = np.repeat(np.arange(to - at), n)
+        q = np.arange(len(rep)) - np.repeat(np.cumsum(n) - n, n) + begin[at:to][rep]
+        same = text[q + diag[at:to][rep]] == items.text[q]
+        most[at:to] = np.bincount(rep[same], items.counts[q[same]] + CHANGED / (1 - CHANGED), to - at)
+        at = to
+    # diagonals within DRIFT are aligned together
+    place, total = pair * 4 * (len(text) + len(items.text)) + diag, np.r_[0, np.cumsum(most)]
+    near = total[np.searchsorted(place, place + DRIFT, "right")] - total[np.searchsorted(place, place - DRIFT)]
+    out = np.empty(len(order))
+    out[order] = near[line]
+    return out
+
+
 def _align(doc: np.ndarray, item: np.ndarray, counts: np.ndarray, dpos: np.ndarray, ipos: np.ndarray) -> list[tuple[int, int, int]]:
     """Chains of matching stretches around the hits, as (first word, past the last word, item words held)."""
     order = np.lexsort((dpos, ipos))
@@ -188,8 +214,7 @@ def _scan(batches: Iterator[pa.RecordBatch], shared, least: int, spans: bool) ->
         other = text == 0
         text[other] = top + 1 + np.arange(int(other.sum()))
         index = FMIndex(text, top)
-        pos, at = _seeds(index, items)
-        found = _passages(text, doc_off, pos, at, items, least) if len(pos) else []
+        found = [f for pos, at in _seeds(index, items) for f in _passages(text, doc_off, pos, at, items, least)]
         rows = {}
         for d, i, a, b, w in found:
             rows.setdefault((ids[d], i), []).append((a + bases[d], b + bases[d], w, d))

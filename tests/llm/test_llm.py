@@ -204,6 +204,23 @@ def test_leaks(spark, monkeypatch):
     assert leakage.find_leaks(d.limit(0), e).count() == 0 and leakage.find_leaks(d, e.limit(0)).count() == 0
 
 
+def test_leaks_of_a_hot_item(spark, monkeypatch):
+    rng = random.Random(12)
+    item = [f"w{i}" for i in range(30)]
+    # copied cleanly many times, and with words changed so that the clean runs are of 5 to 9 words
+    docs = [(i, " ".join(item)) for i in range(60)]
+    for i in range(60, 80):
+        w, at = list(item), rng.randint(5, 8)
+        while at < 30:
+            w[at], at = f"x{i}", at + rng.randint(6, 10)
+        docs.append((i, " ".join(w)))
+    d = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    e = spark.createDataFrame([(1, " ".join(item)), (2, " ".join(item[::-1]))], "item_id long, text string")
+    for hits in (1_000_000, 50):
+        monkeypatch.setattr(leakage, "HITS", hits, raising=False)
+        assert {(r.doc_id, r.item_id) for r in leakage.find_leaks(d, e).collect()} == {(i, 1) for i in range(80)}
+
+
 # ---- mixing ------------------------------------------------------------------------------------------------
 
 
