@@ -5,7 +5,8 @@ headers, footers, page numbers) from the lines around it by how they would flow
 words broken at a line end from words that own their hyphen. Both are trained on synthetic pages set from at
 most ``TRAIN_ROWS`` unscanned rows of the same table. Lines that remain are joined into paragraphs.
 
-Words. Every word of the whole table is counted. Words of scanned rows that are rare are looked up among
+Words. Every word of the whole table is counted, once for each distinct content below the record's own header, so
+copies of a page do not make its misreadings frequent. Words of scanned rows that are rare are looked up among
 frequent words through an inverted join of character q-grams, taken after signs that recognition confuses are
 folded together, and a boosted-tree ranking trained on artificial misreadings and on ordinary slips, which are
 no misreadings, chooses the replacement or none.
@@ -450,16 +451,16 @@ def _lay_out(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBat
     m: Models = shared.value
     get = m.lexicon.get
     for batch in batches:
-        out: list[list] = [[], [], [], []]
-        for row, text, title in zip(*(c.to_pylist() for c in batch.columns)):
+        out: list[list] = [[], [], [], [], []]
+        for row, text, title, page in zip(*(c.to_pylist() for c in batch.columns)):
             if not has_layout(text):
                 continue
             head, mark, body = text.rpartition("--- Document Content ---\n")
             fixed, kinds = layout(Page.of(body, title), m.furniture, m.hyphen, m.lexicon, m.folded)
             odd = sorted({c for t in fixed.split() if get(t.lower(), 0) < m.rare and (c := core_word(t)) and is_word(c) and get(c.lower(), 0) < m.rare})
-            for c, v in zip(out, (row, head + mark + fixed, sorted(kinds), odd)):
+            for c, v in zip(out, (row, head + mark + fixed, sorted(kinds), odd, page)):
                 c.append(v)
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.string(), pa.list_(pa.string()), pa.list_(pa.string())))], names=["id", "text", "kinds", "odd"])
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.string(), pa.list_(pa.string()), pa.list_(pa.string()), pa.int64()))], names=["id", "text", "kinds", "odd", "page"])
 
 
 def _explode_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -489,7 +490,7 @@ def _corrections(odd: DataFrame, lexicon: DataFrame, ranking, total: int) -> Dat
     # a confusion may spoil GRAM + 1 grams beyond what folding mends; half of the grams of short words
     shared = shared.where((F.lower("w") != F.col("v")) & (F.col("shared") >= F.greatest(F.lit(2), F.greatest("lw", "lv") - 3 - F.when(F.col("lw") < 6, 0).otherwise(1))))
     named = shared.join(odd.select(F.col("read").alias("w"), F.col("n").cast("double").alias("nr")), "w").join(strong.select(F.col("word").alias("v"), F.col("n").cast("double").alias("nv")), "v")
-    ranked = named.where("nv > 20 * nr").select("w", "v", "nr", "nv", "shared").mapInArrow(lambda it: _rank(it, ranking), "read string, printed string, p double")
+    ranked = named.select("w", "v", "nr", "nv", "shared").mapInArrow(lambda it: _rank(it, ranking), "read string, printed string, p double")
     best = Window.partitionBy("read").orderBy(F.desc("p"), "printed")
     return ranked.where("p > 0.5").withColumn("k", F.row_number().over(best)).where("k = 1").select("read", "printed")
 
@@ -525,7 +526,11 @@ def repair_scans(chunks: DataFrame, scanned: Column | None = None) -> DataFrame:
     spark = chunks.sparkSession
     rows = chunks.select("id", "record_title", "chunk_content", "page_number").where("chunk_content is not null")
     scan = rows.where(F.col("page_number") > 0 if scanned is None else scanned)
-    counts = stage(rows.select("chunk_content").mapInArrow(_count_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "word-counts")
+    body = F.substring_index("chunk_content", "--- Document Content ---\n", -1)
+    keyed = rows.select("id", F.xxhash64(body).alias("th"), F.length(body).alias("tl"))
+    firsts = keyed.groupBy("th", "tl").agg(F.min("id").alias("first"), F.count("*").alias("m")).where("m > 1")
+    repeats = stage(keyed.join(firsts, ["th", "tl"]).where("id <> first").select("id"), "repeats")
+    counts = stage(rows.join(repeats, "id", "left_anti").select("chunk_content").mapInArrow(_count_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "word-counts")
     total = counts.agg(F.sum("n")).first()[0] or 0
     kept = stage(counts.where(F.col("n") >= max(3.0, LEXICON_SHARE * total)), "lexicon")
     table = kept.toArrow()  # at most 1 / LEXICON_SHARE words
@@ -539,10 +544,10 @@ def repair_scans(chunks: DataFrame, scanned: Column | None = None) -> DataFrame:
     furniture, hyphen = train_layout(clean, laid, lexicon)
     shared = spark.sparkContext.broadcast(Models(furniture, hyphen, lexicon, fold_lexicon(lexicon), RARE_SHARE * total))
     ranking = spark.sparkContext.broadcast(train_ranking(lexicon, total))
-    laid_out = scan.select("id", "chunk_content", "record_title").mapInArrow(lambda it: _lay_out(it, shared), "id long, text string, kinds array<string>, odd array<string>")
+    laid_out = scan.select("id", "chunk_content", "record_title", F.xxhash64(body).alias("page")).mapInArrow(lambda it: _lay_out(it, shared), "id long, text string, kinds array<string>, odd array<string>, page long")
     laid_out = stage(laid_out, "laid-out")
     words = laid_out.select("id", F.explode("odd").alias("read"))
-    odd = words.groupBy("read").agg(F.count("*").alias("m")).join(counts.withColumnRenamed("word", "low"), F.lower("read") == F.col("low"), "left")
+    odd = laid_out.select("page", F.explode("odd").alias("read")).distinct().groupBy("read").agg(F.count("*").alias("m")).join(counts.withColumnRenamed("word", "low"), F.lower("read") == F.col("low"), "left")
     odd = stage(odd.select("read", F.greatest("m", F.coalesce("n", F.lit(0))).alias("n")), "odd-words")
     fixes = stage(_corrections(odd, kept, ranking, total), "corrections")
     by_row = words.join(fixes, "read").groupBy("id").agg(F.collect_list("read").alias("reads"), F.collect_list("printed").alias("printed"))

@@ -348,6 +348,17 @@ def test_repair(spark):
     assert scan_repair.repair_scans(df.limit(0)).count() == 0
 
 
+def test_repair_of_a_page_copied_often(spark):
+    rng = random.Random(13)
+    rows = [(i, f"Report {i}.txt", "\n\n".join(document(rng, 5) for _ in range(2)), 0) for i in range(400)]
+    page = "The valve of the bridge was signed with 12 ledgers\nnear the roof. The purnp of the c0ntract was signed\nwith 4 boilers near the depot and the survey was\nrecorded with 9 permits near the window."
+    head = "Record URI: {}\n\n--- Document Content ---\n"
+    rows += [(1000 + i, "Scan.pdf", head.format(i) + page, 3) for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, record_title string, chunk_content string, page_number int")
+    got = {r.id: r for r in scan_repair.repair_scans(df).collect()}
+    assert len(got) == 300 and all("misread" in r.kinds and "pump of the contract" in r.text for r in got.values())
+
+
 # ---- the registered queries --------------------------------------------------------------------------------
 
 
