@@ -6,7 +6,7 @@ items are searched backwards at once. Every occurrence is located, however frequ
 positions, and chained: hits of one item in one document on
 nearly the same diagonal, with gaps of a few changed words, form a passage. A passage counts when it holds at
 least ``least`` words of the item outside its shared lines, of which no more than one in ``1 / CHANGED`` are
-changed. A line that stands in more than ``SHARED`` items is an instruction and counts nothing.
+changed; a chain with more changed words is trimmed to the parts of it that count. A line that stands in more than ``SHARED`` items is an instruction and counts nothing.
 
 Scale: documents are scanned once and never shuffled; items are the stated query set and are searched in
 blocks of ``BLOCK`` items, and occurrences are located for as many items at a time as have ``HITS`` together, so
@@ -190,13 +190,28 @@ def _align(doc: np.ndarray, item: np.ndarray, counts: np.ndarray, dpos: np.ndarr
         else:
             chains.append([y])
     out = []
-    for c in chains:
-        lo, hi = c[0], c[-1] + 1
-        if len(c) >= (1 - CHANGED) * (hi - lo):
-            out.append((matched[lo], matched[c[-1]] + 1, int(counts[lo:hi].sum())))
+    held = np.r_[0, np.cumsum(counts)]
+    while chains:
+        c = np.array(chains.pop(), np.int64)
+        i, j = _fullest(c, held)
+        lo, hi = int(c[i]), int(c[j])
+        out.append((matched[lo], matched[hi] + 1, int(held[hi + 1] - held[lo])))
+        # what is left on both sides may hold passages of its own
+        chains += [x.tolist() for x in (c[:i], c[j + 1 :]) if len(x) >= SEED]
     return out
 
 
+def _fullest(chain: np.ndarray, held: np.ndarray) -> tuple[int, int]:
+    """First and last place of the part of a chain with few enough changed words that holds most words."""
+    k = np.arange(len(chain))
+    # a part from i to j is good enough when end[j] >= begin[i]; the last such j of each i
+    end, begin = k + 1 - (1 - CHANGED) * (chain + 1), k - (1 - CHANGED) * chain
+    best = np.maximum.accumulate(end[::-1])[::-1]
+    last = np.searchsorted(-best, -(begin - 1e-6), "right") - 1
+    i = int(np.argmax(held[chain[last] + 1] - held[chain]))
+    return i, int(last[i])
+
+
 def _scan(batches: Iterator[pa.RecordBatch], shared, least: int, spans: bool) -> Iterator[pa.RecordBatch]:
     items: Items = shared.value
     number, top = items.number.get, len(items.number)

@@ -221,6 +221,22 @@ def test_leaks_of_a_hot_item(spark, monkeypatch):
         assert {(r.doc_id, r.item_id) for r in leakage.find_leaks(d, e).collect()} == {(i, 1) for i in range(80)}
 
 
+def test_leaks_with_a_rewritten_clause(spark):
+    item = [f"w{i}" for i in range(60)]
+    docs = [
+        (1, item[:25] + [f"x{i}" for i in range(9)] + item[34:39]),
+        (2, item[:5] + [f"x{i}" for i in range(9)] + item[14:39]),
+        (3, item[:12] + [f"x{i}" for i in range(9)] + item[21:33]),  # 24 words in two parts
+        (4, item[:26] + [f"x{i}" for i in range(9)] + item[35:37] + [f"x{i}" for i in range(10)] + item[30:35]),
+    ]
+    d = spark.createDataFrame([(i, " ".join(w)) for i, w in docs], "doc_id long, text string")
+    e = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    assert {r.doc_id for r in leakage.find_leaks(d, e).collect()} == {1, 2, 4}
+    span = {r.doc_id: r for r in leakage.find_leaks(d, e, spans=True).collect()}
+    text = " ".join(docs[0][1])
+    assert text[span[1].start_char : span[1].end_char] == " ".join(item[:25]) and span[1].words == 25
+
+
 # ---- mixing ------------------------------------------------------------------------------------------------
 
 
