@@ -116,11 +116,12 @@ def dedup_best_per_record(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def ivf_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Top 20 of the ten nearest cells."""
+    """Top 20 of as many nearest cells as a measured recall needs."""
     e = table(spark, sf_dir, "embeddings")
     cells = vector.fit_cells(e, "embedding", 20)
     q = _query_vector(spark, sf_dir)
-    near = vector.assign_cells(e, "embedding", cells).where(F.col("cell").isin(vector.probe_cells(cells, q, 10)))
+    probes = vector.probes_for(e, "embedding", cells, 20)
+    near = vector.assign_cells(e, "embedding", cells).where(F.col("cell").isin(vector.probe_cells(cells, q, probes)))
     return vector.top_k(near, "vec_id", "embedding", q, 20, -2.0)
 
 

@@ -3,6 +3,7 @@
 import zipfile
 from datetime import datetime
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -25,6 +26,22 @@ def test_vector_edge_cases(spark):
     assert vector.cell_count(5) == 100 and vector.cell_count(10**9) == 5000
 
 
+def test_probed_cells_against_exact(spark, tmp_path, monkeypatch):
+    from recordloom.plans import registry
+
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.normal(size=32).tolist()) for i in range(1500)]
+    e = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    e.write.parquet(f"{tmp_path}/embeddings.parquet")
+    shares = []
+    for i in range(0, 1500, 150):
+        q = rows[i][1]
+        monkeypatch.setattr(registry, "_query_vector", lambda *_, q=q: q)
+        exact = {r.id for r in vector.top_k(e, "vec_id", "embedding", q, 20, -2.0).collect()}
+        shares.append(len(exact & {r[0] for r in registry.queries()["ivf_probe"](spark, str(tmp_path)).collect()}) / 20)
+    assert sum(shares) / len(shares) >= 0.9
+
+
 def test_lexical(spark):
     df = spark.createDataFrame([(1, "Timber cost", "the cost of timber"), (2, "Other", "timber timber"), (3, None, None), (4, "", "")], "id long, title string, body string")
     index = lexical.postings(df, "id", {"title": "A", "body": "B"})
