@@ -824,13 +824,13 @@ def dummy_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def search_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A whole search: a query about a month, both legs, filters, one hit per record, access of one user."""
+    """A whole search: filters and access of one user before both legs are cut, one hit per record."""
     chunks = table(spark, sf_dir, "record_chunks")
     index = lexical.postings(chunks, "embedding_id", {"record_title": "A", "chunk_content": "B", "document_category": "C", "container": "D"})
     groups = table(spark, sf_dir, "user_groups")
     s = pipeline.Store(chunks, index, table(spark, sf_dir, "record_acl"), table(spark, sf_dir, "acl_group_members"), groups)
     q = list(chunks.where("size(vector) = 64").orderBy("id").select("vector").first()[0])
-    hits = pipeline.search(s, "pdf about the cost of timber", lambda _: q, datetime(2026, 1, 28), 20, 0.1, user=groups.agg(F.min("user_id")).first()[0])
+    hits = pipeline.search(s, "pdf about the cost of timber", lambda _: q, datetime(2026, 1, 28), 20, 0.1, user=groups.agg(F.min("user_id")).first()[0], filter_first=True)
     return hits.select("record_uri", "embedding_id", "score", "record_title", "date_created")
 
 

@@ -28,9 +28,9 @@ class Store:
 def search(store: Store, query: str, embed: Callable[[str], Sequence[float]], now: datetime, top_k: int = 20, min_score: float = 0.3, user: int | None = None, metadata: dict[str, str] | None = None, filter_first: bool = False) -> DataFrame:
     """Hits of a natural-language query, best first, or by date when the query asks for earliest or latest.
 
-    By default filters apply to the fused hits and a date range that leaves nothing is dropped; with
-    ``filter_first`` all filters and access rules apply before the legs are cut, which gives the exact best hits
-    among the allowed. Access rules always apply before the final cut.
+    With ``filter_first`` all filters and access rules apply before the legs are cut, which gives the best hits
+    among the allowed. Without it, for parity only, filters and access rules apply to the fused hits, so allowed
+    hits below the cut of the legs are lost, and a date range that leaves nothing is dropped.
     """
     intent: QueryIntent = understand(query, now, top_k, min_score)
     chunks = filters.entity_filter(store.chunks)
@@ -48,7 +48,7 @@ def search(store: Store, query: str, embed: Callable[[str], Sequence[float]], no
     else:
         fused = hybrid.fuse(semantic, found, intent.limit, intent.min_score)
     # at most 1000 narrow rows: wide columns are joined only now
-    hits = store.chunks.join(F.broadcast(fused.withColumnRenamed("id", "embedding_id")), "embedding_id")
+    hits = (chunks if filter_first else store.chunks).join(F.broadcast(fused.withColumnRenamed("id", "embedding_id")), "embedding_id")
     if not filter_first:
         hits = _allowed(_filtered(stage(hits, "hits"), intent, metadata, True), store, user)
     best = hybrid.best_per_record(hits, tie="embedding_id")

@@ -90,6 +90,27 @@ def test_acl_never_leaks(spark):
     assert len(acl.acl_ddl("d")) == 5
 
 
+def test_search_finds_allowed_hits_below_many_others(spark, tmp_path):
+    from recordloom.plans import registry
+
+    q = np.eye(64)[0]
+    near, far = (0.99 * q + 0.01 * np.eye(64)[1]).tolist(), (0.6 * q + 0.8 * np.eye(64)[1]).tolist()
+    rows = [(i, f"e{i:05}", i, f"cost of timber {i}.pdf", "pdf", q.tolist() if i == 0 else near if i < 1200 else far) for i in range(1205)]
+    chunks = spark.createDataFrame(rows, "id long, embedding_id string, record_uri long, record_title string, file_type string, vector array<double>")
+    rest = {"chunk_content": "cost of timber", "document_category": "x", "container": "x", "entity_type": filters.ENTITY, "record_type": "Document", "file_extension": ".pdf"}
+    chunks = chunks.withColumns({k: F.lit(v) for k, v in rest.items()}).withColumn("date_created", F.current_timestamp())
+    tables = {
+        "record_chunks": chunks,
+        "record_acl": spark.range(1205).select(F.col("id").alias("record_uri"), F.when(F.col("id") < 1200, 1).otherwise(2).cast("long").alias("acl_group"), F.lit("ViewDocument").alias("permission_type")),
+        "acl_group_members": spark.createDataFrame([(1, 900), (2, 7)], "acl_group long, location_id long"),
+        "user_groups": spark.createDataFrame([(5, 7)], "user_id long, group_id long"),
+    }
+    for name, df in tables.items():
+        df.write.parquet(f"{tmp_path}/{name}.parquet")
+    got = [r.record_uri for r in registry.queries()["search_pipeline"](spark, str(tmp_path)).collect()]
+    assert sorted(got) == list(range(1200, 1205))
+
+
 def test_store(spark, tmp_path):
     old = spark.createDataFrame([(1, "a", 1, datetime(2020, 1, 1)), (2, "b", 1, datetime(2020, 1, 1))], "id long, embedding_id string, n int, created_at timestamp")
     new = spark.createDataFrame([(9, "b", 2, datetime(2021, 1, 1)), (10, "c", 2, datetime(2021, 1, 1)), (11, "c", 3, datetime(2022, 1, 1))], old.schema)
