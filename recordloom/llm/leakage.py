@@ -6,7 +6,7 @@ items are searched backwards at once. Every occurrence is located, however frequ
 positions, and chained: hits of one item in one document on
 nearly the same diagonal, with gaps of a few changed words, form a passage. A passage counts when it holds at
 least ``least`` words of the item outside its shared lines, of which no more than one in ``1 / CHANGED`` are
-changed; a chain with more changed words is trimmed to the parts of it that count. A line that stands in more than ``SHARED`` items is an instruction and counts nothing.
+changed; a chain with more changed words is trimmed to the parts of it that count. A line that stands in more than ``SHARED`` different items, of all items, is an instruction and counts nothing.
 
 Scale: documents are scanned once and never shuffled; items are the stated query set and are searched in
 blocks of ``BLOCK`` items, and occurrences are located for as many items at a time as have ``HITS`` together, so
@@ -41,9 +41,8 @@ DRIFT, GAP = 3, 9
 class Items:
     """Words of a block of items: numbers, offsets, and which words count."""
 
-    def __init__(self, rows: list[tuple[int, str | None]]):
+    def __init__(self, rows: list[tuple[int, str | None]], instructions: set[str]):
         self.ids = [r[0] for r in rows]
-        lines = Counter(line for _, t in rows for line in {" ".join(words(x)) for x in (t or "").split("\n")} if line)
         seqs, masks = [], []
         for _, text in rows:
             seq: list[str] = []
@@ -51,7 +50,7 @@ class Items:
             for line in (text or "").split("\n"):
                 w = words(line)
                 seq += w
-                mask += [lines[" ".join(w)] <= SHARED] * len(w)
+                mask += [" ".join(w) not in instructions] * len(w)
             seqs.append(seq)
             masks.append(mask)
         self.number = {w: i + 1 for i, w in enumerate(sorted({w for s in seqs for w in s}))}
@@ -269,6 +268,13 @@ def _scan(batches: Iterator[pa.RecordBatch], shared, least: int, spans: bool) ->
         yield give(ids, texts, seqs, bases)
 
 
+def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``(item, line)``: the words of each item, as one string, and of each of its different lines."""
+    for batch in batches:
+        out = [(" ".join(words(t)), line) for t in batch.column(0).to_pylist() for line in {" ".join(words(x)) for x in t.split("\n")} if line]
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.string()) for k in (0, 1)], names=["item", "line"])
+
+
 def find_leaks(docs: DataFrame, evals: DataFrame, least: int = 25, spans: bool = False) -> DataFrame:
     """``(doc_id, item_id)`` of every document that holds a passage of at least ``least`` words of an item.
 
@@ -279,13 +285,16 @@ def find_leaks(docs: DataFrame, evals: DataFrame, least: int = 25, spans: bool =
     spark = docs.sparkSession
     rows = evals.select("item_id", "text").where("text is not null").orderBy("item_id")
     total = rows.count()
+    # copies of an item count once, so that they do not make its passage an instruction
+    lines = rows.select("text").mapInArrow(_lines, "item string, line string").select(F.sha2("item", 256).alias("item"), "line").distinct()
+    instructions = {r[0] for r in lines.groupBy("line").count().where(F.col("count") > SHARED).select("line").collect()}
     schema = "doc_id long, item_id long" + (", start_char int, end_char int, words int" if spans else "")
     out = None
     ids = [r[0] for r in rows.select("item_id").collect()] if total > BLOCK else []
     bounds = [(ids[i], ids[min(i + BLOCK, total) - 1]) for i in range(0, total, BLOCK)] if ids else [(None, None)]
     for lo, hi in bounds:
         part = rows if lo is None else rows.where(F.col("item_id").between(lo, hi))
-        shared = spark.sparkContext.broadcast(Items([tuple(r) for r in part.collect()]))
+        shared = spark.sparkContext.broadcast(Items([tuple(r) for r in part.collect()], instructions))
         hits = docs.select("doc_id", "text").where("text is not null").mapInArrow(lambda it, s=shared: _scan(it, s, least, spans), schema)
         out = hits if out is None else out.union(hits)
     return out.dropDuplicates(["doc_id", "item_id"] + (["start_char"] if spans else []))

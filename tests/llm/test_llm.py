@@ -221,6 +221,17 @@ def test_leaks_of_a_hot_item(spark, monkeypatch):
         assert {(r.doc_id, r.item_id) for r in leakage.find_leaks(d, e).collect()} == {(i, 1) for i in range(80)}
 
 
+def test_leaks_of_repeated_items(spark, monkeypatch):
+    rule = "Read the passage below and answer the question that follows it in one short sentence " + " ".join(f"r{i}" for i in range(20))
+    passage = " ".join(f"w{i}" for i in range(30))
+    items = [(i, f"{rule}\n{passage}") for i in range(4)] + [(10 + i, f"{rule}\n" + " ".join(f"v{i}x{k}" for k in range(30))) for i in range(4)]
+    e = spark.createDataFrame(items, "item_id long, text string")
+    d = spark.createDataFrame([(1, passage), (2, rule)], "doc_id long, text string")
+    for block in (4000, 2):
+        monkeypatch.setattr(leakage, "BLOCK", block)
+        assert {(r.doc_id, r.item_id) for r in leakage.find_leaks(d, e).collect()} == {(1, i) for i in range(4)}
+
+
 def test_leaks_with_a_rewritten_clause(spark):
     item = [f"w{i}" for i in range(60)]
     docs = [
