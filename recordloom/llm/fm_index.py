@@ -13,18 +13,21 @@ SAMPLE = 8
 
 
 def suffix_array(text: np.ndarray) -> np.ndarray:
-    """Suffix array of non-negative integers below 2**21; a suffix that is a prefix of another comes first."""
+    """Suffix array of non-negative integers below 2**31; a suffix that is a prefix of another comes first."""
     n = len(text)
-    x = np.zeros(n + 3, np.int64)
+    bits = (int(text.max(initial=0)) + 1).bit_length()
+    step = max(1, min(3, 63 // bits))  # symbols that fit into one key
+    x = np.zeros(n + step, np.int64)
     x[:n] = text + 1
-    key = (x[:n] << 42) | (x[1 : n + 1] << 21) | x[2 : n + 2]
+    key = x[:n].copy()
+    for i in range(1, step):
+        key = (key << bits) | x[i : n + i]
     sa = np.argsort(key, kind="stable")
     head = np.r_[True, key[sa[1:]] != key[sa[:-1]]]
     rank = np.empty(n + 1, np.int64)
     rank[n] = -1
     begin = np.maximum.accumulate(np.where(head, np.arange(n), 0))
     rank[sa] = begin
-    step = 3
     tied = np.flatnonzero(~(head & np.r_[head[1:], True]))
     while len(tied) and step < n:
         rows = sa[tied]

@@ -2,18 +2,21 @@
 
 A task collects documents until it holds ``SHARD_WORDS`` words, numbers the words that evaluation items use
 (every other word is a separator of its own), and indexes the sequence. All phrases of ``SEED`` words of the
-items are searched backwards at once. Every occurrence is located, however frequent the phrase, by sampled suffix
+items are searched backwards at once; a passage of ``least`` words with at most one in ``1 / CHANGED`` changed always
+holds such a phrase unchanged. Every occurrence is located, however frequent the phrase, by sampled suffix
 positions, and chained: hits of one item in one document on
 nearly the same diagonal, with gaps of a few changed words, form a passage. A passage counts when it holds at
 least ``least`` words of the item outside its shared lines, of which no more than one in ``1 / CHANGED`` are
 changed; a chain with more changed words is trimmed to the parts of it that count. A line that stands in more than ``SHARED`` different items, of all items, is an instruction and counts nothing.
 
-Scale: documents are scanned once and never shuffled; items are the stated query set and are searched in
-blocks of ``BLOCK`` items, and occurrences are located for as many items at a time as have ``HITS`` together, so
-what each task holds is bounded by block and shard.
+Scale: documents are never shuffled, and are scanned and indexed once for each ``PASS_WORDS`` words of items, so the
+items that are broadcast at a time are bounded whatever their number. Within a pass they are searched in blocks of
+``BLOCK`` items, and occurrences are located for as many items at a time as have ``HITS`` together, so what each
+task holds is bounded by pass and shard. Lines are counted before items are cut into passes, so results do not
+depend on passes and blocks.
 
 Defined results: null and empty texts and items have no passages; repeated documents and repeated items are
-reported each on its own; a document may hold several items.
+reported each on its own, a null ``item_id`` too; a document may hold several items.
 """
 
 from __future__ import annotations
@@ -28,42 +31,40 @@ from pyspark.sql import functions as F
 
 from recordloom.llm.fm_index import FMIndex
 from recordloom.llm.words import WORD, words
+from recordloom.session import bounded_broadcast, stage
 
 SHARD_WORDS = 1_000_000
-SEED = 5
+SEED = 4
 HITS = 1_000_000
 BLOCK = 4000
+PASS_WORDS = 4_000_000
 SHARED = 2
 CHANGED = 0.2
 DRIFT, GAP = 3, 9
 
 
 class Items:
-    """Words of a block of items: numbers, offsets, and which words count."""
+    """Words of the items of a pass, given as lines and whether they are instructions: numbers, offsets, and which words count."""
 
-    def __init__(self, rows: list[tuple[int, str | None]], instructions: set[str]):
+    def __init__(self, rows: list[tuple[int | None, list[tuple[str, bool]]]]):
         self.ids = [r[0] for r in rows]
-        seqs, masks = [], []
-        for _, text in rows:
-            seq: list[str] = []
-            mask: list[bool] = []
-            for line in (text or "").split("\n"):
-                w = words(line)
-                seq += w
-                mask += [" ".join(w) not in instructions] * len(w)
-            seqs.append(seq)
-            masks.append(mask)
-        self.number = {w: i + 1 for i, w in enumerate(sorted({w for s in seqs for w in s}))}
+        seqs = [[(w, shared) for line, shared in lines for w in line.split()] for _, lines in rows]
+        self.number = {w: i + 1 for i, w in enumerate(sorted({w for s in seqs for w, _ in s}))}
         self.offsets = np.r_[0, np.cumsum([len(s) for s in seqs])].astype(np.int64)
-        self.text = np.array([self.number[w] for s in seqs for w in s], np.int64)
-        self.counts = np.array([x for m in masks for x in m], bool)
-        self.owner = np.repeat(np.arange(len(rows)), np.diff(self.offsets))
+        self.text = np.array([self.number[w] for s in seqs for w, _ in s], np.int64)
+        self.counts = np.array([not x for s in seqs for _, x in s], bool)
+        self.owner = np.repeat(np.arange(len(rows), dtype=np.int32), np.diff(self.offsets))
 
 
 def _seeds(index: FMIndex, items: Items) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Text positions and item word positions of all phrases found, whole items at a time, of ``HITS`` together."""
-    begin = items.offsets[:-1][items.owner]
-    last = np.flatnonzero(np.arange(len(items.text)) - begin >= SEED - 1)
+    for first in range(0, len(items.ids), BLOCK):
+        yield from _block_seeds(index, items, int(items.offsets[first]), int(items.offsets[min(first + BLOCK, len(items.ids))]))
+
+
+def _block_seeds(index: FMIndex, items: Items, lo: int, hi: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    at = np.arange(lo, hi)
+    last = at[at - items.offsets[:-1][items.owner[lo:hi]] >= SEED - 1]
     low = np.zeros(len(last), np.int64)
     high = np.full(len(last), index.n, np.int64)
     for length in range(1, SEED + 1):
@@ -218,7 +219,7 @@ def _scan(batches: Iterator[pa.RecordBatch], shared, least: int, spans: bool) ->
     kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()][: len(names)]
 
     longest = int(np.diff(items.offsets).max(initial=0))
-    room = max(min(SHARD_WORDS, (1 << 21) - 4 - top), 4 * longest)
+    room = max(SHARD_WORDS, 4 * longest)
 
     def give(ids: list, texts: list, seqs: list, bases: list) -> pa.RecordBatch:
         doc_off = np.r_[0, np.cumsum([len(s) + 1 for s in seqs])].astype(np.int64)
@@ -269,10 +270,34 @@ def _scan(batches: Iterator[pa.RecordBatch], shared, least: int, spans: bool) ->
 
 
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``(item, line)``: the words of each item, as one string, and of each of its different lines."""
+    """``(uid, n, line, item)``: the words of each line of each item, and of the whole item, as one string each."""
     for batch in batches:
-        out = [(" ".join(words(t)), line) for t in batch.column(0).to_pylist() for line in {" ".join(words(x)) for x in t.split("\n")} if line]
-        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.string()) for k in (0, 1)], names=["item", "line"])
+        out = [(u, n, line, " ".join(words(t))) for u, t in zip(*(c.to_pylist() for c in batch.columns)) for n, x in enumerate(t.split("\n")) if (line := " ".join(words(x)))]
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.string(), pa.string()))], names=["uid", "n", "line", "item"])
+
+
+def _marked_items(evals: DataFrame) -> DataFrame:
+    """``(item_id, lines)`` of each item with words, its lines in order with whether they are instructions."""
+    rows = stage(evals.select("item_id", "text").where("text is not null").withColumn("uid", F.monotonically_increasing_id()), "items")
+    lines = rows.select("uid", "text").mapInArrow(_lines, "uid long, n int, line string, item string").select("uid", "n", "line", F.sha2("item", 256).alias("item"))
+    # copies of an item count once, so that they do not make its passage an instruction
+    shared = lines.select("line", "item").distinct().groupBy("line").count().where(F.col("count") > SHARED).select("line", F.lit(True).alias("shared"))
+    marked = lines.join(bounded_broadcast(shared, BLOCK), "line", "left").select("uid", F.struct("n", "line", F.coalesce("shared", F.lit(False)).alias("shared")).alias("x"))
+    return rows.select("uid", "item_id").join(marked.groupBy("uid").agg(F.sort_array(F.collect_list("x")).alias("lines")), "uid").select("item_id", "uid", "lines")
+
+
+def _passes(marked: DataFrame) -> Iterator[Items]:
+    """Items of ``PASS_WORDS`` words at a time, brought to the driver one partition after the other."""
+    held, size = [], 0
+    for r in marked.orderBy("item_id", "uid").toLocalIterator():
+        n = sum(x["line"].count(" ") + 1 for x in r["lines"])
+        if held and size + n > PASS_WORDS:
+            yield Items(held)
+            held, size = [], 0
+        held.append((r["item_id"], [(x["line"], x["shared"]) for x in r["lines"]]))
+        size += n
+    if held:
+        yield Items(held)
 
 
 def find_leaks(docs: DataFrame, evals: DataFrame, least: int = 25, spans: bool = False) -> DataFrame:
@@ -283,18 +308,15 @@ def find_leaks(docs: DataFrame, evals: DataFrame, least: int = 25, spans: bool =
     shards; such repeats are removed.
     """
     spark = docs.sparkSession
-    rows = evals.select("item_id", "text").where("text is not null").orderBy("item_id")
-    total = rows.count()
-    # copies of an item count once, so that they do not make its passage an instruction
-    lines = rows.select("text").mapInArrow(_lines, "item string, line string").select(F.sha2("item", 256).alias("item"), "line").distinct()
-    instructions = {r[0] for r in lines.groupBy("line").count().where(F.col("count") > SHARED).select("line").collect()}
     schema = "doc_id long, item_id long" + (", start_char int, end_char int, words int" if spans else "")
-    out = None
-    ids = [r[0] for r in rows.select("item_id").collect()] if total > BLOCK else []
-    bounds = [(ids[i], ids[min(i + BLOCK, total) - 1]) for i in range(0, total, BLOCK)] if ids else [(None, None)]
-    for lo, hi in bounds:
-        part = rows if lo is None else rows.where(F.col("item_id").between(lo, hi))
-        shared = spark.sparkContext.broadcast(Items([tuple(r) for r in part.collect()], instructions))
-        hits = docs.select("doc_id", "text").where("text is not null").mapInArrow(lambda it, s=shared: _scan(it, s, least, spans), schema)
-        out = hits if out is None else out.union(hits)
-    return out.dropDuplicates(["doc_id", "item_id"] + (["start_char"] if spans else []))
+    key = ["doc_id", "item_id"] + (["start_char"] if spans else [])
+    out, last = None, None
+    for items in _passes(_marked_items(evals)):
+        if last is not None:  # an earlier pass is carried out before the next one is broadcast
+            out = stage(hits, "leaks") if out is None else out.union(stage(hits, "leaks"))
+            last.unpersist()
+        last = spark.sparkContext.broadcast(items)
+        hits = docs.select("doc_id", "text").where("text is not null").mapInArrow(lambda it, s=last: _scan(it, s, least, spans), schema)
+    if last is None:
+        return spark.createDataFrame([], schema)
+    return (hits if out is None else out.union(hits)).dropDuplicates(key)

@@ -199,6 +199,8 @@ def test_leaks(spark, monkeypatch):
     monkeypatch.setattr(leakage, "SHARD_WORDS", 2000)
     monkeypatch.setattr(leakage, "BLOCK", 5)
     assert found() == want
+    monkeypatch.setattr(leakage, "PASS_WORDS", 300)
+    assert found() == want
     span = {r.doc_id: r for r in leakage.find_leaks(d, e, spans=True).collect() if r.item_id == 6}[107]
     assert words(long[span.start_char : span.end_char])[:40] == words(passage(6, 60))[:40]
     assert leakage.find_leaks(d.limit(0), e).count() == 0 and leakage.find_leaks(d, e.limit(0)).count() == 0
@@ -227,11 +229,33 @@ def test_leaks_of_repeated_items(spark, monkeypatch):
     items = [(i, f"{rule}\n{passage}") for i in range(4)] + [(10 + i, f"{rule}\n" + " ".join(f"v{i}x{k}" for k in range(30))) for i in range(4)]
     e = spark.createDataFrame(items, "item_id long, text string")
     d = spark.createDataFrame([(1, passage), (2, rule)], "doc_id long, text string")
-    for block in (4000, 2):
+    for block, words_at_once in ((4000, 4_000_000), (2, 4_000_000), (4000, 100)):
         monkeypatch.setattr(leakage, "BLOCK", block)
+        monkeypatch.setattr(leakage, "PASS_WORDS", words_at_once)
         assert {(r.doc_id, r.item_id) for r in leakage.find_leaks(d, e).collect()} == {(1, i) for i in range(4)}
 
 
+def test_leaks_do_not_depend_on_passes(spark, monkeypatch):
+    """A quotation that is half instruction, null ids and every fifth word changed, in one pass and in many."""
+    rule = " ".join(f"r{i}" for i in range(16))
+    items = [(i, rule + "\n" + " ".join(f"v{i}x{k}" for k in range(40))) for i in range(8)] + [(None, " ".join(f"n{k}" for k in range(30))), (None, " ".join(f"m{k}" for k in range(30)))]
+    every_fifth = " ".join(f"v5x{k}" if k % 5 < 4 else "other" for k in range(34))
+    docs = [(1, rule + " " + " ".join(f"v3x{k}" for k in range(14))), (2, " ".join(f"n{k}" for k in range(30))), (3, every_fifth), (4, " ".join(f"v6x{k}" for k in range(24)))]
+    e = spark.createDataFrame(items, "item_id long, text string")
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    for block, words_at_once in ((4000, 4_000_000), (2, 4_000_000), (3, 120), (4000, 1)):
+        monkeypatch.setattr(leakage, "BLOCK", block)
+        monkeypatch.setattr(leakage, "PASS_WORDS", words_at_once)
+        assert {(r.doc_id, r.item_id) for r in leakage.find_leaks(d, e).collect()} == {(2, None), (3, 5)}
+
+
+@settings(max_examples=20, deadline=None)
+@given(st.lists(st.integers(0, 2**30), min_size=1, max_size=60))
+def test_suffix_array_of_large_symbols(text):
+    got = fm_index.suffix_array(np.array(text, np.int64))
+    assert got.tolist() == sorted(range(len(text)), key=lambda i: text[i:])
+
+
 def test_leaks_with_a_rewritten_clause(spark):
     item = [f"w{i}" for i in range(60)]
     docs = [
