@@ -8,11 +8,15 @@ verification; the lists of the others are short and are merged, and a match must
 there (``l = 1 + n // MERGE_SHARE``). Seen from the smaller record of a pair the bound is tighter, so a list
 entry says whether it may serve as the smaller side.
 
-Scale: the order only steers cost, any fixed order gives the same result, so document frequencies come from
-lossy counting over all records, and the table of frequent shingles holds at most ``FREQUENT_LIMIT`` entries
-by construction. Lists are spread by shingle; a list longer than ``HOT_LIST`` is cut into blocks that meet
-pairwise in separate groups. Records with equal sets travel as one class. Pairs leave a task counted, never
-listed once per shingle.
+Short lists are merged as sorted runs: a task holds whole lists, sorts the pairs that meet in them and counts each
+run, so a pair leaves a task as one row with its count, however many lists it shares there.
+
+Scale: the order only steers cost, any fixed order gives the same result, so it comes from lossy counting over all
+records, and the table of frequent shingles holds at most ``FREQUENT_LIMIT`` entries by construction. Lists are
+spread by shingle. Their lengths are counted exactly, after the order has chosen which entries they hold, and every
+list longer than ``HOT_LIST`` is cut into blocks that meet pairwise in separate groups. Records with equal sets (by
+two 64-bit hashes and the size) travel as one class; a class of more than ``HOT_LIST`` records is cut into blocks
+too where its pairs are asked for.
 
 Defined results: a record without any shingle (empty or very short texts) has no pairs; null contents count
 as empty; rows without ``record_uri`` are left out; repeated rows change nothing, since contents are sets.
@@ -29,11 +33,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recordloom.llm.words import list_array, list_parts, shingles, word_hashes, words
-from recordloom.session import stage
+from recordloom.session import bounded_broadcast, stage
 
 FREQUENT_LIMIT = 1 << 22
 MERGE_SHARE = 20
 HOT_LIST = 4096
+COPIES = 1 << 20  # rows of a broadcast of ids; beyond it the join is a shuffle
 _FLUSH = 2_000_000
 
 
@@ -66,11 +71,33 @@ def _content(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBat
 
 
 def record_sets(chunks: DataFrame, k: int = 3) -> DataFrame:
-    """``(uri, toks, sig, n)``: the shingle set of each record, and a signature equal for equal sets only."""
+    """``(uri, toks, n, sig, sig2)``: the shingle set of each record, its size and two hashes."""
     part = chunks.select("record_uri", "record_title", "chunk_content").where("record_uri is not null").mapInArrow(lambda it: _content(it, k), "uri long, toks array<long>")
     sets = part.groupBy("uri").agg(F.flatten(F.collect_list("toks")).alias("toks"))
     sets = sets.select("uri", F.sort_array(F.array_distinct("toks")).alias("toks")).where(F.size("toks") > 0)
-    return sets.select("uri", "toks", F.xxhash64("toks").alias("sig"), F.size("toks").alias("n"))
+    return sets.select("uri", "toks", F.size("toks").alias("n"), F.xxhash64("toks").alias("sig"), F.xxhash64(F.lit(1), "toks").alias("sig2"))
+
+
+def equal_sets(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``members(uri, rep, m)`` with the smallest uri of an equal set and how many are equal, and the sets of these alone."""
+    key = ["sig", "sig2", "n"]
+    several = sets.groupBy(*key).agg(F.min("uri").alias("rep"), F.count("*").alias("m")).where("m > 1")
+    copies = stage(sets.select("uri", *key).join(several, key).select("uri", "rep", "m"), "copies")
+    members = sets.select("uri").join(copies, "uri", "left").select("uri", F.coalesce("rep", "uri").alias("rep"), F.coalesce("m", F.lit(1)).alias("m"))
+    return members, sets.join(bounded_broadcast(copies.where("uri <> rep").select("uri"), COPIES), "uri", "left_anti").select("uri", "toks", "n")
+
+
+def _blocks(rows: DataFrame, of: list[str], ident: str) -> DataFrame:
+    """``rows`` with a count ``size`` of their group cut into blocks: a row goes to each pair of blocks its own is part of.
+
+    ``block`` names the pair within the group; ``side`` is 0 where a block meets itself, else 1 or 2.
+    """
+    rows = rows.withColumn("_b", F.ceil(F.col("size") / HOT_LIST).cast("int"))
+    rows = rows.withColumn("_own", F.pmod(F.xxhash64(ident), F.col("_b")).cast("int"))
+    rows = rows.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_b") - 1)))
+    low, high = F.least("_own", "_other"), F.greatest("_own", "_other")
+    side = F.when(low == high, 0).when(F.col("_own") == high, 2).otherwise(1).cast("byte")
+    return rows.select(*of, (low.cast("long") * F.col("_b") + high).alias("block"), side.alias("side"))
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,7 +134,7 @@ def _routes(batches: Iterator[pa.RecordBatch], frequent, num: int, den: int) ->
     fh, fc = frequent.value
     for batch in batches:
         off, toks = list_parts(batch.column(0))
-        sig = batch.column(1).to_numpy()
+        uri = batch.column(1).to_numpy()
         n = np.diff(off)
         if len(toks) == 0:
             continue
@@ -125,19 +152,8 @@ def _routes(batches: Iterator[pa.RecordBatch], frequent, num: int, den: int) ->
         index = n - -(-2 * num * n // (den + num)) + need
         take = rank < np.minimum(probe, n)[own]
         small = (rank < index[own])[take]
-        h, o, f = toks[take], own[take], df[take]
-        blocks = 1 + f // HOT_LIST
-        side = (sig[o].view(np.uint64) % blocks.astype(np.uint64)).astype(np.int64)
-        times = blocks  # a block meets every block, itself included
-        rep = np.repeat(np.arange(len(h)), times)
-        other = np.arange(len(rep)) - np.repeat(np.cumsum(times) - times, times)
-        mine = side[rep]
-        low, high = np.minimum(mine, other), np.maximum(mine, other)
-        key = h[rep] ^ (low * 0x5851F42D4C957F2D + high * 0x14057B7EF767814F)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(key, pa.int64()), pa.array(n[o][rep], pa.int32()), pa.array(sig[o][rep], pa.int64()), pa.array(small[rep]), pa.array(np.where(low == high, 0, 1 + (mine == high)), pa.int8())],
-            names=["h", "n", "sig", "small", "side"],
-        )
+        h, o = toks[take], own[take]
+        yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(n[o], pa.int32()), pa.array(uri[o], pa.int64()), pa.array(small)], names=["h", "n", "uri", "small"])
 
 
 def _merge(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
@@ -159,18 +175,17 @@ def _merge(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa
         pend_a.clear(), pend_b.clear(), pend_n.clear()
         size = 0
 
-    def pairs(h, n, sig, small, side) -> Iterator[pa.RecordBatch]:
+    def pairs(h, block, n, uri, small, side) -> Iterator[pa.RecordBatch]:
         nonlocal size
-        first = np.r_[True, (h[1:] != h[:-1]) | (sig[1:] != sig[:-1]) | (side[1:] != side[:-1])]
-        h, n, sig, small, side = h[first], n[first], sig[first], small[first], side[first]
+        group = np.cumsum(np.r_[True, (h[1:] != h[:-1]) | (block[1:] != block[:-1])])
         at, d = np.arange(len(h)), 1
         while len(at):
             at = at[at + d < len(h)]
             # sorted by size: once the partner is too large, or the list ends, later partners are too
-            at = at[(h[at + d] == h[at]) & (den * n[at] >= num * n[at + d])] if len(at) else at
+            at = at[(group[at + d] == group[at]) & (den * n[at] >= num * n[at + d])] if len(at) else at
             hit = at[small[at] & ((side[at] == 0) | (side[at] != side[at + d]))]
             if len(hit):
-                pend_a.append(sig[hit]), pend_b.append(sig[hit + d])
+                pend_a.append(uri[hit]), pend_b.append(uri[hit + d])
                 pend_n.append(np.minimum(1 + n[hit] // MERGE_SHARE, -(-num * n[hit] // den)))
                 size += len(hit)
                 if size > _FLUSH:
@@ -184,7 +199,9 @@ def _merge(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa
             cols = [np.concatenate(x) for x in zip(rest, cols)]
         if len(cols[0]) == 0:
             continue
-        cut = int(np.searchsorted(cols[0], cols[0][-1]))  # the last list may go on in the next batch
+        h, block = cols[0], cols[1]
+        cut = len(h) - int(np.argmax((h[::-1] != h[-1]) | (block[::-1] != block[-1])))  # the last list may go on in the next batch
+        cut = 0 if cut == len(h) else cut
         rest = [c[cut:] for c in cols]
         if cut:
             yield from pairs(*[c[:cut] for c in cols])
@@ -208,41 +225,51 @@ def _verify(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[p
         yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep), pa.array(common / np.maximum(union, 1)).filter(keep)], names=["a", "b", "similarity"])
 
 
+def _lists(routes: DataFrame) -> DataFrame:
+    """``(h, block, n, uri, small, side)``: staged ``routes`` with every list longer than ``HOT_LIST`` cut into blocks."""
+    plain = ["h", "block", "n", "uri", "small", "side"]
+    hot = stage(routes.groupBy("h").agg(F.count("*").alias("size")).where(F.col("size") > HOT_LIST), "hot-lists")
+    lists = routes.withColumns({"block": F.lit(0).cast("long"), "side": F.lit(0).cast("byte")}).select(plain)
+    if hot.isEmpty():
+        return lists
+    few = bounded_broadcast(hot, COPIES)
+    return lists.join(few, "h", "left_anti").union(_blocks(routes.join(few, "h"), ["h", "n", "uri", "small"], "uri").select(plain))
+
+
 def class_pairs(sets: DataFrame, threshold: float) -> DataFrame:
-    """``(a, b, similarity)`` between signatures of different sets; ``sets`` is a staged :func:`record_sets`."""
+    """``(a, b, similarity)`` between uris; ``sets(uri, toks, n)`` holds no set twice."""
     spark = sets.sparkSession
     t = Fraction(str(threshold))
     num, den = t.numerator, t.denominator
     total = sets.agg(F.sum("n")).first()[0] or 0
     frequent = spark.sparkContext.broadcast(_frequent(sets, total))
-    routes = sets.select("toks", "sig").mapInArrow(lambda it: _routes(it, frequent, num, den), "h long, n int, sig long, small boolean, side byte")
-    lists = routes.repartition("h").sortWithinPartitions("h", "n", "sig", "side")
+    routes = stage(sets.select("toks", "uri").mapInArrow(lambda it: _routes(it, frequent, num, den), "h long, n int, uri long, small boolean"), "routes")
+    lists = _lists(routes).repartition("h", "block").sortWithinPartitions("h", "block", "n", "uri")
     counted = lists.mapInArrow(lambda it: _merge(it, num, den), "a long, b long, need int, c int")
     wanted = counted.groupBy("a", "b").agg(F.sum("c").alias("c"), F.max("need").alias("need")).where("c >= need").select("a", "b")
     wanted = stage(wanted, "candidates")
-    ids = wanted.select(F.col("a").alias("sig")).union(wanted.select(F.col("b").alias("sig"))).distinct()
-    of = sets.join(ids, "sig", "left_semi").groupBy("sig").agg(F.first("toks").alias("toks"))
-    of = stage(of, "candidate-sets")
-    both = wanted.join(of.select(F.col("sig").alias("a"), F.col("toks").alias("ta")), "a").join(of.select(F.col("sig").alias("b"), F.col("toks").alias("tb")), "b")
+    ids = wanted.select(F.col("a").alias("uri")).union(wanted.select(F.col("b").alias("uri"))).distinct()
+    of = stage(sets.join(ids, "uri", "left_semi").select("uri", "toks"), "candidate-sets")
+    both = wanted.join(of.select(F.col("uri").alias("a"), F.col("toks").alias("ta")), "a").join(of.select(F.col("uri").alias("b"), F.col("toks").alias("tb")), "b")
     return both.select("a", "b", "ta", "tb").mapInArrow(lambda it: _verify(it, num, den), "a long, b long, similarity double")
 
 
 def similar_classes(chunks: DataFrame, threshold: float = 0.7, k: int = 3) -> tuple[DataFrame, DataFrame]:
-    """Staged ``members(uri, sig, n)`` and ``pairs(a, b, similarity)`` between classes of equal sets."""
-    sets = stage(record_sets(chunks, k), "record-sets")
-    pairs = stage(class_pairs(sets, threshold), "class-pairs")
-    return sets.select("uri", "sig", "n"), pairs
+    """``members(uri, rep, m)`` and staged ``pairs(a, b, similarity)`` between the representatives of equal sets."""
+    members, once = equal_sets(stage(record_sets(chunks, k), "record-sets"))
+    return members, stage(class_pairs(once, threshold), "class-pairs")
 
 
 def similar_records(chunks: DataFrame, threshold: float = 0.7, k: int = 3) -> DataFrame:
     """All pairs ``(record_uri_a, record_uri_b)`` of different records that match, smaller first, each once."""
     members, pairs = similar_classes(chunks, threshold, k)
-    left = members.select(F.col("uri").alias("u"), F.col("sig").alias("a"))
-    right = members.select(F.col("uri").alias("v"), F.col("sig").alias("b"))
+    left = members.select(F.col("uri").alias("u"), F.col("rep").alias("a"))
+    right = members.select(F.col("uri").alias("v"), F.col("rep").alias("b"))
     between = pairs.join(left, "a").join(right, "b").select("u", "v")
-    several = members.groupBy("sig").count().where("count > 1").select("sig")
-    equal = members.join(several, "sig", "left_semi")
-    within = equal.select(F.col("uri").alias("u"), "sig").join(equal.select(F.col("uri").alias("v"), "sig"), "sig").where("u < v").select("u", "v")
+    equal = _blocks(members.where("m > 1").withColumn("size", F.col("m")), ["rep", "uri"], "uri")
+    one = equal.select("rep", "block", F.col("uri").alias("u"), F.col("side").alias("su"))
+    two = equal.select("rep", "block", F.col("uri").alias("v"), F.col("side").alias("sv"))
+    within = one.join(two, ["rep", "block"]).where("u < v and (su = 0 or su <> sv)").select("u", "v")
     return between.union(within).select(F.least("u", "v").alias("record_uri_a"), F.greatest("u", "v").alias("record_uri_b"))
 
 
@@ -255,11 +282,10 @@ def similar_groups(chunks: DataFrame, threshold: float = 0.7, k: int = 3) -> Dat
     nor labels reach the driver.
     """
     members, pairs = similar_classes(chunks, threshold, k)
-    classes = stage(members.groupBy("sig").agg(F.min("uri").alias("class_id"), F.count("*").alias("m")), "classes")
-    ends = pairs.select("a", "b").union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    size = classes.select(F.col("sig").alias("b"), F.col("class_id").alias("other"), F.col("m").alias("mo"))
-    edges = ends.join(size, "b").join(classes.select(F.col("sig").alias("a"), F.col("class_id").alias("own")), "a").select("own", "other", "mo")
-    edges = stage(edges, "links")
+    members = stage(members, "members")
+    classes = members.where("uri = rep").select(F.col("rep").alias("class_id"), "m")
+    ends = pairs.select(F.col("a").alias("own"), F.col("b").alias("other")).union(pairs.select(F.col("b").alias("own"), F.col("a").alias("other")))
+    edges = stage(ends.join(classes.select(F.col("class_id").alias("other"), F.col("m").alias("mo")), "other").select("own", "other", "mo"), "links")
     links = edges.groupBy(F.col("own").alias("class_id")).agg(F.sum("mo").alias("links"))
     label = stage(edges.select(F.col("own").alias("node")).distinct().withColumn("label", F.col("node")), "labels")
     while True:
@@ -271,5 +297,5 @@ def similar_groups(chunks: DataFrame, threshold: float = 0.7, k: int = 3) -> Dat
         if nxt.where("label <> old").isEmpty():
             break
     out = classes.join(links, "class_id", "left").join(label.select(F.col("node").alias("class_id"), F.col("label").alias("g")), "class_id", "left")
-    out = out.select("sig", "class_id", F.coalesce("g", "class_id").alias("group_id"), (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("n_links"))
-    return members.select("uri", "sig").join(out, "sig").select(F.col("uri").alias("record_uri"), "class_id", "group_id", "n_links")
+    out = out.select("class_id", F.coalesce("g", "class_id").alias("group_id"), (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("n_links"))
+    return members.select(F.col("uri").alias("record_uri"), F.col("rep").alias("class_id")).join(out, "class_id").select("record_uri", "class_id", "group_id", "n_links")

@@ -95,7 +95,7 @@ WITH texts AS (
 w AS (SELECT record_uri, regexp_extract_all(lower(t), '[\p{L}\p{N}]+') AS ws FROM texts WHERE t IS NOT NULL),
 g AS (SELECT DISTINCT record_uri, unnest([ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] FOR i IN range(1, len(ws) - 1)]) AS s FROM w),
 n AS (SELECT record_uri, count(*) AS n FROM g GROUP BY 1),
-rare AS (SELECT s FROM g GROUP BY s HAVING count(*) BETWEEN 2 AND 60),
+rare AS (SELECT s FROM g GROUP BY s HAVING count(*) > 1),
 c AS (SELECT DISTINCT a.record_uri AS x, b.record_uri AS y FROM g a JOIN rare USING (s) JOIN g b USING (s) WHERE a.record_uri < b.record_uri),
 o AS (SELECT x, y, count(*) AS o FROM c JOIN g a ON a.record_uri = x JOIN g b ON b.record_uri = y AND b.s = a.s GROUP BY 1, 2)
 SELECT x AS record_uri_a, y AS record_uri_b FROM o JOIN n a ON a.record_uri = x JOIN n b ON b.record_uri = y WHERE 10 * o >= 7 * (a.n + b.n - o)""",

@@ -74,6 +74,19 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch):
     assert near_dup.similar_records(df.limit(0)).count() == 0
 
 
+def test_a_shingle_of_many_records_is_cut_into_blocks(spark, monkeypatch):
+    """Every list stays within two blocks, also where each partition holds a single record."""
+    monkeypatch.setattr(near_dup, "HOT_LIST", 50)
+    routes = spark.range(0, 2000, 1, 400).select(F.lit(7).cast("long").alias("h"), F.lit(9).alias("n"), F.col("id").alias("uri"), F.lit(True).alias("small"))
+    routes = routes.union(spark.range(5).select(F.lit(8).cast("long"), F.lit(9), "id", F.lit(True)))
+    lists = near_dup._lists(routes)
+    sizes = {(r.h, r.block): r["count"] for r in lists.groupBy("h", "block").count().collect()}
+    assert sizes.pop((8, 0)) == 5 and len(sizes) == 40 * 41 // 2 and max(sizes.values()) < 4 * 50
+    met = near_dup._merge(iter(lists.where("h = 7").repartition("h", "block").sortWithinPartitions("h", "block", "n", "uri").toArrow().combine_chunks().to_batches()), 7, 10)
+    pairs = pa.Table.from_batches(list(met)).to_pandas()
+    assert len(pairs.drop_duplicates(["a", "b"])) == len(pairs) == 2000 * 1999 // 2
+
+
 # ---- chunking ----------------------------------------------------------------------------------------------
 
 
