@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 
-SAMPLE = 8
+SAMPLE = 4
 
 
 def suffix_array(text: np.ndarray) -> np.ndarray:

@@ -21,6 +21,7 @@ reported each on its own, a null ``item_id`` too; a document may hold several it
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 
@@ -95,9 +96,19 @@ def _passages(text: np.ndarray, doc_off: np.ndarray, pos: np.ndarray, item_at: n
     doc = np.searchsorted(doc_off, pos, "right") - 1
     item = items.owner[item_at]
     diag = pos - item_at
+    order = np.lexsort((diag, doc * len(items.ids) + item))
+    doc, item = doc[order], item[order]
+    head = np.r_[True, (doc[1:] != doc[:-1]) | (item[1:] != item[:-1])][: len(doc)]
+    # a pair with a passage has this many phrases unchanged near one diagonal, as each changed word spoils SEED of them
+    fewest = max(1, math.ceil(least * (1 - (SEED - 1) * CHANGED / (1 - CHANGED)) - SEED + 1 - 1e-9))
+    place = (np.cumsum(head) - 1) * (4 * (len(text) + len(items.text))) + diag[order]
+    near = np.searchsorted(place, place + DRIFT, "right") - np.searchsorted(place, place - DRIFT) >= fewest
+    use = np.repeat(np.logical_or.reduceat(near, np.flatnonzero(head)), np.diff(np.r_[np.flatnonzero(head), len(doc)])) if len(doc) else near
+    order, doc, item = order[use], doc[use], item[use]
+    pos, item_at, diag = pos[order], item_at[order], diag[order]
     order = np.lexsort((pos, item, doc))
     pos, item_at, doc, item, diag = pos[order], item_at[order], doc[order], item[order], diag[order]
-    new_pair = np.r_[True, (doc[1:] != doc[:-1]) | (item[1:] != item[:-1])]
+    new_pair = np.r_[True, (doc[1:] != doc[:-1]) | (item[1:] != item[:-1])][: len(doc)]
     starts = np.flatnonzero(new_pair)
     stops = np.r_[starts[1:], len(pos)]
     room = _room(text, doc_off, np.cumsum(new_pair) - 1, doc[starts], item[starts], diag, items) >= least - 1e-6
