@@ -1,23 +1,26 @@
 """Find documents whose text was cut off, and how often each source cuts.
 
-Near-copies: texts are signed with min-hashes of their word shingles, bands of the signature meet in buckets,
-each text is compared with every longer text of its buckets, and pairs with a similarity of at least
-``SIMILARITY`` are aligned from the end of the shorter. Where the longer copy goes on in the middle of a word
-or sentence, the shorter one was cut; where it goes on after a sentence, the shorter one is whole.
+Near-copies: a cut text is near a prefix of its whole copy, however much was cut. So texts are signed with min-hashes
+(one permutation) of the word shingles of their prefixes, of 4, 16, 64, ... shingles. Bands of the signatures meet in
+buckets, where the longest prefix of each text is compared with prefixes of every longer text. Pairs in which at least
+``SIMILARITY`` of the shorter text's shingles stand in the longer are aligned from the end of the shorter. Where the
+longer copy goes on in the middle of a word or sentence, the shorter one was cut; where it goes on after a sentence,
+the shorter one is whole.
 
 All other texts are scored by their closing words. Over all documents it is counted how often each word form
 (digits as one sign) ends a line or text, how often a word with a full stop ends a sentence, how often a closing
 line of that shape and a closing phrase before dots ends a text. Boosted trees turn these figures into a score;
-they are trained on at most ``TRAIN_DOCS`` documents and artificial cuts of the same documents. A text of exactly
-a length at which its source piles up needs less evidence.
+they are trained on about ``TRAIN_DOCS`` documents, chosen by the hash of their ids, and artificial cuts of the same
+documents. Where a half of these holds fewer than ``LEAST`` cut or uncut texts, as in very small tables, no trees are
+fitted and a text is whole when it ends with an end mark or in a list item. A text of exactly a length at which its
+source piles up needs less evidence.
 
-Scale: one document per distinct text is signed and counted, so copies of one text never meet all pairs. Buckets
-of one text are dropped before anything is joined; a bucket of more than ``BUCKET`` texts is cut into blocks that
-meet pairwise. Pairs whose numbers of shingles alone rule out ``SIMILARITY`` are never built; the others grow with
-the square of a group of near-copies, and each carries its two texts. Statistics are summed per task before the
-shuffle.
+Scale: one document per distinct text is read, and its closing, counts and signature come from one pass, so copies of
+one text never meet all pairs. Buckets without a text that ends in them and a longer one are dropped before anything
+is joined; a bucket of more than ``BUCKET`` texts is cut into blocks that meet pairwise. Pairs grow with the square of
+a group of near-copies, and each carries its two texts. Statistics are summed per task before the shuffle.
 
-Defined results: null, empty and blank texts are whole; repeated texts get the same verdict; a null source is
+Defined results: rows without ``doc_id`` are left out; null, empty and blank texts are whole; repeated texts get the same verdict; a null source is
 reported as a source of its own.
 """
 
@@ -34,12 +37,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recordloom.llm.boost import Boosted, fit_boosted
-from recordloom.llm.words import WORD, list_array, shingles, word_hashes, words
+from recordloom.llm.words import WORD, mix, shingles, word_hashes, words
 from recordloom.session import bounded_broadcast, stage
 
 K, SIMILARITY = 5, 0.8
-BANDS, ROWS = 16, 4
+BANDS, ROWS = 8, 4
+PREFIXES = 4 ** np.arange(1, 15)  # shingles of the prefixes that are signed
 TRAIN_DOCS = 4000
+LEAST = 20
 MAX_BUCKETS = 200_000
 BUCKET = 1000
 THRESHOLD = 0.35  # below one half, since the documents taken as whole in training hold unknown cut ones
@@ -51,8 +56,7 @@ _ENDING = frozenset(".!?…\"'”’»)]")
 _TERMINAL = re.compile(r"[.!?。！？][\"'”’»)\]]*$")
 _DOTS = re.compile(r"(\.{2,}|…)[\"'”’»)\]]*$")
 _MARKED = re.compile(r"^\s*([-*•·–]|\d+[.)]|\|)\s?")
-_A = np.random.default_rng(11).integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
-_B = np.random.default_rng(12).integers(1, 2**63, BANDS * ROWS, dtype=np.uint64)
+_KEYS = 6
 
 
 def form(token: str) -> str:
@@ -110,70 +114,119 @@ def closing(text: str) -> tuple[list[float], list[str]]:
     return plain, keys
 
 
-def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``(key, n, good)``: how often a key occurs and how often it closes."""
+class _Statistics:
+    """How often keys occur and how often they close a line, sentence or text, over a stretch of texts."""
 
-    def give(total: Counter, good: Counter) -> pa.RecordBatch:
+    def __init__(self) -> None:
+        self.total: Counter = Counter()
+        self.good: Counter = Counter()
+        self.single: Counter = Counter()
+        self.single_end: Counter = Counter()
+
+    def add(self, tail: str) -> None:
+        total, good = self.total, self.good
+        for toks in map(str.split, tail.split("\n")):
+            if not toks:
+                continue
+            self.single.update(toks)
+            last_at = len(toks) - 1
+            end = toks[last_at]
+            self.single_end[end] += 1
+            for i in [i for i, t in enumerate(toks) if t[-1] in _ENDING]:
+                t = toks[i]
+                if _STOP.search(t):
+                    a = toks[i - 1] if i else ""
+                    total[("s", a, t)] += 1
+                    total[("t", t, None)] += 1
+                    if i == last_at or not (toks[i + 1][0].islower() or toks[i + 1][0].isdigit()):
+                        good[("s", a, t)] += 1
+                        good[("t", t, None)] += 1
+            if not _TERMINAL.search(end):
+                key = ("p", toks[last_at - 1] if last_at else "", end)
+                good[key] += 1
+                total[key] += 1
+        dots = _DOTS.search(tail[-40:])
+        if dots:
+            total[("e", _phrase(tail[: len(tail) - len(dots[0])].rstrip()), None)] += 1
+        elif not _TERMINAL.search(tail[-10:]) and len(last := tail.rsplit("\n", 1)[-1]) <= 80:
+            total[("f", line_shape(last), None)] += 1
+
+    def full(self) -> bool:
+        return len(self.total) + len(self.single) > 400_000
+
+    def take(self) -> tuple[list[str], list[int], list[int]]:
+        """Keys, occurrences and closings so far, which start anew."""
+        for w, c in self.single.items():
+            self.total[("w", w, None)] += c
+        for w, c in self.single_end.items():
+            self.good[("w", w, None)] += c
         n: Counter = Counter()
         g: Counter = Counter()
         forms = _Forms()
-        for source, into in ((total, n), (good, g)):
+        for source, into in ((self.total, n), (self.good, g)):
             for (kind, a, b), c in source.items():
                 into[f"{kind} {forms[a]} {forms[b]}" if b is not None else f"{kind} {a if kind in 'fe' else forms[a]}"] += c
+        self.__init__()
         keys = list(n)
-        return pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([n[k] for k in keys], pa.int64()), pa.array([g[k] for k in keys], pa.int64())], names=["key", "n", "good"])
-
-    total: Counter = Counter()
-    good: Counter = Counter()
+        return keys, [n[k] for k in keys], [g[k] for k in keys]
+
+
+def signatures(texts: list[str]) -> tuple[list[np.ndarray], list[int]]:
+    """Band hashes of the prefixes of each text, shortest prefix first, and how many of them are of its longest prefix."""
+    parts = [shingles(word_hashes(words(t)), K) for t in texts]
+    size = np.array([len(p) for p in parts], np.int64)
+    levels = max(1, int(np.searchsorted(PREFIXES, size.max(initial=0), "right")))
+    flat = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+    at = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
+    level = np.searchsorted(PREFIXES, at, "right")
+    inside = level < levels
+    bins = BANDS * ROWS
+    place = ((np.repeat(np.arange(len(parts)), size) * levels + level) * bins + (flat >> np.uint64(64 - bins.bit_length() + 1)).astype(np.int64))[inside]
+    none = np.uint64(2**64 - 1)
+    low = np.full(len(parts) * levels * bins, none)
+    np.minimum.at(low, place, mix(flat[inside] + np.uint64(1)))
+    low = np.minimum.accumulate(low.reshape(len(parts), levels, bins), axis=1)
+    filled, missing = low.copy(), low == none
+    for d in range(1, bins):  # an empty place takes the next one that is not, moved by their distance
+        if not missing.any():
+            break
+        beside = np.roll(low, -d, axis=2)
+        use = missing & (beside != none)
+        filled[use] = beside[use] + np.uint64(d)
+        missing &= ~use
+    band = np.zeros((len(parts), levels, BANDS), np.uint64)
+    for j in range(bins):
+        band[:, :, j // ROWS] = mix((band[:, :, j // ROWS] ^ filled[:, :, j]) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(j))
+    band += np.arange(levels, dtype=np.uint64)[None, :, None]
+    # short prefixes have few shingles and need few bands
+    used = [2, 4] + [BANDS] * levels
+    out, top = [], []
+    for row, n in zip(band, np.searchsorted(PREFIXES, size, "right")):
+        out.append(np.concatenate([row[j, : used[j]] for j in range(n)]) if n else np.zeros(0, np.uint64))
+        top.append(used[n - 1] if n else 0)
+    return out, top
+
+
+_ROW = "doc_id long, variant int, label byte, plain array<float>, keys array<string>, chars int, bands array<long>, top int, key string, n long, good long"
+_TYPES = (pa.int64(), pa.int32(), pa.int8(), pa.list_(pa.float32()), pa.list_(pa.string()), pa.int32(), pa.list_(pa.int64()), pa.int32(), pa.string(), pa.int64(), pa.int64())
+
+
+def _read(batches: Iterator[pa.RecordBatch], share: int, seed: int = 5) -> Iterator[pa.RecordBatch]:
+    """One pass over distinct texts: closing and signature of each, artificial cuts of the picked ones, and summed counts."""
+    names = [x.split()[0] for x in _ROW.split(", ")]
+
+    def counts() -> pa.RecordBatch:
+        keys, n, good = stats.take()
+        return pa.RecordBatch.from_arrays([*(pa.nulls(len(keys), t) for t in _TYPES[:8]), pa.array(keys, pa.string()), pa.array(n, pa.int64()), pa.array(good, pa.int64())], names=names)
+
+    stats = _Statistics()
     for batch in batches:
-        single: Counter = Counter()
-        single_end: Counter = Counter()
-        for text in batch.column(0).to_pylist():
-            tail = text.rstrip()
-            if not tail:
-                continue
-            lines = [x for x in map(str.split, tail.split("\n")) if x]
-            for toks in lines:
-                single.update(toks)
-                last_at = len(toks) - 1
-                end = toks[last_at]
-                single_end[end] += 1
-                for i, t in enumerate(toks):
-                    if t[-1] in _ENDING and _STOP.search(t):
-                        a = toks[i - 1] if i else ""
-                        total[("s", a, t)] += 1
-                        total[("t", t, None)] += 1
-                        if i == last_at or not (toks[i + 1][0].islower() or toks[i + 1][0].isdigit()):
-                            good[("s", a, t)] += 1
-                            good[("t", t, None)] += 1
-                if not _TERMINAL.search(end):
-                    key = ("p", toks[last_at - 1] if last_at else "", end)
-                    good[key] += 1
-                    total[key] += 1
-            dots = _DOTS.search(tail[-40:])
-            if dots:
-                total[("e", _phrase(tail[: len(tail) - len(dots[0])].rstrip()), None)] += 1
-            elif not _TERMINAL.search(tail[-10:]) and len(last := tail.rsplit("\n", 1)[-1]) <= 80:
-                total[("f", line_shape(last), None)] += 1
-        for w, c in single.items():
-            total[("w", w, None)] += c
-        for w, c in single_end.items():
-            good[("w", w, None)] += c
-        if len(total) > 400_000:
-            yield give(total, good)
-            total, good = Counter(), Counter()
-    yield give(total, good)
-
-
-_ROW = "doc_id long, source string, len int, label byte, plain array<float>, keys array<string>"
-
-
-def _closings(batches: Iterator[pa.RecordBatch], share: int, seed: int = 5) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        out: list[list] = [[], [], [], [], [], []]
-        for doc, source, text, pick in zip(*(c.to_pylist() for c in batch.columns)):
-            if not text.strip():
-                continue
+        kept = [(doc, text, pick) for doc, text, pick in zip(*(c.to_pylist() for c in batch.columns)) if text.strip()]
+        bands, top = signatures([text for _, text, _ in kept])
+        out: list[list] = [[], [], [], [], []]
+        signed: list[list] = [[], [], []]
+        for (doc, text, pick), b, t in zip(kept, bands, top):
+            stats.add(text.rstrip())
             cases = [(text, 0)]
             if pick % share == 0:
                 rng = np.random.default_rng([seed, pick & 0x7FFFFFFF])
@@ -186,13 +239,17 @@ def _closings(batches: Iterator[pa.RecordBatch], share: int, seed: int = 5) -> I
                     if inside and rest.strip():
                         way = rng.integers(0, 10)
                         cases.append((cut + ("..." if way == 0 else "…" if way == 1 else " ..." if way == 2 else "\ufffd" if way == 3 else ""), 1))
-            for t, label in cases:
-                plain, keys = closing(t)
-                for c, v in zip(out, (doc, source, len(t), 2 if pick % share == 0 and label == 0 else label, plain, keys)):
+            for variant, (case, label) in enumerate(cases):
+                plain, keys = closing(case)
+                for c, v in zip(out, (doc, variant, 2 if pick % share == 0 and label == 0 else label, plain, keys)):
                     c.append(v)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.string(), pa.int32(), pa.int8(), pa.list_(pa.float32()), pa.list_(pa.string())))], names=["doc_id", "source", "len", "label", "plain", "keys"]
-        )
+                for c, v in zip(signed, (len(text), b.view(np.int64), t) if label == 0 else (None, None, None)):
+                    c.append(v)
+        cols = [*out, *signed]
+        yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(cols, _TYPES)), *(pa.nulls(len(out[0]), t) for t in _TYPES[8:])], names=names)
+        if stats.full():
+            yield counts()
+    yield counts()
 
 
 def _matrix(plain: list, n: list, good: list, label: np.ndarray) -> np.ndarray:
@@ -211,30 +268,9 @@ def _matrix(plain: list, n: list, good: list, label: np.ndarray) -> np.ndarray:
 
 def _with_counts(rows: DataFrame, stats: DataFrame, by: list[str]) -> DataFrame:
     """Bring the counts of each row's keys to the row, in the order of the keys; a key without count has 0, no key null."""
-    keyed = rows.select(*by, F.posexplode("keys").alias("slot", "key"))
-    got = keyed.join(stats, "key", "left").select(*by, "slot", F.when(F.col("key") != "", F.coalesce("n", F.lit(0))).alias("n"), F.when(F.col("key") != "", F.coalesce("good", F.lit(0))).alias("good"))
-    got = got.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("slot", "n", "good"))).alias("c"))
-    return got.select(*by, F.transform("c", lambda x: x["n"].cast("double")).alias("n"), F.transform("c", lambda x: x["good"].cast("double")).alias("good"))
-
-
-def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        parts = [shingles(word_hashes(words(t)), K) for t in batch.column(1).to_pylist()]
-        keep = np.array([len(p) > 0 for p in parts], bool)
-        parts = [p for p in parts if len(p)]
-        if not parts:
-            continue
-        size = np.array([len(p) for p in parts])
-        start = np.r_[0, np.cumsum(size)[:-1]]
-        flat = np.concatenate(parts)
-        bands = np.zeros((len(parts), BANDS), np.uint64)
-        for j in range(BANDS * ROWS):
-            low = np.minimum.reduceat(flat * _A[j] + _B[j], start)
-            bands[:, j // ROWS] = (bands[:, j // ROWS] ^ low) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(j)
-        bands ^= np.arange(BANDS, dtype=np.uint64) << np.uint64(56)
-        distinct = pa.array([len(np.unique(p)) for p in parts], pa.int32())
-        chars = pa.array([len(t) for t, k in zip(batch.column(1).to_pylist(), keep) if k], pa.int32())
-        yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep)), chars, distinct, list_array(list(bands), pa.int64())], names=["doc_id", "chars", "size", "bands"])
+    keyed = rows.select(*by, F.posexplode("keys").alias("slot", "key")).where("key <> ''")
+    got = keyed.join(stats, "key", "left").select(*by, "slot", *[F.coalesce(c, F.lit(0)).cast("double").alias(c) for c in ("n", "good")])
+    return got.groupBy(*by).agg(*[F.array(*[F.max(F.when(F.col("slot") == i, F.col(c))) for i in range(_KEYS)]).alias(c) for c in ("n", "good")])
 
 
 def aligned_end(short: str, long: str) -> int:
@@ -271,26 +307,25 @@ def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for doc, a, b in zip(*(c.to_pylist() for c in batch.columns)):
             x, y = _shingle_set(a), _shingle_set(b)
             common = len(np.intersect1d(x, y, assume_unique=True))
-            if common >= SIMILARITY * (len(x) + len(y) - common) and len(b) > len(a):
+            if common >= SIMILARITY * len(x) and len(b) > len(a):
                 v = aligned_end(a, b)
                 if v >= 0:
                     ids.append(doc), verdict.append(v)
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(verdict, pa.int8())], names=["doc_id", "cut"])
 
 
-def _aligned(texts: DataFrame) -> DataFrame:
+def _aligned(texts: DataFrame, signed: DataFrame) -> DataFrame:
     """``(doc_id, cut)`` of the distinct texts that a longer near-copy decides; cut wins where copies disagree."""
-    signed = stage(texts.select("doc_id", "text").mapInArrow(_sign, "doc_id long, chars int, size int, bands array<long>"), "signatures")
-    rows = signed.select("doc_id", "chars", "size", F.explode("bands").alias("band"))
-    buckets = rows.groupBy("band").agg(F.count("*").alias("m")).where("m > 1").select("band", F.ceil(F.col("m") / BUCKET).cast("int").alias("blocks"))
-    # buckets of one text are gone by now; as a rule the others fit into a broadcast of counted size
+    rows = signed.select("doc_id", "chars", F.posexplode("bands").alias("at", "band"), (F.size("bands") - F.col("top")).alias("first"))
+    rows = rows.select("doc_id", "chars", "band", (F.col("at") >= F.col("first")).alias("ends"))
+    met = rows.groupBy("band").agg(F.count("*").alias("m"), F.min(F.when(F.col("ends"), F.col("chars"))).alias("low"), F.max("chars").alias("high"))
+    buckets = met.where("m > 1 and low < high").select("band", "low", F.ceil(F.col("m") / BUCKET).cast("int").alias("blocks"))
+    # buckets without a pair are gone by now; as a rule the others fit into a broadcast of counted size
     rows = stage(rows.join(bounded_broadcast(stage(buckets, "buckets"), MAX_BUCKETS), "band"), "bucket-rows")
     own, other = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    short = rows.select("band", own.alias("i"), other.alias("j"), "doc_id", "chars", "size")
-    long = rows.select("band", other.alias("i"), own.alias("j"), F.col("doc_id").alias("longer"), F.col("chars").alias("chars_b"), F.col("size").alias("size_b"))
-    # shared shingles are at most the fewer, all shingles at least the more, so this drops no pair that is similar enough
-    near = (F.col("chars") < F.col("chars_b")) & (F.least("size", "size_b") >= F.lit(SIMILARITY) * F.greatest("size", "size_b"))
-    pairs = short.join(long, ["band", "i", "j"]).where(near).select("doc_id", "longer").distinct()
+    short = rows.where("ends").select("band", own.alias("i"), other.alias("j"), "doc_id", "chars")
+    long = rows.where("chars > low").select("band", other.alias("i"), own.alias("j"), F.col("doc_id").alias("longer"), F.col("chars").alias("chars_b"))
+    pairs = short.join(long, ["band", "i", "j"]).where("chars < chars_b").select("doc_id", "longer").distinct()
     text = texts.select("doc_id", "text")
     both = pairs.join(text.select("doc_id", F.col("text").alias("a")), "doc_id").join(text.select(F.col("doc_id").alias("longer"), F.col("text").alias("b")), "longer")
     return both.select("doc_id", "a", "b").mapInArrow(_align, "doc_id long, cut byte").groupBy("doc_id").agg(F.max("cut").alias("cut"))
@@ -312,7 +347,7 @@ def _fold() -> Column:
 def _fit(train) -> Boosted | None:
     """Trees that tell artificial cuts from the documents themselves; both weigh the same."""
     label = train["label"].to_numpy()
-    if (label == 1).sum() < 20 or (label == 2).sum() < 20:
+    if (label == 1).sum() < LEAST or (label == 2).sum() < LEAST:
         return None
     x = _matrix(train["plain"].tolist(), train["n"].tolist(), train["good"].tolist(), label)
     y = (label == 1).astype(float)
@@ -322,20 +357,23 @@ def _fit(train) -> Boosted | None:
 def truncated(docs: DataFrame) -> DataFrame:
     """``(doc_id, source, how, score, cut)`` of every document that has a text; ``how`` is aligned or closing."""
     spark = docs.sparkSession
-    base = docs.select("doc_id", "source", "text").where("length(trim(text)) > 0")
+    base = docs.select("doc_id", "source", "text").where("doc_id is not null and length(trim(text)) > 0")
     firsts = stage(base.groupBy(F.xxhash64("text").alias("th"), F.length("text").alias("tl")).agg(F.min("doc_id").alias("doc_id")), "distinct-texts")
     # repeats are few as a rule, so texts are not shuffled to leave them out; a large set of them is joined by shuffle
     keyed = base.select("doc_id", F.xxhash64("text").alias("th"), F.length("text").alias("tl"))
     repeats = keyed.join(firsts.withColumnRenamed("doc_id", "first"), ["th", "tl"]).where("doc_id <> first").select("doc_id")
     texts = base.join(stage(repeats, "repeats"), "doc_id", "left_anti").select("doc_id", "source", "text")
     total = firsts.count()
-    stats = stage(texts.select("text").mapInArrow(_statistics, "key string, n long, good long").groupBy("key").agg(F.sum("n").alias("n"), F.sum("good").alias("good")), "closings")
-    share = max(1, total // TRAIN_DOCS)
-    rows = texts.select("doc_id", "source", "text", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)).alias("pick")).mapInArrow(lambda it: _closings(it, share), _ROW)
-    rows = stage(rows.withColumn("row", F.monotonically_increasing_id()), "ends")
-    counted = stage(rows.drop("keys").join(_with_counts(rows, stats, ["row"]), "row"), "ends-counted")
+    share = max(1, -(-total // TRAIN_DOCS))
+    pick = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))
+    read = stage(texts.select("doc_id", "text", pick.alias("pick")).mapInArrow(lambda it: _read(it, share), _ROW), "read")
+    stats = stage(read.where("key is not null").groupBy("key").agg(F.sum("n").alias("n"), F.sum("good").alias("good")), "closings")
+    rows = read.where("doc_id is not null").select("doc_id", "variant", "label", "plain", "keys")
+    none = F.array(*[F.lit(None).cast("double")] * _KEYS)
+    counted = rows.drop("keys").join(_with_counts(rows, stats, ["doc_id", "variant"]), ["doc_id", "variant"], "left")
+    counted = stage(counted.withColumns({"n": F.coalesce("n", none), "good": F.coalesce("good", none)}), "ends-counted")
     # about 3 * TRAIN_DOCS rows: the picked documents and their artificial cuts
-    train = counted.where("label > 0").orderBy("row").limit(4 * TRAIN_DOCS).select("plain", "n", "good", "label", _fold().alias("fold")).toPandas()
+    train = counted.where("label > 0").orderBy(pick, "doc_id", "variant").limit(4 * TRAIN_DOCS).select("plain", "n", "good", "label", _fold().alias("fold")).toPandas()
     # two models, each trained on one half of the documents and used on the other, so none judges what it learnt
     model = [_fit(train[train["fold"] != k]) for k in (0, 1)]
     shared = spark.sparkContext.broadcast(model)
@@ -354,7 +392,8 @@ def truncated(docs: DataFrame) -> DataFrame:
 
     real = counted.where("label <> 1")
     scored = real.select("doc_id", "plain", "n", "good", _fold().alias("fold")).mapInArrow(score, "doc_id long, margin double")
-    verdict = scored.join(_aligned(texts), "doc_id", "left")
+    signed = read.where("label <> 1").select("doc_id", "chars", "bands", "top")
+    verdict = scored.join(_aligned(texts, signed), "doc_id", "left")
     same = firsts.join(verdict, "doc_id").select("th", "tl", "margin", F.col("cut").alias("aligned"))
     limits = stage(_limits(base), "limits")
     chars = limits.where("unit = 'chars'").select(F.col("source").alias("cs"), F.col("len").alias("cl"))

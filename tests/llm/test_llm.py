@@ -487,10 +487,41 @@ def test_cut_copies_are_aligned_beside_longer_texts(spark, monkeypatch):
     rng = random.Random(31)
     whole = document(rng, 40)
     short = whole[: int(len(whole) * 0.9)].rsplit(" ", 2)[0]
-    # longer versions of the text fill its buckets and are too different from the short copy
-    docs = [(1, short), (2, whole)] + [(10 + i, whole + " " + document(rng, 14)) for i in range(80)]
-    d = spark.createDataFrame(docs, "doc_id long, text string")
+    # longer versions of the text fill its buckets; the whole text is a part of them that ends with a sentence
+    docs = [(1, "a", short), (2, "a", whole)] + [(10 + i, "a", whole + " " + document(rng, 14)) for i in range(80)]
+    d = spark.createDataFrame(docs, "doc_id long, source string, text string")
     assert short[-1] != "."
     for bucket in (1000, 3):
-        monkeypatch.setattr(truncation, "BUCKET", bucket, raising=False)
-        assert [(r.doc_id, r.cut) for r in truncation._aligned(d).collect()] == [(1, 1)]
+        monkeypatch.setattr(truncation, "BUCKET", bucket)
+        got = {r.doc_id: (r.how, r.cut) for r in truncation.truncated(d).collect()}
+        assert got[1] == ("aligned", True) and got[2] == ("aligned", False)
+
+
+def test_copies_cut_far_from_their_end_are_aligned(spark):
+    """However much was cut off, and with words changed, the alignment decides; ends that look whole are found too."""
+    rng = random.Random(41)
+    docs, cut = [], set()
+    for i in range(60):
+        w = document(rng, rng.randint(12, 60)).split()
+        docs.append((i, "a", " ".join(w)))
+        at = rng.randint(len(w) // 8, len(w) - 4)
+        while w[at - 1].endswith(".") or at < 12:
+            at += 1
+        copy = w[:at]
+        for k in range(0, at - 10, 60):
+            copy[k + rng.randrange(10)] = "altered"
+        docs.append((100 + i, "b", " ".join(copy) + ("." if i % 2 else "")))
+        cut.add(100 + i)
+    rng.shuffle(docs)
+    got = {r.doc_id: (r.how, r.cut) for r in truncation.truncated(spark.createDataFrame(docs, "doc_id long, source string, text string")).collect()}
+    found = {i for i in cut if got[i] == ("aligned", True)}
+    assert len(found) >= 0.9 * len(cut) and not [i for i in range(60) if got[i][1]]
+
+
+def test_signatures_of_prefixes():
+    rng = random.Random(43)
+    text = document(rng, 60)
+    short = " ".join(text.split()[:150])
+    (a, b, tiny, none), (ta, tb, _, tn) = truncation.signatures([text, short, " ".join(text.split()[:9]), "only a few words"])
+    assert set(b) <= set(a) and ta == tb == truncation.BANDS and set(tiny) <= set(a) and len(none) == tn == 0
+    assert truncation.signatures([]) == ([], [])
