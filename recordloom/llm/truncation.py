@@ -52,6 +52,7 @@ LIMIT_ODDS = 3.0  # log-odds that a pile of texts of exactly this length adds
 _DIGITS = re.compile(r"\d+")
 _CODE = re.compile(r"(?=[^\W_]*\d)(?=[^\W_]*[^\W\d_])[^\W_]+")
 _STOP = re.compile(r"[.!?…][\"'”’»)\]]*$")
+_MARKS = frozenset(".!?…")
 _ENDING = frozenset(".!?…\"'”’»)]")
 _TERMINAL = re.compile(r"[.!?。！？][\"'”’»)\]]*$")
 _DOTS = re.compile(r"(\.{2,}|…)[\"'”’»)\]]*$")
@@ -134,14 +135,14 @@ class _Statistics:
             self.single_end[end] += 1
             for i in [i for i, t in enumerate(toks) if t[-1] in _ENDING]:
                 t = toks[i]
-                if _STOP.search(t):
+                if t[-1] in _MARKS or _STOP.search(t):
                     a = toks[i - 1] if i else ""
                     total[("s", a, t)] += 1
                     total[("t", t, None)] += 1
                     if i == last_at or not (toks[i + 1][0].islower() or toks[i + 1][0].isdigit()):
                         good[("s", a, t)] += 1
                         good[("t", t, None)] += 1
-            if not _TERMINAL.search(end):
+            if end[-1].isalnum() or not _TERMINAL.search(end):
                 key = ("p", toks[last_at - 1] if last_at else "", end)
                 good[key] += 1
                 total[key] += 1
@@ -326,7 +327,9 @@ def _aligned(texts: DataFrame, signed: DataFrame) -> DataFrame:
     short = rows.where("ends").select("band", own.alias("i"), other.alias("j"), "doc_id", "chars")
     long = rows.where("chars > low").select("band", other.alias("i"), own.alias("j"), F.col("doc_id").alias("longer"), F.col("chars").alias("chars_b"))
     pairs = short.join(long, ["band", "i", "j"]).where("chars < chars_b").select("doc_id", "longer").distinct()
-    text = texts.select("doc_id", "text")
+    pairs = stage(pairs, "pairs")
+    asked = pairs.select("doc_id").union(pairs.select("longer")).distinct()
+    text = texts.select("doc_id", "text").join(bounded_broadcast(asked, MAX_BUCKETS), "doc_id", "left_semi")
     both = pairs.join(text.select("doc_id", F.col("text").alias("a")), "doc_id").join(text.select(F.col("doc_id").alias("longer"), F.col("text").alias("b")), "longer")
     return both.select("doc_id", "a", "b").mapInArrow(_align, "doc_id long, cut byte").groupBy("doc_id").agg(F.max("cut").alias("cut"))
 
