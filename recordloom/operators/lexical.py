@@ -1,57 +1,132 @@
 """Lexical search over an inverted index kept as a table of postings.
 
-Terms are runs of letters and digits, lower-cased. A posting holds term, document, summed field weight and
-frequency. Documents without terms have no postings; blank queries match nothing.
+Terms are runs of letters and digits, lower-cased. A posting holds term, document, field class and frequency. Two
+analyzers are offered: plain terms, and English ones, which are stemmed and leave stop words out, for documents and
+queries alike. Documents without terms have no postings; blank queries, and queries of stop words alone, match nothing.
+
+:func:`write_index` stores postings by buckets of terms, sorted by term, so a search reads the buckets of its terms
+and within them the row groups that may hold them. The range partitioning behind it splits frequent terms by document.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from recordloom.session import stage
 
 # fixed values: weights of the four field classes
 WEIGHTS = {"A": 1.0, "B": 0.4, "C": 0.2, "D": 0.1}
 # fixed values: field -> class
 FIELD_CLASSES = {"title": "A", "content": "B", "category": "C", "record_type": "C", "container": "D", "assignee": "D", "file_type": "D"}
 LIKE_SCORE = 0.8
-_TERM = r"[\p{L}\p{N}]+"
+BUCKETS = 64
+_TERM = re.compile(r"[^\W_]+")
+# fixed values: words the English analyzer leaves out (public list of the Snowball project)
+ENGLISH_STOP_WORDS = [
+    "i", "me", "my", "myself", "we", "our", "ours", "ourselves", "you", "your", "yours", "yourself", "yourselves", "he", "him", "his", "himself", "she", "her", "hers", "herself", "it", "its", "itself",
+    "they", "them", "their", "theirs", "themselves", "what", "which", "who", "whom", "this", "that", "these", "those", "am", "is", "are", "was", "were", "be", "been", "being", "have", "has", "had", "having",
+    "do", "does", "did", "doing", "a", "an", "the", "and", "but", "if", "or", "because", "as", "until", "while", "of", "at", "by", "for", "with", "about", "against", "between", "into", "through", "during",
+    "before", "after", "above", "below", "to", "from", "up", "down", "in", "out", "on", "off", "over", "under", "again", "further", "then", "once", "here", "there", "when", "where", "why", "how", "all",
+    "any", "both", "each", "few", "more", "most", "other", "some", "such", "no", "nor", "not", "only", "own", "same", "so", "than", "too", "very", "s", "t", "can", "will", "just", "don", "should", "now",
+]
+_STOP = frozenset(ENGLISH_STOP_WORDS)
+
+
+def plain_term(word: str) -> str:
+    return word
+
+
+@lru_cache(maxsize=500_000)
+def english_term(word: str) -> str:
+    """The stem of a lower-cased word, empty for a stop word."""
+    return "" if word in _STOP else stem(word)
+
+
+def query_terms(q: str, analyzer: Callable[[str], str] = plain_term) -> list[str]:
+    return [t for t in dict.fromkeys(map(analyzer, _TERM.findall(q.lower()))) if t]
+
+
+def postings(df: DataFrame, id_col: str, fields: dict[str, str], analyzer: Callable[[str], str] = plain_term) -> DataFrame:
+    """``(term, id, field, tf)`` for the columns named in ``fields`` (column -> field class A to D).
+
+    A document is counted where it stands, so nothing is shuffled; ``id_col`` must be unique.
+    """
+    classes = list(fields.values())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [c.to_pylist() for c in batch.columns[1:]]
+            at, term, field, tf = [], [], [], []
+            for i in range(batch.num_rows):
+                for kind in dict.fromkeys(classes):
+                    count: Counter = Counter()
+                    for c, k in zip(texts, classes):
+                        if k == kind and c[i]:
+                            count.update(map(analyzer, _TERM.findall(c[i].lower())))
+                    del count[""]
+                    at += [i] * len(count)
+                    term += count.keys()
+                    field += [kind] * len(count)
+                    tf += count.values()
+            yield pa.RecordBatch.from_arrays([pa.array(term, pa.string()), batch.column(0).take(pa.array(at, pa.int64())), pa.array(field, pa.string()), pa.array(tf, pa.int32())], names=["term", "id", "field", "tf"])
+
+    schema = T.StructType([T.StructField("term", T.StringType()), T.StructField("id", df.schema[id_col].dataType), T.StructField("field", T.StringType()), T.StructField("tf", T.IntegerType())])
+    return df.select(F.col(id_col).alias("id"), *fields).mapInArrow(run, schema)
 
 
-def terms(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(f"({_TERM})"), F.lit(1))
+def _bucket(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
 
 
-def query_terms(q: str) -> list[str]:
-    return list(dict.fromkeys(re.findall(r"[^\W_]+", q.lower())))
+def write_index(df: DataFrame, id_col: str, fields: dict[str, str], path: str, analyzer: Callable[[str], str] = plain_term) -> None:
+    """Store the postings of ``df``; :func:`open_index` reads them. Maintained with the table it belongs to."""
+    made = stage(postings(df, id_col, fields, analyzer).withColumn("bucket", _bucket(F.col("term"))), "postings")
+    spread = made.repartitionByRange("bucket", "term", "id").sortWithinPartitions("bucket", "term", "id")
+    spread.write.partitionBy("bucket").parquet(f"{path}/postings")
+    made.groupBy("id").agg(F.sum("tf").alias("n_terms")).write.parquet(f"{path}/lengths")
 
 
-def postings(df: DataFrame, id_col: str, fields: dict[str, str]) -> DataFrame:
-    """``(term, id, field, tf)`` for the columns named in ``fields`` (column -> field class A to D)."""
+def open_index(spark: SparkSession, path: str) -> DataFrame:
+    """Postings of a stored index, partitioned by ``bucket``."""
+    return spark.read.parquet(f"{path}/postings")
 
-    def of(column: str, kind: str) -> Column:
-        return F.transform(terms(F.col(column)), lambda t: F.struct(t.alias("term"), F.lit(kind).alias("field")))
 
-    one = [of(c, k) for c, k in fields.items()]
-    rows = df.select(F.col(id_col).alias("id"), F.explode(F.concat(*one)).alias("p"))
-    return rows.groupBy(F.col("p.term").alias("term"), "id", F.col("p.field").alias("field")).agg(F.count("*").cast("int").alias("tf"))
+def open_lengths(spark: SparkSession, path: str) -> DataFrame:
+    """``(id, n_terms)`` of a stored index."""
+    return spark.read.parquet(f"{path}/lengths")
+
+
+def of_terms(index: DataFrame, wanted: list[str]) -> DataFrame:
+    """Postings of the given terms; of a stored index only their buckets are read."""
+    if not wanted:
+        return index.where(F.lit(False))
+    if "bucket" in index.columns:
+        # the same hash as at writing, computed by the engine for the few terms of a query
+        spark = index.sparkSession
+        numbers = spark.createDataFrame([(w,) for w in wanted], "term string").select(_bucket(F.col("term")).alias("b")).collect()
+        index = index.where(F.col("bucket").isin(sorted({r["b"] for r in numbers})))
+    return index.where(F.col("term").isin(wanted))
 
 
 def weight_of(field: Column) -> Column:
     return F.element_at(F.create_map(*[F.lit(x) for kv in WEIGHTS.items() for x in kv]), field)
 
 
-def search(index: DataFrame, q: str, match: str = "all", limit: int | None = 20) -> DataFrame:
+def search(index: DataFrame, q: str, match: str = "all", limit: int | None = 20, analyzer: Callable[[str], str] = plain_term) -> DataFrame:
     """``(id, score, matched)``: documents that hold all terms of the query, or any of them with ``match='any'``.
 
-    The score sums weight * tf / (tf + 1) over terms and fields. Filters on ``term`` reach the scan of an index
-    that is sorted by term.
+    The score sums weight * tf / (tf + 1) over terms and fields.
     """
-    wanted = query_terms(q)
-    hits = index.where(F.col("term").isin(wanted) if wanted else F.lit(False))
+    wanted = query_terms(q, analyzer)
+    hits = of_terms(index, wanted)
     if len(wanted) <= 62:  # one bit per term keeps the count of distinct terms in the same partial aggregate
         bit = F.lit(0).cast("long")
         for i, t in enumerate(wanted):
@@ -67,9 +142,8 @@ def search(index: DataFrame, q: str, match: str = "all", limit: int | None = 20)
 
 def bm25(index: DataFrame, lengths: DataFrame, q: str, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """``(id, score)`` by Okapi BM25 (Robertson and Zaragoza 2009); ``lengths`` is ``(id, n_terms)``."""
-    wanted = query_terms(q)
     stats = lengths.agg(F.count("*").alias("n"), F.avg("n_terms").alias("mean"))
-    hits = index.where(F.col("term").isin(wanted) if wanted else F.lit(False)).groupBy("term", "id").agg(F.sum("tf").alias("tf"))
+    hits = of_terms(index, query_terms(q)).groupBy("term", "id").agg(F.sum("tf").alias("tf"))
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
     # one row of statistics and one per query term: both bounded by the query
     joined = hits.join(F.broadcast(df), "term").join(lengths, "id").join(F.broadcast(stats))
@@ -129,6 +203,30 @@ def web_query(content: Column, q: str) -> Column:
     return F.coalesce(out, F.lit(False))
 
 
+def web_terms(q: str) -> list[str]:
+    """Words a search-box query asks for, those of excluded words and phrases left out."""
+    out = []
+    for neg, phrase, word in re.findall(r'(-?)(?:"([^"]+)"|(\S+))', q):
+        if not neg and (phrase or word.lower() != "or"):
+            out += _TERM.findall((phrase or word).lower())
+    return list(dict.fromkeys(out))
+
+
+def web_rank(content: Column, q: str) -> Column:
+    """Score of a text for a search-box query: tf / (tf + 1) summed over its words, with the weight of content."""
+    total = F.lit(0.0)
+    for t in web_terms(q):
+        tf = F.regexp_count(F.lower(content), F.lit(rf"(?U)(?<![\p{{L}}\p{{N}}]){t}(?![\p{{L}}\p{{N}}])"))
+        total = total + tf / (tf + 1)
+    return total * WEIGHTS["B"]
+
+
+def web_top_per_record(df: DataFrame, id_col: str, record: str, content: str, q: str, n: int = 5) -> DataFrame:
+    """``(record, id, score)``: the best ``n`` rows of each record for a search-box query over contents."""
+    hits = df.where(web_query(F.col(content), q)).select(record, F.col(id_col).alias("id"), web_rank(F.col(content), q).alias("score"))
+    return top_per_group(hits, record, "score", "id", n)
+
+
 def keyword_score(content: Column, keywords: list[str]) -> Column:
     """Share of keywords held: 1 for each whole one, 0.3 for one of five letters or more whose first five are held; at most 1."""
     if not keywords:
@@ -228,17 +326,6 @@ def stem(word: str) -> str:
     return w
 
 
-def stem_postings(index: DataFrame) -> DataFrame:
-    """Postings with stemmed terms; each distinct term is stemmed once."""
-
-    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in it:
-            yield p.assign(stem=p["term"].map(stem))
-
-    stems = index.select("term").distinct().mapInPandas(run, "term string, stem string")
-    return index.join(stems, "term").groupBy(F.col("stem").alias("term"), "id", "field").agg(F.sum("tf").cast("int").alias("tf"))
-
-
 def top_per_group(hits: DataFrame, group: str, score: str, tie: str, k: int = 1) -> DataFrame:
     w = Window.partitionBy(group).orderBy(F.desc(score), tie)
     return hits.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= k).drop("_rank")

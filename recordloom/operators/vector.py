@@ -1,4 +1,4 @@
-"""Cosine search: exact top-k, batched top-k for a table of queries, and search pruned by cells.
+"""Cosine search: exact top-k, batched top-k for a table of queries, and search in a stored index of cells.
 
 Vectors are float arrays of any one length. A vector that is null, of another length than the query, or without
 a finite positive norm has no similarity (null) and is never a hit. Ties are ordered by id.
@@ -7,11 +7,14 @@ a finite positive norm has no similarity (null) and is never a hit. Ties are ord
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -43,17 +46,15 @@ def cosine_to(vector: Column, query: Sequence[float], stored_norm: Column | None
     return F.when((F.size(vector) == len(query)) & (n > 0) & (n < float("inf")) & F.lit(qn > 0), dot(vector, q) / (n * F.lit(qn)))
 
 
-def top_k(df: DataFrame, id_col: str, vector_col: str, query: Sequence[float], k: int = 10, threshold: float = 0.0, before_limit: bool = False, keep: Sequence[str] = ()) -> DataFrame:
-    """``(id, score, ...)`` of the k most similar rows.
+def top_k(df: DataFrame, id_col: str, vector_col: str, query: Sequence[float], k: int = 10, threshold: float = 0.0, before_limit: bool = False) -> DataFrame:
+    """``(id, score)`` of the k most similar rows; one matrix product per Arrow batch, k rows per task are shuffled.
 
-    The threshold is applied after the limit, or before it with ``before_limit``. Only id and vector are ranked;
-    columns named in ``keep`` must be narrow, wide ones are better joined afterwards.
+    The threshold is applied after the limit, or before it with ``before_limit``.
     """
-    scored = df.where(F.size(vector_col) == len(query)).select(F.col(id_col).alias("id"), *keep, cosine_to(F.col(vector_col), query).alias("score"))
+    hits = batch_top_k(df, id_col, vector_col, [(0, query)], k, ranked=False).select("id", "score")
     if before_limit:
-        scored = scored.where(F.col("score") >= threshold)
-    # unusable vectors sort last and go after the cut, so the score is computed once per row
-    return scored.orderBy(F.desc_nulls_last("score"), "id").limit(k).where(F.col("score") >= threshold)
+        hits = hits.where(F.col("score") >= threshold)
+    return hits.orderBy(F.desc("score"), "id").limit(k).where(F.col("score") >= threshold)
 
 
 def zero_or_cosine(vector: Column, query: Sequence[float]) -> Column:
@@ -61,11 +62,12 @@ def zero_or_cosine(vector: Column, query: Sequence[float]) -> Column:
     return F.coalesce(cosine_to(vector, query), F.lit(0.0))
 
 
-def batch_top_k(df: DataFrame, id_col: str, vector_col: str, queries: list[tuple[object, Sequence[float]]], k: int = 10, exclude_same: bool = False) -> DataFrame:
+def batch_top_k(df: DataFrame, id_col: str, vector_col: str, queries: list[tuple[object, Sequence[float]]], k: int = 10, exclude_same: bool = False, ranked: bool = True) -> DataFrame:
     """``(query_id, id, score, rank)`` for many query vectors at once, exactly.
 
     Queries are given as values and go through the table in blocks of ``QUERY_BLOCK``; each task multiplies its
-    Arrow batches by the block and keeps k rows per query, so only tasks * queries * k rows are shuffled.
+    Arrow batches by the block and keeps k rows per query, so only tasks * queries * k rows are shuffled. Without
+    ``ranked`` the best k of each task come as they are, without rank.
     """
     kind = df.schema[id_col].dataType
     qkind = T.LongType() if all(isinstance(q, int) for q, _ in queries) else T.StringType()
@@ -82,6 +84,8 @@ def batch_top_k(df: DataFrame, id_col: str, vector_col: str, queries: list[tuple
         out = hits if out is None else out.union(hits)
     if out is None:
         return df.sparkSession.createDataFrame([], schema.add(T.StructField("rank", T.IntegerType())))
+    if not ranked:
+        return out
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
@@ -115,12 +119,17 @@ def _batch_scores(batches: Iterator[pa.RecordBatch], shared, k: int, exclude_sam
                     s[r, own[name]] = -np.inf
         all_s = np.concatenate([best_s, s], 1)
         all_i = np.concatenate([best_i, np.broadcast_to(np.arange(base, base + len(rows)), s.shape)], 1)
-        # ties at the border must not depend on batches: keep all rows as good as the k-th
         if all_s.shape[1] > k:
+            # the k-th score may be shared: of rows as good as it those with the smallest ids stay
             kth = -np.partition(-all_s, k - 1, axis=1)[:, k - 1]
             width = int((all_s >= kth[:, None]).sum(1).max())
-            top = np.argpartition(-all_s, width - 1, axis=1)[:, :width] if width < all_s.shape[1] else np.broadcast_to(np.arange(all_s.shape[1]), all_s.shape)
-            all_s, all_i = np.take_along_axis(all_s, top, 1), np.take_along_axis(all_i, top, 1)
+            if width < all_s.shape[1]:
+                top = np.argpartition(-all_s, width - 1, axis=1)[:, :width]
+                all_s, all_i = np.take_along_axis(all_s, top, 1), np.take_along_axis(all_i, top, 1)
+            place = np.empty(len(ids), np.int64)
+            place[pc.array_sort_indices(ids).to_numpy()] = np.arange(len(ids))
+            best = np.lexsort((place[all_i], -all_s))[:, :k]
+            all_s, all_i = np.take_along_axis(all_s, best, 1), np.take_along_axis(all_i, best, 1)
         used, inverse = np.unique(all_i, return_inverse=True)
         ids, best_i, best_s = ids.take(pa.array(used)), inverse.reshape(all_i.shape), all_s
     if ids is None:
@@ -140,16 +149,21 @@ def cell_count(rows: Column | int) -> Column | int:
 
 
 def _unit_sample(df: DataFrame, vector_col: str, sample: int) -> np.ndarray:
+    """Unit vectors of at most ``sample`` rows, chosen by hash, of the length most of them have."""
     got = df.select(F.col(vector_col).cast("array<double>").alias("v")).where("v is not null").orderBy(F.xxhash64("v")).limit(sample).toPandas()["v"]
     rows = [np.asarray(v) for v in got]
-    dim = max((len(r) for r in rows), key=[len(r) for r in rows].count) if rows else 0
+    if not rows:
+        return np.zeros((0, 0))
+    dim = Counter(map(len, rows)).most_common(1)[0][0]
     m = np.array([r for r in rows if len(r) == dim and np.isfinite(r).all() and (r * r).sum() > 0]).reshape(-1, dim)
     return m / np.sqrt((m * m).sum(1, keepdims=True))
 
 
 def fit_cells(df: DataFrame, vector_col: str, cells: int, sample: int = 50_000, rounds: int = 8, seed: int = 1) -> np.ndarray:
-    """Unit centroids of spherical k-means on at most ``sample`` vectors."""
+    """Unit centroids of spherical k-means on at most ``sample`` vectors; none for a table without usable vectors."""
     m = _unit_sample(df, vector_col, sample)
+    if not len(m):
+        return m
     c = m[np.random.default_rng(seed).choice(len(m), min(cells, len(m)), replace=False)]
     for _ in range(rounds):
         near = (m @ c.T).argmax(1)
@@ -160,27 +174,63 @@ def fit_cells(df: DataFrame, vector_col: str, cells: int, sample: int = 50_000,
     return c
 
 
-def assign_cells(df: DataFrame, vector_col: str, centroids: np.ndarray) -> DataFrame:
-    """The table with the number of the nearest cell of each vector as ``cell``; write it partitioned by cell to prune searches."""
+def assign_cells(df: DataFrame, id_col: str, vector_col: str, centroids: np.ndarray) -> DataFrame:
+    """``(id, v, cell)``: the nearest cell of each vector of the centroids' length; other rows are left out."""
     shared = df.sparkSession.sparkContext.broadcast(centroids)
+    schema = T.StructType([T.StructField("id", df.schema[id_col].dataType), T.StructField("v", T.ArrayType(T.DoubleType())), T.StructField("cell", T.IntegerType())])
 
-    @F.pandas_udf("int")
-    def nearest(v):  # type: ignore[no-untyped-def]
-        import pandas as pd
-
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = shared.value
-        good = v.map(lambda x: x is not None and len(x) == c.shape[1])
-        out = pd.Series([None] * len(v), index=v.index, dtype="Int32")
-        if good.any():
-            out[good] = (np.stack(v[good].to_list()).astype(np.float64) @ c.T).argmax(1)
-        return out
+        for batch in batches:
+            lists = batch.column(1)
+            off = lists.offsets.to_numpy()
+            rows = np.flatnonzero(np.diff(off) == c.shape[1])
+            m = lists.values.to_numpy(zero_copy_only=False)[off[rows][:, None] + np.arange(c.shape[1])]
+            take = pa.array(rows)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), lists.take(take), pa.array((m @ c.T).argmax(1) if len(rows) else [], pa.int32())], names=["id", "v", "cell"])
+
+    usable = df.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where("v is not null")
+    return usable.mapInArrow(run, schema) if len(centroids) else usable.withColumn("cell", F.lit(0)).limit(0)
+
+
+@dataclass
+class Cells:
+    """A stored index of cells: its vectors ``(id, v, cell)`` partitioned by cell, its centroids, and how many to probe."""
+
+    vectors: DataFrame
+    centroids: np.ndarray
+    probes: int
+
+    def near(self, query: Sequence[float], probes: int | None = None) -> DataFrame:
+        """Vectors of the cells nearest to the query; the folders of other cells are not read."""
+        return self.vectors.where(F.col("cell").isin(probe_cells(self.centroids, query, probes or self.probes)))
+
+
+def write_cells(df: DataFrame, id_col: str, vector_col: str, path: str, cells: int | None = None, k: int = 20) -> None:
+    """Store the vectors of ``df`` by cell, with the centroids and the number of probes a recall of 0.95 for ``k`` needs.
+
+    A cell of very many vectors is written by several tasks, spread by the hash of the vectors.
+    """
+    spark = df.sparkSession
+    centroids = fit_cells(df, vector_col, cells or cell_count(df.count()))
+    placed = assign_cells(df, id_col, vector_col, centroids)
+    placed.repartition("cell", F.pmod(F.xxhash64("v"), F.lit(8))).write.partitionBy("cell").parquet(f"{path}/vectors")
+    probes = probes_for(df, vector_col, centroids, k)
+    rows = [(i, [float(x) for x in c], probes) for i, c in enumerate(centroids)]  # one row per cell
+    spark.createDataFrame(rows, "cell int, centroid array<double>, probes int").coalesce(1).write.parquet(f"{path}/centroids")
+
 
-    return df.withColumn("cell", nearest(F.col(vector_col).cast("array<double>")))
+def open_cells(spark: SparkSession, path: str, id_type: T.DataType | None = None) -> Cells:
+    """A stored index of cells."""
+    rows = spark.read.parquet(f"{path}/centroids").orderBy("cell").collect()  # MOST_CELLS rows at most
+    kind = id_type or T.LongType()
+    schema = T.StructType([T.StructField("id", kind), T.StructField("v", T.ArrayType(T.DoubleType())), T.StructField("cell", T.IntegerType())])
+    return Cells(spark.read.schema(schema).parquet(f"{path}/vectors"), np.array([r["centroid"] for r in rows]) if rows else np.zeros((0, 0)), rows[0]["probes"] if rows else 1)
 
 
 def probe_cells(centroids: np.ndarray, query: Sequence[float], probes: int = 10) -> list[int]:
     """Numbers of the cells nearest to a query; filter ``cell`` by them to prune partitions."""
-    return [int(x) for x in np.argsort(-(centroids @ np.asarray(query, np.float64)))[:probes]]
+    return [int(x) for x in np.argsort(-(centroids @ np.asarray(query, np.float64)))[:probes]] if len(centroids) else []
 
 
 def probes_for(df: DataFrame, vector_col: str, centroids: np.ndarray, k: int, recall: float = 0.95, asked: int = 500, sample: int = 50_000) -> int:

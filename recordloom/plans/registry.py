@@ -13,7 +13,7 @@ from recordloom.operators import acl, context, filters, hybrid, lexical, store,
 from recordloom.operators.packed import split_packed
 from recordloom.plans import monitor
 from recordloom.plans import search as pipeline
-from recordloom.session import table
+from recordloom.session import session_path, table
 from recordloom.sources import scans
 from recordloom.streaming import windows
 
@@ -68,6 +68,24 @@ _Q = "(SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = 7)"
 _COS = "list_cosine_similarity(embedding::DOUBLE[], q)"
 
 
+_STORED: dict[tuple[str, str, str], str] = {}
+
+
+def stored(spark: SparkSession, sf_dir: str, kind: str, build: Callable[[str], None]) -> str:
+    """Path of an index over tables of a folder, built when first asked for and kept as long as the session."""
+    key = (spark.sparkContext.applicationId, sf_dir, kind)
+    if key not in _STORED:
+        path = session_path(spark, kind)
+        build(path)
+        _STORED[key] = path
+    return _STORED[key]
+
+
+def _cells(spark: SparkSession, sf_dir: str) -> vector.Cells:
+    path = stored(spark, sf_dir, "cells", lambda p: vector.write_cells(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", p, 20))
+    return vector.open_cells(spark, path)
+
+
 def _query_vector(spark: SparkSession, sf_dir: str) -> list[float]:
     return list(table(spark, sf_dir, "embeddings").where("vec_id = 7").first()["embedding"])
 
@@ -117,12 +135,15 @@ def dedup_best_per_record(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def ivf_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Top 20 of as many nearest cells as a measured recall needs."""
-    e = table(spark, sf_dir, "embeddings")
-    cells = vector.fit_cells(e, "embedding", 20)
     q = _query_vector(spark, sf_dir)
-    probes = vector.probes_for(e, "embedding", cells, 20)
-    near = vector.assign_cells(e, "embedding", cells).where(F.col("cell").isin(vector.probe_cells(cells, q, probes)))
-    return vector.top_k(near, "vec_id", "embedding", q, 20, -2.0)
+    return vector.top_k(_cells(spark, sf_dir).near(q), "id", "v", q, 20, -2.0)
+
+
+@query(f"SELECT vec_id AS id, round({_COS}, 6) AS score FROM embeddings, {_Q} ORDER BY {_COS} DESC, vec_id LIMIT 20")
+def ivf_all_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Top 20 with every cell of the stored index probed, which is exact."""
+    q, cells = _query_vector(spark, sf_dir), _cells(spark, sf_dir)
+    return vector.top_k(cells.near(q, len(cells.centroids)), "id", "v", q, 20, -2.0).select("id", F.round("score", 6).alias("score"))
 
 
 @query("SELECT n, CASE WHEN n < 1000000 THEN 100 WHEN n < 5000000 THEN 1000 WHEN n < 10000000 THEN 1500 WHEN n < 25000000 THEN 2000 WHEN n < 50000000 THEN 2500 WHEN n < 100000000 THEN 3000 ELSE 5000 END AS cells FROM (SELECT o_orderkey * 1000 AS n FROM orders)")
@@ -149,13 +170,37 @@ _SCORED = f"""(SELECT id, sum(CASE field WHEN 'A' THEN 1.0 WHEN 'B' THEN 0.4 WHE
 FROM {_POSTINGS} WHERE term IN ('cost', 'of', 'timber') GROUP BY id)"""
 
 
+_FIELDS = {"title": "A", "text": "B", "category": "C", "container": "D"}
+_CHUNK_FIELDS = {"record_title": "A", "chunk_content": "B", "document_category": "C", "record_type": "C", "container": "D", "assignee": "D", "file_type": "D"}
+
+
+def _index_path(spark: SparkSession, sf_dir: str) -> str:
+    return stored(spark, sf_dir, "postings", lambda p: lexical.write_index(table(spark, sf_dir, "documents"), "doc_id", _FIELDS, p))
+
+
 def _index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lexical.postings(table(spark, sf_dir, "documents"), "doc_id", {"title": "A", "text": "B", "category": "C", "container": "D"})
+    return lexical.open_index(spark, _index_path(spark, sf_dir))
+
+
+def _english(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = stored(spark, sf_dir, "english", lambda p: lexical.write_index(table(spark, sf_dir, "documents"), "doc_id", _FIELDS, p, lexical.english_term))
+    return lexical.open_index(spark, path)
+
+
+def _chunk_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = stored(spark, sf_dir, "chunk-index", lambda p: lexical.write_index(table(spark, sf_dir, "record_chunks"), "id", _CHUNK_FIELDS, p, lexical.english_term))
+    return lexical.open_index(spark, path)
 
 
 @query(f"SELECT term, id, field, tf FROM {_POSTINGS}")
 def postings_build(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _index(spark, sf_dir)
+    return lexical.postings(table(spark, sf_dir, "documents"), "doc_id", _FIELDS)
+
+
+@query(f"SELECT term, id, field, tf FROM {_POSTINGS}")
+def postings_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored index, as searches read it."""
+    return _index(spark, sf_dir).select("term", "id", "field", "tf")
 
 
 @query(f"SELECT id, round(score, 6) AS score FROM {_SCORED} WHERE matched = 3 ORDER BY score DESC, id LIMIT 20")
@@ -180,15 +225,32 @@ def _rounded(hits: DataFrame) -> DataFrame:
 SELECT id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n_terms / mean))), 4) AS score FROM p JOIN d USING (term) JOIN l USING (id), s GROUP BY id"""
 )
 def lexical_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = _index(spark, sf_dir)
-    lengths = index.groupBy("id").agg(F.sum("tf").alias("n_terms"))
-    return lexical.bm25(index, lengths, "cost timber").select("id", F.round("score", 4).alias("score"))
+    path = _index_path(spark, sf_dir)
+    return lexical.bm25(lexical.open_index(spark, path), lexical.open_lengths(spark, path), "cost timber").select("id", F.round("score", 4).alias("score"))
 
 
-@query()
+# the words of the documents' language that have the stems of "costs" and "timber"
+_STEMMED = "(SELECT CASE WHEN term IN ('cost', 'costs', 'costing', 'costed') THEN 'cost' ELSE 'timber' END AS term, id, field, sum(tf) AS tf FROM {p} WHERE term IN ('cost', 'costs', 'costing', 'costed', 'timber', 'timbers', 'timbering', 'timbered') GROUP BY ALL)"
+
+
+@query(
+    f"""SELECT id, round(score, 6) AS score FROM (SELECT id, sum(CASE field WHEN 'A' THEN 1.0 WHEN 'B' THEN 0.4 WHEN 'C' THEN 0.2 ELSE 0.1 END::DOUBLE * tf / (tf + 1)) AS score, count(DISTINCT term) AS matched
+FROM {_STEMMED.format(p=_POSTINGS)} GROUP BY id) WHERE matched = 2 ORDER BY round(score, 6) DESC, id LIMIT 20"""
+)
 def stemmed_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stems = " ".join(lexical.stem(w) for w in ["costs", "timber"])
-    return lexical.search(lexical.stem_postings(_index(spark, sf_dir)), stems)
+    """Full-text rank with stems and without stop words: all words of the question that carry meaning are needed."""
+    return _rounded(lexical.search(_english(spark, sf_dir), "what are the costs of the timber", "all", None, lexical.english_term))
+
+
+@query(
+    r"""SELECT container, id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY container ORDER BY score DESC, id) AS r FROM (
+SELECT container, doc_id AS id, 0.4::DOUBLE * (tf1 / (tf1 + 1.0::DOUBLE) + tf2 / (tf2 + 1.0::DOUBLE)) AS score FROM (SELECT *, len([x FOR x IN regexp_extract_all(lower(text), '[\p{L}\p{N}]+') IF x = 'timber']) AS tf1, len([x FOR x IN regexp_extract_all(lower(text), '[\p{L}\p{N}]+') IF x = 'kilowatts']) AS tf2 FROM documents)
+WHERE (tf1 > 0 AND NOT regexp_matches(text, '(?i)\bgranite\b')) OR tf2 > 0)) WHERE r <= 5"""
+)
+def web_top_per_record(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best five documents of each container for a search-box query."""
+    hits = lexical.web_top_per_record(table(spark, sf_dir, "documents"), "doc_id", "container", "text", "timber -granite or kilowatts", 5)
+    return hits.select("container", "id", F.round("score", 6).alias("score"))
 
 
 @query("SELECT doc_id FROM documents WHERE regexp_matches(text, '(?i)\\bcost[^\\p{L}\\p{N}]+of[^\\p{L}\\p{N}]+timber\\b') AND NOT regexp_matches(text, '(?i)\\bgranite\\b') OR regexp_matches(text, '(?i)\\bkilowatts\\b')")
@@ -822,16 +884,42 @@ def dummy_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- pipelines ---------------------------------------------------------------------------------------------
 
 
-@query()
+_PIPE_FILES = """lower(coalesce(record_type, '')) <> 'container' AND (lower(coalesce(file_extension, '')) = '.pdf' OR lower(coalesce(file_type, '')) = 'pdf' OR contains(lower(coalesce(document_category, '')), 'pdf') OR lower(coalesce(record_title, '')) LIKE '%.pdf'
+OR contains(lower(coalesce(chunk_content, '')), 'pdf') OR contains(lower(coalesce(record_title, '')), 'pdf') OR contains(lower(coalesce(chunk_content, '')), 'portable document'))"""
+_PIPE_TERMS = " UNION ALL ".join(f"SELECT id, '{k}' AS field, unnest(regexp_extract_all(lower(coalesce({c}, '')), '[\\p{{L}}\\p{{N}}]+')) AS term FROM f" for c, k in _CHUNK_FIELDS.items())
+
+
+@query(
+    f"""WITH seen AS (SELECT DISTINCT record_uri FROM record_acl WHERE permission_type = 'ViewDocument' AND record_uri IS NOT NULL AND (acl_group IS NULL OR acl_group IN (SELECT acl_group FROM acl_group_members WHERE location_id = {_USER} OR location_id IN (SELECT group_id FROM user_groups WHERE user_id = {_USER})))),
+f AS (SELECT * FROM record_chunks WHERE entity_type = 'content_manager_record' AND record_uri IN (SELECT record_uri FROM seen) AND {_PIPE_FILES}),
+q AS (SELECT vector::DOUBLE[] AS q FROM record_chunks WHERE len(vector) = 64 ORDER BY id LIMIT 1),
+v AS (SELECT id, list_cosine_similarity(vector::DOUBLE[], q) AS s FROM f, q WHERE len(vector) = 64 AND list_sum([x * x FOR x IN vector]) > 0),
+sem AS (SELECT * FROM (SELECT * FROM v ORDER BY s DESC, id LIMIT 1000) WHERE s >= 0),
+w AS (SELECT id, field, CASE WHEN term IN ('cost', 'costs', 'costing', 'costed') THEN 'cost' WHEN term IN ('pdf', 'pdfs') THEN 'pdf' ELSE 'timber' END AS term FROM ({_PIPE_TERMS}) WHERE term IN ('cost', 'costs', 'costing', 'costed', 'pdf', 'pdfs', 'timber', 'timbers', 'timbering', 'timbered')),
+l AS (SELECT id, sum(CASE field WHEN 'A' THEN 1.0 WHEN 'B' THEN 0.4 WHEN 'C' THEN 0.2 ELSE 0.1 END::DOUBLE * tf / (tf + 1)) AS score, count(DISTINCT term) AS matched FROM (SELECT id, field, term, count(*) AS tf FROM w GROUP BY ALL) GROUP BY id),
+lex AS (SELECT id, score FROM l WHERE matched = 3 ORDER BY score DESC, id LIMIT 1000),
+fused AS (SELECT * FROM (SELECT coalesce(sem.id, lex.id) AS id, 0.7 * coalesce(s, 0) + 0.3 * coalesce(score / (SELECT max(score) FROM lex), 0) AS score FROM sem FULL JOIN lex ON sem.id = lex.id ORDER BY score DESC, 1 LIMIT 200) WHERE score >= 0.1)
+SELECT record_uri, embedding_id, round(score, 6) AS score, record_title, date_created FROM (SELECT f.*, score, row_number() OVER (PARTITION BY record_uri ORDER BY score DESC, id) AS r FROM f JOIN fused USING (id)) WHERE r = 1 ORDER BY score DESC, id LIMIT 20"""
+)
 def search_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A whole search: filters and access of one user before both legs are cut, one hit per record."""
+    return _search(spark, sf_dir)
+
+
+@query()
+def search_pipeline_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same search with the semantic leg in a stored index of cells."""
     chunks = table(spark, sf_dir, "record_chunks")
-    index = lexical.postings(chunks, "embedding_id", {"record_title": "A", "chunk_content": "B", "document_category": "C", "container": "D"})
-    groups = table(spark, sf_dir, "user_groups")
-    s = pipeline.Store(chunks, index, table(spark, sf_dir, "record_acl"), table(spark, sf_dir, "acl_group_members"), groups)
+    path = stored(spark, sf_dir, "chunk-cells", lambda p: vector.write_cells(chunks, "id", "vector", p, k=100))
+    return _search(spark, sf_dir, vector.open_cells(spark, path))
+
+
+def _search(spark: SparkSession, sf_dir: str, cells: vector.Cells | None = None) -> DataFrame:
+    chunks, groups = table(spark, sf_dir, "record_chunks"), table(spark, sf_dir, "user_groups")
+    s = pipeline.Store(chunks, _chunk_index(spark, sf_dir), table(spark, sf_dir, "record_acl"), table(spark, sf_dir, "acl_group_members"), groups, cells)
     q = list(chunks.where("size(vector) = 64").orderBy("id").select("vector").first()[0])
     hits = pipeline.search(s, "pdf about the cost of timber", lambda _: q, datetime(2026, 1, 28), 20, 0.1, user=groups.agg(F.min("user_id")).first()[0], filter_first=True)
-    return hits.select("record_uri", "embedding_id", "score", "record_title", "date_created")
+    return hits.select("record_uri", "embedding_id", F.round("score", 6).alias("score"), "record_title", "date_created")
 
 
 @query()

@@ -16,13 +16,14 @@ from recordloom.session import stage
 
 @dataclass
 class Store:
-    """Tables a search runs on: chunks, their postings, and access tables where rules apply."""
+    """Tables a search runs on: chunks with a unique ``id``, their English postings, access tables, and stored cells of their vectors."""
 
     chunks: DataFrame
     index: DataFrame
     record_acl: DataFrame | None = None
     members: DataFrame | None = None
     user_groups: DataFrame | None = None
+    cells: vector.Cells | None = None
 
 
 def search(store: Store, query: str, embed: Callable[[str], Sequence[float]], now: datetime, top_k: int = 20, min_score: float = 0.3, user: int | None = None, metadata: dict[str, str] | None = None, filter_first: bool = False) -> DataFrame:
@@ -30,29 +31,42 @@ def search(store: Store, query: str, embed: Callable[[str], Sequence[float]], no
 
     With ``filter_first`` all filters and access rules apply before the legs are cut, which gives the best hits
     among the allowed. Without it, for parity only, filters and access rules apply to the fused hits, so allowed
-    hits below the cut of the legs are lost, and a date range that leaves nothing is dropped.
+    hits below the cut of the legs are lost, and a date range that leaves nothing is dropped. With stored cells the
+    semantic leg looks into the nearest of them only, otherwise at every vector.
     """
     intent: QueryIntent = understand(query, now, top_k, min_score)
     chunks = filters.entity_filter(store.chunks)
     if filter_first:
-        chunks = _allowed(_filtered(chunks, intent, metadata, False), store, user)
+        # ids of the allowed chunks, found once: both legs and the hits are joined with them
+        allowed = stage(_allowed(_filtered(chunks, intent, metadata, False), store, user).select("id"), "allowed")
+    else:
+        allowed = None
     fetch = hybrid.expanded_limit(intent.limit)
+    asked = embed(intent.query)
+    if store.cells is not None:
+        vectors, column = store.cells.near(asked), "v"
+    else:
+        vectors, column = chunks.select("id", "vector"), "vector"
+    if allowed is not None:
+        vectors = vectors.join(allowed, "id", "left_semi")
     # one matrix product per Arrow batch; each task gives at most ``fetch`` rows
-    semantic = vector.batch_top_k(chunks, "embedding_id", "vector", [(0, embed(intent.query))], fetch).select("id", "score").where("score >= 0")
-    found = lexical.search(store.index, intent.query, limit=None if filter_first else fetch)
-    if filter_first:
-        found = found.join(chunks.select(F.col("embedding_id").alias("id")), "id", "left_semi").orderBy(F.desc("score"), "id").limit(fetch)
+    semantic = vector.top_k(vectors, "id", column, asked, fetch, 0.0)
+    found = lexical.search(store.index, intent.query, limit=None if filter_first else fetch, analyzer=lexical.english_term)
+    if allowed is not None:
+        found = found.join(allowed, "id", "left_semi").orderBy(F.desc("score"), "id").limit(fetch)
+    found = stage(found.select("id", "score"), "found")  # at most ``fetch`` rows, looked at twice
     words = fallback_words(intent.query)
     if len(intent.query) > 5 and words and found.isEmpty():
-        fused = hybrid.fuse_like(semantic, lexical.like_fallback(chunks, "embedding_id", "chunk_content", words, min(fetch, 100)), intent.limit, intent.min_score)
+        texts = chunks.join(allowed, "id", "left_semi") if allowed is not None else chunks
+        fused = hybrid.fuse_like(semantic, lexical.like_fallback(texts, "id", "chunk_content", words, min(fetch, 100)), intent.limit, intent.min_score)
     else:
         fused = hybrid.fuse(semantic, found, intent.limit, intent.min_score)
     # at most 1000 narrow rows: wide columns are joined only now
-    hits = (chunks if filter_first else store.chunks).join(F.broadcast(fused.withColumnRenamed("id", "embedding_id")), "embedding_id")
+    hits = chunks.join(F.broadcast(fused.select("id", "score", "semantic", "lexical")), "id")
     if not filter_first:
         hits = _allowed(_filtered(stage(hits, "hits"), intent, metadata, True), store, user)
-    best = hybrid.best_per_record(hits, tie="embedding_id")
-    order: list[Column] = [F.desc("score"), F.col("embedding_id")]
+    best = hybrid.best_per_record(hits)
+    order: list[Column] = [F.desc("score"), F.col("id")]
     if intent.earliest:
         order = [F.asc_nulls_last("date_created"), *order]
     elif intent.latest:

@@ -37,14 +37,17 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share.
+    """The folder all executors share, as ``spark.checkpoint.dir`` names it.
 
-    It is read from ``spark.checkpoint.dir``. Only where that setting is missing, as in tests on one
-    machine, a temporary folder is made and set as the checkpoint folder.
+    Only where that setting is missing and the session runs on one machine, as in tests, a temporary folder is
+    made and set as the checkpoint folder; on a cluster a missing setting is an error.
     """
     configured = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _TEST_DIRS:
         path = tempfile.mkdtemp(prefix="recordloom-")
@@ -54,26 +57,39 @@ def shared_dir(spark: SparkSession) -> str:
     return _TEST_DIRS[app]
 
 
-def _remove_staged() -> None:
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        if spark.sparkContext._jsc is None:
+            return
+        hpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+        hpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hpath, True)
+    except Exception:
+        if path.startswith("file:"):
+            shutil.rmtree(path.removeprefix("file://").removeprefix("file:"), ignore_errors=True)
+
+
+def release() -> None:
+    """Remove all staged files; results that still read them must have been used or written before."""
     for spark, path in _STAGED:
-        try:
-            if spark.sparkContext._jsc is None:
-                continue
-            hpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-            hpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hpath, True)
-        except Exception:
-            if path.startswith("file:"):
-                shutil.rmtree(path.removeprefix("file://").removeprefix("file:"), ignore_errors=True)
+        _remove(spark, path)
+    _STAGED.clear()
+
+
+def session_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder for something that lasts as long as the driver, such as an index of test tables."""
+    path = f"{shared_dir(spark)}/recordloom/{name}-{uuid.uuid4().hex}"
+    atexit.register(_remove, spark, path)
+    return path
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends there and survives lost executors.
 
-    The files are removed when the driver process ends.
+    The files are removed by :func:`release`, at the latest when the driver process ends.
     """
     spark = df.sparkSession
     if not _STAGED:
-        atexit.register(_remove_staged)
+        atexit.register(release)
     path = f"{shared_dir(spark)}/recordloom/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     _STAGED.append((spark, path))

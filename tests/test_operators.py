@@ -52,6 +52,73 @@ def test_lexical(spark):
     assert [lexical.stem(w) for w in ["caresses", "ponies", "relational", "hopping", "running", "happy", "generalizations"]] == ["caress", "poni", "relat", "hop", "run", "happi", "gener"]
 
 
+def test_stored_index(spark, tmp_path):
+    rows = [(i, f"Valve {i}", "the costs of timber" if i % 3 else "Timber costing", None) for i in range(60)] + [(100, None, "", None), (101, "of the", "and", "x")]
+    df = spark.createDataFrame(rows, "id long, title string, body string, term string")
+    fields = {"title": "A", "body": "B", "term": "B"}
+    for analyzer, q, want in ((lexical.plain_term, "costs timber", 40), (lexical.english_term, "what does the timber cost", 60), (lexical.english_term, "of the", 0), (lexical.plain_term, "valve 7", 1)):
+        path = f"{tmp_path}/{analyzer.__name__}-{want}"
+        lexical.write_index(df, "id", fields, path, analyzer)
+        index = lexical.open_index(spark, path)
+        hits = lexical.search(index, q, limit=None, analyzer=analyzer)
+        assert hits.count() == want
+        fresh = lexical.search(lexical.postings(df, "id", fields, analyzer), q, limit=None, analyzer=analyzer)
+        assert sorted(map(tuple, hits.collect())) == sorted(map(tuple, fresh.collect()))
+        if want:
+            plan = hits._jdf.queryExecution().toString()
+            assert "PartitionFilters: [bucket" in plan and "PushedFilters: [In(term" in plan
+    lexical.write_index(df.limit(0), "id", fields, f"{tmp_path}/none")
+    assert lexical.postings(df.limit(0), "id", fields).count() == 0
+    assert lexical.open_lengths(spark, f"{tmp_path}/plain_term-40").where("id = 1").first().n_terms == 6
+
+
+def test_best_per_record_of_a_search_box_query(spark):
+    df = spark.createDataFrame([(i, i % 2, "timber " * (i + 1) + ("granite" if i == 5 else "")) for i in range(6)] + [(9, None, None)], "id long, record_uri long, body string")
+    got = lexical.web_top_per_record(df, "id", "record_uri", "body", "timber -granite", 2).collect()
+    assert {(r.record_uri, r.id) for r in got} == {(0, 4), (0, 2), (1, 3), (1, 1)}
+    assert lexical.web_terms('"cost of" -granite or Steel') == ["cost", "of", "steel"]
+
+
+def test_stored_cells(spark, tmp_path):
+    rng = np.random.default_rng(6)
+    rows = [(i, rng.normal(size=8).tolist()) for i in range(300)] + [(900, None), (901, [1.0]), (902, [0.0] * 8)]
+    df = spark.createDataFrame(rows, "id long, v array<double>")
+    vector.write_cells(df, "id", "v", f"{tmp_path}/c", 10, 5)
+    cells = vector.open_cells(spark, f"{tmp_path}/c")
+    q = rows[3][1]
+    exact = [r.id for r in vector.top_k(df, "id", "v", q, 5).collect()]
+    assert [r.id for r in vector.top_k(cells.near(q, 10), "id", "v", q, 5).collect()] == exact
+    assert "PartitionFilters: [cell" in cells.near(q)._jdf.queryExecution().toString()
+    vector.write_cells(df.limit(0), "id", "v", f"{tmp_path}/none", 10)
+    none = vector.open_cells(spark, f"{tmp_path}/none")
+    assert vector.top_k(none.near(q), "id", "v", q, 5).count() == 0
+
+
+def test_ties_are_cut_by_id(spark):
+    df = spark.createDataFrame([(i, [1.0, 0.0]) for i in range(500, 0, -1)], "id long, v array<double>")
+    assert [r.id for r in vector.top_k(df.coalesce(1), "id", "v", [1.0, 0.0], 3).collect()] == [1, 2, 3]
+    batch = next(vector._batch_scores(iter(df.coalesce(1).toArrow().combine_chunks().to_batches()), type("S", (), {"value": ([0], np.array([[1.0, 0.0]]))}), 3, False))
+    assert batch.num_rows == 3
+
+
+def test_staging_needs_a_shared_folder_on_a_cluster(monkeypatch):
+    from recordloom import session
+
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Context:
+        master = "yarn"
+        getConf = lambda self: Conf()
+
+    class Session:
+        sparkContext, conf = Context(), Conf()
+
+    with pytest.raises(RuntimeError):
+        session.shared_dir(Session())
+
+
 def test_fusion_and_records(spark):
     a = spark.createDataFrame([(1, 0.9), (2, 0.5)], "id long, score double")
     b = spark.createDataFrame([(2, 4.0), (3, 2.0)], "id long, score double")
@@ -97,7 +164,7 @@ def test_search_finds_allowed_hits_below_many_others(spark, tmp_path):
     near, far = (0.99 * q + 0.01 * np.eye(64)[1]).tolist(), (0.6 * q + 0.8 * np.eye(64)[1]).tolist()
     rows = [(i, f"e{i:05}", i, f"cost of timber {i}.pdf", "pdf", q.tolist() if i == 0 else near if i < 1200 else far) for i in range(1205)]
     chunks = spark.createDataFrame(rows, "id long, embedding_id string, record_uri long, record_title string, file_type string, vector array<double>")
-    rest = {"chunk_content": "cost of timber", "document_category": "x", "container": "x", "entity_type": filters.ENTITY, "record_type": "Document", "file_extension": ".pdf"}
+    rest = {"chunk_content": "cost of timber", "document_category": "x", "container": "x", "assignee": "x", "entity_type": filters.ENTITY, "record_type": "Document", "file_extension": ".pdf"}
     chunks = chunks.withColumns({k: F.lit(v) for k, v in rest.items()}).withColumn("date_created", F.current_timestamp())
     tables = {
         "record_chunks": chunks,
