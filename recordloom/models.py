@@ -66,8 +66,11 @@ def with_retry(call: Callable[[], R], attempts: int = 5, base: float = 1.0, retr
     raise ValueError("attempts must be at least 1")
 
 
-def embed_table(df: DataFrame, text: str, embedder: Embedder) -> DataFrame:
-    """The table with ``vector`` and ``embed_error``: a failed batch is tried row by row, a failed or blank row has a null vector and a reason."""
+def embed_table(df: DataFrame, text: str, embedder: Embedder, attempts: int = 5, base: float = 1.0) -> DataFrame:
+    """The table with ``vector`` and ``embed_error``: a failed row or a blank one has a null vector and a reason.
+
+    Transient errors of a batch are tried again with growing waits; a batch that fails otherwise is tried row by row.
+    """
     columns = df.columns
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -77,7 +80,8 @@ def embed_table(df: DataFrame, text: str, embedder: Embedder) -> DataFrame:
             errors: list = [None if t and str(t).strip() else "blank text" for t in texts]
             todo = [i for i, e in enumerate(errors) if e is None]
             try:
-                for i, v in zip(todo, embedder.embed([texts[i] for i in todo])):
+                got = with_retry(lambda: embedder.embed([texts[i] for i in todo]), attempts, base)
+                for i, v in zip(todo, got):
                     vectors[i] = v
             except Exception:
                 for i in todo:

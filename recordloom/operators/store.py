@@ -1,15 +1,18 @@
 """The chunk store: upserts, deletes, backfill, archive, checkpoints and change detection as plans over tables.
 
-Parquet has no row updates, so a change makes the next state of a table as a plan; :func:`replace` writes it beside
-the old one and swaps the folders. Keys that repeat in the new rows count once, by the latest ``created_at``.
+Parquet has no row updates, so a change makes the next state of a table as a plan. :class:`BucketStore` keeps a table
+in buckets of records and writes only buckets that change; a manifest says which files are current and is put in place
+by one rename, so readers see the old state or the new one. Keys that repeat in the new rows count once, by the latest
+``created_at``.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recordloom.functions.dates import parse_date
@@ -90,18 +93,89 @@ def checkpoint_or_new(state: DataFrame, job: str, now: datetime) -> DataFrame:
     return found.unionByName(fresh.join(found.select("job_name"), "job_name", "left_anti").select(state.columns))
 
 
-def replace(df: DataFrame, path: str) -> None:
-    """Write the next state of a table and put it in the place of the old one; the old is removed after the swap."""
-    spark: SparkSession = df.sparkSession
-    side = f"{path}.{uuid.uuid4().hex}"
-    df.write.parquet(side)
-    jvm = spark._jvm
-    old, new, back = (jvm.org.apache.hadoop.fs.Path(p) for p in (path, side, side + ".old"))
-    fs = new.getFileSystem(spark._jsc.hadoopConfiguration())
-    if fs.exists(old):
-        fs.rename(old, back)
-    fs.rename(new, old)
-    fs.delete(back, True)
+class BucketStore:
+    """A table of chunks in buckets by the hash of the record; only touched buckets are rewritten.
+
+    The manifest of a version maps each bucket to the folder that holds it. Two writers cannot both put the same
+    version in place: the second one fails.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 256, record: str = "record_uri"):
+        self.spark, self.path, self.buckets, self.record = spark, path.rstrip("/"), buckets, record
+        self._jvm = spark._jvm
+        self._fs = self._path("").getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def _path(self, name: str):  # type: ignore[no-untyped-def]
+        return self._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
+
+    def has(self, path: str) -> bool:
+        """Whether a path exists."""
+        return self._fs.exists(self._jvm.org.apache.hadoop.fs.Path(path))
+
+    def bucket(self) -> Column:
+        return F.pmod(F.xxhash64(self.record), F.lit(self.buckets)).cast("int")
+
+    def version(self) -> int:
+        """Number of the current version, 0 before the first."""
+        folder = self._path("manifests")
+        if not self._fs.exists(folder):
+            return 0
+        names = [f.getPath().getName() for f in self._fs.listStatus(folder)]
+        return max((int(n) for n in names if n.isdigit()), default=0)
+
+    def manifest(self) -> dict[int, str]:
+        """Bucket -> folder of the current version."""
+        n = self.version()
+        if not n:
+            return {}
+        text = self.spark.read.text(f"{self.path}/manifests/{n:012d}", wholetext=True).first()[0]
+        return {int(k): v for k, v in json.loads(text).items()}
+
+    def read(self, of: list[int] | None = None) -> DataFrame | None:
+        """Rows of the given buckets, of all by default; None where there are none."""
+        folders = sorted({f"{self.path}/{v}/bucket={k}" for k, v in self.manifest().items() if of is None or k in of})
+        return self.spark.read.parquet(*folders) if folders else None
+
+    def put(self, changed: DataFrame, rows: DataFrame) -> int:
+        """Replace the records of ``changed`` by ``rows`` (which may hold none of a record); returns the new version."""
+        touched = sorted(r[0] for r in changed.select(self.bucket()).union(rows.select(self.bucket())).distinct().collect())  # one row per bucket at most
+        now = self.manifest()
+        old = self.read(touched)
+        state = rows if old is None else old.join(changed.select(self.record).distinct(), self.record, "left_anti").select(rows.columns).unionByName(rows)
+        name = f"data/{uuid.uuid4().hex}"
+        state.withColumn("bucket", self.bucket()).repartition("bucket").write.partitionBy("bucket").parquet(f"{self.path}/{name}")
+        there = {int(f.getPath().getName().split("=")[1]) for f in self._fs.listStatus(self._path(name)) if f.getPath().getName().startswith("bucket=")}
+        nxt = {k: v for k, v in now.items() if k not in touched} | {k: name for k in there}
+        return self._commit(nxt)
+
+    def _commit(self, manifest: dict[int, str]) -> int:
+        n = self.version() + 1
+        self._fs.mkdirs(self._path("manifests"))
+        side, final = self._path(f"manifests/_{uuid.uuid4().hex}"), self._path(f"manifests/{n:012d}")
+        out = self._fs.create(side, False)
+        out.write(bytearray(json.dumps({str(k): v for k, v in sorted(manifest.items())}).encode()))
+        out.close()
+        if self._fs.exists(final) or not self._fs.rename(side, final):
+            self._fs.delete(side, False)
+            raise RuntimeError(f"version {n} was written by another run")
+        return n
+
+    def vacuum(self) -> int:
+        """Remove buckets that the current version does not use and older manifests; returns how many buckets went."""
+        used, n = {(k, v) for k, v in self.manifest().items()}, self.version()
+        gone = 0
+        for f in self._fs.listStatus(self._path("data")) if self._fs.exists(self._path("data")) else []:
+            name = f"data/{f.getPath().getName()}"
+            for b in self._fs.listStatus(f.getPath()):
+                of = b.getPath().getName().removeprefix("bucket=")
+                if of.isdigit() and (int(of), name) not in used:
+                    gone += bool(self._fs.delete(b.getPath(), True))
+            if name not in {v for _, v in used}:
+                self._fs.delete(f.getPath(), True)
+        for f in self._fs.listStatus(self._path("manifests")) if n else []:
+            if f.getPath().getName() != f"{n:012d}":
+                self._fs.delete(f.getPath(), False)
+        return gone
 
 
 def write_json(df: DataFrame, path: str) -> None:
@@ -109,6 +183,11 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(path)
 
 
+def delete_json_document(df: DataFrame, document: str) -> DataFrame:
+    """Vectors of the file store without those of a document."""
+    return df.where(~F.coalesce(F.try_element_at("metadata", F.lit("document_id")) == document, F.lit(False)))
+
+
 def read_json(spark: SparkSession, path: str) -> DataFrame:
     """Vectors of the file store; malformed lines are skipped."""
     return spark.read.schema("id string, vector array<float>, metadata map<string,string>, created_at timestamp").option("mode", "DROPMALFORMED").json(path)

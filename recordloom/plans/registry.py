@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recordloom.functions import chunk, dates, intent, text
+from recordloom.models import HashingEmbedder
 from recordloom.operators import acl, context, filters, hybrid, lexical, store, vector
 from recordloom.operators.packed import split_packed
 from recordloom.plans import monitor
@@ -16,6 +17,7 @@ from recordloom.plans import search as pipeline
 from recordloom.session import session_path, table
 from recordloom.sources import scans
 from recordloom.streaming import windows
+from recordloom.streaming.sync import Sync, bodies_of, sync_once
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -922,10 +924,56 @@ def _search(spark: SparkSession, sf_dir: str, cells: vector.Cells | None = None)
     return hits.select("record_uri", "embedding_id", F.round("score", 6).alias("score"), "record_title", "date_created")
 
 
+NOW = datetime(2026, 1, 28)
+
+
+class _Refuses(HashingEmbedder):
+    """Fails on texts that hold a word, as a model server does on some input."""
+
+    def __init__(self, word: str):
+        super().__init__()
+        self.word = word
+
+    def embed(self, texts: list[str]) -> list[list[float]]:
+        if any(self.word in t.split("]")[0].lower() for t in texts):
+            raise ValueError("refused")
+        return super().embed(texts)
+
+
+def _sync(spark: SparkSession, sf_dir: str, embedder: HashingEmbedder | None = None) -> tuple[DataFrame, Sync]:
+    bodies = bodies_of(table(spark, sf_dir, "documents", "doc_id", "record_uri", "text"))
+    return sync_once(table(spark, sf_dir, "record_chunks"), table(spark, sf_dir, "records"), bodies, NOW, embedder)
+
+
 @query()
 def sync_build(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts, chunks and vectors of all records that changed since they were stored."""
-    from recordloom.streaming.sync import sync_once
-
-    state, _ = sync_once(table(spark, sf_dir, "record_chunks"), table(spark, sf_dir, "records"), None, datetime(2026, 1, 28))
+    """Texts, chunks and vectors of all records that changed since they were stored, beside those that did not."""
+    state, _ = _sync(spark, sf_dir)
     return state.select("embedding_id", "record_uri", "chunk_sequence", "token_count", "page_number", "chunk_content")
+
+
+# the latest export of each record, and what a sync finds
+_LATEST = f"(SELECT record_uri, m AS src, title FROM (SELECT record_uri, title, {_DATE.format(c='date_modified')} AS m, row_number() OVER (PARTITION BY record_uri ORDER BY coalesce({_DATE.format(c='date_modified')}, TIMESTAMP '1900-01-01') DESC, coalesce(title, '') DESC) AS r FROM records) WHERE r = 1)"
+_FOUND = f"(SELECT record_uri, src, title, old, CASE WHEN there IS NULL THEN 'new' WHEN mx IS NULL OR old IS NULL OR mx > old THEN 'updated' ELSE 'unchanged' END AS status, contains(lower(title), 'for ') AS bad FROM {_LATEST} JOIN (SELECT record_uri, max({_DATE.format(c='date_modified')}) AS mx FROM records GROUP BY 1) USING (record_uri) LEFT JOIN (SELECT record_uri, max(source_date_modified) AS old, true AS there FROM record_chunks GROUP BY 1) USING (record_uri))"
+
+
+@query(
+    f"""SELECT count(*) FILTER (WHERE status = 'new') AS "new", count(*) FILTER (WHERE status = 'updated') AS updated, count(*) FILTER (WHERE status = 'unchanged') AS unchanged, count(*) FILTER (WHERE status <> 'unchanged') AS processed,
+count(*) FILTER (WHERE status <> 'unchanged' AND NOT coalesce(bad, false)) AS success, count(*) FILTER (WHERE status <> 'unchanged' AND bad) AS failed FROM {_FOUND}"""
+)
+def sync_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counters of a run whose model refuses records with a word in their title."""
+    return _sync(spark, sf_dir, _Refuses("for "))[1].counters()
+
+
+@query(f"SELECT record_uri, 'ValueError: refused' AS embed_error, TIMESTAMP '2026-01-28 00:00:00' AS at FROM {_FOUND} WHERE status <> 'unchanged' AND bad")
+def sync_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dead-letter rows of the same run, one per record."""
+    return _sync(spark, sf_dir, _Refuses("for "))[1].errors.select("record_uri", "embed_error", "at").distinct()
+
+
+@query(f"SELECT record_uri, CASE WHEN status = 'unchanged' OR bad THEN old ELSE src END AS modified FROM {_FOUND} WHERE status = 'unchanged' OR NOT coalesce(bad, false) OR old IS NOT NULL OR status = 'updated'")
+def sync_next_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Modification date of each record in the store after the same run: that of the source, or the stored one where it was left alone."""
+    state, _ = _sync(spark, sf_dir, _Refuses("for "))
+    return state.groupBy("record_uri").agg(F.max("source_date_modified").alias("modified"))

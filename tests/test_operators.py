@@ -186,10 +186,6 @@ def test_store(spark, tmp_path):
     assert got == {"a": (1, 1, 2020), "b": (2, 2, 2020), "c": (11, 3, 2022)}
     again = {r.embedding_id: (r.id, r.n) for r in store.upsert(state, new).collect()}
     assert again == {k: v[:2] for k, v in got.items()}
-    path = f"file://{tmp_path}/t"
-    store.replace(old, path)
-    store.replace(spark.read.parquet(path).where("id = 1"), path)
-    assert spark.read.parquet(path).count() == 1
     empty = spark.createDataFrame([], store.CHECKPOINT)
     first = store.checkpoint_or_new(empty, "job", datetime(2024, 1, 1))
     assert first.first().status == "Never Run"
@@ -197,6 +193,8 @@ def test_store(spark, tmp_path):
     assert store.update_checkpoint(first, later).first().status == "Completed"
     store.write_json(spark.createDataFrame([("x", [1.0])], "id string, vector array<float>"), f"file://{tmp_path}/j")
     (tmp_path / "j" / "bad.json").write_text("{not json\n")
+    files = spark.createDataFrame([("x", {"document_id": "d1"}), ("y", {"document_id": "d2"}), ("z", {}), ("n", None)], "id string, metadata map<string,string>")
+    assert {r.id for r in store.delete_json_document(files, "d1").collect()} == {"y", "z", "n"}
     assert store.read_json(spark, f"file://{tmp_path}/j").where("id is not null").count() == 1
 
 
@@ -256,20 +254,75 @@ def test_stream_equals_batch(spark, tmp_path):
     assert sorted(map(str, spark.table("tumble").collect())) == sorted(map(str, windows.tumbling(ev).collect()))
 
 
-def test_sync(spark, tmp_path):
-    schema = "record_uri long, title string, container string, assignee string, all_parts string, is_container string, date_created string, date_modified string, file_extension string"
+SOURCE = "record_uri long, title string, container string, assignee string, all_parts string, is_container string, date_created string, date_modified string, file_extension string"
+
+
+def exported(spark, *rows):
+    return spark.createDataFrame([(u, t, "c", "x", "p", "Document File", "01/01/2024 10:00:00", m, ".pdf") for u, t, m in rows], SOURCE)
+
+
+def fails_on(word):
+    class FailsOn(models.HashingEmbedder):
+        def embed(self, texts):
+            if any(word in t for t in texts):
+                raise ValueError("refused")
+            return super().embed(texts)
+
+    return FailsOn(8)
+
+
+def test_sync_job(spark, tmp_path):
+    job = sync.SyncJob(spark, "nightly", f"file://{tmp_path}/job", fails_on("bad"), 8)
+    bodies = spark.createDataFrame([(1, "one body"), (2, "two body")], "record_uri long, body string")
+    clock = iter(datetime(2024, 2, d) for d in range(1, 28)).__next__
+    assert job.checkpoint(clock())["status"] == "Never Run" and job.failed_records().count() == 0
+    first = exported(spark, (1, "A.pdf", "01/02/2024 10:00:00"), (2, "B.pdf", None), (3, "bad.pdf", "01/02/2024 10:00:00"))
+    r = job.run(first, bodies, clock)
+    assert r.status == "Completed" and r.counters == {"new": 3, "updated": 0, "unchanged": 0, "processed": 3, "success": 2, "failed": 1} and r.version == 1
+    stored = {x.record_uri: x.chunk_content for x in job.store.read().collect()}
+    assert set(stored) == {1, 2} and "one body" in stored[1]
+    assert [x.record_uri for x in job.failed_records().collect()] == [3] and "refused" in job.failed_records().first().embed_error
+    row = job.checkpoint(clock())
+    assert (row["status"], row["success"], row["failed"], row["last_sync_date"]) == ("Completed", 2, 1, None)
+    # the failed record is tried again, a changed one replaced, an unchanged one left alone
+    before = job.store.manifest()
+    second = exported(spark, (1, "A new.pdf", "03/02/2024 10:00:00"), (3, "good.pdf", "01/02/2024 10:00:00"))
+    r = job.run(second, None, clock)
+    assert r.counters["updated"] == 1 and r.counters["new"] == 1 and r.counters["failed"] == 0
+    titles = {x.record_uri: x.record_title for x in job.store.read().collect()}
+    assert titles == {1: "A new.pdf", 2: "B.pdf", 3: "good.pdf"}
+    after = job.store.manifest()
+    touched = {x.b for x in spark.createDataFrame([(1,), (3,)], "record_uri long").select(job.store.bucket().alias("b")).collect()}
+    assert all(after[k] == before[k] for k in before if k not in touched) and all(after[k] != before.get(k) for k in touched)
+    assert job.checkpoint(clock())["last_sync_date"] is not None
+    # records modified before the day of the mark are not looked at
+    assert job.run(second, None, clock).counters["processed"] == 0
+    assert job.run(second, None, clock, stop=lambda: True).status == "Cancelled" and job.checkpoint(clock())["status"] == "Cancelled"
+    assert job.run(spark.range(1), None, clock).status == "Failed" and job.checkpoint(clock())["status"] == "Failed"
+    version = job.store.version()
+    assert job.store.vacuum() > 0 and job.store.read().count() == 3 and job.store.version() == version
+    # a second writer of the same version fails
+    other = sync.store.BucketStore(spark, f"file://{tmp_path}/job/chunks", 8)
+    other.version = lambda n=version: n - 1
+    with pytest.raises(RuntimeError):
+        other._commit({})
+    assert job.run(first.limit(0), None, clock, full=True).counters["processed"] == 0
+
+
+def test_sync_stream(spark, tmp_path):
     src = f"file://{tmp_path}/src"
-    spark.createDataFrame([(1, "A.pdf", "c", "x", "p", "Document File", "01/01/2024 10:00:00", "01/02/2024 10:00:00", ".pdf"), (2, "B", None, None, None, "Container", "bad date", None, None)], schema).write.parquet(src)
-    start = lambda: sync.start_sync(spark, src, schema, f"file://{tmp_path}/store", f"file://{tmp_path}/cp", lambda: datetime(2024, 2, 1))
-    s = sync.Scheduler(start)
+    exported(spark, (1, "A.pdf", "01/02/2024 10:00:00"), (2, "B", None)).write.parquet(src)
+    job = sync.SyncJob(spark, "stream", f"file://{tmp_path}/job", buckets=4)
+    s = sync.Scheduler(lambda every: job.stream(src, SOURCE, f"file://{tmp_path}/cp", lambda: datetime(2024, 2, 1), every=every))
     assert s.trigger()
     s.wait()
-    assert spark.read.parquet(f"file://{tmp_path}/store").select("record_uri").distinct().count() == 2
-    spark.createDataFrame([(1, "A new.pdf", "c", "x", "p", "Document File", "01/01/2024 10:00:00", "03/02/2024 10:00:00", ".pdf")], schema).write.mode("append").parquet(src)
+    assert job.store.read().select("record_uri").distinct().count() == 2
+    exported(spark, (1, "A new.pdf", "03/02/2024 10:00:00")).write.mode("append").parquet(src)
     s.trigger()
     s.wait()
-    got = spark.read.parquet(f"file://{tmp_path}/store")
+    got = job.store.read()
     assert got.where("record_uri = 1").first().record_title == "A new.pdf" and got.where("record_uri = 2").count() == 1
+    assert s.reschedule("1 hour") is False and s.trigger() and s.running and s.reschedule("2 hours") and s.status()["every"] == "2 hours"
     s.pause()
     assert not s.trigger() and s.status()["running"] is False
 
