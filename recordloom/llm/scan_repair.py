@@ -1,22 +1,26 @@
 """Repair text of scanned pages: broken words, running headers, page numbers and misread characters.
 
-Layout. Lines of a row are judged in pairs by two boosted-tree classifiers: one tells furniture (running
-headers, footers, page numbers) from the lines around it by how they would flow without it, the other tells
-words broken at a line end from words that own their hyphen. Both are trained on synthetic pages set from at
-most ``TRAIN_ROWS`` unscanned rows of the same table. Lines that remain are joined into paragraphs.
+Layout. Lines of a row are judged in pairs by boosted-tree classifiers. One tells furniture (running headers,
+footers, page numbers) from the lines around it by how they would flow without it, two more whether furniture holds a
+page number and other text; one tells whether a line goes on with the paragraph of the line before, one whether a word
+is broken at a line end or owns its hyphen. They are trained on synthetic pages set from at most ``TRAIN_ROWS``
+unscanned rows of the same table. Furniture of these pages is drawn from at most ``TRAIN_LINES`` lines that repeat over
+the pages of a record, since text does not, and from a few general forms.
 
 Words. Every word of the whole table is counted, once for each distinct content below the record's own header, so
 copies of a page do not make its misreadings frequent. Words of scanned rows that are rare are looked up among
 frequent words through an inverted join of character q-grams, taken after signs that recognition confuses are
-folded together, and a boosted-tree ranking trained on artificial misreadings and on ordinary slips, which are
-no misreadings, chooses the replacement or none.
+folded together. Grams are ordered from rare to frequent, and only as many of them are joined as two words with
+enough common grams must share. A boosted-tree ranking trained on artificial misreadings and on ordinary slips, which
+are no misreadings, chooses the replacement or none.
 
 Scale: the lexicon keeps words with a share of at least ``LEXICON_SHARE`` of all words, so it has no more than
 1 / LEXICON_SHARE entries whatever the size of the data; rare words, candidates and corrections stay
-distributed and are joined by word and row.
+distributed and are joined by word and row. Lines of all pages of an Arrow batch are scored together.
 
-Defined results: rows without page (``page_number`` null or 0), null and empty contents, and contents without
-line layout are left as they are and carry no damage; repeated rows count under each id.
+Defined results: rows without page (``page_number`` null or 0) and null contents are left out, as they are no scans;
+every scanned row comes out, unchanged where nothing is wrong. Contents whose lines are not set to a width, empty ones
+too, have no line damage but may have misread words; repeated rows count under each id.
 """
 
 from __future__ import annotations
@@ -25,6 +29,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +41,9 @@ from recordloom.session import stage
 
 LEXICON_SHARE = 2e-6
 RARE_SHARE = 3e-5
-TRAIN_ROWS = 1500
-TRAIN_WORDS = 3000
+TRAIN_ROWS = 700
+TRAIN_LINES = 400
+TRAIN_WORDS = 2000
 GRAM = 2
 LETTERS = re.compile(r"[^\W\d_]+")
 _TERMINAL = re.compile(r"[.!?:][\"'”’)\]]*$")
@@ -105,18 +111,19 @@ class Page:
         before, after = self.around(i)
         pb, nb = (self.lines[i - 1] if i else ""), (self.lines[i + 1] if i + 1 < len(self.lines) else "")
         toks = s.split()
-        letters = sum(c.isalpha() for c in s)
+        letters = sum(map(str.isalpha, s))
         named = {w.lower() for w in LETTERS.findall(s) if len(w) > 2}
         b_open = bool(before) and not _TERMINAL.search(before.strip())
         a_low = after.strip()[:1].islower()
         first = toks[0] if toks else ""
         return [
             len(s) / max(self.width, 1), float(len(toks)), float(b_open), float(a_low), float(b_open and a_low), float(before.rstrip().endswith(("-", "\u2010", "\u00ad", "\u00ac"))), float(bool(_TERMINAL.search(s))), float(s[:1].islower()),
-            float(s[:1].isdigit()), sum(t[:1].isupper() for t in toks) / max(len(toks), 1), sum(t.isupper() and len(t) > 1 for t in toks) / max(len(toks), 1), sum(c.isdigit() for c in s) / max(len(s), 1), letters / max(len(s), 1),
+            float(s[:1].isdigit()), sum(t[:1].isupper() for t in toks) / max(len(toks), 1), sum(t.isupper() and len(t) > 1 for t in toks) / max(len(toks), 1), sum(map(str.isdigit, s)) / max(len(s), 1), letters / max(len(s), 1),
             float(bool(_PAGE_ALONE.match(s))), float(bool(_PAGE_END.search(s))), float(bool(_PAGE_FRONT.match(s))), float(bool(re.search(r"\S {3,}\S", s))), float(bool(re.search(r"\.\w{2,4}(\s|$)", s))),
             float(" — " in s or " – " in s), float(" / " in s), float("|" in s), float(s[:2] in ("- ", "* ", "• ")), len(named & self.title) / max(len(named), 1), float(self.repeats[_fold_line(x)]),
             float(not pb.strip()), float(not nb.strip()), float(i == 0), float(i == len(self.lines) - 1), float(len(pb.rstrip()) + 1 + len(first) <= self.width), len(pb.rstrip()) / max(self.width, 1),
-            float(s.endswith(",")), float(bool(re.match(r"[\w ]{3,20}:\s", s))), float(x[:1].isspace()), float(len(s)), float(nb.strip()[:1].islower()), float(bool(pb.strip()) and not _TERMINAL.search(pb.strip())), float(bool(re.search(r"\bfor\b.*\bonly\b", s))),
+            float(s.endswith(",")), float(bool(re.match(r"[\w ]{3,20}:\s", s))), float(x[:1].isspace()), float(len(s)), float(nb.strip()[:1].islower()), float(bool(pb.strip()) and not _TERMINAL.search(pb.strip())),
+            float(bool(_PAGE_ALONE.match(pb)) and bool(pb.strip())), float(bool(_PAGE_ALONE.match(nb)) and bool(nb.strip())), float(bool(re.fullmatch(r"(1[89]|20)\d\d[.,;]?", s))),
         ]
 
 
@@ -134,12 +141,12 @@ def fold_lexicon(lexicon: dict[str, int]) -> dict[str, int]:
     return out
 
 
-def _hyphen_features(first: str, second: str, lexicon: dict[str, int], folded: dict[str, int]) -> list[float]:
-    """Whether the parts make a word together, misread or not, and whether each is one by itself."""
+def _hyphen_features(first: str, second: str, plain: bool, lexicon: dict[str, int], folded: dict[str, int]) -> list[float]:
+    """Whether the parts make a word together, misread or not, whether each is one by itself, and whether the sign is the plain hyphen."""
     a, b = first.lower(), second.lower()
     c = lambda w: float(np.log1p(lexicon.get(w, 0)))
     joined = lexicon.get(a + b) or folded.get(fold(a + b), 0)
-    return [float(np.log1p(joined)), c(a), c(b), float(len(a)), float(len(b)), float(second[:1].islower()), float(first.isalpha()), float(joined > 0), float(a in lexicon and b in lexicon)]
+    return [float(np.log1p(joined)), c(a), c(b), float(len(a)), float(len(b)), float(second[:1].islower()), float(first.isalpha()), float(joined > 0), float(a in lexicon and b in lexicon), float(plain)]
 
 
 def _parts(line: str, after: str) -> tuple[str, str] | None:
@@ -153,52 +160,75 @@ def _parts(line: str, after: str) -> tuple[str, str] | None:
     return (first.rsplit("-", 1)[-1], second) if second else None
 
 
-def layout(page: Page, furniture: Boosted, hyphen: Boosted, lexicon: dict[str, int], folded: dict[str, int]) -> tuple[str, set[str]]:
-    """Paragraphs of the page without furniture and broken words, and the kinds of damage met."""
-    kinds: set[str] = set()
-    rows = [i for i, x in enumerate(page.lines) if x.strip()]
-    p = furniture.probability(np.array([page.features(i) for i in rows])) if rows else np.zeros(0)
-    drop = {i for i, q in zip(rows, p) if q > 0.5}
-    for i in drop:
-        s = page.lines[i].strip()
-        if _PAGE_ALONE.match(s):
-            kinds.add("pageno")
-        else:
-            kinds.add("header")
-            if _PAGE_END.search(s) or _PAGE_FRONT.match(s):
-                kinds.add("pageno")
-    paras: list[str] = []
-    cur, gap, last_line = "", False, ""
-    for i, line in enumerate(page.lines):
-        s = line.strip()
-        if i in drop:
-            continue
-        if not s:
-            gap = True
-            continue
-        flows = bool(cur) and not _TERMINAL.search(cur) and s[:1].islower()
-        marked = bool(re.match(r"([-*•]|\d+[.)])\s|\|", s)) or "|" in s
-        short = bool(last_line) and len(last_line) + 1 + len(s.split()[0]) <= 0.85 * page.width and bool(_TERMINAL.search(cur))
-        indented = line[:1].isspace() and not last_line[:1].isspace() and bool(_TERMINAL.search(cur))
-        fresh = not cur or (gap and not flows) or marked or short or indented or (bool(re.match(r"([-*•]\s|\|)", cur)) and not s[:1].islower()) or (not flows and _TERMINAL.search(cur) is None and len(last_line) < 0.6 * page.width and s[:1].isupper())
-        if fresh:
-            if cur:
-                paras.append(cur)
-                paras.append("\n" if not gap else "\n\n")
-            cur = s
+_MARK = re.compile(r"([-*•·–]|\d+[.)]|\([a-z0-9]\))\s")
+
+
+def _join_features(page: Page, i: int, j: int, gap: bool) -> list[float]:
+    """How line ``j`` follows line ``i``, with all furniture between them taken out."""
+    x, y = page.lines[i], page.lines[j]
+    a, b = x.strip(), y.strip()
+    width = max(page.width, 1)
+    first = b.split(" ", 1)[0]
+    return [
+        float(gap), len(x.rstrip()) / width, len(y.rstrip()) / width, float(bool(_TERMINAL.search(a))), float(a[-1:] in ",;"), float(a[-1:] == ":"), float(a[-1:] in "-\u2010\u00ad\u00ac"), float(b[:1].islower()), float(b[:1].isupper()), float(b[:1].isdigit()),
+        float(len(x.rstrip()) + 1 + len(first) <= page.width), (len(x.rstrip()) + 1 + len(first)) / width, float(bool(_MARK.match(b))), float(bool(_MARK.match(a))), float("|" in b), float("|" in a), float(y[:1].isspace()), float(x[:1].isspace()),
+        float(a.isupper()), float(b.isupper()), float(bool(re.match(r"[^.!?]{2,30}:\s", b))), float(bool(re.match(r"[^.!?]{2,30}:\s", a))), float(len(a.split())), float(len(b.split())), float(a[:1].islower()),
+    ]
+
+
+@dataclass
+class Layout:
+    """The classifiers of lines and line pairs, with the lexicon that judges broken words."""
+
+    furniture: Boosted
+    number: Boosted
+    text: Boosted
+    join: Boosted
+    hyphen: Boosted
+    lexicon: dict[str, int]
+    folded: dict[str, int]
+
+
+def lay_out(pages: list[Page], m: Layout) -> list[tuple[str, set[str]]]:
+    """Paragraphs of each page without furniture and broken words, and the kinds of damage met."""
+    rows = [(k, i) for k, page in enumerate(pages) for i, x in enumerate(page.lines) if x.strip()]
+    x = np.array([pages[k].features(i) for k, i in rows]).reshape(len(rows), -1)
+    drop = m.furniture.probability(x) > 0.5 if len(rows) else np.zeros(0, bool)
+    kinds: list[set[str]] = [set() for _ in pages]
+    gone = [r for r, d in zip(rows, drop) if d]
+    if gone:
+        number, text = m.number.probability(x[drop]) > 0.5, m.text.probability(x[drop]) > 0.5
+        for (k, _), n, t in zip(gone, number, text):
+            kinds[k] |= {"pageno"} if n and not t else {"header", "pageno"} if n else {"header"}
+    dropped = set(gone)
+    pairs: list[tuple[int, int, int, bool]] = []
+    for k, page in enumerate(pages):
+        last, gap = -1, False
+        for i, line in enumerate(page.lines):
+            if not line.strip():
+                gap = True
+            elif (k, i) not in dropped:
+                if last >= 0:
+                    pairs.append((k, last, i, gap))
+                last, gap = i, False
+    follows = m.join.probability(np.array([_join_features(pages[k], i, j, g) for k, i, j, g in pairs])) > 0.5 if pairs else np.zeros(0, bool)
+    ends = {n: two for n, (k, i, j, _) in enumerate(pairs) if follows[n] and (two := _parts(pages[k].lines[i], pages[k].lines[j]))}
+    facts = [_hyphen_features(*two, pages[pairs[n][0]].lines[pairs[n][1]].rstrip()[-1] == "-", m.lexicon, m.folded) for n, two in ends.items()]
+    broken = dict(zip(ends, m.hyphen.probability(np.array(facts)) > 0.5)) if ends else {}
+    out: list[list[str]] = [[] for _ in pages]
+    for k, i in rows:
+        if (k, i) not in dropped and not out[k]:
+            out[k].append(pages[k].lines[i].strip())
+    for n, (k, _, j, gap) in enumerate(pairs):
+        s = pages[k].lines[j].strip()
+        if not follows[n]:
+            out[k] += ["\n\n" if gap else "\n", s]
+        elif broken.get(n, False):
+            kinds[k].add("hyphen")
+            out[k][-1] = out[k][-1][:-1] + s
         else:
-            two = _parts(cur, s)
-            # signs other than the plain hyphen stand at a line end for nothing else
-            if two and (cur.rstrip()[-1] != "-" or hyphen.probability(np.array([_hyphen_features(*two, lexicon, folded)]))[0] > 0.5):
-                kinds.add("hyphen")
-                cur = cur.rstrip()[:-1] + s
-            elif two:
-                cur += s
-            else:
-                cur += " " + s
-        gap, last_line = False, line.rstrip()
-    paras.append(cur)
-    return "".join(paras), kinds
+            out[k][-1] += s if n in ends else " " + s
+    return [("".join(o), ks) for o, ks in zip(out, kinds)]
 
 
 # ---- synthetic pages for training -------------------------------------------------------------------------
@@ -214,26 +244,45 @@ def _header_line(rng: np.random.Generator, title: str, names: list[str]) -> str:
     pick = lambda: names[int(rng.integers(len(names)))]
     month = ["January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December"][int(rng.integers(12))]
     forms = [
-        title, f"{pick()} {pick()} — {month} {int(rng.integers(1990, 2030))}".upper(), f"Copy for {pick()} {pick()} only", f"{pick()} {pick()} / {pick().lower()} file", f"{title.rsplit('.', 1)[0]}{' ' * 10}{pick()}",
-        f"{pick()} {pick()}, {month}", f"{pick()} — Draft {int(rng.integers(1, 9))}", f"{pick()} {pick()} Confidential".upper(), f"{pick()} {pick().lower()} {pick().lower()}.pdf",
+        title, f"{pick()} {pick()} — {month} {int(rng.integers(1990, 2030))}".upper(), f"{title.rsplit('.', 1)[0]}{' ' * int(rng.integers(4, 16))}{pick()}",
+        f"{pick()} {pick()}, {month} {int(rng.integers(1990, 2030))}", f"{pick()} — Draft {int(rng.integers(1, 9))}", f"{pick()} {pick()} Confidential".upper(), f"{pick()} {pick().lower()} {pick().lower()}",
     ]
     return forms[int(rng.integers(len(forms)))]
 
 
-def synthetic_page(text: str, title: str, names: list[str], rng: np.random.Generator) -> tuple[str, list[int], list[tuple[str, str, int]]]:
-    """A page set from clean text: its text, 1 for each furniture line, and the words at its line ends with 1 if broken."""
+@dataclass
+class Set:
+    """A synthetic page: its lines, what is furniture, with page number, with other text, where paragraphs begin, and the words at line ends."""
+
+    lines: list[str]
+    furniture: list[int]
+    number: list[int]
+    text: list[int]
+    begins: list[int]
+    ends: list[tuple[str, str, bool, int]]
+
+
+def synthetic_page(text: str, title: str, names: list[str], rng: np.random.Generator, learnt: list[tuple[str, bool]]) -> Set:
+    """A page set from clean text; ``learnt`` holds furniture lines and whether their number changes from page to page."""
     width = int(rng.integers(36, 88))
     lines: list[str] = []
-    ends: list[tuple[str, str, int]] = []
+    begins: list[int] = []
+    ends: list[tuple[str, str, bool, int]] = []
+    sign = "-" if rng.random() < 0.8 else "\u2010\u00ad\u00ac"[int(rng.integers(3))]
+
+    def put(line: str, begin: int) -> None:
+        lines.append(line)
+        begins.append(begin)
+
     for para in re.split(r"\n\s*\n", text):
         if rng.random() < 0.12:
-            lines.append((title.rsplit(".", 1)[0] if rng.random() < 0.5 else " ".join(names[int(rng.integers(len(names)))] for _ in range(2))).upper())
+            put((title.rsplit(".", 1)[0] if rng.random() < 0.5 else " ".join(names[int(rng.integers(len(names)))] for _ in range(2))).upper(), 1)
         kept = para.split("\n") if re.search(r"^[-*|]|:\s", para, re.M) else [" ".join(para.split())]
         for piece in kept:
             if len(piece) <= width:
-                lines.append(piece)
+                put(piece, 1)
                 continue
-            todo, cur = piece.split(), ""
+            todo, cur, begin = piece.split(), "", 1
             while todo:
                 w = todo.pop(0)
                 if len(cur) + len(w) + bool(cur) <= width:
@@ -242,74 +291,98 @@ def synthetic_page(text: str, title: str, names: list[str], rng: np.random.Gener
                 room = width - len(cur) - 2
                 if room >= 3 and len(w) - room >= 2 and w.isalpha() and rng.random() < 0.3:
                     at = int(rng.integers(3, room + 1))
-                    ends.append((w[:at], w[at:], 1))
-                    lines.append(f"{cur} {w[:at]}-")
+                    ends.append((w[:at], w[at:], sign == "-", 1))
+                    put(f"{cur} {w[:at]}{sign}", begin)
                     cur = w[at:]
                 elif "-" in w[1:-1] and re.fullmatch(r"[^\W\d_]+-[^\W\d_]+\W*", w) and len(w.split("-")[0]) <= room + 1:
                     a, b = w.split("-", 1)
-                    ends.append((a, re.match(r"\w*", b)[0], 0))
-                    lines.append(f"{cur} {a}-")
+                    ends.append((a, re.match(r"\w*", b)[0], True, 0))
+                    put(f"{cur} {a}-", begin)
                     cur = b
                 else:
-                    lines.append(cur)
+                    put(cur, begin)
                     cur = w
-            lines.append(cur)
-        lines.append("")
+                begin = 0
+            put(cur, begin)
+        put("", 0)
     if rng.random() < 0.15:
-        lines += ["Yours faithfully,", " ".join(names[int(rng.integers(len(names)))] for _ in range(2)), " ".join(names[int(rng.integers(len(names)))] for _ in range(2)), ""]
+        for line in ("Yours faithfully,", " ".join(names[int(rng.integers(len(names)))] for _ in range(2)), " ".join(names[int(rng.integers(len(names)))] for _ in range(2))):
+            put(line, 1)
     while lines and not lines[-1]:
         lines.pop()
-    flags = [0] * len(lines)
-    if rng.random() < 0.75:
-        header = _header_line(rng, title, names)
-        n, way = int(rng.integers(1, 60)), int(rng.integers(5))
-        style = int(rng.integers(1 << 30))
-        at = int(rng.integers(0, 12))
-        out: list[str] = []
-        out_flags: list[int] = []
-        for i, x in enumerate(lines):
-            if i == at:
-                number = _number_line(np.random.default_rng(style), n)
-                block = [[number], [header], [f"{header}   {number}"], [number, header], [f"{number}   {header}"]][way]
-                if rng.random() < 0.2:
-                    block = ["", *block, ""]
-                out += block
-                out_flags += [int(bool(b)) for b in block]
-                at, n = i + int(rng.integers(5, 25)), n + 1
-            out.append(x)
-            out_flags.append(0)
-        lines, flags = out, out_flags
-    if rng.random() < 0.15:
+        begins.pop()
+    way = rng.random()
+    if way < 0.2:  # paragraphs that begin with an indent
         lines = [("    " + x if x and (not i or not lines[i - 1]) else x) for i, x in enumerate(lines)]
-    return "\n".join(lines), flags, ends
-
-
-def train_layout(rows: list[tuple[str, str]], plain: list[tuple[str, str]], lexicon: dict[str, int], seed: int = 3) -> tuple[Boosted, Boosted]:
-    """Furniture and hyphen classifiers from clean rows, and from rows with layout but no pages, whose lines are no furniture."""
+    if 0.1 < way < 0.25:  # and paragraphs without a blank line between them
+        keep = [i for i, x in enumerate(lines) if x or rng.random() < 0.2]
+        lines, begins = [lines[i] for i in keep], [begins[i] for i in keep]
+    n = len(lines)
+    if rng.random() >= 0.75:
+        return Set(lines, [0] * n, [0] * n, [0] * n, begins, ends)
+    header, own = _header_line(rng, title, names), False
+    if learnt and rng.random() < 0.6:
+        header, own = learnt[int(rng.integers(len(learnt)))]
+    count, way, style, at = int(rng.integers(1, 60)), int(rng.integers(5)), int(rng.integers(1 << 30)), int(rng.integers(0, 12))
+    alone = bool(_PAGE_ALONE.match(header))
+    rows: list[tuple[str, int, int, int, int]] = []
+    for i, x in enumerate(lines):
+        if i == at:
+            number = _number_line(np.random.default_rng(style), count)
+            if own or alone:
+                blocks = [(re.sub(r"\d+", str(count), header, count=1) if alone else header, 1, int(not alone))]
+            else:
+                blocks = [[(number, 1, 0)], [(header, 0, 1)], [(f"{header}   {number}", 1, 1)], [(number, 1, 0), (header, 0, 1)], [(f"{number}   {header}", 1, 1)]][way]
+            block = [(line, 1, a, b, 0) for line, a, b in blocks]
+            if rng.random() < 0.25:
+                block = [("", 0, 0, 0, 0), *block, ("", 0, 0, 0, 0)]
+            rows += block
+            at, count = i + int(rng.integers(5, 25)), count + 1
+        rows.append((x, 0, 0, 0, begins[i]))
+    return Set(*[list(c) for c in zip(*rows)], ends)  # type: ignore[arg-type]
+
+
+def train_layout(rows: list[tuple[str, str]], plain: list[tuple[str, str]], lexicon: dict[str, int], learnt: list[tuple[str, bool]] | None = None, seed: int = 3) -> Layout:
+    """Classifiers from pages set from clean rows, and from rows with layout but no pages, whose lines are no furniture."""
     rng = np.random.default_rng(seed)
     names = [w.capitalize() for w in lexicon if len(w) > 4][:: max(1, len(lexicon) // 400)] or ["Name"]
-    x, y, hx, hy = [], [], [], []
+    x, y, number, has_text, jx, jy, hx, hy = [], [], [], [], [], [], [], []
     folded = fold_lexicon(lexicon)
     for text, title in rows:
-        page_text, flags, ends = synthetic_page(text, title or "Untitled", names, rng)
-        page = Page.of(page_text, title)
+        made = synthetic_page(text, title or "Untitled", names, rng, learnt or [])
+        page = Page.of("\n".join(made.lines), title)
+        last, gap = -1, False
         for i, line in enumerate(page.lines):
-            if line.strip():
-                x.append(page.features(i)), y.append(flags[i])
-        for a, b, z in ends:
-            hx.append(_hyphen_features(a, b, lexicon, folded)), hy.append(z)
+            if not line.strip():
+                gap = True
+                continue
+            x.append(page.features(i)), y.append(made.furniture[i])
+            number.append(made.number[i]), has_text.append(made.text[i])
+            if made.furniture[i]:
+                continue
+            if last >= 0:
+                jx.append(_join_features(page, last, i, gap)), jy.append(1 - made.begins[i])
+            last, gap = i, False
+        for a, b, sign, z in made.ends:
+            hx.append(_hyphen_features(a, b, sign, lexicon, folded)), hy.append(z)
     for text, title in plain:
         page = Page.of(text, title)
         for i, line in enumerate(page.lines):
             if line.strip():
-                x.append(page.features(i)), y.append(0)
+                x.append(page.features(i)), y.append(0), number.append(0), has_text.append(0)
     compounds = [("follow", "up"), ("well", "kept"), ("long", "term"), ("co", "operate"), ("self", "made")]
     frequent = [w for w in lexicon if len(w) > 2]
     for _ in range(max(200, len(hy) // 3)):  # two whole words joined by a hyphen of their own
         a, b = (frequent[int(rng.integers(len(frequent)))] for _ in range(2)) if frequent and rng.random() < 0.9 else compounds[int(rng.integers(len(compounds)))]
         if a + b not in lexicon:
-            hx.append(_hyphen_features(a, b, lexicon, folded)), hy.append(0)
-    return fit_boosted(np.array(x), np.array(y), trees=80, depth=5), fit_boosted(np.array(hx), np.array(hy), trees=30, depth=3)
+            hx.append(_hyphen_features(a, b, True, lexicon, folded)), hy.append(0)
+    fx, fy = np.array(x), np.array(y)
+    on = fy == 1 if len(fy) else np.zeros(0, bool)
+    of = fx[on] if len(fy) else np.zeros((0, 1))
+    return Layout(
+        fit_boosted(fx, fy, trees=80, depth=5), fit_boosted(of, np.array(number)[on], trees=20, depth=3), fit_boosted(of, np.array(has_text)[on], trees=20, depth=3),
+        fit_boosted(np.array(jx), np.array(jy), trees=50, depth=4), fit_boosted(np.array(hx), np.array(hy), trees=30, depth=3), lexicon, folded,
+    )
 
 
 # ---- words ------------------------------------------------------------------------------------------------
@@ -438,36 +511,43 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array([w.lower() for w in c], pa.string()), pa.array(list(c.values()), pa.int64())], names=["word", "n"])
 
 
-@dataclass
-class Models:
-    furniture: Boosted
-    hyphen: Boosted
-    lexicon: dict[str, int]
-    folded: dict[str, int]
-    rare: float
-
-
 def _lay_out(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
-    m: Models = shared.value
+    m: Layout
+    m, rare = shared.value
     get = m.lexicon.get
     for batch in batches:
-        out: list[list] = [[], [], [], [], []]
-        for row, text, title, page in zip(*(c.to_pylist() for c in batch.columns)):
-            if not has_layout(text):
-                continue
-            head, mark, body = text.rpartition("--- Document Content ---\n")
-            fixed, kinds = layout(Page.of(body, title), m.furniture, m.hyphen, m.lexicon, m.folded)
-            odd = sorted({c for t in fixed.split() if get(t.lower(), 0) < m.rare and (c := core_word(t)) and is_word(c) and get(c.lower(), 0) < m.rare})
-            for c, v in zip(out, (row, head + mark + fixed, sorted(kinds), odd, page)):
-                c.append(v)
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.string(), pa.list_(pa.string()), pa.list_(pa.string()), pa.int64()))], names=["id", "text", "kinds", "odd", "page"])
+        row, texts, title, page = (c.to_pylist() for c in batch.columns)
+        set_ = [k for k, t in enumerate(texts) if has_layout(t)]
+        cut = [texts[k].rpartition("--- Document Content ---\n") for k in set_]
+        fixed, kinds = list(texts), [[] for _ in texts]
+        for k, (head, mark, _), (text, found) in zip(set_, cut, lay_out([Page.of(c[2], title[k]) for k, c in zip(set_, cut)], m)):
+            fixed[k], kinds[k] = head + mark + text, sorted(found)
+        odd = []
+        for t in fixed:
+            body = t.rpartition("--- Document Content ---\n")[2]
+            odd.append(sorted({c for t in body.split() if get(t.lower(), 0) < rare and (c := core_word(t)) and is_word(c) and get(c.lower(), 0) < rare}))
+        cols = (row, fixed, kinds, odd, page)
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.list_(pa.string()), pa.list_(pa.string()), pa.int64()))], names=["id", "text", "kinds", "odd", "page"])
+
+
+def least_shared(read: int, printed: int) -> int:
+    """Grams that words of these lengths must have in common: a confusion may spoil GRAM + 1 beyond what folding mends; half of those of short words."""
+    return max(2, max(read, printed) - 3 - (read >= 6))
 
 
-def _explode_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _rare_grams(word: str, least: int, common: dict[str, int]) -> list[str]:
+    """The rarest grams of a word, as many as one must be among for any partner that shares ``least``."""
+    g = sorted(grams(word), key=lambda x: (common.get(x, 0), x))
+    return g[: max(0, len(g) - least + 1)]
+
+
+def _explode_grams(batches: Iterator[pa.RecordBatch], shared, read: bool) -> Iterator[pa.RecordBatch]:
+    common = shared.value
     for batch in batches:
         ws, gs = [], []
         for w in batch.column(0).to_pylist():
-            g = grams(w)
+            # the lowest bound over all lengths of a partner
+            g = _rare_grams(w, least_shared(len(w), 0) if read else min(least_shared(n, len(w)) for n in range(len(w) - 2, len(w) + 3)), common)
             ws += [w] * len(g)
             gs += g
         yield pa.RecordBatch.from_arrays([pa.array(ws, pa.string()), pa.array(gs, pa.string())], names=["w", "gram"])
@@ -475,26 +555,50 @@ def _explode_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 def _rank(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        a, b, n, m, s = (c.to_pylist() for c in batch.columns)
-        x = np.array([_pair_features(*r) for r in zip(a, b, n, m, s)]).reshape(len(a), -1)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(shared.value.probability(x) if len(a) else np.zeros(0))], names=["read", "printed", "p"])
-
-
-def _corrections(odd: DataFrame, lexicon: DataFrame, ranking, total: int) -> DataFrame:
-    """``(read, printed)``: the replacement chosen for each rare word that has one. ``odd`` is ``(read, n)``."""
-    strong = lexicon.where(F.col("n") >= max(5.0, RARE_SHARE * total / 4)).select("word", "n")
-    left = odd.select("read").mapInArrow(_explode_grams, "w string, gram string").withColumn("lw", F.length("w"))
-    right = strong.select("word").mapInArrow(_explode_grams, "w string, gram string").withColumn("l", F.length("w"))
-    right = right.select(F.col("w").alias("v"), "gram", F.col("l").alias("lv"), F.explode(F.sequence(F.col("l") - 2, F.col("l") + 2)).alias("lw"))
-    shared = left.join(right, ["gram", "lw"]).groupBy("w", "v").agg(F.count("*").cast("int").alias("shared"), F.first("lw").alias("lw"), F.first("lv").alias("lv"))
-    # a confusion may spoil GRAM + 1 grams beyond what folding mends; half of the grams of short words
-    shared = shared.where((F.lower("w") != F.col("v")) & (F.col("shared") >= F.greatest(F.lit(2), F.greatest("lw", "lv") - 3 - F.when(F.col("lw") < 6, 0).otherwise(1))))
-    named = shared.join(odd.select(F.col("read").alias("w"), F.col("n").cast("double").alias("nr")), "w").join(strong.select(F.col("word").alias("v"), F.col("n").cast("double").alias("nv")), "v")
-    ranked = named.select("w", "v", "nr", "nv", "shared").mapInArrow(lambda it: _rank(it, ranking), "read string, printed string, p double")
+        kept, x = [], []
+        of = lru_cache(maxsize=20_000)(lambda w: frozenset(grams(w)))
+        for i, (a, b, n, m) in enumerate(zip(*(c.to_pylist() for c in batch.columns))):
+            common = len(of(a) & of(b))
+            if common >= least_shared(len(a), len(b)):
+                kept.append(i), x.append(_pair_features(a, b, n, m, common))
+        take = pa.array(kept, pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(shared.value.probability(np.array(x)) if x else np.zeros(0))], names=["read", "printed", "p"])
+
+
+def _corrections(odd: DataFrame, lexicon: DataFrame, words: dict[str, int], ranking, total: int) -> DataFrame:
+    """``(read, printed)``: the replacement chosen for each rare word that has one. ``odd`` is ``(read, n)``, ``words`` the lexicon."""
+    least = max(5.0, RARE_SHARE * total / 4)
+    strong = lexicon.where(F.col("n") >= least).select("word", "n")
+    # how common grams are among the words that may be printed; pairs of signs, so few
+    common = odd.sparkSession.sparkContext.broadcast(dict(Counter(g for w, n in words.items() if n >= least for g in grams(w))))
+    left = odd.select("read").mapInArrow(lambda it: _explode_grams(it, common, True), "w string, gram string").withColumn("lw", F.length("w"))
+    right = strong.select("word").mapInArrow(lambda it: _explode_grams(it, common, False), "w string, gram string").withColumn("l", F.length("w"))
+    right = right.select(F.col("w").alias("v"), "gram", F.explode(F.sequence(F.col("l") - 2, F.col("l") + 2)).alias("lw"))
+    pairs = left.join(right, ["gram", "lw"]).where(F.lower("w") != F.col("v")).select("w", "v").distinct()
+    named = pairs.join(odd.select(F.col("read").alias("w"), F.col("n").cast("double").alias("nr")), "w").join(strong.select(F.col("word").alias("v"), F.col("n").cast("double").alias("nv")), "v")
+    ranked = named.select("w", "v", "nr", "nv").mapInArrow(lambda it: _rank(it, ranking), "read string, printed string, p double")
     best = Window.partitionBy("read").orderBy(F.desc("p"), "printed")
     return ranked.where("p > 0.5").withColumn("k", F.row_number().over(best)).where("k = 1").select("read", "printed")
 
 
+def _page_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        out = [(u, h, f, x.strip()) for u, h, t in zip(*(c.to_pylist() for c in batch.columns)) if has_layout(t) for x in t.split("\n") if 1 <= len(x.strip()) <= 100 and (f := _fold_line(x))]
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.string(), pa.string()))], names=["record", "page", "form", "line"])
+
+
+def _repeated_lines(pages: DataFrame, rows: int) -> list[tuple[str, bool]]:
+    """At most ``TRAIN_LINES`` lines that stand on several pages of a record, and whether their numbers change; records are chosen by hash.
+
+    ``pages`` is ``(record, page, body)`` of scanned rows.
+    """
+    share = max(1, rows // (50 * TRAIN_ROWS))
+    some = pages.where("record is not null").where(F.pmod(F.xxhash64("record"), F.lit(share)) == 0)
+    lines = some.mapInArrow(_page_lines, "record long, page long, form string, line string")
+    many = lines.groupBy("record", "form").agg(F.count_distinct("page").alias("pages"), F.count_distinct("line").alias("lines"), F.min("line").alias("line")).where("pages > 1")
+    return [(r["line"], r["lines"] > 1) for r in many.orderBy(F.xxhash64("record", "form"), "form").limit(TRAIN_LINES).collect()]
+
+
 def _replace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = []
@@ -518,13 +622,14 @@ def _replace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def repair_scans(chunks: DataFrame, scanned: Column | None = None) -> DataFrame:
-    """``(id, text, kinds)`` of every scanned row with line layout: repaired text and the kinds of damage found.
+    """``(id, text, kinds)`` of every scanned row: repaired text and the kinds of damage found.
 
     ``scanned`` tells which rows come from scanned files; by default those with a page number. Kinds are hyphen,
     header, pageno and misread.
     """
     spark = chunks.sparkSession
-    rows = chunks.select("id", "record_title", "chunk_content", "page_number").where("chunk_content is not null")
+    kept = ["id", "record_title", "chunk_content", "page_number", *(["record_uri"] if "record_uri" in chunks.columns else [])]
+    rows = chunks.select(kept).where("chunk_content is not null")
     scan = rows.where(F.col("page_number") > 0 if scanned is None else scanned)
     body = F.substring_index("chunk_content", "--- Document Content ---\n", -1)
     keyed = rows.select("id", F.xxhash64(body).alias("th"), F.length(body).alias("tl"))
@@ -535,21 +640,21 @@ def repair_scans(chunks: DataFrame, scanned: Column | None = None) -> DataFrame:
     kept = stage(counts.where(F.col("n") >= max(3.0, LEXICON_SHARE * total)), "lexicon")
     table = kept.toArrow()  # at most 1 / LEXICON_SHARE words
     lexicon = dict(zip(table.column("word").to_pylist(), table.column("n").to_pylist()))
-    # a sample by the hash of the id, so that no task sends more than its share of it
-    share = max(1, rows.count() // (2 * TRAIN_ROWS))
-    other = rows.where("coalesce(page_number, 0) = 0").where(F.pmod(F.xxhash64("id"), F.lit(share)) == 0)
-    picked = other.limit(4 * TRAIN_ROWS).orderBy("id").select("chunk_content", "record_title").collect()
+    # samples by the hash of the id, so that no task sends more than its share and the order of tasks does not matter
+    size = rows.count()
+    other = rows.where("coalesce(page_number, 0) = 0").where(F.pmod(F.xxhash64("id"), F.lit(max(1, size // (4 * TRAIN_ROWS)))) == 0)
+    picked = other.orderBy(F.xxhash64("id"), "id").limit(4 * TRAIN_ROWS).select("chunk_content", "record_title").collect()
     laid = [(r[0], r[1]) for r in picked if has_layout(r[0])][:TRAIN_ROWS]
     clean = [(r[0].rpartition("--- Document Content ---\n")[2], r[1]) for r in picked if not has_layout(r[0])][:TRAIN_ROWS]
-    furniture, hyphen = train_layout(clean, laid, lexicon)
-    shared = spark.sparkContext.broadcast(Models(furniture, hyphen, lexicon, fold_lexicon(lexicon), RARE_SHARE * total))
+    learnt = _repeated_lines(scan.select(F.col("record_uri").cast("long").alias("record"), F.xxhash64(body).alias("page"), body.alias("body")), size) if "record_uri" in chunks.columns else []
+    shared = spark.sparkContext.broadcast((train_layout(clean, laid, lexicon, learnt), RARE_SHARE * total))
     ranking = spark.sparkContext.broadcast(train_ranking(lexicon, total))
     laid_out = scan.select("id", "chunk_content", "record_title", F.xxhash64(body).alias("page")).mapInArrow(lambda it: _lay_out(it, shared), "id long, text string, kinds array<string>, odd array<string>, page long")
     laid_out = stage(laid_out, "laid-out")
     words = laid_out.select("id", F.explode("odd").alias("read"))
     odd = laid_out.select("page", F.explode("odd").alias("read")).distinct().groupBy("read").agg(F.count("*").alias("m")).join(counts.withColumnRenamed("word", "low"), F.lower("read") == F.col("low"), "left")
     odd = stage(odd.select("read", F.greatest("m", F.coalesce("n", F.lit(0))).alias("n")), "odd-words")
-    fixes = stage(_corrections(odd, kept, ranking, total), "corrections")
+    fixes = stage(_corrections(odd, kept, lexicon, ranking, total), "corrections")
     by_row = words.join(fixes, "read").groupBy("id").agg(F.collect_list("read").alias("reads"), F.collect_list("printed").alias("printed"))
     joined = laid_out.join(by_row, "id", "left")
     kinds = F.when(F.col("reads").isNotNull(), F.concat("kinds", F.array(F.lit("misread")))).otherwise(F.col("kinds"))

@@ -376,22 +376,28 @@ def test_held_out_layout():
     rng = random.Random(2)
     texts = [("\n\n".join(document(rng, 5) for _ in range(3)), f"{rng.choice(NOUNS).title()} {i}.pdf") for i in range(160)]
     lexicon = Counter(w for t, _ in texts for w in words(t) if w.isalpha())
-    furniture, hyphen = scan_repair.train_layout(texts[:120], [], lexicon)
+    learnt = [(f"Desk copy, {n} registry", False) for n in ("roads", "water", "parks")] + [("Folio 7 recto", True)]
+    m = scan_repair.train_layout(texts[:120], [], lexicon, learnt)
     g = np.random.default_rng(77)
     names = [n.title() for n in NOUNS]
-    right = wrong = missed = 0
+    right = wrong = missed = joins = bad_joins = kinds_right = 0
     for text, title in texts[120:]:
-        page_text, flags, ends = scan_repair.synthetic_page(text, title, names, g)
-        page = scan_repair.Page.of(page_text, title)
+        made = scan_repair.synthetic_page(text, title, names, g, [("Folio 31 recto", True), ("Desk copy, tolls registry", False)])
+        page = scan_repair.Page.of("\n".join(made.lines), title)
         rows = [i for i, x in enumerate(page.lines) if x.strip()]
-        p = furniture.probability(np.array([page.features(i) for i in rows])) > 0.5
+        p = m.furniture.probability(np.array([page.features(i) for i in rows])) > 0.5
         for i, q in zip(rows, p):
-            right += q and flags[i]
-            wrong += q and not flags[i]
-            missed += flags[i] and not q
-        fixed, kinds = scan_repair.layout(page, furniture, hyphen, lexicon, scan_repair.fold_lexicon(lexicon))
-        assert ("hyphen" in kinds) == any(e[2] for e in ends) or not ends
+            right += q and made.furniture[i]
+            wrong += q and not made.furniture[i]
+            missed += made.furniture[i] and not q
+        fixed, kinds = scan_repair.lay_out([page], m)[0]
+        want = {k for k, on in (("header", any(made.text)), ("pageno", any(made.number)), ("hyphen", any(e[3] for e in made.ends))) if on}
+        kinds_right += kinds == want
+        paragraphs = [x for x in fixed.split("\n") if x.strip()]
+        joins += 1
+        bad_joins += abs(len(paragraphs) - sum(b for b, f in zip(made.begins, made.furniture) if not f)) > 1
     assert right >= 0.95 * (right + missed) and wrong <= 0.05 * right
+    assert bad_joins <= 0.1 * joins and kinds_right >= 0.9 * joins
 
 
 def test_repair(spark):
@@ -401,17 +407,46 @@ def test_repair(spark):
         "The valve of the bridge was appr-\noved with 12 ledgers near the\nroof. The purnp of the c0ntract was\nHARBOUR DESK — MAY 2014   7\nsigned with 4 boilers near the depot\nand the survey was recorded with 9\n"
         "permits near the window. The audit\nof the tender was measured with 3\nsamples near the gate.\n\n8\n\nThe filter of the roster was tested."
     )
-    rows += [(1000, "Scan.pdf", page, 3), (1001, "Scan.pdf", page, 3), (1002, "Plain.pdf", document(rng), 2), (1003, "Null.pdf", None, 2), (1004, "Empty.pdf", "", 2), (1005, "NoPage.pdf", textwrap.fill(document(rng), 60), None)]
+    rows += [(1000, "Scan.pdf", page, 3), (1001, "Scan.pdf", page, 3), (1002, "Plain.pdf", document(rng), 2), (1006, "Short.pdf", "The purnp of the\nroof was signed.", 1), (1003, "Null.pdf", None, 2), (1004, "Empty.pdf", "", 2), (1005, "NoPage.pdf", textwrap.fill(document(rng), 60), None)]
     df = spark.createDataFrame(rows, "id long, record_title string, chunk_content string, page_number int").withColumn("text", F.lit("x"))
     got = {r.id: r for r in scan_repair.repair_scans(df).collect()}
-    assert set(got) == {1000, 1001} and got[1000].text == got[1001].text
+    assert set(got) == {1000, 1001, 1002, 1004, 1006} and got[1000].text == got[1001].text
+    assert got[1002].text == rows[402][2] and not got[1002].kinds and got[1004].text == "" and not got[1004].kinds
     assert set(got[1000].kinds) == {"hyphen", "header", "pageno", "misread"}
     t = got[1000].text
     assert "approved with" in t and "pump of the contract was signed" in t and "HARBOUR" not in t and "\n8\n" not in t
-    assert {(r.id, r.kind) for r in scan_repair.scan_damage(df).collect()} == {(i, k) for i in (1000, 1001) for k in ("hyphen", "header", "pageno", "misread")}
+    assert got[1006].text == "The pump of the\nroof was signed." and got[1006].kinds == ["misread"]
+    assert {(r.id, r.kind) for r in scan_repair.scan_damage(df).collect()} == {(i, k) for i in (1000, 1001) for k in ("hyphen", "header", "pageno", "misread")} | {(1006, "misread")}
     assert scan_repair.repair_scans(df.limit(0)).count() == 0
 
 
+def test_furniture_is_learnt_from_lines_that_repeat(spark):
+    rng = random.Random(16)
+    pages = []
+    for r in range(30):
+        for k in range(4):
+            lines = textwrap.wrap(document(rng, 8), 50)
+            pages.append((r * 10 + k, r, "S.pdf", "\n".join(lines[:3] + [f"Held by the {NOUNS[r % 5]} keeper  {k + 3}"] + lines[3:]), 2))
+    df = spark.createDataFrame(pages, "id long, record long, title string, body string, page long").select("record", F.col("id").alias("page"), "body")
+    learnt = scan_repair._repeated_lines(df, 120)
+    assert len(learnt) >= 25 and all(line.startswith("Held by") and own for line, own in learnt)
+    assert scan_repair._repeated_lines(df.limit(0), 0) == []
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text("abcdeilmnrtu01", min_size=3, max_size=12), st.text("abcdeilmnrtu", min_size=3, max_size=12), st.randoms())
+def test_rare_grams_find_every_pair(read, printed, rng):
+    """Words that share enough grams share one of their rarest, whatever the order of grams."""
+    if abs(len(read) - len(printed)) > 2:
+        return
+    a, b = set(scan_repair.grams(read)), set(scan_repair.grams(printed))
+    common = {g: rng.randint(0, 3) for g in a | b}
+    if len(a & b) >= scan_repair.least_shared(len(read), len(printed)):
+        left = scan_repair._rare_grams(read, scan_repair.least_shared(len(read), 0), common)
+        least = min(scan_repair.least_shared(n, len(printed)) for n in range(len(printed) - 2, len(printed) + 3))
+        assert set(left) & set(scan_repair._rare_grams(printed, least, common))
+
+
 def test_repair_of_a_page_copied_often(spark):
     rng = random.Random(13)
     rows = [(i, f"Report {i}.txt", "\n\n".join(document(rng, 5) for _ in range(2)), 0) for i in range(400)]
