@@ -41,8 +41,9 @@ from recordloom.session import stage
 
 LEXICON_SHARE = 2e-6
 RARE_SHARE = 3e-5
-TRAIN_ROWS = 700
-TRAIN_LINES = 400
+TRAIN_ROWS = 1000
+TRAIN_LINES = 1500
+LINE_ROWS = 50_000  # rows among whose records repeated lines are looked for
 TRAIN_WORDS = 2000
 GRAM = 2
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -81,13 +82,14 @@ class Page:
     width: int
     title: set[str]
     repeats: Counter
+    habit: dict[str, float]
 
     @classmethod
-    def of(cls, text: str, title: str | None) -> Page:
+    def of(cls, text: str, title: str | None, habit: dict[str, float] | None = None) -> Page:
         lines = text.split("\n")
         sizes = sorted(len(x) for x in lines if x.strip())
         width = sizes[int(0.9 * (len(sizes) - 1))] if sizes else 0
-        return cls(lines, width, {w.lower() for w in LETTERS.findall(title or "") if len(w) > 2}, Counter(_fold_line(x) for x in lines if x.strip()))
+        return cls(lines, width, {w.lower() for w in LETTERS.findall(title or "") if len(w) > 2}, Counter(_fold_line(x) for x in lines if x.strip()), habit or {})
 
     def suspect(self, i: int) -> bool:
         """A line that may stand between two lines of running text."""
@@ -96,6 +98,11 @@ class Page:
             return "|" not in x or bool(_PAGE_ALONE.match(x))
         return (len(x) < 0.8 * self.width and not _TERMINAL.search(x) and not x[:1].islower() and x[-1:] not in "-,;\u2010\u00ad\u00ac")
 
+    def _habits(self, s: str) -> tuple[float, float]:
+        """Mean habit of the line's words, and the share of them that have one."""
+        found = [self.habit.get(w.lower(), 0.0) for w in LETTERS.findall(s)] if self.habit else []
+        return (sum(found) / len(found), sum(h > 0 for h in found) / len(found)) if found else (0.0, 0.0)
+
     def around(self, i: int) -> tuple[str, str]:
         """Nearest lines before and after that are running text."""
         a, b = i - 1, i + 1
@@ -124,9 +131,17 @@ class Page:
             float(not pb.strip()), float(not nb.strip()), float(i == 0), float(i == len(self.lines) - 1), float(len(pb.rstrip()) + 1 + len(first) <= self.width), len(pb.rstrip()) / max(self.width, 1),
             float(s.endswith(",")), float(bool(re.match(r"[\w ]{3,20}:\s", s))), float(x[:1].isspace()), float(len(s)), float(nb.strip()[:1].islower()), float(bool(pb.strip()) and not _TERMINAL.search(pb.strip())),
             float(bool(_PAGE_ALONE.match(pb)) and bool(pb.strip())), float(bool(_PAGE_ALONE.match(nb)) and bool(nb.strip())), float(bool(re.fullmatch(r"(1[89]|20)\d\d[.,;]?", s))),
+            *self._habits(s),
         ]
 
 
+def furniture_habit(learnt: list[tuple[str, bool]], lexicon: dict[str, int]) -> dict[str, float]:
+    """For each word of at least three repeated lines how much more often it stands in such lines than in all text, as a logarithm."""
+    lines = Counter(w for line, _ in learnt for w in {x.lower() for x in LETTERS.findall(line)})
+    total = sum(lexicon.values()) + 1
+    return {w: float(np.log(n / len(learnt)) - np.log((lexicon.get(w, 0) + 1) / total)) for w, n in lines.items() if n >= 3}
+
+
 def _fold_line(x: str) -> str:
     return re.sub(r"\d+|\b[ivxlc]+$", "9", x.strip())
 
@@ -187,6 +202,7 @@ class Layout:
     hyphen: Boosted
     lexicon: dict[str, int]
     folded: dict[str, int]
+    habit: dict[str, float]
 
 
 def lay_out(pages: list[Page], m: Layout) -> list[tuple[str, set[str]]]:
@@ -321,7 +337,7 @@ def synthetic_page(text: str, title: str, names: list[str], rng: np.random.Gener
     if rng.random() >= 0.75:
         return Set(lines, [0] * n, [0] * n, [0] * n, begins, ends)
     header, own = _header_line(rng, title, names), False
-    if learnt and rng.random() < 0.6:
+    if learnt and rng.random() < 0.7:
         header, own = learnt[int(rng.integers(len(learnt)))]
     count, way, style, at = int(rng.integers(1, 60)), int(rng.integers(5)), int(rng.integers(1 << 30)), int(rng.integers(0, 12))
     alone = bool(_PAGE_ALONE.match(header))
@@ -347,10 +363,10 @@ def train_layout(rows: list[tuple[str, str]], plain: list[tuple[str, str]], lexi
     rng = np.random.default_rng(seed)
     names = [w.capitalize() for w in lexicon if len(w) > 4][:: max(1, len(lexicon) // 400)] or ["Name"]
     x, y, number, has_text, jx, jy, hx, hy = [], [], [], [], [], [], [], []
-    folded = fold_lexicon(lexicon)
+    folded, habit = fold_lexicon(lexicon), furniture_habit(learnt or [], lexicon)
     for text, title in rows:
         made = synthetic_page(text, title or "Untitled", names, rng, learnt or [])
-        page = Page.of("\n".join(made.lines), title)
+        page = Page.of("\n".join(made.lines), title, habit)
         last, gap = -1, False
         for i, line in enumerate(page.lines):
             if not line.strip():
@@ -366,7 +382,7 @@ def train_layout(rows: list[tuple[str, str]], plain: list[tuple[str, str]], lexi
         for a, b, sign, z in made.ends:
             hx.append(_hyphen_features(a, b, sign, lexicon, folded)), hy.append(z)
     for text, title in plain:
-        page = Page.of(text, title)
+        page = Page.of(text, title, habit)
         for i, line in enumerate(page.lines):
             if line.strip():
                 x.append(page.features(i)), y.append(0), number.append(0), has_text.append(0)
@@ -381,7 +397,7 @@ def train_layout(rows: list[tuple[str, str]], plain: list[tuple[str, str]], lexi
     of = fx[on] if len(fy) else np.zeros((0, 1))
     return Layout(
         fit_boosted(fx, fy, trees=80, depth=5), fit_boosted(of, np.array(number)[on], trees=20, depth=3), fit_boosted(of, np.array(has_text)[on], trees=20, depth=3),
-        fit_boosted(np.array(jx), np.array(jy), trees=50, depth=4), fit_boosted(np.array(hx), np.array(hy), trees=30, depth=3), lexicon, folded,
+        fit_boosted(np.array(jx), np.array(jy), trees=50, depth=4), fit_boosted(np.array(hx), np.array(hy), trees=30, depth=3), lexicon, folded, habit,
     )
 
 
@@ -520,7 +536,7 @@ def _lay_out(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBat
         set_ = [k for k, t in enumerate(texts) if has_layout(t)]
         cut = [texts[k].rpartition("--- Document Content ---\n") for k in set_]
         fixed, kinds = list(texts), [[] for _ in texts]
-        for k, (head, mark, _), (text, found) in zip(set_, cut, lay_out([Page.of(c[2], title[k]) for k, c in zip(set_, cut)], m)):
+        for k, (head, mark, _), (text, found) in zip(set_, cut, lay_out([Page.of(c[2], title[k], m.habit) for k, c in zip(set_, cut)], m)):
             fixed[k], kinds[k] = head + mark + text, sorted(found)
         odd = []
         for t in fixed:
@@ -592,11 +608,18 @@ def _repeated_lines(pages: DataFrame, rows: int) -> list[tuple[str, bool]]:
 
     ``pages`` is ``(record, page, body)`` of scanned rows.
     """
-    share = max(1, rows // (50 * TRAIN_ROWS))
+    share = max(1, rows // LINE_ROWS)
     some = pages.where("record is not null").where(F.pmod(F.xxhash64("record"), F.lit(share)) == 0)
     lines = some.mapInArrow(_page_lines, "record long, page long, form string, line string")
     many = lines.groupBy("record", "form").agg(F.count_distinct("page").alias("pages"), F.count_distinct("line").alias("lines"), F.min("line").alias("line")).where("pages > 1")
-    return [(r["line"], r["lines"] > 1) for r in many.orderBy(F.xxhash64("record", "form"), "form").limit(TRAIN_LINES).collect()]
+    got = [(r["line"], r["lines"] > 1) for r in many.orderBy(F.xxhash64("record", "form"), "form").limit(TRAIN_LINES).collect()]
+
+    def stands_alone(line: str, changes: bool) -> bool:
+        """Not the short last line of a sentence, nor a line of text in which only an amount changes."""
+        numbered = bool(_PAGE_ALONE.match(line) or _PAGE_END.search(line) or _PAGE_FRONT.match(line))
+        return numbered or not (changes or line[:1].islower() or _TERMINAL.search(line))
+
+    return [x for x in got if stands_alone(*x)]
 
 
 def _replace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -383,7 +383,7 @@ def test_held_out_layout():
     right = wrong = missed = joins = bad_joins = kinds_right = 0
     for text, title in texts[120:]:
         made = scan_repair.synthetic_page(text, title, names, g, [("Folio 31 recto", True), ("Desk copy, tolls registry", False)])
-        page = scan_repair.Page.of("\n".join(made.lines), title)
+        page = scan_repair.Page.of("\n".join(made.lines), title, m.habit)
         rows = [i for i, x in enumerate(page.lines) if x.strip()]
         p = m.furniture.probability(np.array([page.features(i) for i in rows])) > 0.5
         for i, q in zip(rows, p):
