@@ -43,6 +43,16 @@ class HashingEmbedder:
         return out
 
 
+class LookupEmbedder:
+    """Vectors from a table of known texts, as an embedder that runs elsewhere leaves them; unknown texts fail."""
+
+    def __init__(self, known: dict[str, list[float]], dim: int):
+        self.known, self.dim = known, dim
+
+    def embed(self, texts: list[str]) -> list[list[float]]:
+        return [self.known[t] for t in texts]
+
+
 class ExtractiveGenerator:
     """Answers with the first sentence of the context that shares most words with the question."""
 
@@ -94,6 +104,43 @@ def embed_table(df: DataFrame, text: str, embedder: Embedder, attempts: int = 5,
     return df.mapInPandas(run, _schema(df))
 
 
+def generate_table(df: DataFrame, prompt: str, generator: Generator, attempts: int = 5, base: float = 1.0) -> DataFrame:
+    """The table with ``answer`` and ``answer_error``: one call per prompt, tried again on transient errors; a blank prompt has no answer."""
+    from pyspark.sql import types as T
+
+    columns = df.columns
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in it:
+            answers: list = []
+            for t in p[prompt]:
+                if not t or not str(t).strip():
+                    answers.append((None, "blank prompt"))
+                    continue
+                try:
+                    answers.append((with_retry(lambda: generator.generate(t), attempts, base), None))
+                except Exception as x:
+                    answers.append((None, f"{type(x).__name__}: {x}"[:200]))
+            yield p[columns].assign(answer=[a for a, _ in answers], answer_error=[e for _, e in answers])
+
+    return df.mapInPandas(run, T.StructType([*df.schema.fields, T.StructField("answer", T.StringType()), T.StructField("answer_error", T.StringType())]))
+
+
+def correct_table(df: DataFrame, key: str, text: str, generator: Generator, most: int = 2000) -> DataFrame:
+    """``(key, corrected)`` of the severely corrupt texts: pieces of whole lines within ``most`` characters are corrected one by one.
+
+    A piece whose correction fails stays as it is.
+    """
+    from pyspark.sql import functions as F
+
+    from recordloom.functions.text import pack_lines, severely_corrupted
+
+    pieces = df.where(severely_corrupted(text)).select(key, F.posexplode(pack_lines(text, most)).alias("_n", "_piece"))
+    done = generate_table(pieces, "_piece", generator).withColumn("_t", F.coalesce("answer", "_piece"))
+    joined = done.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("_n", "_t"))).alias("_p"))
+    return joined.select(key, F.array_join(F.transform("_p", lambda x: x["_t"]), "\n").alias("corrected"))
+
+
 def _schema(df: DataFrame):
     from pyspark.sql import types as T
 

@@ -49,11 +49,31 @@ def apply_acl(hits: DataFrame, record_acl: DataFrame, members: DataFrame, user_g
 
 
 def visible_to_each(record_acl: DataFrame, members: DataFrame, user_groups: DataFrame, permission: str = "ViewDocument") -> DataFrame:
-    """``(user_id, records)``: how many restricted records each user may see through groups."""
-    rows = record_acl.where((F.col("permission_type") == permission) & F.col("acl_group").isNotNull()).select("acl_group", "record_uri").distinct()
+    """``(user_id, records)``: how many restricted records each user may see through groups.
+
+    Records are counted once per set of groups that may see them, and users once per set of groups they reach, so
+    only different sets meet, not users and records.
+    """
+    rows = record_acl.where((F.col("permission_type") == permission) & F.col("acl_group").isNotNull() & F.col("record_uri").isNotNull())
+    sets = rows.groupBy("record_uri").agg(F.sort_array(F.collect_set("acl_group")).alias("open_to")).groupBy("open_to").agg(F.count("*").alias("records"))
     own = user_groups.select("user_id", F.col("user_id").alias("location_id")).distinct()
-    reach = user_groups.select("user_id", F.col("group_id").alias("location_id")).union(own).join(members, "location_id").select("user_id", "acl_group").distinct()
-    return reach.join(rows, "acl_group").groupBy("user_id").agg(F.count_distinct("record_uri").alias("records"))
+    reach = user_groups.select("user_id", F.col("group_id").alias("location_id")).union(own).join(members, "location_id")
+    kinds = reach.groupBy("user_id").agg(F.sort_array(F.collect_set("acl_group")).alias("groups"))
+    one = kinds.select("groups").distinct().select("groups", F.explode("groups").alias("acl_group"))
+    met = one.join(sets.select("open_to", "records", F.explode("open_to").alias("acl_group")), "acl_group").select("groups", "open_to", "records").distinct()
+    return kinds.join(met.groupBy("groups").agg(F.sum("records").alias("records")), "groups").select("user_id", "records")
+
+
+def identity(locations: DataFrame, user_groups: DataFrame) -> DataFrame:
+    """``(user_id, name, groups)``: each user with the names of its groups in order, none for a user without groups."""
+    users = locations.where("type = 4").select(F.col("id").alias("user_id"), "name")
+    named = user_groups.join(locations.select(F.col("id").alias("group_id"), F.col("name").alias("group")), "group_id")
+    of = named.groupBy("user_id").agg(F.sort_array(F.collect_set("group")).alias("groups"))
+    return users.join(of, "user_id", "left").withColumn("groups", F.coalesce("groups", F.array().cast("array<string>")))
+
+
+def is_in_group(user_groups: DataFrame, user: int, group: int) -> bool:
+    return not user_groups.where((F.col("user_id") == user) & (F.col("group_id") == group)).isEmpty()
 
 
 def classify(value: Column) -> tuple[Column, Column]:
@@ -76,6 +96,11 @@ def permission_frequencies(record_acl: DataFrame) -> DataFrame:
     return named.groupBy("permission_type", "kind", "name").agg(F.count_distinct("record_uri").alias("records"))
 
 
+def unique_principals(record_acl: DataFrame) -> DataFrame:
+    """``(kind, principals)``: how many different users, groups and locations permission strings name."""
+    return parse_permissions(record_acl, "id", "raw_acl_string").groupBy("kind").agg(F.count_distinct("name").alias("principals"))
+
+
 def acl_statistics(record_acl: DataFrame) -> DataFrame:
     """One row: records with and without restriction, distinct groups, rows."""
     return record_acl.agg(

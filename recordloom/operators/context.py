@@ -5,9 +5,14 @@ Sequences are whole numbers per record; ties within a sequence are ordered by id
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from recordloom.models import Generator, generate_table
+from recordloom.operators import lexical, vector
+
 CONTEXT_BUDGET = 120_272
 SYNTHESIS_BUDGET = 121_632
 SUMMARY_CHARS, SUMMARY_CHUNKS = 50_000, 50
@@ -68,3 +73,20 @@ def qa_context(anchors: DataFrame, chunks: DataFrame, budget: int = CONTEXT_BUDG
     line = labelled_chunk(F.col("chunk_sequence"), F.col("page_number"), F.col("chunk_index"), F.coalesce("chunk_content", F.lit("")), F.col("is_anchor"))
     got = kept.groupBy("record_uri").agg(F.sort_array(F.collect_list(F.struct("chunk_sequence", "id", line.alias("t")))).alias("ts"))
     return got.select("record_uri", F.array_join(F.transform("ts", lambda x: x["t"]), "\n\n").alias("context"))
+
+
+def record_answer(chunks: DataFrame, index: DataFrame, question: str, vector_of: Sequence[float] | None, generator: Generator, anchors: int = 5, least: float = 0.2) -> DataFrame:
+    """``(record_uri, prompt, answer, answer_error)``: the chunks of a record, its best for the question by both legs, their context, and a model's answer.
+
+    ``index`` holds English postings by chunk ``id``. Chunks found by words come first, then the most similar ones that
+    reach ``least``; a record without any anchor is answered from its first chunks.
+    """
+    ids = chunks.select("id")
+    words = lexical.search(index, question, "any", None, lexical.english_term).join(ids, "id", "left_semi").orderBy(F.desc("score"), "id").limit(anchors).select("id", F.col("score").alias("rank"))
+    near = vector.top_k(chunks, "id", "vector", vector_of, anchors, least).select("id", F.col("score").alias("rank")) if vector_of is not None else words.limit(0)
+    best = priority_union(words.withColumn("rank", -F.col("rank")), near.withColumn("rank", -F.col("rank")), "id", "rank", anchors)
+    found = chunks.join(F.broadcast(best.select("id")), "id", "left_semi").select("record_uri", "chunk_sequence")
+    first = chunks.where(F.col("chunk_sequence") < anchors).select("record_uri", "chunk_sequence")
+    use = found.union(first.join(found.select("record_uri").distinct(), "record_uri", "left_anti"))
+    prompt = F.concat(F.col("context"), F.lit(f"\n\nQuestion: {question}"))
+    return generate_table(qa_context(use, chunks).select("record_uri", prompt.alias("prompt")), "prompt", generator)

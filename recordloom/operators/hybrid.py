@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MOST_HITS = 1000
 
@@ -49,3 +53,29 @@ def rerank(hits: DataFrame, raw: str, top_k: int, most: int = 50) -> DataFrame:
     w = Window.partitionBy()
     low, high = F.min(raw).over(w), F.max(raw).over(w)
     return cand.withColumn("rerank_score", F.when(high > low, (F.col(raw) - low) / (high - low)).otherwise(1.0)).orderBy(F.desc("rerank_score"), "id").limit(top_k)
+
+
+def rerank_with(hits: DataFrame, query: str, text: str, scorer: Callable[[str, list[str]], list[float]], top_k: int, most: int = 50) -> DataFrame:
+    """Rerank by a scorer of (query, texts); hits come back as they are when there are no more than ``top_k`` or the scorer fails.
+
+    At most ``most`` hits are scored, in one task; ``rerank_score`` is their normalised score, or ``score`` where
+    they were not reranked.
+    """
+    cand = hits.orderBy(F.desc("score"), "id").limit(most)
+    schema = T.StructType([*hits.schema.fields, T.StructField("_raw", T.DoubleType())])
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        p = pd.concat(list(it))  # at most ``most`` rows
+        raw: list = [None] * len(p)
+        if len(p) > top_k:
+            try:
+                raw = [float(x) for x in scorer(query, [t or "" for t in p[text]])]
+            except Exception:
+                raw = [None] * len(p)
+        yield p.assign(_raw=pd.Series(raw, index=p.index, dtype="float64"))
+
+    scored = cand.coalesce(1).mapInPandas(run, schema)
+    w = Window.partitionBy()
+    low, high = F.min("_raw").over(w), F.max("_raw").over(w)
+    norm = F.when(F.col("_raw").isNull(), F.col("score")).when(high > low, (F.col("_raw") - low) / (high - low)).otherwise(1.0)
+    return scored.withColumn("rerank_score", norm).drop("_raw").orderBy(F.desc("rerank_score"), F.desc("score"), "id").limit(top_k)

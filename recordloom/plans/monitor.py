@@ -63,6 +63,39 @@ def summary(chunks: DataFrame) -> DataFrame:
     return a.select(F.inline(pairs))
 
 
+def collection(chunks: DataFrame) -> DataFrame:
+    """``(chunks, records, latest)``: size of the store and when it was last indexed."""
+    return chunks.agg(F.count("*").alias("chunks"), F.count_distinct("record_uri").alias("records"), F.max("indexed_at").alias("latest"))
+
+
+def sizes(chunks: DataFrame, by: str = "record_type") -> DataFrame:
+    """Count, distinct records, mean, smallest and largest size of contents per group."""
+    n = F.length(F.coalesce("chunk_content", F.lit("")))
+    return chunks.groupBy(by).agg(F.count("*").alias("chunks"), F.count_distinct("record_uri").alias("records"), F.round(F.avg(n), 4).alias("mean"), F.min(n).alias("smallest"), F.max(n).alias("largest"))
+
+
+# fixed values: rows up to -> advice on the cell index
+ADVICE = [(1_000_000, "OK - lists=100"), (10_000_000, "REBUILD RECOMMENDED - Use lists=1000-2000"), (50_000_000, "REBUILD RECOMMENDED - Use lists=2000-3000")]
+MOST_ADVICE = "REBUILD RECOMMENDED - Use lists=3000-5000"
+
+
+def advice(rows: Column) -> Column:
+    out = F.when(rows < ADVICE[0][0], ADVICE[0][1])
+    for most, text in ADVICE[1:]:
+        out = out.when(rows < most, text)
+    return out.otherwise(MOST_ADVICE)
+
+
+def maintenance(chunks: DataFrame, indexed: DataFrame) -> DataFrame:
+    """One row: advice on the cell index, rows without postings (``indexed`` is ``(id)``), and the share of replaced rows.
+
+    A replaced row is one whose ``embedding_id`` a later row holds too.
+    """
+    there = indexed.select("id").distinct().withColumn("_there", F.lit(True))
+    a = chunks.select("id", "embedding_id").join(there, "id", "left").agg(F.count("*").alias("n"), F.count_distinct("embedding_id").alias("live"), F.count_if(F.col("_there").isNull()).alias("unindexed"))
+    return a.select("n", "unindexed", advice(F.col("n")).alias("advice"), F.round(F.try_divide((F.col("n") - F.col("live")) * 100.0, F.col("live")), 2).alias("replaced_percent"))
+
+
 def store_files(spark: SparkSession, path: str) -> DataFrame:
     """``(files, bytes, largest)`` of a stored table, from its listing."""
     f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(path).select("length")

@@ -4,15 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import datetime
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from recordloom.functions import chunk, dates, intent, text
-from recordloom.models import HashingEmbedder
+from recordloom.models import ExtractiveGenerator, HashingEmbedder
 from recordloom.operators import acl, context, filters, hybrid, lexical, store, vector
 from recordloom.operators.packed import split_packed
-from recordloom.plans import monitor
+from recordloom.plans import golden, monitor
 from recordloom.plans import search as pipeline
 from recordloom.session import session_path, table
 from recordloom.sources import scans
@@ -38,17 +39,30 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    return _QUERIES | golden.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return _SQL | golden.oracle_sql()
 
 
 # ---- packed values -----------------------------------------------------------------------------------------
 
 
-@query()
+_PACKED = r"""WITH r AS (SELECT 'record_acl' AS src, id AS row_id, raw_acl_string AS raw FROM record_acl WHERE raw_acl_string IS NOT NULL UNION ALL SELECT 'record_chunks' AS src, id AS row_id, acl AS raw FROM record_chunks WHERE acl IS NOT NULL),
+t AS (SELECT *, regexp_replace(raw, '^[\s\x{a0}]+|[\s\x{a0}]+$', '', 'g') AS s FROM r),
+e AS (SELECT src, row_id, regexp_full_match(s, '(?s)\{.*\}|\[.*\]') AS boxed, CASE WHEN regexp_full_match(s, '(?s)\{.*\}|\[.*\]') THEN s[2:-2] ELSE s END AS s FROM t),
+p AS (SELECT src, row_id, boxed, regexp_extract_all(',' || s, '[,;|\t\n\r]((?:[^,;|\t\n\r"'':]*:)?[ \x{a0}]*(?:"(?:[^"\\]|""|\\.)*"|''(?:[^''\\]|''''|\\.)*''|[^,;|\t\n\r]*)[ \x{a0}]*)', 1) AS vs FROM e),
+q AS (SELECT src, row_id, [x FOR x IN [regexp_replace(CASE WHEN regexp_matches(v, '(?s)^[^"'']*".*"[ \x{a0}]*$') THEN replace(regexp_replace(CASE WHEN boxed THEN regexp_replace(v, '\\(.)', '\1', 'g') ELSE v END, '(?s)^([^"'']*)"(.*)"[ \x{a0}]*$', '\1\2'), '""', '"') WHEN regexp_matches(v, '(?s)^[^"'']*''.*''[ \x{a0}]*$') THEN replace(regexp_replace(CASE WHEN boxed THEN regexp_replace(v, '\\(.)', '\1', 'g') ELSE v END, '(?s)^([^"'']*)''(.*)''[ \x{a0}]*$', '\1\2'), '''''', '''') ELSE v END, '^[ \x{a0}]+|[ \x{a0}]+$', '', 'g') FOR v IN vs] IF x <> ''] AS vs FROM p)
+SELECT src, row_id, unnest(range(1, len(vs) + 1))::INTEGER AS pos, unnest(vs) AS val FROM q WHERE len(vs) >= """
+
+
+def _packed(least: int) -> str:
+    """Values of the packed fields by patterns, of fields that hold at least ``least``."""
+    return f"{_PACKED}{least}"
+
+
+@query(_packed(2))
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Values of the fields that hold two or more."""
     a = split_packed(table(spark, sf_dir, "record_acl"), "id", "raw_acl_string", least=2)
@@ -56,7 +70,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.select(F.lit("record_acl").alias("src"), "row_id", "pos", "val").union(c.select(F.lit("record_chunks").alias("src"), "row_id", "pos", "val"))
 
 
-@query()
+@query(_packed(1))
 def p5_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Values of all fields, single ones too."""
     a = split_packed(table(spark, sf_dir, "record_acl"), "id", "raw_acl_string")
@@ -471,7 +485,17 @@ def chunk_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk.chunk_documents(table(spark, sf_dir, "documents"), "doc_id", "text", 1500, 150)
 
 
-@query()
+_LINE = "trim(line)"
+for _ in range(6):  # as often as single letters may follow each other
+    _LINE = rf"regexp_replace({_LINE}, '(^|[^\p{{L}}\p{{N}}\p{{M}}_])[a-zA-Z]\s+([A-Z])', '\1 \2', 'g')"
+for _a, _b in ((r"\s+([,.!?;:])", r"\1"), (r"([,.!?;:])\s*([A-Z])", r"\1 \2"), (r"[.]{3,}", "..."), (r"[-]{3,}", "---"), (r"\s{2,}", " ")):
+    _LINE = f"regexp_replace({_LINE}, '{_a}', '{_b}', 'g')"
+_BOX = "(starts_with(trim(line), '[') AND ends_with(trim(line), ']'))"
+
+
+@query(
+    rf"""SELECT id, CASE WHEN chunk_content IS NOT NULL THEN array_to_string([v FOR v IN [CASE WHEN {_BOX} THEN line ELSE trim({_LINE}) END FOR line IN string_split(chunk_content, chr(10)) IF {_BOX} OR (length(trim(line)) >= 3 AND length(regexp_replace(trim(line), '[\p{{L}}\p{{Nd}}\s.,!?;:()\-"'']', '', 'g')) <= length(trim(line)) // 3)] IF trim(v) <> ''], chr(10)) END AS t FROM record_chunks"""
+)
 def clean_text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "record_chunks").select("id", text.clean_lines("chunk_content").alias("t"))
 
@@ -486,7 +510,7 @@ def universal_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "record_chunks").select("id", text.universal_clean("chunk_content").alias("t"))
 
 
-@query()
+@query("SELECT doc_id, unnest(range(0, len(ps)))::INTEGER AS piece, unnest(ps) AS t FROM (SELECT doc_id, string_split(list_reduce(string_split(text, chr(10)), lambda a, x: CASE WHEN length(split_part(a, chr(1), -1)) + length(x) + 1 > 2000 THEN a || chr(1) || x ELSE a || chr(10) || x END), chr(1)) AS ps FROM documents WHERE text IS NOT NULL)")
 def packed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts cut into pieces of whole lines."""
     return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(text.pack_lines("text", 2000)).alias("piece", "t"))
@@ -658,12 +682,20 @@ def acl_records_per_user(spark: SparkSession, sf_dir: str) -> DataFrame:
     return acl.visible_to_each(table(spark, sf_dir, "record_acl"), table(spark, sf_dir, "acl_group_members"), table(spark, sf_dir, "user_groups"))
 
 
-@query()
+_ACL_VALUES = f"(SELECT row_id, pos, CASE WHEN lower(val) LIKE 'group:%' THEN 'group' WHEN lower(val) LIKE 'location:%' THEN 'location' ELSE 'user' END AS kind, trim(regexp_replace(val, '(?i)^(group|location):\\s*', '')) AS name FROM ({_packed(1)}) WHERE src = 'record_acl' AND val <> '<Unrestricted>')"
+
+
+@query(f"SELECT row_id, pos, kind, name FROM {_ACL_VALUES}")
 def acl_permission_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return acl.parse_permissions(table(spark, sf_dir, "record_acl"), "id", "raw_acl_string")
 
 
-@query()
+@query(f"SELECT kind, count(DISTINCT name) AS principals FROM {_ACL_VALUES} GROUP BY 1")
+def acl_unique_principals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return acl.unique_principals(table(spark, sf_dir, "record_acl"))
+
+
+@query(f"SELECT permission_type, kind, name, count(DISTINCT record_uri) AS records FROM record_acl JOIN {_ACL_VALUES} ON id = row_id GROUP BY 1, 2, 3")
 def acl_permission_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return acl.permission_frequencies(table(spark, sf_dir, "record_acl"))
 
@@ -715,8 +747,6 @@ def anchor_priority_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def first(word: str, n: int) -> DataFrame:
         hits = d.where(F.contains(F.lower("text"), F.lit(word))).select(F.col("doc_id").alias("id")).orderBy("id").limit(n)
-        from pyspark.sql import Window
-
         return hits.withColumn("rank", F.row_number().over(Window.partitionBy().orderBy("id")).cast("long"))
 
     out = context.priority_union(first("easel", 3), first("the", 5), "id", "rank", 5)
@@ -977,3 +1007,182 @@ def sync_next_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Modification date of each record in the store after the same run: that of the source, or the stored one where it was left alone."""
     state, _ = _sync(spark, sf_dir, _Refuses("for "))
     return state.groupBy("record_uri").agg(F.max("source_date_modified").alias("modified"))
+
+
+# ---- further operators of the inventory --------------------------------------------------------------------
+
+
+@query(
+    """SELECT o_orderkey, rank() OVER w AS r, dense_rank() OVER w AS d, ntile(4) OVER t AS quarter, coalesce(lead(o_orderkey) OVER t, -1) AS following, coalesce(lag(o_orderkey, 2) OVER t, -1) AS before, round(percent_rank() OVER w, 6) AS pr, round(cume_dist() OVER w, 6) AS cd, first_value(o_orderkey) OVER t AS first_key,
+round(sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING), 2) AS smooth FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate), t AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)"""
+)
+def analytic_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranks, tiles, neighbours and frames over the orders of each customer."""
+    w = Window.partitionBy("o_custkey").orderBy("o_orderdate")
+    t = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    return table(spark, sf_dir, "orders").select(
+        "o_orderkey", F.rank().over(w).alias("r"), F.dense_rank().over(w).alias("d"), F.ntile(4).over(t).alias("quarter"), F.coalesce(F.lead("o_orderkey").over(t), F.lit(-1)).alias("following"), F.coalesce(F.lag("o_orderkey", 2).over(t), F.lit(-1)).alias("before"),
+        F.round(F.percent_rank().over(w), 6).alias("pr"), F.round(F.cume_dist().over(w), 6).alias("cd"), F.first("o_orderkey").over(t).alias("first_key"), F.round(F.sum("o_totalprice").over(t.rowsBetween(-1, 1)), 2).alias("smooth"),
+    )
+
+
+@query("SELECT l_returnflag, l_linestatus, grouping(l_returnflag) AS g, count(*) AS n FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)")
+def cube_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").cube("l_returnflag", "l_linestatus").agg(F.grouping("l_returnflag").cast("long").alias("g"), F.count("*").alias("n"))
+
+
+@query("SELECT record_type, file_type, count(*) AS n FROM record_chunks GROUP BY GROUPING SETS ((record_type, file_type), (record_type), ())")
+def grouping_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "record_chunks")
+    return c.groupingSets([[c.record_type, c.file_type], [c.record_type], []], c.record_type, c.file_type).agg(F.count("*").alias("n"))
+
+
+@query("SELECT count(*) AS chunks, count(DISTINCT record_uri) AS records, max(indexed_at) AS latest FROM record_chunks")
+def collection_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return monitor.collection(table(spark, sf_dir, "record_chunks"))
+
+
+@query("SELECT record_type, count(*) AS chunks, count(DISTINCT record_uri) AS records, round(avg(length(coalesce(chunk_content, ''))), 4) AS mean, min(length(coalesce(chunk_content, '')))::INTEGER AS smallest, max(length(coalesce(chunk_content, '')))::INTEGER AS largest FROM record_chunks GROUP BY 1")
+def chunk_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return monitor.sizes(table(spark, sf_dir, "record_chunks"))
+
+
+@query(
+    r"""SELECT count(*) AS n, count(*) FILTER (WHERE NOT regexp_matches(coalesce(record_title, '') || ' ' || coalesce(chunk_content, ''), '[\p{L}\p{N}]')) AS unindexed, CASE WHEN count(*) < 1000000 THEN 'OK - lists=100' WHEN count(*) < 10000000 THEN 'REBUILD RECOMMENDED - Use lists=1000-2000' WHEN count(*) < 50000000 THEN 'REBUILD RECOMMENDED - Use lists=2000-3000' ELSE 'REBUILD RECOMMENDED - Use lists=3000-5000' END AS advice,
+round((count(*) - count(DISTINCT embedding_id)) * 100.0::DOUBLE / count(DISTINCT embedding_id), 2) AS replaced_percent FROM record_chunks"""
+)
+def maintenance_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Advice on the cell index, rows without postings, share of replaced rows."""
+    c = table(spark, sf_dir, "record_chunks")
+    return monitor.maintenance(c, lexical.postings(c, "id", {"record_title": "A", "chunk_content": "B"}))
+
+
+@query("SELECT files > 0 AS stored, bytes > 0 AS filled, largest <= bytes AS consistent FROM (SELECT 1 AS files, 1 AS bytes, 1 AS largest)")
+def store_size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files and bytes of the stored index."""
+    f = monitor.store_files(spark, _index_path(spark, sf_dir))
+    return f.select((F.col("files") > 0).alias("stored"), (F.col("bytes") > 0).alias("filled"), (F.col("largest") <= F.col("bytes")).alias("consistent"))
+
+
+@query("SELECT id FROM record_chunks WHERE embedding_id IS DISTINCT FROM (SELECT min(embedding_id) FROM record_chunks)")
+def delete_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "record_chunks", "id", "embedding_id")
+    return store.delete_by_id(c, "embedding_id", c.agg(F.min("embedding_id")).first()[0]).select("id")
+
+
+@query("SELECT count(*) FILTER (WHERE date_created IS NULL) AS undated, count(*) FILTER (WHERE source_date_modified IS NULL) AS unmodified, count(*) FILTER (WHERE date_created IS NOT NULL AND source_date_modified IS NOT NULL) AS both FROM record_chunks")
+def null_timestamps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c, m = F.col("date_created"), F.col("source_date_modified")
+    return table(spark, sf_dir, "record_chunks").agg(F.count_if(c.isNull()).alias("undated"), F.count_if(m.isNull()).alias("unmodified"), F.count_if(c.isNotNull() & m.isNotNull()).alias("both"))
+
+
+@query("SELECT id, 'hit' AS arm FROM record_chunks WHERE date_created::DATE >= DATE '2024-01-01' AND date_created::DATE <= DATE '2024-06-30' UNION ALL SELECT id, 'none' FROM record_chunks WHERE page_number > 0")
+def date_filter_arms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fallback filter where the range holds rows, and where it holds none."""
+    c = table(spark, sf_dir, "record_chunks")
+    hit = filters.date_filter(c, "date_created", datetime(2024, 1, 1), datetime(2024, 6, 30), fallback=True).select("id", F.lit("hit").alias("arm"))
+    return hit.union(filters.date_filter(c.where("page_number > 0"), "date_created", datetime(1950, 1, 1), datetime(1950, 2, 1), fallback=True).select("id", F.lit("none").alias("arm")))
+
+
+@query(
+    """SELECT id, 'uri' AS arm FROM record_chunks WHERE record_uri = 100000 UNION ALL SELECT id, 'dates' FROM record_chunks WHERE date_created BETWEEN TIMESTAMP '2024-01-01' AND TIMESTAMP '2024-02-01' UNION ALL SELECT id, 'extension' FROM record_chunks WHERE lower(file_extension) = '.pdf' UNION ALL SELECT id, 'all' FROM record_chunks"""
+)
+def search_dsl_arms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every other condition of the search form."""
+    c = table(spark, sf_dir, "record_chunks")
+    arms = {"uri": {"uri": 100000, "phrases": ["x y z"]}, "dates": {"start": datetime(2024, 1, 1), "end": datetime(2024, 2, 1)}, "extension": {"extensions": ["pdf", "docx"]}, "all": {"phrases": ["ab"]}}
+    parts = [c.where(scans.search_predicate(**a)).select("id", F.lit(k).alias("arm")) for k, a in arms.items()]
+    return reduce(DataFrame.union, parts)
+
+
+@query(
+    """SELECT * FROM (SELECT id, 'uri' AS arm FROM record_chunks WHERE record_uri = 100000 ORDER BY id LIMIT 20) UNION ALL SELECT * FROM (SELECT id, 'container' FROM record_chunks WHERE starts_with(container, 'D1') ORDER BY id LIMIT 20) UNION ALL SELECT * FROM (SELECT id, 'day' FROM record_chunks WHERE date_created::DATE = (SELECT min(date_created)::DATE FROM record_chunks) ORDER BY id LIMIT 20)
+UNION ALL SELECT * FROM (SELECT id, 'content' FROM record_chunks WHERE contains(lower(chunk_content), 'kilowatts') ORDER BY id LIMIT 20)"""
+)
+def advanced_filter_arms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every other condition of the advanced filter."""
+    c = table(spark, sf_dir, "record_chunks")
+    day = c.agg(F.min("date_created")).first()[0].date()
+    arms = {"uri": {"uri": 100000, "title": "x"}, "container": {"container": "D1", "content": "x"}, "day": {"start": day, "content": "x"}, "content": {"content": "Kilowatts"}}
+    return reduce(DataFrame.union, [scans.advanced_filter(c, **a).select("id", F.lit(k).alias("arm")) for k, a in arms.items()])
+
+
+@query("SELECT record_uri, title, lower(coalesce(is_container, '')) = 'container' AS container_flag FROM records WHERE contains(lower(title), 'harbour') AND contains(lower(title), 'pdf')")
+def title_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scans.scan_records(table(spark, sf_dir, "records"), "Harbour PDF").select("record_uri", "title", "container_flag")
+
+
+@query(
+    r"""SELECT 'uri' AS form, record_uri, title FROM (SELECT * FROM records WHERE record_uri = (SELECT min(record_uri) FROM records) ORDER BY date_modified NULLS FIRST LIMIT 1) UNION ALL SELECT 'recnum', record_uri, title FROM (SELECT * FROM records WHERE regexp_replace(title, '\.[^./\\]+$', '') = 'Lease DRW-2013-62809' ORDER BY record_uri, date_modified NULLS FIRST LIMIT 1)
+UNION ALL SELECT 'bare', record_uri, title FROM (SELECT * FROM records WHERE title = (SELECT max(title) FROM records) ORDER BY record_uri, date_modified NULLS FIRST LIMIT 1) UNION ALL SELECT 'number', record_uri, title FROM (SELECT * FROM records WHERE ends_with(regexp_replace(title, '\.[^./\\]+$', ''), '-62809') ORDER BY record_uri, date_modified NULLS FIRST LIMIT 1)"""
+)
+def record_key_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One record by each form of its key."""
+    r = table(spark, sf_dir, "records")
+    low, title = r.agg(F.min("record_uri"), F.max("title")).first()
+    keys = {"uri": f"uri:{low}", "recnum": "recnum:Lease DRW-2013-62809", "bare": title, "number": "number:-62809"}
+    return reduce(DataFrame.union, [scans.record_by_any_key(r, k).select(F.lit(f).alias("form"), "record_uri", "title") for f, k in keys.items()])
+
+
+@query("SELECT 500 AS n, 500 AS full_length, 500 AS in_range, true AS varied")
+def dummy_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors of the synthetic chunks: length, range, and that they differ."""
+    d = scans.dummy_embeddings(spark, 500)
+    inside = F.forall("vector", lambda x: (x >= -1) & (x <= 1))
+    return d.agg(F.count("*").cast("int").alias("n"), F.count_if(F.size("vector") == 64).cast("int").alias("full_length"), F.count_if(inside).cast("int").alias("in_range"), (F.count_distinct("vector") == 500).alias("varied"))
+
+
+@query(f"SELECT vec_id, round(CASE WHEN vec_id % 9 = 0 THEN 0.0 ELSE {_COS} END, 6) AS score FROM embeddings, {_Q}")
+def file_store_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Similarity of the file store, 0 for vectors that are cut short."""
+    e = table(spark, sf_dir, "embeddings").withColumn("embedding", F.when(F.col("vec_id") % 9 == 0, F.slice("embedding", 1, 10)).otherwise(F.col("embedding")))
+    return e.select("vec_id", F.round(vector.zero_or_cosine(F.col("embedding"), _query_vector(spark, sf_dir)), 6).alias("score"))
+
+
+@query("SELECT l.id AS user_id, l.name AS name, array_to_string(coalesce((SELECT list_sort(list(DISTINCT g.name)) FROM user_groups u JOIN locations g ON g.id = u.group_id WHERE u.user_id = l.id), []), '|') AS groups FROM locations l WHERE l.type = 4")
+def user_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of users and of their groups."""
+    who = acl.identity(table(spark, sf_dir, "locations"), table(spark, sf_dir, "user_groups"))
+    return who.select("user_id", "name", F.array_join("groups", "|").alias("groups"))
+
+
+@query(
+    """SELECT id, concat_ws(chr(10), 'Title: ' || nullif(record_title, ''), nullif(concat_ws(chr(10), 'container: ' || nullif(container, ''), 'file_type: ' || nullif(file_type, '')), '')) AS p FROM record_chunks"""
+)
+def preview_with_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The preview with further fields of the record."""
+    none = F.lit(None).cast("string")
+    meta = F.create_map(F.lit("meta_file_type"), F.coalesce("file_type", F.lit("")), F.lit("meta_container"), F.coalesce("container", F.lit("")), F.lit("other"), F.lit("x"))
+    return table(spark, sf_dir, "record_chunks").select("id", text.content_preview(F.col("record_title"), none, none, none, none, meta).alias("p"))
+
+
+@query(f"SELECT id, round((raw - min(raw) OVER ()) / (max(raw) OVER () - min(raw) OVER ()), 6) AS rerank_score FROM (SELECT *, length(t) AS raw FROM (SELECT vec_id AS id, {_COS} AS score, repeat('x', (vec_id % 17)::INTEGER) AS t FROM embeddings, {_Q} ORDER BY score DESC, vec_id LIMIT 50)) ORDER BY rerank_score DESC, score DESC, id LIMIT 10")
+def rerank_scorer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits reranked by a scorer of texts, here their length."""
+    hits = vector.top_k(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", _query_vector(spark, sf_dir), 60, -2.0).withColumn("t", F.repeat(F.lit("x"), (F.col("id") % 17).cast("int")))
+    return hybrid.rerank_with(hits, "q", "t", lambda _, texts: [float(len(t)) for t in texts], 10).select("id", F.round("rerank_score", 6).alias("rerank_score"))
+
+
+@query(f"SELECT id, round(score, 6) AS rerank_score FROM (SELECT vec_id AS id, {_COS} AS score FROM embeddings, {_Q} ORDER BY score DESC, vec_id LIMIT 8)")
+def rerank_pass_through(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No more hits than asked for come back as they are."""
+    hits = vector.top_k(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", _query_vector(spark, sf_dir), 8, -2.0).withColumn("t", F.lit("x"))
+    return hybrid.rerank_with(hits, "q", "t", lambda _, texts: [1.0] * len(texts), 10).select("id", F.round("rerank_score", 6).alias("rerank_score"))
+
+
+@query("SELECT e.id, e.score - a.mean AS above FROM (SELECT event_id AS id, value AS score FROM events) e, (SELECT avg(value) AS mean FROM events) a WHERE e.score > a.mean + 3 * (SELECT stddev_samp(value) FROM events)")
+def above_the_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows against a scalar subquery, joined as one broadcast row."""
+    e = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("value").alias("score"))
+    stats = e.agg(F.avg("score").alias("mean"), F.stddev_samp("score").alias("sd"))  # one row
+    return e.join(F.broadcast(stats)).where(F.col("score") > F.col("mean") + 3 * F.col("sd")).select("id", (F.col("score") - F.col("mean")).alias("above"))
+
+
+@query()
+def record_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A question about one record: hybrid anchors, their neighbours, the prompt and the answer."""
+    chunks = table(spark, sf_dir, "record_chunks")
+    uri = chunks.where("contains(lower(chunk_content), 'kilowatts') and vector is not null").agg(F.min("record_uri")).first()[0]
+    own = filters.record_filter(chunks, [uri])
+    q = next(iter(r[0] for r in own.where("size(vector) = 64").orderBy("id").select("vector").limit(1).collect()), None)
+    return context.record_answer(own, _chunk_index(spark, sf_dir), "how many kilowatts", q, ExtractiveGenerator())

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from datetime import date, datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -42,10 +43,22 @@ def lookup(df: DataFrame, column: str, value: object) -> DataFrame:
 
 
 def record_by_any_key(records: DataFrame, key: str) -> DataFrame:
-    """One record by uri, or else by the number at the end of its title."""
-    by_uri = records.where(F.col("record_uri").cast("string") == key).withColumn("_p", F.lit(1))
-    by_title = records.where(F.col("title").endswith(F.lit(key))).withColumn("_p", F.lit(2))
-    return by_uri.unionByName(by_title).orderBy("_p", "record_uri", "date_modified").limit(1).drop("_p")
+    """One record by the first form of the key that finds one: uri, record number, bare title, number at the end of the title.
+
+    A prefix ``uri:``, ``recnum:`` or ``number:`` asks for that form alone. The uri is compared as a number, so the
+    condition reaches the scan.
+    """
+    form, _, rest = key.partition(":") if re.match(r"(uri|recnum|number):", key) else ("", "", key)
+    rest = rest.strip()
+    whole = int(rest) if re.fullmatch(r"\d{1,18}", rest) else None
+    stem = F.regexp_replace("title", r"\.[^./\\]+$", "")
+    forms = [("uri", F.lit(False) if whole is None else F.col("record_uri") == whole), ("recnum", stem == rest), ("", F.col("title") == rest), ("number", stem.endswith(F.lit(rest)) & F.lit(rest != ""))]
+    place = F.lit(None).cast("int")
+    for n, (name, found) in reversed(list(enumerate(forms))):
+        if form in ("", name):
+            place = F.when(found, n).otherwise(place)
+    hits = records.withColumn("_p", place).where("_p is not null")
+    return hits.orderBy("_p", "record_uri", "date_modified").limit(1).drop("_p")
 
 
 def sequence_range(chunks: DataFrame, uri: int, low: int, high: int) -> DataFrame:

@@ -341,3 +341,60 @@ def test_registry_names():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_access_by_sets_of_groups(spark):
+    """Counts per user equal those of every record by itself, also where one group holds most records."""
+    rng = np.random.default_rng(8)
+    rows = [(int(u), 1 if rng.random() < 0.4 else int(rng.integers(2, 9)), "ViewDocument") for u in rng.integers(0, 120, 400)] + [(None, 1, "ViewDocument"), (5, None, "ViewDocument"), (6, 1, "Other")]
+    members = [(int(g), int(x)) for g, x in zip(rng.integers(1, 9, 30), rng.integers(100, 120, 30))]
+    groups = [(int(u), int(x)) for u, x in zip(rng.integers(1, 15, 40), rng.integers(100, 120, 40))]
+    reach = {u: {g for g, x in members if x == u or (u, x) in groups} for u, _ in groups}
+    want = {u: len({r for r, g, p in rows if r is not None and g in gs and p == "ViewDocument"}) for u, gs in reach.items()}
+    got = acl.visible_to_each(spark.createDataFrame(rows, "record_uri long, acl_group long, permission_type string"), spark.createDataFrame(members, "acl_group long, location_id long"), spark.createDataFrame(groups, "user_id long, group_id long"))
+    assert {r.user_id: r.records for r in got.collect()} == {u: n for u, n in want.items() if n}
+    assert acl.is_in_group(spark.createDataFrame(groups, "user_id long, group_id long"), *groups[0]) and not acl.is_in_group(spark.createDataFrame(groups, "user_id long, group_id long"), 999, 100)
+
+
+def test_generated_answers_and_corrections(spark):
+    class Loud:
+        def generate(self, prompt):
+            if "boom" in prompt:
+                raise ValueError("no")
+            return prompt.upper()
+
+    Loud.__module__ = "__main__"  # sent to workers by value
+    df = spark.createDataFrame([(1, "a"), (2, " "), (3, None), (4, "boom")], "id long, p string")
+    got = {r.id: (r.answer, r.answer_error) for r in models.generate_table(df, "p", Loud()).collect()}
+    assert got == {1: ("A", None), 2: (None, "blank prompt"), 3: (None, "blank prompt"), 4: (None, "ValueError: no")}
+    bad = "x1y 0a2b " * 20
+    texts = spark.createDataFrame([(1, f"{bad}\nboom {bad}"), (2, "good text " * 20), (3, None)], "id long, t string")
+    fixed = models.correct_table(texts, "id", "t", Loud(), 200).collect()
+    assert [r.id for r in fixed] == [1] and fixed[0].corrected == f"{bad.upper()}\nboom {bad}"
+    noise = texts.join(models.correct_table(texts, "id", "t", Loud(), 200), "id", "left")
+    from recordloom.functions import text as tx
+
+    assert "X1Y" in noise.where("id = 1").select(tx.clean_noise("t", F.col("corrected"))).first()[0]
+    with pytest.raises(KeyError):
+        models.LookupEmbedder({"a": [1.0]}, 1).embed(["b"])
+
+
+def test_rerank_with_a_failing_scorer(spark):
+    h = spark.createDataFrame([(i, float(i), "t" * i) for i in range(9)], "id long, score double, t string")
+
+    def fails(q, texts):
+        raise OSError
+
+    assert [r.id for r in hybrid.rerank_with(h, "q", "t", fails, 3).collect()] == [8, 7, 6]
+    assert [r.id for r in hybrid.rerank_with(h, "q", "t", lambda q, x: [-len(t) for t in x], 3).collect()] == [0, 1, 2]
+    assert hybrid.rerank_with(h.limit(0), "q", "t", fails, 3).count() == 0
+
+
+def test_record_answer(spark):
+    rows = [(i, 7, i, i, 0, f"The pump number {i} holds water." if i != 6 else "The boiler makes 40 kilowatts.", [float(i == 3), 1.0]) for i in range(12)] + [(50, 8, 0, 0, 0, "Nothing here.", None)]
+    c = spark.createDataFrame(rows, "id long, record_uri long, chunk_sequence int, chunk_index int, page_number int, chunk_content string, vector array<double>")
+    index = lexical.postings(c, "id", {"chunk_content": "B"}, lexical.english_term)
+    one = context.record_answer(c.where("record_uri = 7"), index, "how many kilowatts", [1.0, 0.0], models.ExtractiveGenerator(), 2).first()
+    assert "RELEVANT\nThe boiler" in one.prompt and "Sequence 3" in one.prompt and "kilowatts" in one.answer and one.prompt.endswith("Question: how many kilowatts")
+    other = context.record_answer(c.where("record_uri = 8"), index, "how many kilowatts", None, models.ExtractiveGenerator()).first()
+    assert "Nothing here" in other.prompt
