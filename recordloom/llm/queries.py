@@ -84,12 +84,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in names}
 
 
-def oracle_sql() -> dict[str, str]:
-    """SQL for what SQL can express on whole tables; the other queries are tested against brute force or round trips."""
-    return {
-        "p3_found": "SELECT id FROM record_chunks WHERE length(chunk_content) > 6000",
-        "p2_found": r"""
-WITH texts AS (
+_SHINGLES = r"""texts AS (
   SELECT DISTINCT record_uri, record_title AS t FROM record_chunks WHERE record_uri IS NOT NULL
   UNION SELECT record_uri, chunk_content FROM record_chunks WHERE record_uri IS NOT NULL),
 w AS (SELECT record_uri, regexp_extract_all(lower(t), '[\p{L}\p{N}]+') AS ws FROM texts WHERE t IS NOT NULL),
@@ -97,6 +92,19 @@ g AS (SELECT DISTINCT record_uri, unnest([ws[i] || ' ' || ws[i + 1] || ' ' || ws
 n AS (SELECT record_uri, count(*) AS n FROM g GROUP BY 1),
 rare AS (SELECT s FROM g GROUP BY s HAVING count(*) > 1),
 c AS (SELECT DISTINCT a.record_uri AS x, b.record_uri AS y FROM g a JOIN rare USING (s) JOIN g b USING (s) WHERE a.record_uri < b.record_uri),
-o AS (SELECT x, y, count(*) AS o FROM c JOIN g a ON a.record_uri = x JOIN g b ON b.record_uri = y AND b.s = a.s GROUP BY 1, 2)
-SELECT x AS record_uri_a, y AS record_uri_b FROM o JOIN n a ON a.record_uri = x JOIN n b ON b.record_uri = y WHERE 10 * o >= 7 * (a.n + b.n - o)""",
+o AS (SELECT x, y, count(*) AS o FROM c JOIN g a ON a.record_uri = x JOIN g b ON b.record_uri = y AND b.s = a.s GROUP BY 1, 2),
+pairs AS (SELECT x, y, o = a.n AND o = b.n AS same FROM o JOIN n a ON a.record_uri = x JOIN n b ON b.record_uri = y WHERE 10 * o >= 7 * (a.n + b.n - o))"""
+
+
+def oracle_sql() -> dict[str, str]:
+    """SQL for what SQL can express on whole tables; the other queries are tested against brute force or round trips."""
+    return {
+        "p3_found": "SELECT id FROM record_chunks WHERE length(chunk_content) > 6000",
+        "p2_found": f"WITH {_SHINGLES} SELECT x AS record_uri_a, y AS record_uri_b FROM pairs",
+        "p2_groups": f"""WITH RECURSIVE {_SHINGLES},
+links AS (SELECT x AS a, y AS b, same FROM pairs UNION ALL SELECT y, x, same FROM pairs),
+reach AS (SELECT record_uri AS a, record_uri AS b FROM n UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b),
+groups AS (SELECT a, min(b) AS group_id FROM reach GROUP BY 1),
+own AS (SELECT a, count(*) AS n_links, min(b) FILTER (WHERE same) AS twin FROM links GROUP BY 1)
+SELECT record_uri, least(record_uri, coalesce(twin, record_uri)) AS class_id, group_id, coalesce(n_links, 0) AS n_links FROM n JOIN groups ON groups.a = record_uri LEFT JOIN own ON own.a = record_uri""",
     }
