@@ -2,14 +2,17 @@
 
 Building: balanced clustering of a bounded sample gives the centroids; each vector of the collection goes to
 its nearest list, and a boundary vector also to further lists that are nearly as close, unless a list
-already chosen lies nearer to that list than the vector does. Searching: a best-first walk over the
-centroids' neighbour graph finds the nearest lists of a query, distance ratio to the nearest one prunes
-them, and the vectors of the lists that remain are compared exactly.
-
-Sizes: the sample has ``SAMPLE`` vectors and the graph ``MAX_LISTS`` centroids at most, so what is broadcast
-does not grow with the data. Lists are packed into shards of about ``SHARD_ROWS`` vectors; a list longer than
-that, as copies of one vector make, is spread over several shards by the hash of its ids. Queries travel to a
-shard once, with the lists they want there, and come back with at most k hits per shard.
+already chosen lies nearer to that list than the vector does. A list beyond the length bound is cut into cells by
+balanced clustering of a sample of its own, so the number of cells grows with the data. Searching: a best-first walk
+over the centroids' neighbour graph finds the nearest lists of a query, their cells are ranked, distance ratio to the
+nearest one prunes them, and the vectors of the cells that remain are compared exactly. A long cell is cut once
+more, into short lists within its task, of which a query looks at those near enough.
+
+Sizes: the sample has ``SAMPLE`` vectors, the graph ``MAX_LISTS`` centroids, and there are at most ``MAX_CELLS`` cells
+beside, so what is broadcast does not grow with the data: the length bound ``SHARD_ROWS`` grows instead once there would
+be more. Cells are packed into shards of about that many vectors; a cell longer than that, as copies of one vector
+make, is spread over several shards by the hash of its ids. The shards decide the number of tasks. Queries travel to
+a shard once, with the cells they want there, and come back with at most k hits per shard.
 
 Defined results: a vector counts when it has ``dim`` finite values that are not all zero; others are nobody's
 neighbour and have none. Several rows of one id count once, by the latest row that is valid. Ties in similarity
@@ -33,6 +36,10 @@ SAMPLE = 40_000
 MAX_LISTS = 4096
 LIST_ROWS = 96
 SHARD_ROWS = 16_384
+MAX_CELLS = 131_072
+MAX_PARTS = 4096  # cells of one list
+LOCAL_ROWS = 2048  # a cell of more vectors is cut into lists of LIST_ROWS within its task
+LOCAL_RATIO = 1.1
 QUERY_BLOCK = 32_768
 DEGREE = 24
 REPLICAS = 4
@@ -230,12 +237,48 @@ def choose_lists(lists: Lists, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return row, ids[row, col]
 
 
-def probe_lists(lists: Lists, q: np.ndarray, probes: int, ratio: float) -> tuple[np.ndarray, np.ndarray]:
-    """Query numbers and lists to search: at most ``probes`` lists, none farther than ``ratio`` times the nearest."""
+@dataclass
+class Cells:
+    """Cells of each list, numbered in the order of the lists: the first one and how many, and all centroids."""
+
+    first: np.ndarray
+    count: np.ndarray
+    centroids: np.ndarray
+
+    def of(self, at: int) -> np.ndarray:
+        return self.centroids[self.first[at] : self.first[at] + self.count[at]]
+
+
+def place_in_cells(cells: Cells, m: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The cell of each vector within the list it is in."""
+    out = cells.first[at].astype(np.int64)
+    for x in np.unique(at[cells.count[at] > 1]):
+        rows = np.flatnonzero(at == x)
+        for lo in range(0, len(rows), 8192):
+            some = rows[lo : lo + 8192]
+            out[some] += (m[some] @ cells.of(x).T).argmax(1)
+    return out
+
+
+def probe_cells(lists: Lists, cells: Cells, q: np.ndarray, probes: int, ratio: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Query numbers, cells to search and their distances: at most ``probes`` cells, none farther than ``ratio`` times the nearest."""
     ids, sim = graph_search(lists, q, probes)
-    d = _distance(sim)
-    row, col = np.nonzero((ids >= 0) & (d <= ratio * d[:, :1] + 1e-6))
-    return row, ids[row, col]
+    row, col = np.nonzero(ids >= 0)
+    at, s = ids[row, col], sim[row, col]
+    whole = cells.count[at] == 1
+    rows, which, sims = [row[whole]], [cells.first[at[whole]]], [s[whole]]
+    for x in np.unique(at[~whole]):
+        who = row[at == x]
+        rows.append(np.repeat(who, cells.count[x]))
+        which.append(np.tile(cells.first[x] + np.arange(cells.count[x]), len(who)))
+        sims.append((q[who] @ cells.of(x).T).ravel())
+    row, cell, d = np.concatenate(rows), np.concatenate(which), _distance(np.concatenate(sims))
+    order = np.lexsort((cell, d, row))
+    row, cell, d = row[order], cell[order], d[order]
+    first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]]) if len(row) else np.zeros(0, np.int64)
+    size = np.diff(np.r_[first, len(row)])
+    keep = (np.arange(len(row)) - np.repeat(first, size) < probes) & (d <= ratio * np.repeat(d[first], size) + 1e-6)
+    return row[keep], cell[keep], d[keep]
 
 
 def fit_lists(vectors: DataFrame, dim: int, total: int, sample: int = SAMPLE) -> Lists:
@@ -255,57 +298,105 @@ def _assign(batches: Iterator[pa.RecordBatch], lists, dim: int) -> Iterator[pa.R
         yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(at, pa.int32())], names=["id", "v", "list"])
 
 
-def _probe(batches: Iterator[pa.RecordBatch], lists, dim: int, probes: int, ratio: float) -> Iterator[pa.RecordBatch]:
+def _part_centroids(of: pa.Table, parts: dict[int, int], dim: int) -> pa.Table:
+    """``(list, part, c)``: centroids of the cells of one list, from a sample of its vectors."""
+    at = of.column("list")[0].as_py()
+    c = balanced_centroids(matrix(of.column("v"), dim), parts[at])
+    return pa.table({"list": pa.array([at] * len(c), pa.int32()), "part": pa.array(range(len(c)), pa.int32()), "c": pa.array([r.tobytes() for r in c], pa.binary())})
+
+
+def cut_long_lists(placed: DataFrame, sizes: dict[int, int], lists: Lists, dim: int, bound: int) -> Cells:
+    """Cells of all lists: one for a list within the bound, else as many as keep a cell within half of it, up to ``MAX_PARTS``."""
+    parts = {x: min(MAX_PARTS, -(-2 * n // bound)) for x, n in sizes.items() if n > bound}
+    found: dict[int, list[np.ndarray]] = {}
+    if parts:
+        # about 64 vectors for each cell, chosen by hash
+        some = placed.where(F.col("list").isin(list(parts))).where(F.pmod(F.xxhash64("id"), F.lit(max(1, bound // 128))) == 0)
+        got = some.groupBy("list").applyInArrow(lambda t: _part_centroids(t, parts, dim), "list int, part int, c binary").orderBy("list", "part").collect()  # MAX_CELLS rows
+        for r in got:
+            found.setdefault(r["list"], []).append(np.frombuffer(r["c"], np.float32))
+    each = [np.stack(found[x]) if x in found else lists.centroids[x : x + 1] for x in range(len(lists.centroids))]
+    count = np.array([len(e) for e in each], np.int64)
+    return Cells(np.cumsum(count) - count, count, np.concatenate(each))
+
+
+def _to_cells(batches: Iterator[pa.RecordBatch], cells, dim: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        row, at = probe_lists(lists.value, matrix(batch.column(1), dim), probes, ratio)
+        at = place_in_cells(cells.value, matrix(batch.column(1), dim), batch.column(2).to_numpy())
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(at, pa.int32())], names=["id", "v", "cell"])
+
+
+def _probe(batches: Iterator[pa.RecordBatch], shared, dim: int, probes: int, ratio: float) -> Iterator[pa.RecordBatch]:
+    lists, cells = shared.value
+    for batch in batches:
+        row, at, d = probe_cells(lists, cells, matrix(batch.column(1), dim), probes, ratio)
         count = np.bincount(row, minlength=batch.num_rows)
+        near = np.zeros(batch.num_rows, np.float32)
+        near[row[::-1]] = d[::-1]  # the nearest of each query comes first
         wanted = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(count)], pa.int32()), pa.array(at, pa.int32()))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), wanted], names=["id", "v", "lists"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(near), wanted], names=["id", "v", "near", "cells"])
+
+
+def _compared(q: np.ndarray, qs: np.ndarray, near: np.ndarray, m: np.ndarray, first: int, more: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Best ``more`` rows of ``m`` for each of the queries ``qs``, as (query, row, similarity); rows are numbered from ``first``."""
+    todo = [(qs, np.arange(len(m)))]
+    if len(m) > LOCAL_ROWS:
+        # balanced lists within the cell; a query looks at those about as near as its nearest cell, and at some in any case
+        count = -(-len(m) // LIST_ROWS)
+        c = balanced_centroids(m[:: max(1, len(m) // (8 * count))], count)
+        own = np.concatenate([(m[lo : lo + 8192] @ c.T).argmax(1) for lo in range(0, len(m), 8192)])
+        by = np.argsort(own, kind="stable")
+        cut = np.searchsorted(own[by], np.arange(len(c) + 1))
+        d = _distance(q[qs] @ c.T)
+        some = min(7, d.shape[1] - 1)
+        use = d <= np.maximum(LOCAL_RATIO * near[qs], np.partition(d, some, axis=1)[:, some])[:, None]
+        todo = [(qs[use[:, j]], by[cut[j] : cut[j + 1]]) for j in range(len(c)) if cut[j + 1] > cut[j] and use[:, j].any()]
+    for who, which in todo:
+        for lo in range(0, len(which), 8192):
+            s = q[who] @ m[which[lo : lo + 8192]].T
+            if s.shape[1] > more:
+                top = np.argpartition(-s, more - 1, axis=1)[:, :more]
+                s = np.take_along_axis(s, top, 1)
+            else:
+                top = np.broadcast_to(np.arange(s.shape[1]), s.shape)
+            yield np.repeat(who, s.shape[1]), first + which[lo + top].ravel(), s.ravel()
 
 
 def _search(left: pa.Table, right: pa.Table, dim: int, k: int) -> pa.Table:
-    """Exact comparison of the queries of a shard with the vectors in the lists they want."""
-    m, lst = matrix(left.column("v"), dim), left.column("list").to_numpy()
-    q = matrix(right.column("v"), dim)
+    """Exact comparison of the queries of a shard with the vectors in the cells they want."""
+    m, cell = matrix(left.column("v"), dim), left.column("cell").to_numpy()
+    q, near = matrix(right.column("v"), dim), right.column("near").to_numpy()
     empty = pa.table({"query": pa.array([], pa.string()), "id": pa.array([], pa.string()), "sim": pa.array([], pa.float32())})
     if not len(m) or not len(q):
         return empty
     own, qid = left.column("id").combine_chunks(), right.column("id").combine_chunks()
-    order = np.argsort(lst, kind="stable")
-    m, lst = m[order], lst[order]
-    names, begin = np.unique(lst, return_index=True)
-    end = np.r_[begin[1:], len(lst)]
-    wants = right.column("lists").combine_chunks()
+    order = np.argsort(cell, kind="stable")
+    m, cell = m[order], cell[order]
+    names, begin = np.unique(cell, return_index=True)
+    end = np.r_[begin[1:], len(cell)]
+    wants = right.column("cells").combine_chunks()
     off = wants.offsets.to_numpy() - wants.offsets.to_numpy()[0]
     w = wants.values.to_numpy(zero_copy_only=False)
     who = np.repeat(np.arange(len(q)), np.diff(off))
     by = np.argsort(w, kind="stable")
     w, who = w[by], who[by]
     lo, hi = np.searchsorted(w, names), np.searchsorted(w, names, "right")
-    keep_q, keep_r, keep_s = [], [], []
+    keep: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     more = k + 1  # one of them may be the query itself
     for x in range(len(names)):
         qs = who[lo[x] : hi[x]]
-        if not len(qs):
-            continue
-        for at in range(begin[x], end[x], 8192):
-            block = m[at : min(at + 8192, end[x])]
-            s = q[qs] @ block.T
-            if s.shape[1] > more:
-                top = np.argpartition(-s, more - 1, axis=1)[:, :more]
-                s = np.take_along_axis(s, top, 1)
-            else:
-                top = np.broadcast_to(np.arange(s.shape[1]), s.shape)
-            keep_q.append(np.repeat(qs, s.shape[1])), keep_r.append((order[at + top]).ravel()), keep_s.append(s.ravel())
-    if not keep_q:
+        if len(qs):
+            keep += _compared(q, qs, near, m[begin[x] : end[x]], int(begin[x]), more)
+    if not keep:
         return empty
-    a, b, s = np.concatenate(keep_q), np.concatenate(keep_r), np.concatenate(keep_s)
+    a, b, s = (np.concatenate(c) for c in zip(*keep))
+    b = order[b]
     by = np.lexsort((b, -s, a))
     a, b, s = a[by], b[by], s[by]
     new = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]
     a, b, s = a[new], b[new], s[new]
     first = np.flatnonzero(np.r_[True, a[1:] != a[:-1]])
-    # replicas of one vector may stand in several lists of a shard: keep enough that k different ids remain
+    # replicas of one vector may stand in several cells of a shard: keep enough that k different ids remain
     use = np.arange(len(a)) - np.repeat(first, np.diff(np.r_[first, len(a)])) < more * REPLICAS
     return pa.table({"query": qid.take(pa.array(a[use])), "id": own.take(pa.array(b[use])), "sim": pa.array(s[use], pa.float32())})
 
@@ -325,28 +416,40 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, dim: int = 64,
     placed = stage(vectors.select("id", "v").mapInArrow(lambda it: _assign(it, lists, dim), "id string, v binary, list int"), "posting-lists")
     # list sizes: one row per list, MAX_LISTS at most
     sizes = {r["list"]: r["n"] for r in placed.groupBy("list").agg(F.count("*").alias("n")).collect()}
+    bound = max(SHARD_ROWS, -(-2 * sum(sizes.values()) // MAX_CELLS))
+    cells = cut_long_lists(placed, sizes, lists.value, dim, bound)
+    shared = spark.sparkContext.broadcast((lists.value, cells))
+    if len(cells.centroids) > len(lists.value.centroids):
+        only = spark.sparkContext.broadcast(cells)
+        placed = stage(placed.mapInArrow(lambda it: _to_cells(it, only, dim), "id string, v binary, cell int"), "cells")
+        sizes = {r["cell"]: r["n"] for r in placed.groupBy("cell").agg(F.count("*").alias("n")).collect()}  # MAX_LISTS + MAX_CELLS rows at most
+    else:
+        placed = placed.withColumnRenamed("list", "cell")
     first_shard, splits, shard, load = {}, {}, 0, 0
     for x in sorted(sizes):
-        parts = -(-sizes[x] // SHARD_ROWS)
-        if load and (load + sizes[x] > SHARD_ROWS or parts > 1):
+        parts = -(-sizes[x] // bound)
+        if load and (load + sizes[x] > bound or parts > 1):
             shard, load = shard + 1, 0
         first_shard[x], splits[x] = shard, parts
         if parts > 1:
             shard += parts
         else:
             load += sizes[x]
-    plan = spark.createDataFrame([(int(x), int(first_shard[x]), int(splits[x])) for x in sizes], "list int, first int, splits int")
-    plan = F.broadcast(plan)  # MAX_LISTS rows at most
-    rows = placed.join(plan, "list").select("id", "v", "list", (F.col("first") + F.pmod(F.xxhash64("id"), F.col("splits")).cast("int")).alias("shard"))
-    asked = queries.select("id", "v").mapInArrow(lambda it: _probe(it, lists, dim, probes, ratio), "id string, v binary, lists array<int>")
-    asked = asked.select("id", "v", F.explode("lists").alias("list")).join(plan, "list")
-    asked = asked.select("id", "v", "list", F.explode(F.sequence("first", F.col("first") + F.col("splits") - 1)).alias("shard"))
-    asked = stage(asked.groupBy("id", "shard").agg(F.first("v").alias("v"), F.collect_list("list").alias("lists")), "probes")
+    plan = spark.createDataFrame([(int(x), int(first_shard[x]), int(splits[x])) for x in sizes], "cell int, first int, splits int")
+    plan = F.broadcast(plan)  # MAX_LISTS + MAX_CELLS rows at most
+    rows = placed.join(plan, "cell").select("id", "v", "cell", (F.col("first") + F.pmod(F.xxhash64("id"), F.col("splits")).cast("int")).alias("shard"))
+    asked = queries.select("id", "v").mapInArrow(lambda it: _probe(it, shared, dim, probes, ratio), "id string, v binary, near float, cells array<int>")
+    asked = asked.select("id", "v", "near", F.explode("cells").alias("cell")).join(plan, "cell")
+    asked = asked.select("id", "v", "near", "cell", F.explode(F.sequence("first", F.col("first") + F.col("splits") - 1)).alias("shard"))
+    asked = stage(asked.groupBy("id", "shard").agg(F.first("v").alias("v"), F.first("near").alias("near"), F.collect_list("cell").alias("cells")), "probes")
     # many queries for one shard are cut into blocks, each of which meets all of the shard
-    blocks = asked.groupBy("shard").agg(F.ceil(F.count("*") / F.lit(QUERY_BLOCK)).cast("int").alias("blocks"))
+    blocks = stage(asked.groupBy("shard").agg(F.ceil(F.count("*") / F.lit(QUERY_BLOCK)).cast("int").alias("blocks")), "blocks")
+    tasks = min(MAX_PARTS, max(1, 2 * (blocks.agg(F.sum("blocks")).first()[0] or 0)))
     blocks = bounded_broadcast(blocks, 100_000)
-    left = rows.join(blocks, "shard").select("id", "v", "list", F.col("shard").alias("ls"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("lb"))
-    right = asked.join(blocks, "shard").select("id", "v", "lists", F.col("shard").alias("rs"), F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("rb"))
+    left = rows.join(blocks, "shard").select("id", "v", "cell", F.col("shard").alias("ls"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("lb"))
+    right = asked.join(blocks, "shard").select("id", "v", "near", "cells", F.col("shard").alias("rs"), F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("rb"))
+    # adaptive execution does not split cogroups, so their number follows from the shards
+    left, right = left.repartition(tasks, "ls", "lb"), right.repartition(tasks, "rs", "rb")
     hits = left.groupBy("ls", "lb").cogroup(right.groupBy("rs", "rb")).applyInArrow(lambda a, b: _search(a, b, dim, k), schema)
     best = hits.where("query <> id").groupBy("query", "id").agg(F.max("sim").alias("sim"))
     order = Window.partitionBy("query").orderBy(F.desc("sim"), "id")
