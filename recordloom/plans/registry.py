@@ -208,6 +208,10 @@ def _chunk_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.open_index(spark, path)
 
 
+# what builds the stored indexes, by name
+BUILDS: dict[str, Callable[[SparkSession, str], object]] = {"postings": _index_path, "english": _english, "chunk-index": _chunk_index, "cells": _cells}
+
+
 @query(f"SELECT term, id, field, tf FROM {_POSTINGS}")
 def postings_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.postings(table(spark, sf_dir, "documents"), "doc_id", _FIELDS)

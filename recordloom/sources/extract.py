@@ -1,7 +1,8 @@
 """Text of files: dispatch by extension over a binary scan, with errors in a column of their own.
 
 Formats read with the standard library: text, CSV, HTML, DOCX, XLSX, PPTX and legacy DOC. PDF needs a reader that
-is passed in. Corrupt, empty, oversized and unknown files give a null text and an error.
+is passed in. Corrupt, empty, oversized and unknown files, and files whose first bytes belong to another type, give a
+null text and an error. Text that a limit cuts has a warning that names the limit.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from recordloom.functions.text import quality
+
 MOST_BYTES, WARN_BYTES = 500 * 1024 * 1024, 50 * 1024 * 1024
 # fixed values: limits of one file
 MOST_PARAGRAPHS, MOST_TABLES, MOST_TABLE_ROWS, MOST_CELLS = 5000, 100, 50, 20
@@ -29,6 +32,32 @@ MEDIA_TYPES = {
 }
 
 
+# fixed values: first bytes of a file -> extensions they belong to
+SIGNATURES = {b"PK": [".docx", ".xlsx", ".pptx"], b"%PDF": [".pdf"], b"\xd0\xcf\x11\xe0": [".doc"]}
+
+
+class Limited(str):
+    """Text that a limit has cut, with the names of the limits."""
+
+    cut: str = ""
+
+    @classmethod
+    def of(cls, text: str, cut: list[str]) -> str:
+        if not cut:
+            return text
+        out = cls(text)
+        out.cut = "cut at the limit of " + ", ".join(dict.fromkeys(cut))
+        return out
+
+
+def check_content(name: str, data: bytes) -> None:
+    """Raise ValueError when the first bytes belong to another type than the name says; other faults are left to the reader."""
+    ext = "." + name.lower().rsplit(".", 1)[-1]
+    for sign, exts in SIGNATURES.items():
+        if ext not in exts and data.startswith(sign) and any(ext in e for e in SIGNATURES.values()):
+            raise ValueError(f"content is not of type {ext}")
+
+
 def _local(tag: str) -> str:
     return tag.rsplit("}", 1)[-1]
 
@@ -52,9 +81,11 @@ def read_docx(data: bytes) -> str:
     """Paragraphs, headings marked, then tables as lines of cells."""
     body = ElementTree.fromstring(zipfile.ZipFile(io.BytesIO(data)).read("word/document.xml"))
     out: list[str] = []
+    cut: list[str] = []
     inside = {id(p) for t in _under(body, "tbl") for p in _under(t, "p")}
     for n, p in enumerate(_under(body, "p")):
         if n >= MOST_PARAGRAPHS:
+            cut.append("paragraphs")
             break
         text = "".join(t.text or "" for t in _under(p, "t")).strip()
         if text and id(p) not in inside:
@@ -62,11 +93,16 @@ def read_docx(data: bytes) -> str:
             out.append(f"[HEADING] {text}" if style.lower().startswith(("heading", "title")) else text)
     for n, table in enumerate(_under(body, "tbl")):
         if n >= MOST_TABLES:
+            cut.append("tables")
             break
         out.append(f"[TABLE {n + 1}]")
-        for row in list(_under(table, "tr"))[:MOST_TABLE_ROWS]:
-            out.append(" | ".join("".join(t.text or "" for t in _under(c, "t")) for c in list(_under(row, "tc"))[:MOST_CELLS]))
-    return "\n".join(out)
+        rows = list(_under(table, "tr"))
+        cut += ["table rows"] * (len(rows) > MOST_TABLE_ROWS)
+        for row in rows[:MOST_TABLE_ROWS]:
+            cells = list(_under(row, "tc"))
+            cut += ["table cells"] * (len(cells) > MOST_CELLS)
+            out.append(" | ".join("".join(t.text or "" for t in _under(c, "t")) for c in cells[:MOST_CELLS]))
+    return Limited.of("\n".join(out), cut)
 
 
 def _column(ref: str) -> int:
@@ -83,12 +119,16 @@ def read_xlsx(data: bytes) -> str:
     shared = [("".join(t.text or "" for t in _under(si, "t"))) for si in _under(ElementTree.fromstring(z.read("xl/sharedStrings.xml")), "si")] if "xl/sharedStrings.xml" in names else []
     out: list[str] = []
     sheets = sorted((n for n in names if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)), key=lambda n: int(re.search(r"\d+", n)[0]))
+    cut = ["sheets"] * (len(sheets) > MOST_SHEETS)
     for k, name in enumerate(sheets[:MOST_SHEETS]):
         out.append(f"[SHEET {k + 1}]")
-        for row in list(_under(ElementTree.fromstring(z.read(name)), "row"))[:MOST_ROWS]:
+        rows = list(_under(ElementTree.fromstring(z.read(name)), "row"))
+        cut += ["rows"] * (len(rows) > MOST_ROWS)
+        for row in rows[:MOST_ROWS]:
             cells = []
             for c in _under(row, "c"):
                 if _column(c.get("r", "A")) > MOST_COLUMNS:
+                    cut.append("columns")
                     break
                 kind, v = c.get("t"), next((x.text or "" for x in c if _local(x.tag) == "v"), "")
                 if kind == "s":
@@ -101,7 +141,7 @@ def read_xlsx(data: bytes) -> str:
                     cells.append(v)
             if cells:
                 out.append(" | ".join(cells))
-    return "\n".join(out)
+    return Limited.of("\n".join(out), cut)
 
 
 def read_pptx(data: bytes) -> str:
@@ -111,7 +151,7 @@ def read_pptx(data: bytes) -> str:
     for k, name in enumerate(slides[:MOST_SLIDES]):
         paragraphs = ["".join(t.text or "" for t in _under(p, "t")) for p in _under(ElementTree.fromstring(z.read(name)), "p")]
         out.append(f"[SLIDE {k + 1}]\n" + "\n".join(p for p in paragraphs if p.strip()))
-    return "\n".join(out)
+    return Limited.of("\n".join(out), ["slides"] * (len(slides) > MOST_SLIDES))
 
 
 class _Html(HTMLParser):
@@ -171,23 +211,25 @@ def extract_files(spark: SparkSession, path: str, readers: dict[str, Callable[[b
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     files = files.withColumn("error", file_error(F.col("path"), F.col("length"), sorted(table)))
 
-    @F.pandas_udf("text string, failure string")
+    @F.pandas_udf("text string, failure string, cut string")
     def read(names: pd.Series, data: pd.Series, errors: pd.Series) -> pd.DataFrame:
         out = []
         for n, d, e in zip(names, data, errors):
             if e is not None:
-                out.append((None, None))
+                out.append((None, None, None))
                 continue
             try:
-                out.append((table["." + n.lower().rsplit(".", 1)[-1]](bytes(d)), None))
+                check_content(n, bytes(d[:8]))
+                got = table["." + n.lower().rsplit(".", 1)[-1]](bytes(d))
+                out.append((str(got), None, getattr(got, "cut", None)))
             except Exception as x:  # one bad file must not end the job
-                out.append((None, f"{type(x).__name__}: {x}"[:300]))
-        return pd.DataFrame(out, columns=["text", "failure"])
+                out.append((None, f"{type(x).__name__}: {x}"[:300], None))
+        return pd.DataFrame(out, columns=["text", "failure", "cut"])
 
     got = files.withColumn("r", read("path", "content", "error"))
     media = F.create_map(*[F.lit(v) for kv in MEDIA_TYPES.items() for v in kv])
     ext = F.regexp_extract(F.lower("path"), r"(\.[^./\\]+)$", 1)
-    return got.select("path", "length", F.try_element_at(media, ext).alias("media_type"), F.when(F.col("length") > WARN_BYTES, "large file").alias("warning"), "r.text", F.coalesce("error", "r.failure").alias("error"))
+    return got.select("path", "length", F.try_element_at(media, ext).alias("media_type"), F.nullif(F.concat_ws("; ", F.when(F.col("length") > WARN_BYTES, "large file"), "r.cut"), F.lit("")).alias("warning"), "r.text", F.coalesce("error", "r.failure").alias("error"))
 
 
 def blob_metadata(spark: SparkSession, path: str) -> DataFrame:
@@ -198,9 +240,23 @@ def blob_metadata(spark: SparkSession, path: str) -> DataFrame:
     return f.select("path", "length", F.col("modificationTime").alias("modified"), tag.alias("etag"), F.coalesce(F.try_element_at(media, F.regexp_extract(F.lower("path"), r"(\.[^./\\]+)$", 1)), F.lit("application/octet-stream")).alias("media_type"))
 
 
-def best_extraction(candidates: DataFrame, key: str, text: str, score: Column) -> DataFrame:
-    """Of several extractions of one file the one of best quality."""
-    return candidates.groupBy(key).agg(F.max_by(text, F.struct(score, F.length(text))).alias(text))
+def best_extraction(candidates: DataFrame, key: list[str], strategy: str = "strategy", body: str = "text", fonts: str = "font") -> DataFrame:
+    """``(key, text)``: of several extractions of a page the one of best quality, headings never lost.
+
+    The extraction by fonts wins ties. Where it loses, its heading lines that the winner does not hold, whatever the
+    case, are put before the winner, the last one first.
+    """
+    score = F.when(F.trim(F.coalesce(body, F.lit(""))) != "", quality(body)).otherwise(F.lit(-1))
+    other = F.col(strategy) != fonts
+    g = candidates.groupBy(*key).agg(
+        F.max(F.when(other, F.struct(score.alias("s"), F.length(F.coalesce(body, F.lit(""))).alias("n"), F.col(body).alias("t")))).alias("_a"),
+        F.max(F.when(~other, F.struct(score.alias("s"), F.col(body).alias("t")))).alias("_f"),
+    )
+    base, font = F.coalesce("_a.t", F.lit("")), F.coalesce("_f.t", F.lit(""))
+    heads = F.filter(F.transform(F.split(font, "\n"), lambda x: F.trim(x)), lambda x: x.startswith("[HEADING]"))
+    lost = F.filter(heads, lambda h: ~F.contains(F.lower(base), F.lower(F.trim(F.replace(h, F.lit("[HEADING]"), F.lit(""))))))
+    merged = F.array_join(F.concat(F.reverse(lost), F.array(base)), "\n")
+    return g.select(*key, F.when((F.col("_f.s") >= 0) & (F.col("_f.s") >= F.coalesce("_a.s", F.lit(-1))), font).otherwise(merged).alias("text"))
 
 
 def glyph_lines(glyphs: DataFrame, page: str = "page", gap: float = 4.0, heading_height: float = 13.0) -> DataFrame:

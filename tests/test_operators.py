@@ -228,6 +228,34 @@ def test_extract(spark, tmp_path):
     assert extract.blob_metadata(spark, f"file://{tmp_path}").count() == 7
 
 
+def test_limits_and_types_of_files(spark, tmp_path, monkeypatch):
+    def doc(n):
+        out = tmp_path / "x.docx"
+        with zipfile.ZipFile(out, "w") as z:
+            z.writestr("word/document.xml", '<w:document xmlns:w="w"><w:body>' + "<w:p><w:r><w:t>p</w:t></w:r></w:p>" * n + "</w:body></w:document>")
+        return out.read_bytes()
+
+    assert getattr(extract.read_docx(doc(5)), "cut", None) is None
+    monkeypatch.setattr(extract, "MOST_PARAGRAPHS", 3)
+    cut = extract.read_docx(doc(5))
+    assert cut == "p\np\np" and cut.cut == "cut at the limit of paragraphs"
+    (tmp_path / "y.docx").write_bytes(b"%PDF-1.7 no document")
+    (tmp_path / "z.doc").write_bytes(b"PK a package named as an old document")
+    got = {r.path.rsplit("/", 1)[-1]: r for r in extract.extract_files(spark, f"file://{tmp_path}").collect()}
+    assert got["y.docx"].error == "ValueError: content is not of type .docx" and got["z.doc"].error == "ValueError: content is not of type .doc"
+    assert "words of an old file" in extract.read_doc("words of an old file, long enough to be read at all, it is hoped".encode("cp1252"))
+
+
+def test_best_extraction_keeps_headings(spark):
+    rows = [
+        (1, "simple", "the service of the system is good"), (1, "location", "the service"), (1, "font", "[HEADING] Lost One\nthe\n[HEADING] Service\n[HEADING] Lost Two"), (2, "simple", "a b"), (2, "font", "[HEADING] The Service Of The System"), (3, "simple", None), (3, "font", " "),
+        (4, "font", "[HEADING] x"),
+    ]
+    got = {r.page: r.text for r in extract.best_extraction(spark.createDataFrame(rows, "page int, strategy string, text string"), ["page"]).collect()}
+    assert got == {1: "[HEADING] Lost Two\n[HEADING] Lost One\nthe service of the system is good", 2: "[HEADING] The Service Of The System", 3: "", 4: "[HEADING] x"}
+    assert extract.wrap_pages(["a", "b"]) == "[PAGE 1]\na\n[END PAGE 1]\n[PAGE 2]\nb\n[END PAGE 2]"
+
+
 def test_models(spark):
     e = models.HashingEmbedder(8)
     assert e.embed(["a b"]) == e.embed(["a b"])
