@@ -11,6 +11,7 @@ and within them the row groups that may hold them. The range partitioning behind
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -83,7 +84,7 @@ def postings(df: DataFrame, id_col: str, fields: dict[str, str], analyzer: Calla
 
 
 def _bucket(term: Column) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+    return (F.crc32(term) % BUCKETS).cast("int")
 
 
 def write_index(df: DataFrame, id_col: str, fields: dict[str, str], path: str, analyzer: Callable[[str], str] = plain_term) -> None:
@@ -94,9 +95,12 @@ def write_index(df: DataFrame, id_col: str, fields: dict[str, str], path: str, a
     made.groupBy("id").agg(F.sum("tf").alias("n_terms")).write.parquet(f"{path}/lengths")
 
 
-def open_index(spark: SparkSession, path: str) -> DataFrame:
+_SCHEMA = "term string, id {id}, field string, tf int, bucket int"
+
+
+def open_index(spark: SparkSession, path: str, id_type: str = "long") -> DataFrame:
     """Postings of a stored index, partitioned by ``bucket``."""
-    return spark.read.parquet(f"{path}/postings")
+    return spark.read.schema(_SCHEMA.format(id=id_type)).parquet(f"{path}/postings")
 
 
 def open_lengths(spark: SparkSession, path: str) -> DataFrame:
@@ -109,10 +113,7 @@ def of_terms(index: DataFrame, wanted: list[str]) -> DataFrame:
     if not wanted:
         return index.where(F.lit(False))
     if "bucket" in index.columns:
-        # the same hash as at writing, computed by the engine for the few terms of a query
-        spark = index.sparkSession
-        numbers = spark.createDataFrame([(w,) for w in wanted], "term string").select(_bucket(F.col("term")).alias("b")).collect()
-        index = index.where(F.col("bucket").isin(sorted({r["b"] for r in numbers})))
+        index = index.where(F.col("bucket").isin(sorted({zlib.crc32(w.encode()) % BUCKETS for w in wanted})))
     return index.where(F.col("term").isin(wanted))
 
 

@@ -54,9 +54,11 @@ def search(store: Store, query: str, embed: Callable[[str], Sequence[float]], no
     found = lexical.search(store.index, intent.query, limit=None if filter_first else fetch, analyzer=lexical.english_term)
     if allowed is not None:
         found = found.join(allowed, "id", "left_semi").orderBy(F.desc("score"), "id").limit(fetch)
-    found = stage(found.select("id", "score"), "found")  # at most ``fetch`` rows, looked at twice
+    # at most ``fetch`` narrow rows, which are looked at twice and joined with hits of the same number
+    held = found.select("id", "score").collect()
+    found = chunks.sparkSession.createDataFrame(held, found.select("id", "score").schema)
     words = fallback_words(intent.query)
-    if len(intent.query) > 5 and words and found.isEmpty():
+    if len(intent.query) > 5 and words and not held:
         texts = chunks.join(allowed, "id", "left_semi") if allowed is not None else chunks
         fused = hybrid.fuse_like(semantic, lexical.like_fallback(texts, "id", "chunk_content", words, min(fetch, 100)), intent.limit, intent.min_score)
     else:
