@@ -24,9 +24,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from recordloom.llm.ranks import rank_within
+from recordloom.session import stage
+
 LIMIT, OVERLAP = 6000, 600
 WINDOW = 32
 MASK_BITS = 9
@@ -172,26 +175,23 @@ def rechunk(chunks: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) -> Da
 
     ``chunk_sequence`` counts from 0 in the order of the old sequence and the piece; rows that were ingested
     again under the same ``embedding_id`` share their numbers, and ``total_chunks`` counts distinct numbers of
-    the record. Rows that are no longer than the limit keep their text and page.
+    the record. Rows that are no longer than the limit keep their text and page. Rows without ``record_uri`` belong to
+    no common record and are numbered by ``embedding_id``, or each by itself where that is missing too.
     """
     base = chunks.select("id", "record_uri", "embedding_id", "chunk_sequence", "start_position", "page_number", "chunk_content")
+    base = base.withColumn("own", F.coalesce(F.col("record_uri").cast("string"), F.concat(F.lit("e:"), "embedding_id"), F.concat(F.lit("i:"), F.col("id").cast("string"))))
     fits = base.where(F.coalesce(F.length("chunk_content") <= limit, F.lit(True)))
-    whole = fits.select(
-        "id", "record_uri", "embedding_id", F.col("chunk_sequence").alias("old_sequence"), F.lit(0).alias("piece"), "start_position",
-        (F.col("start_position") + F.coalesce(F.length("chunk_content"), F.lit(0))).cast("int").alias("end_position"), "page_number", "chunk_content",
-    )
+    same = ["id", "record_uri", "embedding_id", "own", F.col("chunk_sequence").alias("old_sequence")]
+    whole = fits.select(*same, F.lit(0).alias("piece"), "start_position", (F.col("start_position") + F.coalesce(F.length("chunk_content"), F.lit(0))).cast("int").alias("end_position"), "page_number", "chunk_content")
     meta = base.where(F.length("chunk_content") > limit).drop("page_number", "chunk_content")
-    cut = meta.join(split_oversized(chunks, limit, overlap), "id").select(
-        "id", "record_uri", "embedding_id", F.col("chunk_sequence").alias("old_sequence"), "piece", (F.col("start_position") + F.col("piece_start")).cast("int").alias("start_position"),
-        (F.col("start_position") + F.col("piece_end")).cast("int").alias("end_position"), "page_number", F.col("piece_text").alias("chunk_content"),
+    cut = stage(meta.join(split_oversized(chunks, limit, overlap), "id"), "pieces").select(
+        *same, "piece", (F.col("start_position") + F.col("piece_start")).cast("int").alias("start_position"), (F.col("start_position") + F.col("piece_end")).cast("int").alias("end_position"), "page_number", F.col("piece_text").alias("chunk_content")
     )
-    rows = whole.unionByName(cut)
-    # numbers are found on narrow rows, so texts are shuffled once, by the join that brings the numbers back
-    keys = rows.select("record_uri", "old_sequence", "embedding_id", "piece").distinct()
-    order = Window.partitionBy("record_uri").orderBy(F.col("old_sequence").asc_nulls_last(), F.col("embedding_id").asc_nulls_last(), "piece")
-    numbered = keys.withColumn("chunk_sequence", F.row_number().over(order) - 1)
-    totals = keys.groupBy("record_uri").agg(F.count("*").cast("int").alias("total_chunks"))
-    same = [F.col(f"r.{c}").eqNullSafe(F.col(f"k.{c}")) for c in ("record_uri", "old_sequence", "embedding_id", "piece")]
-    numbered = numbered.join(totals, numbered.record_uri.eqNullSafe(totals.record_uri)).select(numbered["*"], "total_chunks")
-    joined = rows.alias("r").join(numbered.alias("k"), same[0] & same[1] & same[2] & same[3])
-    return joined.select("r.id", "r.record_uri", "r.embedding_id", "r.piece", "k.chunk_sequence", "k.total_chunks", "r.page_number", "r.start_position", "r.end_position", "r.chunk_content")
+    # numbers are found on narrow rows, so texts are shuffled once, by the join that brings the numbers back; nulls get values of their own there
+    order = [F.coalesce("old_sequence", F.lit(2**31 - 1)).alias("_s"), F.coalesce(F.concat(F.lit("0"), "embedding_id"), F.lit("1")).alias("_e")]
+    keys = stage(whole.select("own", *order, "piece").union(cut.select("own", *order, "piece")).distinct(), "numbers")
+    totals = keys.groupBy("own").agg(F.count("*").cast("int").alias("total_chunks"))
+    numbered = rank_within(keys, "own", ["_s", "_e", "piece"]).join(totals, "own").select("own", "_s", "_e", "piece", (F.col("k") - 1).cast("int").alias("chunk_sequence"), "total_chunks")
+    rows = whole.unionByName(cut).withColumns({"_s": order[0], "_e": order[1]})
+    joined = rows.join(numbered, ["own", "_s", "_e", "piece"])
+    return joined.select("id", "record_uri", "embedding_id", "piece", "chunk_sequence", "total_chunks", "page_number", "start_position", "end_position", "chunk_content")

@@ -8,8 +8,8 @@ summed along that order, one random offset is added, and a document is given onc
 stretch of the sum crosses: floor(rate) or ceil(rate) copies each, never more than ``max_repeats``. The order
 by size keeps the tokens of any such sample close to rate * t.
 
-Scale: ranks within a source come from a range-partitioned pass, so a source that holds a third of all rows
-is spread over many tasks: local ranks per range partition plus offsets of whole partitions.
+Scale: tokens are counted once. Ranks within a source come from a range-partitioned pass, so a source that holds a
+third of all rows is spread over many tasks.
 
 Defined results: documents without a source, or of a source that no recipe names, are left out; null and
 empty texts have 0 tokens and are sampled like others; a source named by a recipe but without tokens gets
@@ -19,13 +19,16 @@ rate 0 and is reported as unreachable; repeated texts are separate documents.
 from __future__ import annotations
 
 import base64
+import os
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from recordloom.session import bounded_broadcast, parallelism, stage
+from recordloom.llm.ranks import rank_within
+from recordloom.session import bounded_broadcast, stage
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # fixed value: the pattern that belongs to the vocabulary
@@ -35,11 +38,14 @@ _ENCODERS: dict[str, object] = {}
 
 
 def encoder(vocabulary: str):
-    """The byte-pair encoder of a rank file, loaded once per worker."""
+    """The byte-pair encoder of a rank file, loaded once per worker from its path or from the files sent with the job."""
     if vocabulary not in _ENCODERS:
         import tiktoken
 
-        with open(vocabulary, "rb") as f:
+        path = vocabulary if os.path.exists(vocabulary) else SparkFiles.get(os.path.basename(vocabulary))
+        if not os.path.exists(path):
+            raise FileNotFoundError(f"no vocabulary at {vocabulary}: give the path of a rank file of a public tokenizer as `vocabulary`")
+        with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
         _ENCODERS[vocabulary] = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
     return _ENCODERS[vocabulary]
@@ -53,19 +59,15 @@ def _count(batches: Iterator[pa.RecordBatch], vocabulary: str) -> Iterator[pa.Re
 
 
 def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """``(doc_id, source, n_tokens)`` of each document."""
+    """``(doc_id, source, n_tokens)`` of each document; a vocabulary on the driver is sent to the executors."""
+    if os.path.exists(vocabulary):
+        docs.sparkSession.sparkContext.addFile(vocabulary)
     return docs.select("doc_id", "source", "text").mapInArrow(lambda it: _count(it, vocabulary), "doc_id long, source string, n_tokens long")
 
 
 def ranked(counts: DataFrame) -> DataFrame:
     """``(doc_id, source, n_tokens, k)`` with k = 1, 2, ... along (n_tokens, doc_id) within each source."""
-    parts = parallelism(counts.sparkSession)
-    spread = stage(counts.repartitionByRange(parts, "source", "n_tokens", "doc_id").withColumn("part", F.spark_partition_id()), "ranges")
-    sizes = spread.groupBy("source", "part").agg(F.count("*").alias("m"))
-    before = F.coalesce(F.sum("m").over(Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = sizes.select("source", "part", before.alias("start"))
-    local = F.row_number().over(Window.partitionBy("source", "part").orderBy("n_tokens", "doc_id"))
-    return spread.withColumn("local", local).join(starts, ["source", "part"]).select("doc_id", "source", "n_tokens", (F.col("start") + F.col("local")).alias("k"))
+    return rank_within(counts, "source", ["n_tokens", "doc_id"])
 
 
 def rates(counts: DataFrame, targets: DataFrame, total_tokens: int | None = None) -> DataFrame:
@@ -78,8 +80,8 @@ def rates(counts: DataFrame, targets: DataFrame, total_tokens: int | None = None
     return t.withColumn("rate", rate).withColumn("reachable", F.col("wanted") <= F.col("max_repeats") * F.col("available_tokens"))
 
 
-def mix(docs: DataFrame, targets: DataFrame, total_tokens: int | None = None, seed: int = 1, vocabulary: str = VOCABULARY) -> DataFrame:
-    """``(recipe, source, doc_id, copy, n_tokens)``: the documents of each mix, one row per copy."""
+def _given(docs: DataFrame, targets: DataFrame, total_tokens: int | None, seed: int, vocabulary: str) -> tuple[DataFrame, DataFrame]:
+    """Ranked documents of the named sources, staged, and ``(doc_id, ..., recipe, copies)`` of those that are given."""
     named = targets.select("source").where("source is not null").distinct()
     # staged, since range partitioning looks at its input twice
     counts = stage(token_counts(docs.join(bounded_broadcast(named, MAX_TARGETS), "source", "left_semi"), vocabulary), "tokens")
@@ -89,15 +91,20 @@ def mix(docs: DataFrame, targets: DataFrame, total_tokens: int | None = None, se
     offset = F.pmod(F.xxhash64(F.lit(seed), "recipe", "source"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     plan = bounded_broadcast(stage(plan.withColumn("u", offset), "rates"), MAX_TARGETS)
     copies = (F.floor(F.col("rate") * F.col("k") + F.col("u")) - F.floor(F.col("rate") * (F.col("k") - 1) + F.col("u"))).cast("int")
-    given = order.join(plan, "source").withColumn("copies", copies).where("copies > 0")
+    return order, order.join(plan, "source").withColumn("copies", copies).where("copies > 0")
+
+
+def mix(docs: DataFrame, targets: DataFrame, total_tokens: int | None = None, seed: int = 1, vocabulary: str = VOCABULARY) -> DataFrame:
+    """``(recipe, source, doc_id, copy, n_tokens)``: the documents of each mix, one row per copy."""
+    _, given = _given(docs, targets, total_tokens, seed, vocabulary)
     return given.select("recipe", "source", "doc_id", F.explode(F.sequence(F.lit(1), "copies")).alias("copy"), "n_tokens")
 
 
 def mix_report(docs: DataFrame, targets: DataFrame, total_tokens: int | None = None, seed: int = 1, vocabulary: str = VOCABULARY) -> DataFrame:
     """Target and actual share of each source of each recipe, and whether the target could be reached."""
-    mixed = mix(docs, targets, total_tokens, seed, vocabulary)
-    got = stage(mixed.groupBy("recipe", "source").agg(F.sum("n_tokens").alias("mix_tokens"), F.count("*").alias("copies")), "mixed")
-    t = rates(token_counts(docs, vocabulary), targets, total_tokens)
+    order, given = _given(docs, targets, total_tokens, seed, vocabulary)
+    got = given.groupBy("recipe", "source").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("mix_tokens"), F.sum("copies").alias("copies"))
+    t = rates(order, targets, total_tokens)
     t = t.join(got, ["recipe", "source"], "left").fillna(0, ["mix_tokens", "copies"])
     actual = F.try_divide(F.col("mix_tokens"), F.sum("mix_tokens").over(Window.partitionBy("recipe")))
     return t.select("recipe", "source", "target_share", "max_repeats", "documents", "available_tokens", "rate", "reachable", "copies", "mix_tokens", actual.alias("actual_share"))

@@ -112,7 +112,7 @@ def test_edits_stay_local():
 
 def test_rechunk(spark):
     big = "\n\n".join(f"[PAGE {i}]\n" + document(random.Random(i), 20) for i in range(3, 12))
-    rows = [(1, 7, "e0", 0, 0, 1, "short"), (2, 7, "e1", 1, 5, 2, big), (3, 7, "e1", 1, 5, 2, big), (4, 7, "e2", 2, 9, 0, None), (5, None, "n", 0, 0, 0, ""), (6, 8, "b", 0, 0, 0, "x" * 15000)]
+    rows = [(1, 7, "e0", 0, 0, 1, "short"), (2, 7, "e1", 1, 5, 2, big), (3, 7, "e1", 1, 5, 2, big), (4, 7, "e2", 2, 9, 0, None), (5, None, "n", 0, 0, 0, ""), (6, 8, "b", 0, 0, 0, "x" * 15000), (7, None, "n", 3, 0, 0, "again"), (8, None, None, None, 0, 0, "alone"), (9, None, None, None, 0, 0, "alone"), (10, 8, None, None, 0, 0, "last")]
     df = spark.createDataFrame(rows, "id long, record_uri long, embedding_id string, chunk_sequence int, start_position int, page_number int, chunk_content string")
     got = chunking.rechunk(df).collect()
     assert all(len(r.chunk_content or "") <= 6000 for r in got)
@@ -121,6 +121,10 @@ def test_rechunk(spark):
     pages = [r.page_number for r in sorted(seven, key=lambda r: r.chunk_sequence) if r.id == 2]
     assert pages == sorted(pages) and pages[0] == 3 and pages[-1] > pages[0]
     assert {(r.chunk_sequence, r.piece) for r in got if r.id == 2} == {(r.chunk_sequence, r.piece) for r in got if r.id == 3}
+    lone = {r.id: (r.chunk_sequence, r.total_chunks) for r in got if r.record_uri is None}
+    assert lone == {5: (0, 2), 7: (1, 2), 8: (0, 1), 9: (0, 1)}
+    last = [r for r in got if r.id == 10][0]
+    assert last.chunk_sequence == last.total_chunks - 1 and len(got) == len({(r.id, r.piece) for r in got})
     assert {r.id for r in chunking.split_oversized(df).collect()} == {2, 3, 6}
     assert chunking.split_oversized(df.limit(0)).count() == 0
     with pytest.raises(ValueError):
