@@ -87,11 +87,16 @@ def _bucket(term: Column) -> Column:
     return (F.crc32(term) % BUCKETS).cast("int")
 
 
+def write_postings(made: DataFrame, path: str) -> None:
+    """Store postings, and whatever columns come with them, by buckets of terms and sorted by term; they are read twice."""
+    spread = made.withColumn("bucket", _bucket(F.col("term"))).repartitionByRange("bucket", "term", "id").sortWithinPartitions("bucket", "term", "id")
+    spread.write.partitionBy("bucket").parquet(path)
+
+
 def write_index(df: DataFrame, id_col: str, fields: dict[str, str], path: str, analyzer: Callable[[str], str] = plain_term) -> None:
     """Store the postings of ``df``; :func:`open_index` reads them. Maintained with the table it belongs to."""
-    made = stage(postings(df, id_col, fields, analyzer).withColumn("bucket", _bucket(F.col("term"))), "postings")
-    spread = made.repartitionByRange("bucket", "term", "id").sortWithinPartitions("bucket", "term", "id")
-    spread.write.partitionBy("bucket").parquet(f"{path}/postings")
+    made = stage(postings(df, id_col, fields, analyzer), "postings")
+    write_postings(made, f"{path}/postings")
     made.groupBy("id").agg(F.sum("tf").alias("n_terms")).write.parquet(f"{path}/lengths")
 
 

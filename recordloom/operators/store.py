@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Sequence
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -112,6 +113,13 @@ class BucketStore:
         """Whether a path exists."""
         return self._fs.exists(self._jvm.org.apache.hadoop.fs.Path(path))
 
+    def list(self, path: str) -> Sequence[str]:
+        """Names under a path in order; none where it does not exist."""
+        return sorted(f.getPath().getName() for f in self._fs.listStatus(self._jvm.org.apache.hadoop.fs.Path(path))) if self.has(path) else []
+
+    def remove(self, path: str) -> bool:
+        return bool(self._fs.delete(self._jvm.org.apache.hadoop.fs.Path(path), True))
+
     def bucket(self) -> Column:
         return F.pmod(F.xxhash64(self.record), F.lit(self.buckets)).cast("int")
 
@@ -131,7 +139,7 @@ class BucketStore:
         text = self.spark.read.text(f"{self.path}/manifests/{n:012d}", wholetext=True).first()[0]
         return {int(k): v for k, v in json.loads(text).items()}
 
-    def read(self, of: list[int] | None = None) -> DataFrame | None:
+    def read(self, of: Sequence[int] | None = None) -> DataFrame | None:
         """Rows of the given buckets, of all by default; None where there are none."""
         folders = sorted({f"{self.path}/{v}/bucket={k}" for k, v in self.manifest().items() if of is None or k in of})
         return self.spark.read.parquet(*folders) if folders else None

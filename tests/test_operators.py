@@ -426,3 +426,32 @@ def test_record_answer(spark):
     assert "RELEVANT\nThe boiler" in one.prompt and "Sequence 3" in one.prompt and "kilowatts" in one.answer and one.prompt.endswith("Question: how many kilowatts")
     other = context.record_answer(c.where("record_uri = 8"), index, "how many kilowatts", None, models.ExtractiveGenerator()).first()
     assert "Nothing here" in other.prompt
+
+
+def test_engine(spark, tmp_path):
+    from recordloom.engine import Access, Engine
+
+    tables = Access(
+        spark.createDataFrame([(1, None, "ViewDocument", "Group:A"), (2, 1, "ViewDocument", "bob"), (3, None, "ViewDocument", None)], "record_uri long, acl_group long, permission_type string, raw_acl_string string").withColumn("id", F.col("record_uri")),
+        spark.createDataFrame([(1, 100)], "acl_group long, location_id long"), spark.createDataFrame([(7, 100)], "user_id long, group_id long"),
+    )
+    e = Engine(spark, f"file://{tmp_path}/engine", access=tables, buckets=4)
+    with pytest.raises(LookupError):
+        e.chunks()
+    now = datetime(2026, 1, 28)
+    clock = iter(datetime(2026, 1, d) for d in range(1, 28)).__next__
+    bodies = spark.createDataFrame([(1, "The pump needs 40 kilowatts."), (2, "The secret boiler needs steam."), (3, "A ledger.")], "record_uri long, body string")
+    r = e.ingest(exported(spark, (1, "Pump.pdf", "01/02/2024 10:00:00"), (2, "Boiler.pdf", "01/02/2024 10:00:00"), (3, "Ledger.pdf", "01/02/2024 10:00:00")), bodies, clock)
+    assert r.status == "Completed" and e.statistics().first().records == 3
+    find = lambda q, u=7: [x.record_uri for x in e.search(q, now, min_score=0.0, user=u).collect()]
+    assert find("secret boiler")[0] == 2 and 2 not in find("secret boiler", 8) and find("kilowatts of the pump")[0] == 1
+    # a replaced chunk is not found by its old words
+    e.ingest(exported(spark, (1, "Pump.pdf", "03/02/2024 10:00:00")), spark.createDataFrame([(1, "The pump was sold.")], "record_uri long, body string"), clock, full=True)
+    words = lambda q: [x.id for x in lexical.search(e.index(), q, analyzer=lexical.english_term).collect()]
+    assert not words("kilowatts") and len(words("sold pump")) == 1 and len(words("boiler")) == 1
+    assert e.compact() == 2 and e.compact() == 1 and len(words("sold pump")) == 1 and not words("kilowatts")
+    assert "sold" in e.ask(1, "what was sold").first().answer and "sold" in e.summary_context(1).first().context
+    assert "sold" in e.answer(e.search("pump sold", now, min_score=0.0, user=7), "what was sold?")
+    got = {x.record_uri: (x.deleted > 0, x.status) for x in e.delete(spark.createDataFrame([(2,), (99,)], "record_uri long")).collect()}
+    assert got == {2: (True, "deleted"), 99: (False, "not_found")} and not words("boiler") and e.statistics().first().records == 2
+    assert e.records(exported(spark, (1, "Pump.pdf", None)), "pump").count() == 1 and e.access_report()[0].first().acl_rows == 3
