@@ -36,7 +36,7 @@ MASK_BITS = 9
 SNAP = 350
 PAGE_MARK = re.compile(r"^\[PAGE (\d+)\]", re.M)
 _PARAGRAPH = re.compile(r"\n[ \t]*\n\s*")
-_SENTENCE = re.compile(r"[.!?…。！？]+[\"'”’)\]]*\s+(?=[^\sa-z])")
+_SENTENCE = re.compile(r"(?<![.!?…。！？])[.!?…。！？]++[\"'”’)\]]*\s+(?=[^\sa-z])")
 _LINE = re.compile(r"\n")
 _BLANK = re.compile(r"\s+")
 _GEAR = np.random.default_rng(20240901).integers(1, 2**63, 4096, dtype=np.uint64)
@@ -138,26 +138,36 @@ def pieces(text: str | None, limit: int = LIMIT, overlap: int = OVERLAP, mask_bi
 
 
 def _split(batches: Iterator[pa.RecordBatch], limit: int, overlap: int) -> Iterator[pa.RecordBatch]:
+    """Pieces of the texts in ``chunk_content``; all other columns but ``page_number`` come along as they are."""
     for batch in batches:
-        cols: list[list] = [[], [], [], [], [], []]
-        for row, text, page in zip(*(c.to_pylist() for c in batch.columns)):
+        names = [c for c in batch.schema.names if c not in ("chunk_content", "page_number")]
+
+        def give(owner: list[int], cols: list[list], batch=batch, names=names) -> pa.RecordBatch:
+            take = pa.array(owner, pa.int64())
+            return pa.RecordBatch.from_arrays([*(batch.column(c).take(take) for c in names), *(pa.array(c, t) for c, t in zip(cols, _KINDS))], names=[*names, *_NAMES])
+
+        owner: list[int] = []
+        cols: list[list] = [[], [], [], [], []]
+        held = 0
+        for row, (text, page) in enumerate(zip(batch.column("chunk_content").to_pylist(), batch.column("page_number").to_pylist())):
             spans = pieces(text, limit, overlap)
             page_at = [(m.start(), int(m[1])) for m in PAGE_MARK.finditer(text or "")] if page else []
-            held = 0
             for k, (a, b) in enumerate(spans):
                 fresh = spans[k - 1][1] if k else 0  # a piece lies on the page where its new part starts
                 passed = [p for at, p in page_at if at <= fresh]
-                for c, v in zip(cols, (row, k, a, b, passed[-1] if passed else page, text[a:b] if text is not None else None)):
+                owner.append(row)
+                for c, v in zip(cols, (k, a, b, passed[-1] if passed else page, text[a:b] if text is not None else None)):
                     c.append(v)
                 held += b - a
                 if held > 32_000_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, _KINDS)], names=_NAMES)
-                    cols, held = [[], [], [], [], [], []], 0
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, _KINDS)], names=_NAMES)
+                    yield give(owner, cols)
+                    owner, cols, held = [], [[], [], [], [], []], 0
+        yield give(owner, cols)
 
 
-_NAMES = ["id", "piece", "piece_start", "piece_end", "page_number", "piece_text"]
-_KINDS = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string()]
+_NAMES = ["piece", "piece_start", "piece_end", "page_number", "piece_text"]
+_KINDS = [pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string()]
+_PIECES = "piece int, piece_start int, piece_end int, page_number int, piece_text string"
 
 
 def split_oversized(chunks: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
@@ -167,7 +177,7 @@ def split_oversized(chunks: DataFrame, limit: int = LIMIT, overlap: int = OVERLA
     before the piece's new part; 0 stays 0.
     """
     long = chunks.where(F.length("chunk_content") > limit).select("id", "chunk_content", "page_number")
-    return long.mapInArrow(lambda it: _split(it, limit, overlap), "id long, piece int, piece_start int, piece_end int, page_number int, piece_text string")
+    return long.mapInArrow(lambda it: _split(it, limit, overlap), f"id long, {_PIECES}")
 
 
 def rechunk(chunks: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
@@ -179,12 +189,13 @@ def rechunk(chunks: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) -> Da
     no common record and are numbered by ``embedding_id``, or each by itself where that is missing too.
     """
     base = chunks.select("id", "record_uri", "embedding_id", "chunk_sequence", "start_position", "page_number", "chunk_content")
-    base = base.withColumn("own", F.coalesce(F.col("record_uri").cast("string"), F.concat(F.lit("e:"), "embedding_id"), F.concat(F.lit("i:"), F.col("id").cast("string"))))
+    base = base.withColumn("own", F.coalesce(F.col("record_uri").cast("string"), F.concat(F.lit("e:"), "embedding_id"), F.concat(F.lit("i:"), F.col("id").cast("string")), F.lit("none")))
     fits = base.where(F.coalesce(F.length("chunk_content") <= limit, F.lit(True)))
     same = ["id", "record_uri", "embedding_id", "own", F.col("chunk_sequence").alias("old_sequence")]
     whole = fits.select(*same, F.lit(0).alias("piece"), "start_position", (F.col("start_position") + F.coalesce(F.length("chunk_content"), F.lit(0))).cast("int").alias("end_position"), "page_number", "chunk_content")
-    meta = base.where(F.length("chunk_content") > limit).drop("page_number", "chunk_content")
-    cut = stage(meta.join(split_oversized(chunks, limit, overlap), "id"), "pieces").select(
+    long = base.where(F.length("chunk_content") > limit)
+    kept = [f"{c} {t}" for c, t in long.dtypes if c not in ("chunk_content", "page_number")]
+    cut = stage(long.mapInArrow(lambda it: _split(it, limit, overlap), f"{', '.join(kept)}, {_PIECES}"), "pieces").select(
         *same, "piece", (F.col("start_position") + F.col("piece_start")).cast("int").alias("start_position"), (F.col("start_position") + F.col("piece_end")).cast("int").alias("end_position"), "page_number", F.col("piece_text").alias("chunk_content")
     )
     # numbers are found on narrow rows, so texts are shuffled once, by the join that brings the numbers back; nulls get values of their own there

@@ -65,6 +65,19 @@ _PAGE_END = re.compile(rf"(?:\s{{2,}}|\t|\s[-–—|]\s*)[-–—\[(|]*\s*{PAGE_
 _PAGE_FRONT = re.compile(rf"^\s*[-–—\[(|]*\s*{PAGE_NUMBER}\s*[-–—\])|]*(?:\s{{2,}}|\t)", re.I)
 
 
+def _alone(line: str) -> re.Match | None:
+    """A page number alone; no such line is long, so long runs of blanks are not tried."""
+    return _PAGE_ALONE.match(line) if len(line) <= 120 else None
+
+
+def _at_end(line: str) -> re.Match | None:
+    return _PAGE_END.search(line[-120:])
+
+
+def _in_front(line: str) -> re.Match | None:
+    return _PAGE_FRONT.match(line[:120])
+
+
 def has_layout(text: str) -> bool:
     """Whether lines are set to a width: at least four lines, none but a few longer than a page is wide."""
     lines = [x for x in text.split("\n") if x.strip()]
@@ -94,8 +107,8 @@ class Page:
     def suspect(self, i: int) -> bool:
         """A line that may stand between two lines of running text."""
         x = self.lines[i].strip()
-        if not x or _PAGE_ALONE.match(x) or _PAGE_END.search(x) or _PAGE_FRONT.match(x) or re.search(r"\S {3,}\S| — | / |^[^.,;]{8,60}\.\w{3,4}$", x):
-            return "|" not in x or bool(_PAGE_ALONE.match(x))
+        if not x or _alone(x) or _at_end(x) or _in_front(x) or re.search(r"\S {3,}\S| — | / |^[^.,;]{8,60}\.\w{3,4}$", x):
+            return "|" not in x or bool(_alone(x))
         return (len(x) < 0.8 * self.width and not _TERMINAL.search(x) and not x[:1].islower() and x[-1:] not in "-,;\u2010\u00ad\u00ac")
 
     def _habits(self, s: str) -> tuple[float, float]:
@@ -126,11 +139,11 @@ class Page:
         return [
             len(s) / max(self.width, 1), float(len(toks)), float(b_open), float(a_low), float(b_open and a_low), float(before.rstrip().endswith(("-", "\u2010", "\u00ad", "\u00ac"))), float(bool(_TERMINAL.search(s))), float(s[:1].islower()),
             float(s[:1].isdigit()), sum(t[:1].isupper() for t in toks) / max(len(toks), 1), sum(t.isupper() and len(t) > 1 for t in toks) / max(len(toks), 1), sum(map(str.isdigit, s)) / max(len(s), 1), letters / max(len(s), 1),
-            float(bool(_PAGE_ALONE.match(s))), float(bool(_PAGE_END.search(s))), float(bool(_PAGE_FRONT.match(s))), float(bool(re.search(r"\S {3,}\S", s))), float(bool(re.search(r"\.\w{2,4}(\s|$)", s))),
+            float(bool(_alone(s))), float(bool(_at_end(s))), float(bool(_in_front(s))), float(bool(re.search(r"\S {3,}\S", s))), float(bool(re.search(r"\.\w{2,4}(\s|$)", s))),
             float(" — " in s or " – " in s), float(" / " in s), float("|" in s), float(s[:2] in ("- ", "* ", "• ")), len(named & self.title) / max(len(named), 1), float(self.repeats[_fold_line(x)]),
             float(not pb.strip()), float(not nb.strip()), float(i == 0), float(i == len(self.lines) - 1), float(len(pb.rstrip()) + 1 + len(first) <= self.width), len(pb.rstrip()) / max(self.width, 1),
             float(s.endswith(",")), float(bool(re.match(r"[\w ]{3,20}:\s", s))), float(x[:1].isspace()), float(len(s)), float(nb.strip()[:1].islower()), float(bool(pb.strip()) and not _TERMINAL.search(pb.strip())),
-            float(bool(_PAGE_ALONE.match(pb)) and bool(pb.strip())), float(bool(_PAGE_ALONE.match(nb)) and bool(nb.strip())), float(bool(re.fullmatch(r"(1[89]|20)\d\d[.,;]?", s))),
+            float(bool(_alone(pb)) and bool(pb.strip())), float(bool(_alone(nb)) and bool(nb.strip())), float(bool(re.fullmatch(r"(1[89]|20)\d\d[.,;]?", s))),
             *self._habits(s),
         ]
 
@@ -340,7 +353,7 @@ def synthetic_page(text: str, title: str, names: list[str], rng: np.random.Gener
     if learnt and rng.random() < 0.6:
         header, own = learnt[int(rng.integers(len(learnt)))]
     count, way, style, at = int(rng.integers(1, 60)), int(rng.integers(5)), int(rng.integers(1 << 30)), int(rng.integers(0, 12))
-    alone = bool(_PAGE_ALONE.match(header))
+    alone = bool(_alone(header))
     rows: list[tuple[str, int, int, int, int]] = []
     for i, x in enumerate(lines):
         if i == at:
@@ -616,7 +629,7 @@ def _repeated_lines(pages: DataFrame, rows: int) -> list[tuple[str, bool]]:
 
     def stands_alone(line: str, changes: bool) -> bool:
         """Not the short last line of a sentence, nor a line of text in which only an amount changes."""
-        numbered = bool(_PAGE_ALONE.match(line) or _PAGE_END.search(line) or _PAGE_FRONT.match(line))
+        numbered = bool(_alone(line) or _at_end(line) or _in_front(line))
         return numbered or not (changes or line[:1].islower() or _TERMINAL.search(line))
 
     return [x for x in got if stands_alone(*x)]

@@ -50,19 +50,34 @@ BUCKET = 1000
 THRESHOLD = 0.35  # below one half, since the documents taken as whole in training hold unknown cut ones
 LIMIT_ODDS = 3.0  # log-odds that a pile of texts of exactly this length adds
 _DIGITS = re.compile(r"\d+")
-_CODE = re.compile(r"(?=[^\W_]*\d)(?=[^\W_]*[^\W\d_])[^\W_]+")
+_RUN = re.compile(r"[^\W_]+")
+_DIGIT, _LETTER = re.compile(r"\d"), re.compile(r"[^\W\d_]")
 _STOP = re.compile(r"[.!?…][\"'”’»)\]]*$")
 _MARKS = frozenset(".!?…")
 _ENDING = frozenset(".!?…\"'”’»)]")
 _TERMINAL = re.compile(r"[.!?。！？][\"'”’»)\]]*$")
-_DOTS = re.compile(r"(\.{2,}|…)[\"'”’»)\]]*$")
+_CLOSERS = "\"'”’»)]"
 _MARKED = re.compile(r"^\s*([-*•·–]|\d+[.)]|\|)\s?")
 _KEYS = 6
 
 
+def _codes(s: str) -> str:
+    """Runs of letters and digits that hold both as one sign."""
+    return _RUN.sub(lambda m: "#" if not m[0].isalpha() and _DIGIT.search(m[0]) and _LETTER.search(m[0]) else m[0], s)
+
+
+def _without_dots(tail: str) -> str | None:
+    """A text without the dots it ends in and what closes them, or None when it does not end in dots."""
+    t = tail.rstrip(_CLOSERS)
+    if t.endswith("…"):
+        return t[:-1]
+    body = t.rstrip(".")
+    return body if len(t) - len(body) >= 2 else None
+
+
 def form(token: str) -> str:
     """A word form for counting: digits become one sign, runs of them kept up to three; letters with digits are a code."""
-    return _DIGITS.sub(lambda m: "9" * min(len(m[0]), 3), _CODE.sub("#", token))[:40]
+    return _DIGITS.sub(lambda m: "9" * min(len(m[0]), 3), _codes(token))[:40]
 
 
 class _Forms(dict):
@@ -73,7 +88,7 @@ class _Forms(dict):
 
 def line_shape(line: str) -> str:
     """Shape of a line: the letters of each word by case, digits as one sign, punctuation kept."""
-    s = _DIGITS.sub("9", _CODE.sub("#", line.strip()))
+    s = _DIGITS.sub("9", _codes(line.strip()))
     s = re.sub(r"[^\W\d_]+", lambda m: ("U" if len(m[0]) > 1 and m[0].isupper() else "X") if m[0][0].isupper() else (m[0] if len(m[0]) <= 2 else "x"), s)
     return s[:80]
 
@@ -90,20 +105,21 @@ def closing(text: str) -> tuple[list[float], list[str]]:
     tokens = last.split()
     token = tokens[-1] if tokens else ""
     prev = tokens[-2] if len(tokens) > 1 else ""
-    dots = _DOTS.search(tail)
+    undotted = _without_dots(tail)
+    dots = undotted is not None
     terminal = bool(_TERMINAL.search(tail)) and not dots
-    bare = _DOTS.sub("", tail).rstrip() if dots else tail
+    bare = undotted.rstrip() if dots else tail
     para = tail[tail.rfind("\n\n") + 1 :]
     marked = bool(_MARKED.match(last))
     end = bare[-1:] if bare else ""
     sentence_before = bool(re.search(r"[.!?]\s+[^\Wa-z_][^.!?]*$", bare[-120:])) if dots else False
     plain = [
-        float(terminal), float(bool(dots)), float(bool(dots) and tail != bare and bare[-1:].isspace() is False and tail[len(bare) : len(bare) + 1] == " "), float(marked), float(bool(_MARKED.match(before))),
+        float(terminal), float(dots), float(dots and tail != bare and bare[-1:].isspace() is False and tail[len(bare) : len(bare) + 1] == " "), float(marked), float(bool(_MARKED.match(before))),
         float(last.count("|") >= 2 and last.endswith("|")), float(last.startswith("|")), float(min(len(last), 400)), float(len(tokens)), float(len(token)),
         float(end.isalpha()), float(end.isdigit()), float(end in ",;:-–(/'\"&"), float(para.count("(") - para.count(")")), float(not before.strip()), float(sentence_before), float(text[-1:].isspace()), float(token[:1].isupper()),
         float("�" in tail[-2:]),
     ]
-    core = _DOTS.sub("", token) if dots else token
+    core = (token if (cut := _without_dots(token)) is None else cut) if dots else token
     keys = [
         "w " + form(core) if core else "",
         f"s {form(prev)} {form(token)}" if terminal else "",
@@ -146,9 +162,9 @@ class _Statistics:
                 key = ("p", toks[last_at - 1] if last_at else "", end)
                 good[key] += 1
                 total[key] += 1
-        dots = _DOTS.search(tail[-40:])
-        if dots:
-            total[("e", _phrase(tail[: len(tail) - len(dots[0])].rstrip()), None)] += 1
+        undotted = _without_dots(tail)
+        if undotted is not None:
+            total[("e", _phrase(undotted.rstrip()), None)] += 1
         elif not _TERMINAL.search(tail[-10:]) and len(last := tail.rsplit("\n", 1)[-1]) <= 80:
             total[("f", line_shape(last), None)] += 1
 
