@@ -79,6 +79,20 @@ def split_archive(df: DataFrame, as_of: datetime, years: int = 2, column: str =
     return df.where(~cold), df.where(cold)
 
 
+def archive(df: DataFrame, as_of: datetime, cold_path: str, years: int = 2, column: str = "created_at") -> DataFrame:
+    """Append the cold rows to an archive by month and return the hot ones, the next state of the table.
+
+    A run that is repeated leaves rows out that the archive holds already, by ``id``.
+    """
+    spark = df.sparkSession
+    hot, cold = split_archive(df, as_of, years, column)
+    path = spark._jvm.org.apache.hadoop.fs.Path(cold_path)
+    if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        cold = cold.join(spark.read.parquet(cold_path).select("id"), "id", "left_anti")
+    cold.withColumn("month", F.date_format(column, "yyyy-MM")).repartition("month").write.mode("append").partitionBy("month").parquet(cold_path)
+    return hot
+
+
 def update_checkpoint(state: DataFrame, change: DataFrame) -> DataFrame:
     """The next state of the checkpoints: the latest row of each job by ``updated_at``; the first ``created_at`` stays."""
     both = state.unionByName(change)

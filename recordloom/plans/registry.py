@@ -589,7 +589,10 @@ def dynamic_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def date_intent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ranges of the dates that titles of records name, each distinct title once."""
+    """Ranges of the dates that titles of records name, each distinct title once.
+
+    The rules are made for queries, one string at a time; over a table they run row by row in Python.
+    """
     now = datetime(2026, 1, 28)
 
     @F.pandas_udf("start timestamp, end timestamp")
@@ -606,6 +609,8 @@ def date_intent(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def smart_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keywords of queries, row by row in Python: for tables of queries, not of documents."""
+
     @F.pandas_udf("array<string>")
     def words(q):  # type: ignore[no-untyped-def]
         return q.map(lambda x: intent.smart_keywords(x or ""))

@@ -9,8 +9,9 @@ from __future__ import annotations
 
 import io
 import re
+import uuid
 import zipfile
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from html.parser import HTMLParser
 from xml.etree import ElementTree
 
@@ -240,6 +241,63 @@ def blob_metadata(spark: SparkSession, path: str) -> DataFrame:
     return f.select("path", "length", F.col("modificationTime").alias("modified"), tag.alias("etag"), F.coalesce(F.try_element_at(media, F.regexp_extract(F.lower("path"), r"(\.[^./\\]+)$", 1)), F.lit("application/octet-stream")).alias("media_type"))
 
 
+class Blobs:
+    """Stored files of one folder, one by one: save, read, remove. Tables of files are read by :func:`extract_files`."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+        self._fs = self._at("").getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def _at(self, name: str):  # type: ignore[no-untyped-def]
+        if name.startswith("/") or ".." in name.split("/"):
+            raise ValueError(f"not a name within the folder: {name}")
+        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
+
+    def save(self, name: str, data: bytes) -> str:
+        """Write a file beside and put it in place by one rename; the path it has."""
+        side = self._at(f"{name}.{uuid.uuid4().hex}.part")
+        out = self._fs.create(side, False)
+        out.write(bytearray(data))
+        out.close()
+        self._fs.delete(self._at(name), False)
+        if not self._fs.rename(side, self._at(name)):
+            raise OSError(f"could not store {name}")
+        return f"{self.path}/{name}"
+
+    def exists(self, name: str) -> bool:
+        return bool(self._fs.exists(self._at(name)))
+
+    def read(self, name: str) -> bytes:
+        if not self.exists(name):
+            raise FileNotFoundError(name)
+        return bytes(self.spark.read.format("binaryFile").load(f"{self.path}/{name}").select("content").first()[0])
+
+    def remove(self, name: str) -> bool:
+        return bool(self._fs.delete(self._at(name), False))
+
+
+def safe_name(name: str) -> str:
+    """A file name without signs that file systems refuse; ``file`` when nothing is left."""
+    return re.sub(r'[<>:"/\\|?*\x00-\x1f]', "_", name).strip(" .") or "file"
+
+
+def bundle(files: Iterable[tuple[str, bytes]]) -> bytes:
+    """A zip of the files of one download, names made safe and different whatever the case."""
+    out = io.BytesIO()
+    used: set[str] = set()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for name, data in files:
+            stem, dot, ext = safe_name(name).rpartition(".")
+            stem, tail = (stem, dot + ext) if stem else (ext, "")
+            n, made = 1, stem + tail
+            while made.lower() in used:
+                n += 1
+                made = f"{stem} ({n}){tail}"
+            used.add(made.lower())
+            z.writestr(made, data)
+    return out.getvalue()
+
+
 def best_extraction(candidates: DataFrame, key: list[str], strategy: str = "strategy", body: str = "text", fonts: str = "font") -> DataFrame:
     """``(key, text)``: of several extractions of a page the one of best quality, headings never lost.
 

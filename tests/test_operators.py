@@ -455,3 +455,27 @@ def test_engine(spark, tmp_path):
     got = {x.record_uri: (x.deleted > 0, x.status) for x in e.delete(spark.createDataFrame([(2,), (99,)], "record_uri long")).collect()}
     assert got == {2: (True, "deleted"), 99: (False, "not_found")} and not words("boiler") and e.statistics().first().records == 2
     assert e.records(exported(spark, (1, "Pump.pdf", None)), "pump").count() == 1 and e.access_report()[0].first().acl_rows == 3
+
+
+def test_archive_and_blobs(spark, tmp_path):
+    rows = [(1, datetime(2020, 5, 1)), (2, datetime(2023, 5, 1)), (3, None), (4, datetime(2019, 1, 1))]
+    df = spark.createDataFrame(rows, "id long, created_at timestamp")
+    cold = f"file://{tmp_path}/cold"
+    for _ in range(2):
+        hot = store.archive(df, datetime(2024, 1, 1), cold)
+        assert {r.id for r in hot.collect()} == {2, 3} and {(r.id, str(r.month)) for r in spark.read.parquet(cold).collect()} == {(1, "2020-05"), (4, "2019-01")}
+    b = extract.Blobs(spark, f"file://{tmp_path}/blobs")
+    assert b.save("a/x.bin", b"\x00\xff1") and b.save("a/x.bin", b"two") and b.read("a/x.bin") == b"two" and b.exists("a/x.bin")
+    assert extract.blob_metadata(spark, f"file://{tmp_path}/blobs").count() == 1
+    assert b.remove("a/x.bin") and not b.remove("a/x.bin") and not b.exists("a/x.bin")
+    with pytest.raises(FileNotFoundError):
+        b.read("nothing")
+    with pytest.raises(ValueError):
+        b.save("../out", b"x")
+
+
+def test_bundle():
+    import io
+
+    z = zipfile.ZipFile(io.BytesIO(extract.bundle([("a.txt", b"1"), ("A.txt", b"2"), ("b/c?.pdf", b"3"), ("..", b"4"), ("noext", b"5"), ("noext", b"6"), ("", b"7")])))
+    assert {n: z.read(n) for n in z.namelist()} == {"a.txt": b"1", "A (2).txt": b"2", "b_c_.pdf": b"3", "file": b"4", "noext": b"5", "noext (2)": b"6", "file (2)": b"7"}
