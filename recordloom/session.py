@@ -45,6 +45,8 @@ def shared_dir(spark: SparkSession) -> str:
     configured = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
+    if spark.sparkContext.applicationId not in _TEST_DIRS and (chosen := spark.sparkContext.getCheckpointDir()):
+        return chosen.rstrip("/")
     master = spark.sparkContext.master
     if master != "local" and not master.startswith("local["):
         raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")

@@ -109,14 +109,17 @@ def test_staging_needs_a_shared_folder_on_a_cluster(monkeypatch):
             return None
 
     class Context:
-        master = "yarn"
+        master, applicationId, chosen = "yarn", "app", None
         getConf = lambda self: Conf()
+        getCheckpointDir = lambda self: self.chosen
 
     class Session:
         sparkContext, conf = Context(), Conf()
 
     with pytest.raises(RuntimeError):
         session.shared_dir(Session())
+    Context.chosen = "hdfs://shared/x/"
+    assert session.shared_dir(Session()) == "hdfs://shared/x"
 
 
 def test_fusion_and_records(spark):
